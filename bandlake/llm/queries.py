@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing
+from . import mixing, ngram_join
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -36,7 +40,7 @@ SELECT doc_id, size, source_size, target,
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {"op1_mix_sources": op1_mix_sources, "op7_ngram_join": op7_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
