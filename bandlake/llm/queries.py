@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, ngram_join
+from . import chat, licenses, mixing, ngram_join
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_summary(licenses.licence_hits(table(spark, sf_dir, "documents")))
+
+
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "CASE id WHEN 0 THEN 'user' ELSE 'assistant' END AS role", f"'{control}' AS text")
+    return chat.read_back(chat.chat_windows(turns.unionByName(extra)))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -39,9 +50,32 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+n AS (
+  SELECT *, row_number() OVER w - 1 AS idx,
+    CAST(coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 512 AS win,
+    length(role) + length(text) + 17
+      + length(role || text) * 2 - length(replace(role || text, chr(92), '')) - length(translate(role || text, '[<', '')) AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT conv_id, win, min(idx) AS begin FROM n GROUP BY conv_id, win),
+x AS (
+  SELECT conv_id, chars FROM n
+  UNION ALL SELECT n.conv_id, n.chars FROM b JOIN n ON n.conv_id = b.conv_id AND b.begin > 0 AND n.idx < b.begin AND (n.idx >= b.begin - 2 OR (n.idx = 0 AND n.role = 'system'))),
+f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM x GROUP BY conv_id),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY idx), '') AS loss
+  FROM n GROUP BY conv_id)
+SELECT g.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g JOIN f USING (conv_id)
+"""
+
+
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op7_ngram_join": op7_ngram_join}
+    return {"op1_mix_sources": op1_mix_sources, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op10_chat_windows": op10_chat_windows}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_license_scan": licenses.oracle(), "op10_chat_windows": OP10_SQL}
