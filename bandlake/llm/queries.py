@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, licenses, mixing, ngram_join
+from . import chat, langid, licenses, mixing, ngram_join
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licence_summary(licenses.licence_hits(table(spark, sf_dir, "documents")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~held))
+    return langid.identify(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -74,7 +82,7 @@ SELECT g.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_c
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op10_chat_windows": op10_chat_windows}
+    return {"op1_mix_sources": op1_mix_sources, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op10_chat_windows": op10_chat_windows}
 
 
 def oracle_sql() -> dict[str, str]:
