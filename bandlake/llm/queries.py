@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, langid, licenses, mixing, ngram_join
+from . import chat, langid, licenses, mixing, ngram_join, quality, toxicity
+from .samples import labelled_sample
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,20 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 5, 0)
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", max_rows=10_000, exclude=held)
+    scored = quality.score(docs.withColumn("held_out", held), quality.fit(sample), keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 3, 1)
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", max_rows=10_000, exclude=held)
+    scored = toxicity.score(docs.withColumn("held_out", held), toxicity.fit(sample), keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licence_summary(licenses.licence_hits(table(spark, sf_dir, "documents")))
 
@@ -82,7 +97,7 @@ SELECT g.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_c
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op10_chat_windows": op10_chat_windows}
+    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op10_chat_windows": op10_chat_windows}
 
 
 def oracle_sql() -> dict[str, str]:
