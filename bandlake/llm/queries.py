@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, langid, licenses, mixing, ngram_join, quality, toxicity
+from . import chat, decontaminate, langid, licenses, linededup, mixing, ngram_join, quality, toxicity
 from .samples import labelled_sample
 
 
@@ -25,6 +25,15 @@ def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 3, 1)
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", max_rows=10_000, exclude=held)
@@ -96,9 +105,31 @@ SELECT g.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_c
 """
 
 
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+t AS (
+  SELECT doc_id, line, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w FROM l),
+p AS (
+  SELECT doc_id, line, pos, w, CASE WHEN len(w) >= 3 THEN array_to_string(w, ' ') END AS cls, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM t),
+c AS (SELECT leaf, cls, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM p WHERE cls IS NOT NULL GROUP BY leaf, cls),
+b AS (SELECT * FROM c WHERE leaf IN (SELECT leaf FROM c GROUP BY leaf HAVING sum(docs) >= 3)),
+k AS (SELECT leaf, cls, docs, len(w) AS n, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM b),
+f AS (SELECT leaf, pos, token FROM k GROUP BY leaf, pos, token HAVING sum(docs) >= 3),
+s AS (SELECT k.leaf, k.cls, any_value(docs) AS docs, any_value(n) AS n, count(*) AS fixed, string_agg(k.pos || '=' || k.token, ' ' ORDER BY k.pos) AS template FROM k JOIN f USING (leaf, pos, token) GROUP BY k.leaf, k.cls),
+r AS (SELECT * FROM s WHERE fixed >= 0.8 * n),
+g AS (SELECT leaf, template FROM r GROUP BY leaf, template HAVING sum(docs) >= 3),
+d AS (SELECT DISTINCT cls FROM r JOIN g USING (leaf, template))
+SELECT p.doc_id, count(*) AS n_lines, count(d.cls) AS n_dropped,
+  CAST(coalesce(sum(CASE WHEN d.cls IS NULL THEN length(line) + 1 END) - 1, 0) AS BIGINT) AS kept_chars
+FROM p LEFT JOIN d USING (cls) GROUP BY p.doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op10_chat_windows": op10_chat_windows}
+    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op10_chat_windows": op10_chat_windows}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op6_license_scan": licenses.oracle(), "op10_chat_windows": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_license_scan": licenses.oracle(), "op10_chat_windows": OP10_SQL}
