@@ -51,12 +51,12 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], max_epochs: i
     rest = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
     levels = ranked.withColumn("level", (total - before) / rest)
     fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    level = F.min(fits).over(every)
+    level = F.max(fits).over(every)
     return levels.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("w")))).drop("w", "cap", "level")
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, selected, taken, sample_key.
+    """One row per document: doc_id, source, size, source_size, target, epochs, selected, taken, sample_key, tie (digest of the text).
 
     Every document is taken ``epochs`` = floor(target / source_size) times; what is left of the target is filled by
     the documents of least key, up to the last one that brings the sum nearer to it. ``taken`` counts words, repeats
@@ -85,4 +85,16 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     placed = keyed.join(sums, ["src", "bucket"]).withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     selected = (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("left"))
     taken = F.col("size") * (F.col("epochs") + selected.cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "epochs", selected.alias("selected"), taken.alias("taken"), "sample_key")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "epochs", selected.alias("selected"), taken.alias("taken"), "sample_key", "tie")
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, all columns, with target, repeats (times taken) and taken (words).
+
+    Rows equal in id and text are one document here and all carry its largest share.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    mix = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
+    mix = mix.agg(F.max("target").alias("target"), F.max(F.col("epochs") + F.col("selected").cast("long")).alias("repeats"), F.max("taken").alias("taken")).where("taken > 0")
+    own = docs.drop("target", "repeats", "taken")
+    return own.join(mix, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tie"))).drop("__id", "__tie")

@@ -71,7 +71,7 @@ c AS (SELECT *, CAST(source_size AS DOUBLE) * 3 AS cap FROM s),
 l AS (
   SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM l),
 e AS (SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0.0) + 1e-9) AS BIGINT) AS epochs FROM t),
 p AS (
   SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
