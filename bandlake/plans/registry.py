@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_queries
+from .fixtures import with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (catalog_queries,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["s14_yolo_detect_export"](spark, sf_dir)
+    return queries()["s14_write_yolo_detect"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_views(sql) for module in _MODULES for name, sql in module.SQL.items()}
