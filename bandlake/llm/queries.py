@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, langid, licenses, linededup, mixing, ngram_join, quality, toxicity
+from . import chat, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, quality, toxicity
 from .samples import labelled_sample
 
 
@@ -52,6 +52,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.image_components(media.images_of_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -128,7 +132,7 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op10_chat_windows": op10_chat_windows}
+    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_image_copies": op9_image_copies, "op10_chat_windows": op10_chat_windows}
 
 
 def oracle_sql() -> dict[str, str]:
