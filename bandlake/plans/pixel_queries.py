@@ -33,8 +33,6 @@ def _sizes(s: SparkSession, d: str, *cols) -> DataFrame:
     return images(s, d).select("image_id", *cols)
 
 
-_W, _H = F.col("width"), F.col("height")
-_LEVEL = F.col("image_id") % 9
 
 
 def _thumb_of_pyramid(s: SparkSession, d: str) -> DataFrame:
@@ -55,18 +53,18 @@ QUERIES = {
     "b4_num_layers": lambda s, d: images(s, d).select("image_id", B.num_layers(F.col("num_bands")).alias("layers")),
     "b5_flatten_layers": lambda s, d: _hexed(pixels.flatten_layers(pixels.pack_layers(_norm(s, d))), "payload"),
     "b6_payload_contract": lambda s, d: pixels.payload_contract(images(s, d)),
-    "b7_pixel_count": lambda s, d: _sizes(s, d, B.pixel_count(_W * 40, _H * 40).alias("pixels")),
-    "b8_bilinear_sample": lambda s, d: cubes(s, d).select("image_id", "band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(17)), lambda k: B.bilinear(F.col("px"), _W, _H, B.f32(k) * B.f32(0.25), B.f32(4.0) - B.f32(k) * B.f32(0.3)))).alias("v")).withColumn("v", F.round(F.col("v").cast("double"), 5) + 0.0),
+    "b7_pixel_count": lambda s, d: _sizes(s, d, B.pixel_count(F.col("width") * 40, F.col("height") * 40).alias("pixels")),
+    "b8_bilinear_sample": lambda s, d: cubes(s, d).select("image_id", "band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(17)), lambda k: B.bilinear(F.col("px"), F.col("width"), F.col("height"), B.f32(k) * B.f32(0.25), B.f32(4.0) - B.f32(k) * B.f32(0.3)))).alias("v")).withColumn("v", F.round(F.col("v").cast("double"), 5) + 0.0),
     "b9_downsample": lambda s, d: pixels.downsample(_norm(s, d), F.lit(3), F.lit(2)).select("image_id", "band", "width", "height", F.posexplode("px").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5)),
-    "b10_level_size_floor": lambda s, d: _sizes(s, d, B.floor_size(_W, _LEVEL).alias("w"), B.floor_size(_H, _LEVEL).alias("h")),
-    "b11_level_ladder_ceil": lambda s, d: images(s, d).select("image_id", "width", "height", F.explode(F.sequence(F.lit(0), B.num_levels(_W, _H) - 1)).alias("level")).select("image_id", "level", B.ceil_size(_W, F.col("level")).alias("w"), B.ceil_size(_H, F.col("level")).alias("h")),
-    "b12_num_levels": lambda s, d: _sizes(s, d, B.num_levels(_W, _H).alias("levels")),
+    "b10_level_size_floor": lambda s, d: _sizes(s, d, B.floor_size(F.col("width"), F.col("image_id") % 9).alias("w"), B.floor_size(F.col("height"), F.col("image_id") % 9).alias("h")),
+    "b11_level_ladder_ceil": lambda s, d: images(s, d).select("image_id", "width", "height", F.explode(F.sequence(F.lit(0), B.num_levels(F.col("width"), F.col("height")) - 1)).alias("level")).select("image_id", "level", B.ceil_size(F.col("width"), F.col("level")).alias("w"), B.ceil_size(F.col("height"), F.col("level")).alias("h")),
+    "b12_num_levels": lambda s, d: _sizes(s, d, B.num_levels(F.col("width"), F.col("height")).alias("levels")),
     "b13_clamp_level": lambda s, d: _sizes(s, d, B.clamp_level(F.col("image_id") % 12, (F.col("image_id") % 5).cast("int")).cast("int").alias("level"), (F.col("image_id") % 12 <= B.MAX_LEVEL).alias("valid")),
     "b14_build_pyramid": lambda s, d: _hexed(pixels.build_pyramid(_norm(s, d), min_side=1)[0]),
     "b15_stream_level": lambda s, d: _hexed(pixels.stream_level(_norm(s, d), 1)),
     "b16_progressive_levels": lambda s, d: _sizes(s, d, F.explode(B.progressive_levels((F.col("image_id") % 9).cast("int"), F.lit(5), F.col("image_id") % 2 == 0)).alias("level")),
-    "b17_row_chunks": lambda s, d: images(s, d).select("image_id", F.explode(B.row_chunks(_H)).alias("c")).select("image_id", "c.start", "c.end"),
-    "b18_thumbnail_size": lambda s, d: _sizes(s, d, *(c.alias(n) for c, n in zip(B.thumbnail_size(_W, _H), "wh", strict=True))),
+    "b17_row_chunks": lambda s, d: images(s, d).select("image_id", F.explode(B.row_chunks(F.col("height"))).alias("c")).select("image_id", "c.start", "c.end"),
+    "b18_thumbnail_size": lambda s, d: _sizes(s, d, *(c.alias(n) for c, n in zip(B.thumbnail_size(F.col("width"), F.col("height")), "wh", strict=True))),
     "b19_thumbnail_pixels": lambda s, d: _hexed(pixels.thumbnails(_norm(s, d).where("image_id % 4 <> 0 OR band < 1"), 2)),
     "b20_pyramid_thumbnail": _thumb_of_pyramid,
     "b21_select_rgb": lambda s, d: _hexed(pixels.select_rgb(_norm(s, d), cubes(s, d).select("image_id").distinct().select("image_id", (F.col("image_id") % 3).cast("int").alias("r"), (F.col("image_id") % 7).cast("int").alias("g"), F.lit(9).alias("b"))), "rgb"),
