@@ -14,11 +14,30 @@ def cell(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - BITS)
 
 
+def _words(hashes: DataFrame, column: str) -> DataFrame:
+    cells = hashes.select(cell(F.col(column)).alias("cell"))
+    return cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+
+
+def split(rows: DataFrame, id_col: str, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is surely not in ``ids``, the others), without a shuffle of ``rows``; null ids are never in ``ids``."""
+    words = _words(ids.where(F.col(column).isNotNull()).select(F.xxhash64(F.col(column).cast("long")).alias("__h")), "__h")
+    words = words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    held = rows.withColumn("__cell", cell(F.xxhash64(F.col(id_col).cast("long")))).join(F.broadcast(words), F.shiftright(F.col("__cell"), 6) == F.col("__word"), "left")
+    hit = F.col(id_col).isNotNull() & F.coalesce(F.expr("(shiftright(__bits, cast(__cell & 63 as int)) & 1) = 1"), F.lit(False))
+    return held.where(~hit).select(*rows.columns), held.where(hit).select(*rows.columns)
+
+
+def without_ids(rows: DataFrame, id_col: str, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` but for those whose id is in ``ids``; only rows that the filter can't clear are shuffled."""
+    quiet, loud = split(rows, id_col, ids, column)
+    gone = ids.select(F.col(column).alias("__gone")).distinct()
+    return quiet.unionAll(loud.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))
+
+
 def build(hashes: DataFrame, column: str):
     """A broadcast of the filter's 64-bit words for a long column of well-mixed hashes."""
-    cells = hashes.select(cell(F.col(column)).alias("cell"))
-    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
-    found = words.toPandas()  # at most 2**18 rows
+    found = _words(hashes, column).toPandas()  # at most 2**18 rows
     bits = np.zeros(1 << (BITS - 6), np.int64)
     bits[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
     return hashes.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
@@ -27,3 +46,9 @@ def build(hashes: DataFrame, column: str):
 def has(bits: np.ndarray, hashed: int) -> bool:
     at = (hashed & (1 << 64) - 1) >> (64 - BITS)
     return bool((int(bits[at >> 6]) >> (at & 63)) & 1)
+
+
+def has_each(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """``has`` for an array of unsigned hashes."""
+    at = hashed >> np.uint64(64 - BITS)
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -1,8 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its word n-grams ("tokens", hashed). Equal sets form one class. Tokens are ordered by frequency
-class and hash; the frequent ones (at most ``frequent_limit``, counted over all documents) are looked up in a
-broadcast table, all others are rare. A set of ``n`` tokens can lack at most ``miss = n - ceil(threshold * n)`` tokens
+class and hash, counted over all documents: first those of one set only, which a filter of fixed size tells from
+most others, then rare ones, then the frequent ones (at most ``frequent_limit``) of a broadcast table. A set of ``n`` tokens can lack at most ``miss = n - ceil(threshold * n)`` tokens
 of a partner, so each set indexes a prefix of the order that keeps a key whatever ``miss`` tokens are taken
 away: rare tokens one by one, frequent tokens in pairs within groups. ``g`` groups need a prefix longer by ``g``; their number follows
 the power of two below the set's size, and sets near the next power index for that one too, so any two partners
@@ -17,23 +17,26 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import settle
-from . import textbits
-from .components import merge_labels
+from . import bitfilter, textbits
+from .hubs import link_by_hubs
 
 _U = np.uint64
 #: Shingles that a task sorts at once.
 FLUSH = 1 << 21
-#: Cells of the filter that tells which sets are to be verified: 2 MB.
-FILTER_BITS = 24
+#: Cells of the filter of repeated tokens, as a power of two: 16 MB on the driver and in each worker, whatever the input. Where it fills up,
+#: tokens of one set only are indexed like other rare ones.
+REPEATED_BITS = 27
+#: Parity bits of a set: they tell sets of up to some thousand shingles apart, larger ones are always compared.
+PARITY = 1024
 #: Bytes kept of each hash for verification.
 KEEP = 6
 
@@ -111,14 +114,41 @@ def _token_chunks(batches: Iterator[pa.RecordBatch], size: int, chunk_bits: int)
 
 
 def _count_chunk(key: tuple, group: pa.Table, chunk_bits: int, least: int) -> pa.Table:
+    """Tokens of a chunk with their document frequency, and one row (no token) with the chunk's cells of repeated tokens."""
     tokens, counts = np.unique(np.concatenate([_unpack(x) for x in group.column("tokens").to_pylist()]), return_counts=True)
+    chunk = int(key[0].as_py())
+    cells = np.zeros(1 << (REPEATED_BITS - chunk_bits), np.uint8)
+    cells[tokens[counts > 1] >> np.uint32(32 - REPEATED_BITS)] = 1
     keep = counts >= least
-    whole = (int(key[0].as_py()) << (32 - chunk_bits)) + tokens[keep].astype(np.int64)
-    return pa.table({"token": pa.array(whole, pa.int64()), "df": pa.array(counts[keep], pa.int64())})
-
-
-def frequent_tokens(docs: DataFrame, size: int, limit: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted 32-bit tokens, their frequency class), at most ``limit``: whole classes (powers of two) from the top."""
+    whole = (chunk << (32 - chunk_bits)) + tokens[keep].astype(np.int64)
+    n = len(whole)
+    return pa.table({
+        "chunk": pa.array([chunk] * (n + 1), pa.int32()), "token": pa.array([*whole.tolist(), None], pa.int64()),
+        "df": pa.array([*counts[keep].tolist(), None], pa.int64()), "cells": pa.array([None] * n + [zlib.compress(np.packbits(cells).tobytes(), 1)], pa.binary()),
+    })
+
+
+@dataclass(frozen=True)
+class TokenOrder:
+    """What the global order of tokens rests on: sorted frequent 32-bit tokens, their classes, and cells of repeated tokens."""
+
+    tokens: np.ndarray
+    levels: np.ndarray
+    repeated: np.ndarray
+
+    def classes(self, shingles: np.ndarray) -> np.ndarray:
+        """-1 for tokens that surely stand in one set only, 0 for other rare ones, else the frequency class."""
+        short = (shingles >> _U(32)).astype(np.uint32)
+        cell = short >> np.uint32(32 - REPEATED_BITS)
+        out = ((self.repeated[cell >> np.uint32(3)] >> (np.uint32(7) - (cell & np.uint32(7))).astype(np.uint8)) & 1).astype(np.int8) - 1
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, short), len(self.tokens) - 1)
+            out = np.where(self.tokens[at] == short, self.levels[at], out)
+        return out
+
+
+def token_order(docs: DataFrame, size: int, limit: int, least: int) -> TokenOrder:
+    """Counts every token of every document. At most ``limit`` tokens are frequent: whole classes (powers of two) from the top."""
     parts = docs.rdd.getNumPartitions()
     chunk_bits = min(20, max(8, (8 * parts - 1).bit_length()))
     chunks = docs.mapInArrow(partial(_token_chunks, size=size, chunk_bits=chunk_bits), "chunk int, tokens binary")
@@ -126,30 +156,33 @@ def frequent_tokens(docs: DataFrame, size: int, limit: int, least: int) -> tuple
     def count(key: tuple, group: pa.Table) -> pa.Table:
         return _count_chunk(key, group, chunk_bits, least)
 
-    counted = chunks.groupBy("chunk").applyInArrow(count, "token long, df long")
+    counted = chunks.groupBy("chunk").applyInArrow(count, "chunk int, token long, df long, cells binary")
     counted = settle(counted.withColumn("level", F.floor(F.log2("df")).cast("int")), "token-df")
     room, floor = limit, 64
-    for level, n in sorted(((r[0], r[1]) for r in counted.groupBy("level").count().collect()), reverse=True):
+    for level, n in sorted(((r[0], r[1]) for r in counted.where("token IS NOT NULL").groupBy("level").count().collect()), reverse=True):
         if n > room:
             break
         room, floor = room - n, level
     found = counted.where(F.col("level") >= floor).select("token", "level").toPandas().sort_values("token")  # at most `limit` rows
-    return found.token.to_numpy(np.uint32), found.level.to_numpy(np.uint8)
+    repeated = np.zeros(1 << (REPEATED_BITS - 3), np.uint8)  # the filter's size, whatever the input
+    width = 1 << (REPEATED_BITS - 3 - chunk_bits)
+    for row in counted.where("token IS NULL").select("chunk", "cells").toLocalIterator():
+        repeated[row[0] * width : (row[0] + 1) * width] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
+    return TokenOrder(found.token.to_numpy(np.uint32), found.level.to_numpy(np.int8), repeated)
 
 
-def prefix_keys(shingles: np.ndarray, tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of one set (sorted distinct hashes)."""
+def prefix_keys(shingles: np.ndarray, order: TokenOrder, percent: int) -> np.ndarray:
+    """Index keys of one set (sorted distinct hashes). Tokens of one set only fill the prefix but are no keys."""
     n = len(shingles)
     miss = n + (-percent * n) // 100
-    short = (shingles >> _U(32)).astype(np.uint32)
-    if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
-        level = np.where(tokens[at] == short, levels[at], np.uint8(0))
-    else:
-        level = np.zeros(n, np.uint8)
+    level = order.classes(shingles)
+    alone = int((level < 0).sum())
+    if alone > miss:
+        return shingles[:0]
     rare = shingles[level == 0]
-    if len(rare) > miss:
-        return rare[: miss + 1]
+    if alone + len(rare) > miss:
+        return rare[: miss + 1 - alone]
+    need = miss + 1 - alone - len(rare)
     often = shingles[level > 0]
     often = often[np.argsort(level[level > 0], kind="stable")]
     band = n.bit_length() - 1
@@ -157,16 +190,16 @@ def prefix_keys(shingles: np.ndarray, tokens: np.ndarray, levels: np.ndarray, pe
     for b in (band, band + 1) if 100 * n >= percent << (band + 1) else (band,):
         groups = (1 << b) >> 4
         if not groups:
-            keys.append(often[: miss + 1 - len(rare)])
+            keys.append(often[:need])
             continue
         group = (textbits.mix(often) % _U(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
+        by_group = np.argsort(group, kind="stable")
         first = np.zeros(len(often), bool)
-        first[order] = np.diff(group[order], prepend=-1) != 0
-        enough = np.searchsorted(np.cumsum(~first), miss + 1 - len(rare)) + 1
+        first[by_group] = np.diff(group[by_group], prepend=-1) != 0
+        enough = np.searchsorted(np.cumsum(~first), need) + 1
         group, taken = group[:enough], often[:enough]
-        order = np.argsort(group, kind="stable")
-        group, taken = group[order], taken[order]
+        by_group = np.argsort(group, kind="stable")
+        group, taken = group[by_group], taken[by_group]
         for apart in range(1, len(taken)):
             same = group[apart:] == group[:-apart]
             if not same.any():
@@ -179,9 +212,9 @@ def prefix_keys(shingles: np.ndarray, tokens: np.ndarray, levels: np.ndarray, pe
 _KEYS = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32())])
 
 
-def _index(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    tokens, levels = frequent.value
-    held, count = [], 0
+def _index(batches: Iterator[pa.RecordBatch], size: int, percent: int, order) -> Iterator[pa.RecordBatch]:
+    """The keys of each set."""
+    known, held, count = order.value, [], 0
 
     def out() -> pa.RecordBatch:
         keys = np.concatenate([k for k, _, _ in held]).view(np.int64)
@@ -189,39 +222,41 @@ def _index(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([s for _, s, _ in held], np.int64), sizes)), pa.array(np.repeat(np.array([n for _, _, n in held], np.int32), sizes))], schema=_KEYS)
 
     for _, sig, shingles in _distinct(batches, size):
-        held.append((prefix_keys(shingles, tokens, levels, percent), sig, len(shingles)))
-        count += len(held[-1][0])
-        if count >= 200_000:
-            yield out()
-            held, count = [], 0
+        keys = prefix_keys(shingles, known, percent)
+        if len(keys):
+            held.append((keys, sig, len(shingles)))
+            count += len(keys)
+            if count >= 200_000:
+                yield out()
+                held, count = [], 0
     if held:
         yield out()
 
 
-_SET_ROWS = pa.schema([("sig", pa.int64()), ("shingles", pa.binary())])
-
-
-def _cell(sig: int, key: object) -> int:
-    return int(textbits.mix(np.array([(sig ^ (hash(key) if key is not None else 0)) & ((1 << 64) - 1)], _U))[0]) & ((1 << FILTER_BITS) - 1)
+_SET_ROWS = pa.schema([("sig", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cells = [_cell(s, k) for s, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64())], names=["cell"])
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY`` bits of a set, bit i the parity of its members that hash to i: a member of one of two sets only flips one bit."""
+    return np.packbits(np.bincount((shingles & _U(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view(np.int64)
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents that stand for a class, told by a bit filter over class and document."""
     bits, held, weight = wanted.value, [], 0
-    for key, sig, shingles in ((k, textbits.signature(s), s) for k, s in _sets(batches, size) if len(s)):
-        cell = _cell(sig, key)
-        if (int(bits[cell >> 6]) >> (cell & 63)) & 1:
-            held.append((sig, (shingles >> _U(64 - 8 * KEEP)).view(np.uint8).reshape(-1, 8)[:, :KEEP].tobytes()))
-            weight += len(held[-1][1])
+
+    def out() -> pa.RecordBatch:
+        return _rows(_SET_ROWS, [[s for s, _, _ in held], [b for _, b, _ in held], [x for _, _, x in held]])
+
+    for key, shingles in _sets(batches, size):
+        if len(shingles) and bitfilter.has(bits, (sig := textbits.signature(shingles)) ^ ((key or 0) << 40)):
+            packed = (shingles >> _U(64 - 8 * KEEP)).view(np.uint8).reshape(-1, 8)[:, :KEEP].tobytes()
+            held.append((sig, parity_bits(shingles), packed))
+            weight += len(packed)
             if weight >= 1 << 22:
-                yield _rows(_SET_ROWS, [[s for s, _ in held], [b for _, b in held]])
+                yield out()
                 held, weight = [], 0
-    yield _rows(_SET_ROWS, [[s for s, _ in held], [b for _, b in held]])
+    yield out()
 
 
 def _members_of(packed: bytes) -> np.ndarray:
@@ -245,43 +280,33 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=_LINKS)
 
 
-def _wanted(involved: DataFrame) -> np.ndarray:
-    """The filter's cells as 64-bit words: a fixed size, whatever the input."""
-    cells = involved.mapInArrow(_cells, "cell long")
-    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    found = words.toPandas()
-    bits[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
-    return bits.view(_U)
-
-
-def link_members(members: DataFrame, sets: DataFrame, percent: int, hubs: int = 2, growth: int = 8) -> DataFrame:
-    """Labels (node, component) of the sets in ``members`` (key, sig, n); ``sets`` has (sig, shingles)."""
-    score = members.groupBy("sig").agg(F.count("*").alias("score"))
-    left = settle(members.join(score, "sig"), "ngram-left")
-    labels = settle(left.select(F.col("sig").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    done = None
-    while True:
-        sizes = labels.groupBy("component").agg(F.count("*").alias("weight"))
-        held = left.join(labels.join(sizes, "component").withColumnRenamed("node", "sig"), "sig")
-        apart = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        held = settle(held.join(apart, "key"), "ngram-held")
-        if held.isEmpty():
-            return labels
-        order = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("score"), "sig")
-        hub = held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).select("key", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        hub = settle(hub, "ngram-hubs")
-        pairs = held.join(hub, "key").where((F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-        pairs = pairs.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "ngram-pairs")
-        full = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
-        links = settle(full.select("a", "b", "sa", "sb").mapInArrow(partial(_verify, percent=percent), "a long, b long"), "ngram-links")
-        labels = merge_labels(labels, links)
-        left = held.join(hub.select("key", F.col("hub").alias("sig")), ["key", "sig"], "left_anti").select("key", "sig", "n", "score")
-        done = pairs if done is None else done.union(pairs)
-        hubs *= growth
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs`` (a, b); of the sets only those that a bit filter can't rule out are shuffled."""
+
+    def side(name: str) -> DataFrame:
+        needed = bitfilter.split(sets.select("sig", "shingles"), "sig", pairs, name)[1]
+        return needed.select(F.col("sig").alias(name), F.col("shingles").alias(f"s{name}"))
+
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    return settle(full.select("a", "b", "sa", "sb").mapInArrow(partial(_verify, percent=percent), "a long, b long"), "ngram-links")
+
+
+def _set_bits(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    return bitfilter.split(sets.select("sig", "bits"), "sig", rows, "sig")[1].dropDuplicates(["sig"])
+
+
+def link_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels (node, component) of the sets in ``members`` (key, sig, n); ``sets`` has (sig, bits, shingles)."""
+
+    def fits(own: str, hub: str) -> Column:
+        return 100 * F.least(f"{own}.n", f"{hub}.n") >= percent * F.greatest(f"{own}.n", f"{hub}.n")
+
+    def room(own: str, hub: str) -> Column:
+        apart = sum((F.bit_count(F.get(f"{own}.bits", F.lit(i)).bitwiseXOR(F.get(f"{hub}.bits", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+        size = F.col(f"{own}.n") + F.col(f"{hub}.n")
+        return 100 * (size - apart) >= percent * (size + apart)
+
+    return link_by_hubs(members, partial(_verified, sets=sets, percent=percent), fits=fits, room=room, more=partial(_set_bits, sets), label="ngram")
 
 
 def ngram_components(docs: DataFrame, *, size: int = 5, percent: int = 80, frequent_limit: int = 1 << 18, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,15 +321,29 @@ def ngram_components(docs: DataFrame, *, size: int = 5, percent: int = 80, frequ
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = settle(rows.mapInArrow(partial(_classify, size=size), "doc_id long, sig long, n int"), "ngram-classes")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(rows, size, frequent_limit, least))
-    index = rows.mapInArrow(partial(_index, size=size, percent=percent, frequent=frequent), "key long, sig long, n int")
+    order = spark.sparkContext.broadcast(token_order(rows, size, frequent_limit, least))
+    index = settle(rows.mapInArrow(partial(_index, size=size, percent=percent, order=order), "key long, sig long, n int"), "ngram-index")
     shared = index.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
     members = settle(index.join(shared, "key").distinct(), "ngram-members")
-    first = known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    involved = first.join(members.select("sig").distinct(), "sig").select("sig", "doc_id")
-    wanted = spark.sparkContext.broadcast(_wanted(involved))
-    sets = settle(rows.mapInArrow(partial(_chosen, size=size, wanted=wanted), "sig long, shingles binary").dropDuplicates(["sig"]), "ngram-sets")
-    labels = link_members(members, sets, percent)
+    stands = known.where("n > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")).join(members.select("sig").distinct(), "sig")
+    wanted = bitfilter.build(stands.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("at")), "at")
+    sets = settle(rows.mapInArrow(partial(_chosen, size=size, wanted=wanted), "sig long, bits array<long>, shingles binary"), "ngram-sets")
+    labels = link_sets(members, sets, percent)
     placed = known.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     heads = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("head"))
     return placed.join(heads, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one document (of least id) of each group of linked ones.
+
+    Documents without words and rows with a null id stay; rows that repeat an id and a text count once.
+    """
+    named = ngram_components(docs, size=size, percent=percent, id_col=id_col, text_col=text_col)
+    named = settle(named.where("doc_id IS NOT NULL"), "ngram-named")
+    heads = named.where("doc_id = component_id OR n_shingles = 0").select("doc_id").distinct()
+    gone = named.join(heads, "doc_id", "left_anti").select("doc_id")
+    repeated = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = bitfilter.without_ids(docs, id_col, gone, "doc_id")
+    once, again = bitfilter.split(kept, id_col, repeated, "doc_id")
+    return once.unionAll(again.dropDuplicates([id_col, text_col]))
