@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+from . import bitfilter
+
 
 def normalise(text: str) -> str:
     """Lower case with single spaces."""
@@ -147,5 +150,5 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, error_share: float
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns, that hold no test item; a null id can't be told from others and stays."""
-    hits = benchmark_hits(docs, benchmark, **options).select(F.col("doc_id").alias(options.get("id_col", "doc_id"))).distinct()
-    return docs.join(hits, options.get("id_col", "doc_id"), "left_anti")
+    hits = settle(benchmark_hits(docs, benchmark, **options).select("doc_id"), "benchmark-hits")
+    return bitfilter.without_ids(docs, options.get("id_col", "doc_id"), hits, "doc_id")

@@ -133,7 +133,7 @@ def predict(model: LanguageModel, text: str | None, memory: dict | None = None)
     return model.languages[best], 1.0 / sum(math.exp(max(-60.0, (t - totals[best]) * sharp)) for t in totals)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, out: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     known, memory = model.value, {}
     for batch in batches:
         names, scores = [], []
@@ -143,10 +143,10 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             name, score = predict(known, text.as_py(), memory)
             names.append(name)
             scores.append(score)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *out])
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The ``keep`` columns, lang_pred and score (0 to 1) for every row.
 
     ``und`` with score 0 for null or letterless text. Texts of unseen words without any known n-gram get the first
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = (
     """
     cols = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes[:-1])
-    return cols.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
+    return cols.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), out=names), f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:

@@ -132,8 +132,8 @@ def _without(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int) ->
         yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-3], "__text", "__lines", "__dropped"])
 
 
-def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, min_docs: int = 3, depth: int = 3, similarity: float = 0.8, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns, the text without recurring lines, and n_lines and n_dropped (own columns of that name give way).
+def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, counts: bool = True, min_docs: int = 3, depth: int = 3, similarity: float = 0.8, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, the text without recurring lines; with ``counts``, n_lines and n_dropped (own columns so named give way).
 
     ``keep_first`` leaves a template's first line in the document of least id. Null text stays null with no lines; an empty text is
     one line and stays; a document may be left empty; rows with equal ids lose the same lines; a null id keeps all its lines; an empty table
@@ -143,22 +143,18 @@ def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, min_docs:
     found = recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
     first = F.col("doc_id") == F.col("first_doc") if keep_first else F.lit(False)
     lists = found.groupBy("doc_id").agg(F.collect_set(F.when(~first, F.col("line"))).alias("__drop"), F.collect_set(F.when(first, F.col("line"))).alias("__once"))
-    lists = settle(lists.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__id").withColumn("__hash", F.xxhash64("__id")), "line-lists")
-    names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    base = docs.select(*names, F.col(text_col).alias("__text"))
-    touched = bitfilter.build(lists, "__hash").value
-    words = touched.view("int64")
-    table = docs.sparkSession.createDataFrame([(int(i), int(words[i])) for i in words.nonzero()[0]], "__word long, __bits long")
-    at = bitfilter.cell(F.xxhash64(F.col(id_col).cast("long")))
-    marked = base.withColumn("__cell", at).join(F.broadcast(table), F.shiftright(F.col("__cell"), 6) == F.col("__word"), "left")
-    hit = F.coalesce(F.expr("(shiftright(__bits, cast(__cell & 63 as int)) & 1) = 1"), F.lit(False))
-    cols = [*names, "__text"]
-    empty = F.lit(None).cast("array<long>")
-    quiet = marked.where(~hit).select(*cols, empty.alias("__drop"), empty.alias("__once"))
-    loud = marked.where(hit).select(*cols).join(lists.drop("__hash"), F.col(id_col).cast("long") == F.col("__id"), "left").select(*cols, "__drop", "__once")
-    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes[:-1])
-    schema = f"{schema}, __text string, __lines long, __dropped long"
+    lists = settle(lists.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__id"), "line-lists")
+    own = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    rows = docs.select(*own)
+    quiet, loud = bitfilter.split(rows, id_col, lists, "__id")
+    rest = [c for c in own if c != text_col]
+    cols = [*rest, F.col(text_col).alias("__text")]
+    none = F.lit(None).cast("array<long>")
+    quiet = quiet.select(*cols, none.alias("__drop"), none.alias("__once"))
+    loud = loud.join(lists, F.col(id_col).cast("long") == F.col("__id"), "left").select(*cols, "__drop", "__once")
+    types = dict(rows.dtypes)
+    schema = "".join(f"`{n}` {types[n]}, " for n in rest) + "__text string, __lines long, __dropped long"
     clean = partial(_without, min_tokens=min_tokens, depth=depth)
     out = quiet.mapInArrow(clean, schema).unionAll(loud.mapInArrow(clean, schema))
-    order = [F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*order, F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+    report = [F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped")] if counts else []
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in own], *report)
