@@ -87,6 +87,7 @@ def rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """SQL over the views and the given tables, both named as they are."""
     names = set(re.findall(r"\b(?:FROM|JOIN)\s+(fx_\w+|region|nation|customer|supplier|part|orders|lineitem|events|pages|embeddings)\b", text))
     frames = {n: view(spark, sf_dir, n) if n.startswith("fx_") else table(spark, sf_dir, n) for n in names}
+    text = text.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in names else m[0], text), **frames)
 
 
