@@ -126,7 +126,7 @@ SQL = {
     "m11_largest_component": f"WITH RECURSIVE {_REACH}, o AS (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY pixels DESC, first DESC) AS n FROM s) SELECT mask_id, first, pixels FROM o WHERE n = 1",
     "m14_contour_grid_scale": "SELECT image_id, least(width, 1024)::DOUBLE AS w, least(height, 1024)::DOUBLE AS h, (CAST(width AS FLOAT) / CAST(least(width, 1024) AS FLOAT))::DOUBLE AS sx, (CAST(height AS FLOAT) / CAST(least(height, 1024) AS FLOAT))::DOUBLE AS sy FROM fx_images",
     "m16_vector_diff": "SELECT a.vec_id AS mask_id, CAST(NULL AS VARCHAR) AS error, round(max(abs(CAST(a.v AS FLOAT) - CAST(b.v AS FLOAT)))::DOUBLE, 6) AS max, round(avg(abs(CAST(a.v AS FLOAT) - CAST(b.v AS FLOAT))::DOUBLE), 6) AS mean FROM fx_values a JOIN fx_values b ON b.vec_id + 1 = a.vec_id AND b.i = a.i GROUP BY a.vec_id",
-    "m17_mask_agreement": f"WITH {_P}, d AS (SELECT prompt_id, greatest(" + ", ".join(f"abs({e.format(box='has_box')} - {e.format(box='false')})" for e in _XY.values()) + ") AS m FROM p) SELECT prompt_id, m::DOUBLE AS difference, m <= 24 AS agrees FROM d",
+    "m17_mask_agreement": f"WITH {_P}, d AS (SELECT prompt_id, greatest(" + ", ".join(f"abs({f}({_XY[a].format(box='has_box')}, {_XY[b].format(box='has_box')}) - {f}({_XY[a].format(box='false')}, {_XY[b].format(box='false')}))" for a, b in (("x1", "x2"), ("y1", "y2")) for f in ("least", "greatest")) + ") AS m FROM p) SELECT prompt_id, m::DOUBLE AS difference, m <= 24 AS agrees FROM d",
     "m18_segment_response": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"masks":[]}' WHEN 1 THEN '{"masks":[[1.0,2.5]]}' ELSE '{"masks":[[1.0,2.5]],"scores":[0.5]}' END AS body FROM events""",
     "m19_request_outcome": """WITH o AS (SELECT event_id AS request_id, CASE WHEN event_id % 13 = 0 THEN 'model_not_found' WHEN event_id % 7 = 0 THEN 'invalid_inputs' WHEN i.image_id IS NULL THEN 'image_not_found' WHEN i.image_id % 6 > 3 THEN 'unsupported_format' ELSE 'ok' END AS code FROM events LEFT JOIN fx_images i ON i.image_id = user_id)
       SELECT request_id, code, CASE code WHEN 'ok' THEN 200 WHEN 'image_not_found' THEN 404 ELSE 400 END AS status FROM o""",

@@ -21,7 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the tasks' Python workers this package, once per application, wherever the driver has imported it from."""
+    """Give the tasks' Python workers this package, once per application, wherever the driver has imported it from.
+
+    Arrow batches get fewer rows than by default, because rows here hold whole texts, cubes or masks.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_bandlake_shipped", False):
         return
@@ -32,6 +35,8 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(archive))
     sc._bandlake_shipped = True
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; a set value stays
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
