@@ -138,7 +138,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, out: tuple[str, str]) -> It
     for batch in batches:
         names, scores = [], []
         for text in batch.column(batch.num_columns - 1):
-            if len(memory) > 200_000:
+            if len(memory) > 50_000:
                 memory.clear()
             name, score = predict(known, text.as_py(), memory)
             names.append(name)

@@ -31,7 +31,7 @@ from .hubs import link_by_hubs
 
 _U = np.uint64
 #: Shingles that a task sorts at once.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Cells of the filter of repeated tokens, as a power of two: 16 MB on the driver and in each worker, whatever the input. Where it fills up,
 #: tokens of one set only are indexed like other rare ones.
 REPEATED_BITS = 27

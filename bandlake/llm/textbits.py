@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer text is cut between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
