@@ -2,7 +2,9 @@
 
 A line goes down the tree by its token count and its leading tokens, where tokens with digits, ``@`` or ``://`` count as
 variable fields. In a leaf, a token is constant at its place if enough lines have it there; all others are variable.
-A line's template is what stays constant. Templates that recur in enough documents are dropped.
+A line's template is what stays constant. As values of a field recur, too, in a large leaf, there is a ladder of
+numbers that are enough, each ``STEP`` times the one before, and a line has a template for each in which its constants differ.
+Templates that recur in enough documents are dropped.
 
 Equal lines are one class from the start, so that a line common to a third of all documents is one row with a count.
 Text is read again where it is needed and only lines of recurring leaves, told by a bit filter and then exactly, are shuffled.
@@ -16,7 +18,7 @@ from functools import partial
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -24,6 +26,8 @@ from . import bitfilter
 
 _FIELD = re.compile(rb"[0-9@]|://")
 ANY = b"<*>"
+#: Factor between the document counts from which on tokens are constant.
+STEP = 4
 
 
 def line_tokens(line: bytes) -> list[bytes]:
@@ -94,13 +98,17 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, simil
     texts = rows.select("text").mapInArrow(partial(_wanted, min_tokens=min_tokens, depth=depth, wanted=wanted), "line long, tokens array<string>").dropDuplicates(["line"])
     known = classes.join(texts, "line")
     tokens = settle(known.select("leaf", "line", "docs", "first_doc", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).withColumn("token", F.xxhash64("token")), "line-tokens")
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("times")).where(F.col("times") >= min_docs).drop("times")
-    kept = tokens.join(constant, ["leaf", "at", "token"])
+    # the highest rung of the ladder that a token reaches at its place
+    level = F.floor(F.log(F.col("times") / min_docs) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
+    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("times")).where(F.col("times") >= min_docs).select("leaf", "at", "token", level.alias("level"))
+    kept = tokens.join(constant, ["leaf", "at", "token"]).repartition("leaf", "line")
     # a template's hash adds up those of its constant places, so that counting them needs no sorting
-    shape = kept.groupBy("leaf", "line").agg(F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("template"))
+    rungs = kept.groupBy("leaf", "line", "level").agg(F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("template"))
+    above = Window.partitionBy("leaf", "line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    shape = rungs.withColumn("fixed", F.sum("fixed").over(above)).withColumn("template", F.bit_xor("template").over(above))
     shape = settle(shape.where(F.col("fixed") >= F.lit(similarity) * F.col("n")), "line-templates")
     templates = shape.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc")).where(F.col("docs") >= min_docs)
-    found = shape.select("leaf", "line", "template").join(templates.select("leaf", "template", "first_doc"), ["leaf", "template"]).select("line", "first_doc")
+    found = shape.select("leaf", "line", "template").join(templates.select("leaf", "template", "first_doc"), ["leaf", "template"]).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
     return placed.select("doc_id", "line").join(found, "line")
 
 
