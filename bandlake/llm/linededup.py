@@ -13,7 +13,7 @@ Text is read again where it is needed and only lines of recurring leaves, told b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -112,7 +112,28 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, simil
     return placed.select("doc_id", "line").join(found, "line")
 
 
-def _without(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int) -> Iterator[pa.RecordBatch]:
+def _class_of(line: bytes, min_tokens: int, depth: int) -> int | None:
+    tokens = line_tokens(line)
+    return place(tokens, depth)[1] if len(tokens) >= min_tokens else None
+
+
+def _verbatim(line: bytes, least_words: int) -> int | None:
+    words = line.split()
+    return _hash(b" ".join(words), 3) if len(words) >= least_words else None
+
+
+def _long_lines(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, lines = [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if text.is_valid:
+                found = {_verbatim(line, least_words) for line in text.as_py().encode().split(b"\n")} - {None}
+                ids += [key] * len(found)
+                lines += found
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64())], names=["doc_id", "line"])
+
+
+def _without(batches: Iterator[pa.RecordBatch], key_of: Callable[[bytes], int | None]) -> Iterator[pa.RecordBatch]:
     """Appends text, n_lines and n_dropped to columns that end with the text and the lists of dropped classes and of those kept once."""
     for batch in batches:
         texts, totals, dropped = [], [], []
@@ -126,11 +147,10 @@ def _without(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int) ->
             gone, once = set(drop or ()), set(once or ())
             kept = []
             for line in lines:
-                tokens = line_tokens(line) if gone or once else ()
-                key = place(tokens, depth)[1] if len(tokens) >= min_tokens else None
-                if key in gone:
+                key = key_of(line) if gone or once else None
+                if key is not None and key in gone:
                     continue
-                if key in once:
+                if key is not None and key in once:
                     once.discard(key)
                     gone.add(key)
                 kept.append(line)
@@ -149,6 +169,23 @@ def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, counts: b
     """
     options = {"min_docs": min_docs, "depth": depth, "similarity": similarity, "min_tokens": min_tokens}
     found = recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
+    return _drop(docs, found, partial(_class_of, min_tokens=min_tokens, depth=depth), keep_first, counts, id_col, text_col)
+
+
+def drop_long_lines(docs: DataFrame, *, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, the text without lines of ``least_words`` words or more that stand in another document, too.
+
+    Two documents are enough; lines are equal but for white space, and the document of least id keeps its first. Rows with
+    equal ids are one document; a null id keeps all its lines; null texts stay null; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    placed = settle(rows.mapInArrow(partial(_long_lines, least_words=least_words), "doc_id long, line long"), "long-lines")
+    twice = placed.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
+    return _drop(docs, placed.join(twice, "line"), partial(_verbatim, least_words=least_words), True, False, id_col, text_col)
+
+
+def _drop(docs: DataFrame, found: DataFrame, key_of: Callable[[bytes], int | None], keep_first: bool, counts: bool, id_col: str, text_col: str) -> DataFrame:
+    """The documents without the lines in ``found`` (doc_id, line, first_doc); ``key_of`` gives a line's class."""
     first = F.col("doc_id") == F.col("first_doc") if keep_first else F.lit(False)
     lists = found.groupBy("doc_id").agg(F.collect_set(F.when(~first, F.col("line"))).alias("__drop"), F.collect_set(F.when(first, F.col("line"))).alias("__once"))
     lists = settle(lists.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__id"), "line-lists")
@@ -162,7 +199,7 @@ def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, counts: b
     loud = loud.join(lists, F.col(id_col).cast("long") == F.col("__id"), "left").select(*cols, "__drop", "__once")
     types = dict(rows.dtypes)
     schema = "".join(f"`{n}` {types[n]}, " for n in rest) + "__text string, __lines long, __dropped long"
-    clean = partial(_without, min_tokens=min_tokens, depth=depth)
+    clean = partial(_without, key_of=key_of)
     out = quiet.mapInArrow(clean, schema).unionAll(loud.mapInArrow(clean, schema))
     report = [F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped")] if counts else []
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in own], *report)

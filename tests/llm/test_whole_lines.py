@@ -1,5 +1,6 @@
 import pytest
 
+import corpus_pipeline
 from bandlake.llm import linededup
 
 
@@ -9,3 +10,14 @@ def test_recurring_field_values_stay_variable(spark, n):
     rows = [(i, f"own{letters(i % 600)}\nThis page was written by N{letters(i % 100)} in C{letters(i // 100 + i % 100 * 2 % 200)} for the readers") for i in range(n)]
     got = linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where("n_dropped <> 1").count() == 0
+
+
+def test_long_lines_of_two_documents(spark, tmp_path):
+    own = lambda k, n: " ".join(f"{chr(97 + k)}w{i}" for i in range(n))
+    shared = own(20, 60)
+    rows = [(1, f"{own(0, 90)}\n{shared}"), (2, f"{shared.replace(' ', '  ')}\n{own(1, 90)}"), (3, f"{own(2, 90)}\n{own(21, 49)}"), (4, f"{own(3, 90)}\n{own(21, 49)}"), (5, f"{own(4, 90)}\n{shared.replace('w7 ', 'w8 ')}"), (6, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(rows) | {2: own(1, 90)}
+    for dropped in (linededup.drop_long_lines(frame), corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path))):
+        assert {r.doc_id: r.text for r in dropped.collect()} == want
+    assert linededup.drop_long_lines(frame.where("false")).count() == 0
