@@ -86,8 +86,8 @@ def _wanted(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, want
 def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, similarity: float = 0.8, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, first_doc) for each document and class of its lines whose template recurs in ``min_docs`` documents.
 
-    ``line`` is a class's hash, ``first_doc`` the least id that has the template. A template needs constants at a share of ``similarity`` of
-    its places; lines of fewer than ``min_tokens`` tokens have none.
+    ``line`` is a class's hash, ``first_doc`` the least id that has the template. A template needs literal constants, fields left out, at a share of
+    ``similarity`` of its places; lines of fewer than ``min_tokens`` tokens have none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     placed = settle(rows.mapInArrow(partial(_places, min_tokens=min_tokens, depth=depth), "doc_id long, leaf long, line long"), "lines")
@@ -97,13 +97,13 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, simil
     wanted = bitfilter.build(classes, "line")
     texts = rows.select("text").mapInArrow(partial(_wanted, min_tokens=min_tokens, depth=depth, wanted=wanted), "line long, tokens array<string>").dropDuplicates(["line"])
     known = classes.join(texts, "line")
-    tokens = settle(known.select("leaf", "line", "docs", "first_doc", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).withColumn("token", F.xxhash64("token")), "line-tokens")
+    tokens = settle(known.select("leaf", "line", "docs", "first_doc", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).select("leaf", "line", "docs", "first_doc", "n", "at", F.xxhash64("token").alias("token"), (F.col("token") == ANY.decode()).alias("field")), "line-tokens")
     # the highest rung of the ladder that a token reaches at its place
     level = F.floor(F.log(F.col("times") / min_docs) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
     constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("times")).where(F.col("times") >= min_docs).select("leaf", "at", "token", level.alias("level"))
     kept = tokens.join(constant, ["leaf", "at", "token"]).repartition("leaf", "line")
     # a template's hash adds up those of its constant places, so that counting them needs no sorting
-    rungs = kept.groupBy("leaf", "line", "level").agg(F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("template"))
+    rungs = kept.groupBy("leaf", "line", "level").agg(F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"), F.first("n").alias("n"), F.count_if(~F.col("field")).alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("template"))
     above = Window.partitionBy("leaf", "line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     shape = rungs.withColumn("fixed", F.sum("fixed").over(above)).withColumn("template", F.bit_xor("template").over(above))
     shape = settle(shape.where(F.col("fixed") >= F.lit(similarity) * F.col("n")), "line-templates")

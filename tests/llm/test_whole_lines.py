@@ -21,3 +21,9 @@ def test_long_lines_of_two_documents(spark, tmp_path):
     for dropped in (linededup.drop_long_lines(frame), corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path))):
         assert {r.doc_id: r.text for r in dropped.collect()} == want
     assert linededup.drop_long_lines(frame.where("false")).count() == 0
+
+
+def test_lines_of_fields_stay(spark):
+    rows = [(i, f"{i}2.5 3{i}.1 44.{i}\n2024-01-0{i} 2024-02-0{i} 2024-03-0{i}\na{i}@b.c d{i}@e.f g{i}@h.i\nPosted by user{i} on page {i} of the forum today here") for i in range(1, 6)]
+    got = linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t.rsplit("\n", 1)[0] for i, t in rows}
