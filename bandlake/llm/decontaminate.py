@@ -5,10 +5,12 @@ pieces, one piece at least stands unedited in any such passage. All pieces are s
 each hit, Myers' bit-parallel algorithm gives the least edit distance of the item to any part of the window.
 Hits by chance are told early: if ``k`` pieces in a row have less than ``k`` edits, so has one of their halves, so a hit goes
 up from its piece by halves, and is left where a larger part exceeds its budget.
+Short items may have no edits; they are one piece, which must stand between word boundaries where its script has them.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,6 +28,19 @@ def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+#: Code points of scripts that put no spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, bopomofo and ideographs.
+_UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+def _in_word(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LNM" and not any(a <= ord(c) <= b for a, b in _UNSPACED)
+
+
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of ``text[start:end]``."""
+    return not any(0 < at < len(text) and _in_word(text[at - 1]) and _in_word(text[at]) for at in (start, end))
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """``errors + 1`` consecutive pieces (offset, piece) whose lengths differ by one at most."""
     n, k = len(item), errors + 1
@@ -71,8 +86,9 @@ def ancestors(k: int, n: int) -> list[tuple[int, int]]:
 class Matcher:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_share: float) -> None:
-        self.items = [(key, text, int(len(text) * error_share)) for key, text in items]
+    def __init__(self, items: list[tuple[int, str]], error_share: float, exact_below: int = 0) -> None:
+        self.exact_below = exact_below
+        self.items = [(key, text, int(len(text) * error_share) if len(text) >= exact_below else 0) for key, text in items]
         owners: dict[str, list[tuple[int, int, tuple]]] = {}
         for k, (_, text, errors) in enumerate(self.items):
             cut = pieces(text, errors)
@@ -90,11 +106,18 @@ class Matcher:
         if not self.items:
             return
         windows: dict[int, set[int]] = {}
+        exact: dict[int, int] = {}
         for end, owners in self.automaton.iter(text):
             for k, offset, parts in owners:
                 start = end + 1 - offset
+                if len(self.items[k][1]) < self.exact_below:
+                    if k not in exact and bounded(text, start, end + 1):
+                        exact[k] = end + 1
+                    continue
                 if start not in windows.get(k, ()) and all(best_distance(part, text[max(0, start + at - errors) : max(0, start + at + len(part) + errors)], errors) for at, part, errors in parts):
                     windows.setdefault(k, set()).add(start)
+        for k, end in exact.items():
+            yield self.items[k][0], 0, end
         for k, starts in windows.items():
             key, item, errors = self.items[k]
             best, reach = None, -1
@@ -115,8 +138,8 @@ class Matcher:
 _ROWS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end_char", pa.int32())])
 
 
-def _match(batches: Iterator[pa.RecordBatch], block, error_share: float) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(block.value, error_share)
+def _match(batches: Iterator[pa.RecordBatch], block, error_share: float, exact_below: int) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(block.value, error_share, exact_below)
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,8 +153,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, error_share: float
 
     Matching ignores case and runs of white space. An item is found where a passage differs by at most ``error_share`` of
     its characters. The items are broadcast in blocks of about ``block_chars`` characters; a larger benchmark takes several passes
-    over the documents. Null and empty texts hold nothing; items that are null or shorter than ``min_chars`` are left
-    out, as they would hit by chance; repeated items and repeated rows give repeated results; columns other than those
+    over the documents. Null and empty texts hold nothing; items shorter than ``min_chars`` are found
+    without edits only and between word boundaries where the script has them; null and empty items are left out; repeated items and repeated rows give repeated results; columns other than those
     named are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -142,8 +165,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, error_share: float
     out = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        held = [(r[0], n) for r in part.collect() if len(n := normalise(r[1])) >= min_chars]  # about block_chars
-        found = rows.mapInArrow(partial(_match, block=spark.sparkContext.broadcast(held), error_share=error_share), "doc_id long, item_id long, distance int, end_char int")
+        held = [(r[0], n) for r in part.collect() if (n := normalise(r[1]))]  # about block_chars
+        found = rows.mapInArrow(partial(_match, block=spark.sparkContext.broadcast(held), error_share=error_share, exact_below=min_chars), "doc_id long, item_id long, distance int, end_char int")
         out = found if out is None else out.unionAll(found)
     return out
 
