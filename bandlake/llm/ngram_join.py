@@ -295,29 +295,25 @@ def _set_bits(sets: DataFrame, rows: DataFrame) -> DataFrame:
     return bitfilter.split(sets.select("sig", "bits"), "sig", rows, "sig")[1].dropDuplicates(["sig"])
 
 
-def link_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Labels (node, component) of the sets in ``members`` (key, sig, n); ``sets`` has (sig, bits, shingles)."""
+def _fits(own: str, hub: str, percent: int) -> Column:
+    return 100 * F.least(f"{own}.n", f"{hub}.n") >= percent * F.greatest(f"{own}.n", f"{hub}.n")
 
-    def fits(own: str, hub: str) -> Column:
-        return 100 * F.least(f"{own}.n", f"{hub}.n") >= percent * F.greatest(f"{own}.n", f"{hub}.n")
 
-    def room(own: str, hub: str) -> Column:
-        apart = sum((F.bit_count(F.get(f"{own}.bits", F.lit(i)).bitwiseXOR(F.get(f"{hub}.bits", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-        size = F.col(f"{own}.n") + F.col(f"{hub}.n")
-        return 100 * (size - apart) >= percent * (size + apart)
+def _room(own: str, hub: str, percent: int) -> Column:
+    apart = sum((F.bit_count(F.get(f"{own}.bits", F.lit(i)).bitwiseXOR(F.get(f"{hub}.bits", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    size = F.col(f"{own}.n") + F.col(f"{hub}.n")
+    return 100 * (size - apart) >= percent * (size + apart)
 
-    return link_by_hubs(members, partial(_verified, sets=sets, percent=percent), fits=fits, room=room, more=partial(_set_bits, sets), label="ngram")
 
+def link_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels (node, component) of the sets in ``members`` (key, sig, n); ``sets`` has (sig, bits, shingles)."""
 
-def ngram_components(docs: DataFrame, *, size: int = 5, percent: int = 80, frequent_limit: int = 1 << 18, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links, itself included).
+    fits, room = partial(_fits, percent=percent), partial(_room, percent=percent)
+    return link_by_hubs(members, partial(_verified, sets=sets, percent=percent), fits=fits, room=room, more=partial(_set_bits, sets), label="ngram")
 
-    Two documents link when 100 * intersection >= percent * union of their sets of ``size``-word shingles; shorter
-    texts count as one shingle. Empty and null texts have no shingles and link with nothing. Repeated rows and
-    exact copies share a class and are never expanded into pairs. A null id stays null and gets its component's least id.
-    Further columns are ignored; an empty table gives no rows. Sets are told apart by 64-bit signatures and
-    compared by 48-bit hashes of their shingles.
-    """
+
+def _indexed(docs: DataFrame, size: int, percent: int, frequent_limit: int, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their class (doc_id, sig, n), classes by shared keys (key, sig, n) and the sets of those (sig, bits, shingles)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = settle(rows.mapInArrow(partial(_classify, size=size), "doc_id long, sig long, n int"), "ngram-classes")
@@ -328,6 +324,35 @@ def ngram_components(docs: DataFrame, *, size: int = 5, percent: int = 80, frequ
     stands = known.where("n > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")).join(members.select("sig").distinct(), "sig")
     wanted = bitfilter.build(stands.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("at")), "at")
     sets = settle(rows.mapInArrow(partial(_chosen, size=size, wanted=wanted), "sig long, bits array<long>, shingles binary"), "ngram-sets")
+    return known, members, sets
+
+
+def ngram_links(docs: DataFrame, *, size: int = 5, percent: int = 80, frequent_limit: int = 1 << 18, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, membership): every pair of different sets that link, as (a, b: class), and each document's class (doc_id, class).
+
+    Unlike ``ngram_components``, pairs inside a component are verified, too. A class is a set's signature; it is null, without links, for a
+    document without words. The rows grow with the links, which in a group of different near texts are as many as its pairs.
+    """
+    known, members, sets = _indexed(docs, size, percent, frequent_limit, least, id_col, text_col)
+    met = (F.col("m.key") == F.col("h.key")) & (F.col("m.sig") < F.col("h.sig")) & _fits("m", "h", percent)
+    pairs = members.alias("m").join(members.alias("h"), met).select(F.col("m.sig").alias("a"), F.col("h.sig").alias("b"), F.col("m.n").alias("na"), F.col("h.n").alias("nb")).distinct()
+    bits = settle(_set_bits(sets, members), "ngram-bits")
+    wide = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("y")), "b")
+    wide = wide.select(F.struct(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("x").alias("bits")).alias("m"), F.struct(F.col("b").alias("sig"), F.col("nb").alias("n"), F.col("y").alias("bits")).alias("h"))
+    near = settle(wide.where(_room("m", "h", percent)).select(F.col("m.sig").alias("a"), F.col("h.sig").alias("b")), "ngram-pairs")
+    return _verified(near, sets.dropDuplicates(["sig"]), percent), known.select("doc_id", F.col("sig").alias("class"))
+
+
+def ngram_components(docs: DataFrame, *, size: int = 5, percent: int = 80, frequent_limit: int = 1 << 18, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links, itself included).
+
+    Two documents link when 100 * intersection >= percent * union of their sets of ``size``-word shingles; shorter
+    texts count as one shingle. Empty and null texts have no shingles and link with nothing. Repeated rows and
+    exact copies share a class and are never expanded into pairs. A null id stays null and gets its component's least id.
+    Further columns are ignored; an empty table gives no rows. Sets are told apart by 64-bit signatures and
+    compared by 48-bit hashes of their shingles.
+    """
+    known, members, sets = _indexed(docs, size, percent, frequent_limit, least, id_col, text_col)
     labels = link_sets(members, sets, percent)
     placed = known.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     heads = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("head"))
