@@ -54,12 +54,13 @@ def number_turns(turns: DataFrame) -> DataFrame:
 
 
 def chat_windows(turns: DataFrame, *, budget: int = 512, history: int = 2, target_role: str = "assistant") -> DataFrame:
-    """One row per window: conv_id, window, text, spans (array of idx, start, length, loss, carried), ordered as in the text.
+    """One row per window: conv_id, window, tokens, text, spans (array of idx, start, length, loss, carried), ordered as in the text.
 
     ``turns`` has conv_id, turn, role, text. A turn belongs to the window in whose range of ``budget`` tokens it
-    starts, so windows are turn-aligned and hold at most the budget and the rest of their last turn; tokens are words plus
+    starts, so windows are turn-aligned, and a window's own turns hold at most the budget and the rest of the last one; tokens are words plus
     ``MARK_TOKENS`` a turn. Each later window first repeats a conversation's opening system turn and the ``history`` turns
-    before it; those are ``carried`` and never in the loss. ``loss`` marks the target role's texts in the window that owns
+    before it; those are ``carried`` and never in the loss. Carried turns are not taken off the budget and may be of any length, so
+    ``tokens``, which counts all turns of the window, has no bound. ``loss`` marks the target role's texts in the window that owns
     them: ``start`` and ``length`` are code points of the escaped text inside ``text``. Null text or role is empty; a null
     conv_id is a conversation of its own; equal turn numbers are ordered by role and text, and repeated rows all stay;
     an empty table gives no rows; further columns are ignored.
@@ -68,17 +69,17 @@ def chat_windows(turns: DataFrame, *, budget: int = 512, history: int = 2, targe
     numbered = settle(number_turns(clean).withColumn("window", F.floor(F.col("before") / budget)), "chat-turns")
     first = numbered.groupBy("conv_id", "window").agg(F.min("idx").alias("begin"))
     later = first.where("begin > 0")
-    opening = numbered.where("idx = 0 and role = 'system'").select(F.col("conv_id").alias("c"), "idx", "role", "text")
-    system = later.join(opening, F.col("conv_id").eqNullSafe(F.col("c"))).where(F.col("begin") > history).select("conv_id", "window", "idx", "role", "text")
+    opening = numbered.where("idx = 0 and role = 'system'").select(F.col("conv_id").alias("c"), "idx", "role", "text", "tokens")
+    system = later.join(opening, F.col("conv_id").eqNullSafe(F.col("c"))).where(F.col("begin") > history).select("conv_id", "window", "idx", "role", "text", "tokens")
     wanted = later.select(F.col("conv_id").alias("c"), F.col("window").alias("to"), F.explode(F.sequence(F.greatest(F.col("begin") - history, F.lit(0)), F.col("begin") - 1)).alias("at")) if history else None
     repeated = [system]
     if wanted is not None:
-        repeated.append(numbered.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("at"))).select("conv_id", F.col("to").alias("window"), "idx", "role", "text"))
-    pieces = numbered.select("conv_id", "window", "idx", "role", "text", F.lit(False).alias("carried"))
+        repeated.append(numbered.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("at"))).select("conv_id", F.col("to").alias("window"), "idx", "role", "text", "tokens"))
+    pieces = numbered.select("conv_id", "window", "idx", "role", "text", "tokens", F.lit(False).alias("carried"))
     for part in repeated:
         pieces = pieces.unionByName(part.withColumn("carried", F.lit(True)))
     piece = F.struct("idx", "role", _render(F.col("role"), F.col("text")).alias("text"), F.length(escape(F.col("role"))).alias("skip"), "carried")
-    grouped = pieces.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    grouped = pieces.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.sum("tokens").cast("long").alias("tokens"))
     lengths = F.transform("p", lambda x: F.length(x["text"]))
     placed = F.transform(
         "p",
@@ -90,7 +91,7 @@ def chat_windows(turns: DataFrame, *, budget: int = 512, history: int = 2, targe
             x["carried"].alias("carried"),
         ),
     )
-    return grouped.select("conv_id", "window", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), placed.alias("spans"))
+    return grouped.select("conv_id", "window", "tokens", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), placed.alias("spans"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
