@@ -1,13 +1,14 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line goes down the tree by its token count and its leading tokens, where tokens with digits, ``@`` or ``://`` count as
-variable fields. In a leaf, a token is constant at its place if enough lines have it there; all others are variable.
-A line's template is what stays constant. As values of a field recur, too, in a large leaf, there is a ladder of
-numbers that are enough, each ``STEP`` times the one before, and a line has a template for each in which its constants differ.
-Templates that recur in enough documents are dropped.
-
-Equal lines are one class from the start, so that a line common to a third of all documents is one row with a count.
-Text is read again where it is needed and only lines of recurring leaves, told by a bit filter and then exactly, are shuffled.
+variable fields. A template keeps literal constants at a share of its places, so with ``v`` places left to vary one of ``v + 1``
+pieces of the line has constants only: lines none of whose pieces stands in a second document can have no template and
+leave the tree at once. Among the others a token is constant at its place if enough documents have it there. As values of a field recur,
+too, in a large leaf, there is a ladder of numbers that are enough, each ``STEP`` times the one before, and a line has a
+template for each in which its constants differ. Templates that recur in enough documents are dropped.
+
+Equal lines are one class from the start, so that a line common to a third of all documents is one row with a count. Documents
+that have several classes in one leaf would count once for each; how often they do is counted apart and taken off.
 """
 
 from __future__ import annotations
@@ -48,32 +49,51 @@ def place(tokens: list[bytes], depth: int) -> tuple[int, int]:
     return _hash(b"%d " % len(tokens) + b" ".join(tokens[:depth]), 1), _hash(b" ".join(tokens), 2)
 
 
-def _lines(text: pa.Scalar, min_tokens: int, depth: int) -> Iterator[tuple[list[bytes], int, int]]:
+def _lines(text: pa.Scalar, min_tokens: int, depth: int, percent: int) -> Iterator[tuple[list[bytes], int, int]]:
+    """Lines that have literal tokens enough for a template."""
     if text.is_valid:
         for line in text.as_py().encode().split(b"\n"):
             tokens = line_tokens(line)
-            if len(tokens) >= min_tokens:
+            if len(tokens) >= min_tokens and 100 * (len(tokens) - tokens.count(ANY)) >= percent * len(tokens):
                 yield tokens, *place(tokens, depth)
 
 
-def _places(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int) -> Iterator[pa.RecordBatch]:
+def piece_keys(tokens: list[bytes], leaf: int, percent: int) -> list[int]:
+    """Hashes of a line's consecutive pieces, one more than its places that may vary."""
+    n = len(tokens)
+    k = n + (-percent * n) // 100 + 1
+    bounds = [n * i // k for i in range(k + 1)]
+    return [_hash(b" ".join(tokens[a:b]), (leaf + i) & (1 << 64) - 1) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+
+
+_PLACES = pa.schema([("doc_id", pa.int64()), ("leaf", pa.int64()), ("line", pa.int64()), ("pieces", pa.list_(pa.int64()))])
+
+
+def _places(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, leaves, lines = [], [], []
+        ids, leaves, lines, pieces = [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for line, leaf in {line: leaf for _, leaf, line in _lines(text, min_tokens, depth)}.items():
-                ids.append(key)
-                leaves.append(leaf)
-                lines.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64())], names=["doc_id", "leaf", "line"])
+            own = set()
+            for tokens, leaf, line in _lines(text, min_tokens, depth, percent):
+                if line not in own:
+                    own.add(line)
+                    ids.append(key)
+                    leaves.append(leaf)
+                    lines.append(line)
+                    pieces.append(piece_keys(tokens, leaf, percent))
+            if len(ids) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, leaves, lines, pieces), _PLACES, strict=True)], schema=_PLACES)
+                ids, leaves, lines, pieces = [], [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, leaves, lines, pieces), _PLACES, strict=True)], schema=_PLACES)
 
 
-def _wanted(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, wanted) -> Iterator[pa.RecordBatch]:
+def _wanted(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, percent: int, wanted) -> Iterator[pa.RecordBatch]:
     """The lines of the filter's classes, each once as far as 200,000 classes remember."""
     bits, seen = wanted.value, set()
     for batch in batches:
         lines, tokens = [], []
         for text in batch.column(0):
-            for words, _, line in _lines(text, min_tokens, depth):
+            for words, _, line in _lines(text, min_tokens, depth, percent):
                 if line not in seen and bitfilter.has(bits, line):
                     if len(seen) >= 200_000:
                         seen.clear()
@@ -83,33 +103,47 @@ def _wanted(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, want
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], names=["line", "tokens"])
 
 
-def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, similarity: float = 0.8, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, first_doc) for each document and class of its lines whose template recurs in ``min_docs`` documents.
+def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, percent: int = 80, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line, first_doc) for each document and class of its lines whose template recurs in ``min_docs`` (2 or more) documents.
 
-    ``line`` is a class's hash, ``first_doc`` the least id that has the template. A template needs literal constants, fields left out, at a share of
-    ``similarity`` of its places; lines of fewer than ``min_tokens`` tokens have none.
+    ``line`` is a class's hash, ``first_doc`` the least id that has the template. A template needs literal constants, fields left out, at ``percent``
+    of its places. Documents are told apart by id: repeated rows are one, and lines of rows without an id count for nothing.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = settle(rows.mapInArrow(partial(_places, min_tokens=min_tokens, depth=depth), "doc_id long, leaf long, line long"), "lines")
-    classes = placed.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
-    leaves = classes.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    classes = settle(classes.join(leaves, "leaf"), "line-classes")
-    wanted = bitfilter.build(classes, "line")
-    texts = rows.select("text").mapInArrow(partial(_wanted, min_tokens=min_tokens, depth=depth, wanted=wanted), "line long, tokens array<string>").dropDuplicates(["line"])
+    options = {"min_tokens": min_tokens, "depth": depth, "percent": percent}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    placed = settle(rows.mapInArrow(partial(_places, **options), "doc_id long, leaf long, line long, pieces array<long>"), "lines")
+    pieces = placed.select("doc_id", "line", F.explode("pieces").alias("piece"))
+    shared = settle(pieces.groupBy("piece").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("piece"), "line-pieces")
+    maybe = bitfilter.split(pieces.select("line", "piece"), "piece", shared, "piece")[1]
+    able = settle(maybe.join(shared, "piece", "left_semi").select("line").distinct(), "line-able")
+    held = bitfilter.split(placed.select("doc_id", "leaf", "line"), "line", able, "line")[1]
+    held = settle(held.join(able, "line", "left_semi").distinct(), "line-held")
+    classes = settle(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), "line-classes")
+    several = held.groupBy("doc_id", "leaf").count().where("count > 1").select("doc_id", "leaf")
+    several = settle(held.join(several, ["doc_id", "leaf"], "left_semi"), "line-several")
+    texts = rows.select("text").mapInArrow(partial(_wanted, **options, wanted=bitfilter.build(able, "line")), "line long, tokens array<string>").dropDuplicates(["line"])
     known = classes.join(texts, "line")
-    tokens = settle(known.select("leaf", "line", "docs", "first_doc", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).select("leaf", "line", "docs", "first_doc", "n", "at", F.xxhash64("token").alias("token"), (F.col("token") == ANY.decode()).alias("field")), "line-tokens")
+    tokens = known.select("leaf", "line", "docs", "first_doc", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).where(F.col("token") != ANY.decode())
+    tokens = settle(tokens.withColumn("token", F.xxhash64("token")), "line-tokens")
+
+    def documents(counted: DataFrame, *keys: str) -> DataFrame:
+        """Distinct documents and least id by leaf and ``keys``; ``counted`` has them for each class."""
+        again = several.join(counted.select("line", *keys), "line").groupBy("doc_id", "leaf", *keys).count().where("count > 1")
+        both = counted.select("leaf", *keys, "docs", "first_doc").unionAll(again.select("leaf", *keys, (1 - F.col("count")).alias("docs"), "doc_id"))
+        return both.groupBy("leaf", *keys).agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc")).where(F.col("docs") >= min_docs)
+
     # the highest rung of the ladder that a token reaches at its place
-    level = F.floor(F.log(F.col("times") / min_docs) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("times")).where(F.col("times") >= min_docs).select("leaf", "at", "token", level.alias("level"))
+    level = F.floor(F.log(F.col("docs") / min_docs) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
+    constant = documents(tokens, "at", "token").select("leaf", "at", "token", level.alias("level"))
     kept = tokens.join(constant, ["leaf", "at", "token"]).repartition("leaf", "line")
     # a template's hash adds up those of its constant places, so that counting them needs no sorting
-    rungs = kept.groupBy("leaf", "line", "level").agg(F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"), F.first("n").alias("n"), F.count_if(~F.col("field")).alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("template"))
+    rungs = kept.groupBy("leaf", "line", "level").agg(F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("template"))
     above = Window.partitionBy("leaf", "line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     shape = rungs.withColumn("fixed", F.sum("fixed").over(above)).withColumn("template", F.bit_xor("template").over(above))
-    shape = settle(shape.where(F.col("fixed") >= F.lit(similarity) * F.col("n")), "line-templates")
-    templates = shape.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc")).where(F.col("docs") >= min_docs)
-    found = shape.select("leaf", "line", "template").join(templates.select("leaf", "template", "first_doc"), ["leaf", "template"]).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
-    return placed.select("doc_id", "line").join(found, "line")
+    shape = settle(shape.where(100 * F.col("fixed") >= percent * F.col("n")), "line-templates")
+    templates = documents(shape, "template").select("leaf", "template", "first_doc")
+    found = shape.select("leaf", "line", "template").join(templates, ["leaf", "template"]).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
+    return held.select("doc_id", "line").join(found, "line")
 
 
 def _class_of(line: bytes, min_tokens: int, depth: int) -> int | None:
@@ -160,14 +194,14 @@ def _without(batches: Iterator[pa.RecordBatch], key_of: Callable[[bytes], int |
         yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-3], "__text", "__lines", "__dropped"])
 
 
-def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, counts: bool = True, min_docs: int = 3, depth: int = 3, similarity: float = 0.8, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, counts: bool = True, min_docs: int = 3, depth: int = 3, percent: int = 80, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, the text without recurring lines; with ``counts``, n_lines and n_dropped (own columns so named give way).
 
     ``keep_first`` leaves a template's first line in the document of least id. Null text stays null with no lines; an empty text is
     one line and stays; a document may be left empty; rows with equal ids lose the same lines; a null id keeps all its lines; an empty table
     gives no rows. Very long lines are lines like others.
     """
-    options = {"min_docs": min_docs, "depth": depth, "similarity": similarity, "min_tokens": min_tokens}
+    options = {"min_docs": min_docs, "depth": depth, "percent": percent, "min_tokens": min_tokens}
     found = recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
     return _drop(docs, found, partial(_class_of, min_tokens=min_tokens, depth=depth), keep_first, counts, id_col, text_col)
 

@@ -113,20 +113,27 @@ OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 t AS (
-  SELECT doc_id, line, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w FROM l),
+  SELECT doc_id, line, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w FROM l),
 p AS (
-  SELECT doc_id, line, pos, w, CASE WHEN len(w) >= 3 THEN array_to_string(w, ' ') END AS cls, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM t),
-c AS (SELECT leaf, cls, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM p WHERE cls IS NOT NULL GROUP BY leaf, cls),
-b AS (SELECT * FROM c WHERE leaf IN (SELECT leaf FROM c GROUP BY leaf HAVING sum(docs) >= 3)),
-k AS (SELECT leaf, cls, docs, len(w) AS n, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM b),
-f AS (SELECT leaf, pos, token FROM k GROUP BY leaf, pos, token HAVING sum(docs) >= 3),
-s AS (SELECT k.leaf, k.cls, any_value(docs) AS docs, any_value(n) AS n, count(*) AS fixed, string_agg(k.pos || '=' || k.token, ' ' ORDER BY k.pos) AS template FROM k JOIN f USING (leaf, pos, token) GROUP BY k.leaf, k.cls),
-r AS (SELECT * FROM s WHERE fixed >= 0.8 * n),
-g AS (SELECT leaf, template FROM r GROUP BY leaf, template HAVING sum(docs) >= 3),
-d AS (SELECT DISTINCT cls FROM r JOIN g USING (leaf, template))
-SELECT p.doc_id, count(*) AS n_lines, count(d.cls) AS n_dropped,
-  CAST(coalesce(sum(CASE WHEN d.cls IS NULL THEN length(line) + 1 END) - 1, 0) AS BIGINT) AS kept_chars
-FROM p LEFT JOIN d USING (cls) GROUP BY p.doc_id
+  SELECT doc_id, line, w, len(w) AS n, len(w) - len(w) * 4 // 5 - CASE WHEN len(w) * 4 % 5 > 0 THEN 1 ELSE 0 END + 1 AS k,
+    CASE WHEN len(w) >= 1 AND 5 * len(list_filter(w, lambda x: x <> '<*>')) >= 4 * len(w) THEN array_to_string(w, ' ') END AS cls, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM t),
+d AS (SELECT DISTINCT doc_id, leaf, cls, n, k, w FROM p WHERE cls IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT doc_id, leaf, cls, n, k, w, unnest(range(k)) AS i FROM d),
+c AS (SELECT doc_id, leaf, cls, i, array_to_string(w[n * i // k + 1 : n * (i + 1) // k], ' ') AS piece FROM i),
+a AS (SELECT leaf, i, piece FROM c GROUP BY leaf, i, piece HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT DISTINCT cls FROM c JOIN a USING (leaf, i, piece)),
+b AS (SELECT d.* FROM d JOIN h USING (cls)),
+u AS (SELECT doc_id, leaf, cls, n, unnest(w) AS token, generate_subscripts(w, 1) AS spot FROM b),
+f AS (SELECT leaf, spot, token, CAST(floor(ln(count(DISTINCT doc_id) / 3) / ln(4) + 1e-9) AS INT) AS level FROM u WHERE token <> '<*>' GROUP BY leaf, spot, token HAVING count(DISTINCT doc_id) >= 3),
+o AS (SELECT DISTINCT leaf, cls, n, spot, token, level FROM u JOIN f USING (leaf, spot, token)),
+v AS (SELECT DISTINCT cls, level AS rung FROM o),
+s AS (SELECT leaf, cls, rung, n, count(*) AS fixed, string_agg(spot || '=' || token, ' ' ORDER BY spot) AS template FROM o JOIN v USING (cls) WHERE level >= rung GROUP BY leaf, cls, rung, n),
+r AS (SELECT * FROM s WHERE 5 * fixed >= 4 * n),
+g AS (SELECT leaf, template FROM r JOIN b USING (leaf, cls) GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 3),
+e AS (SELECT DISTINCT cls FROM r JOIN g USING (leaf, template))
+SELECT p.doc_id, count(*) AS n_lines, count(e.cls) AS n_dropped,
+  CAST(coalesce(sum(CASE WHEN e.cls IS NULL THEN length(line) + 1 END) - 1, 0) AS BIGINT) AS kept_chars
+FROM p LEFT JOIN e USING (cls) GROUP BY p.doc_id
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 

@@ -7,7 +7,7 @@ from bandlake.llm import linededup
 @pytest.mark.parametrize("n", [30, 10_000])
 def test_recurring_field_values_stay_variable(spark, n):
     letters = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
-    rows = [(i, f"own{letters(i % 600)}\nThis page was written by N{letters(i % 100)} in C{letters(i // 100 + i % 100 * 2 % 200)} for the readers") for i in range(n)]
+    rows = [(i, f"own{i}\nThis page was written by N{letters(i % 100)} in C{letters(i // 100 + i % 100 * 2 % 200)} for the readers") for i in range(n)]
     got = linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where("n_dropped <> 1").count() == 0
 
@@ -27,3 +27,18 @@ def test_lines_of_fields_stay(spark):
     rows = [(i, f"{i}2.5 3{i}.1 44.{i}\n2024-01-0{i} 2024-02-0{i} 2024-03-0{i}\na{i}@b.c d{i}@e.f g{i}@h.i\nPosted by user{i} on page {i} of the forum today here") for i in range(1, 6)]
     got = linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {i: t.rsplit("\n", 1)[0] for i, t in rows}
+
+
+def test_documents_count_once(spark):
+    def dropped(rows):
+        got = linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        return sorted((r.doc_id, r.n_dropped) for r in got)
+
+    shape = "this notice was put here by {} for all of the readers"
+    three = "\n".join(shape.format(x) for x in ("anna", "bert", "carl"))
+    assert dropped([(1, three), (2, "something else")]) == [(1, 0), (2, 0)]
+    assert dropped([(1, three), (2, shape.format("dora")), (3, "something else")]) == [(1, 0), (2, 0), (3, 0)]
+    assert dropped([(1, three), (2, shape.format("dora")), (3, shape.format("emil"))]) == [(1, 3), (2, 1), (3, 1)]
+    assert dropped([(1, three)] * 4) == [(1, 0)] * 4
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(spark.createDataFrame([(1, "ok"), (2, "ok\nown line"), (3, "ok"), (None, "ok"), (4, "")], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, None: 0, 4: 0}
