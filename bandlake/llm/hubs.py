@@ -24,6 +24,21 @@ def _apart(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return settle(held.join(keys, "key"), f"{label}-held")
 
 
+def first_pairs(members: DataFrame, fits: Test | None = None, least: int = 1) -> DataFrame:
+    """Distinct pairs (a, b: sig), one for each member that has a partner: of the most connected members of its keys, the one it shares
+    most keys with, ``least`` at least. ``members`` has key, sig and own columns, each key and sig once.
+    """
+    if "score" not in members.columns:
+        members = members.join(members.groupBy("sig").agg(F.count("*").alias("score")), "sig")
+    as_one = F.struct("score", *[c for c in members.columns if c not in ("score", "key")])
+    top = members.groupBy("key").agg(F.max(as_one).alias("h"))
+    near = members.alias("m").join(top.select(F.col("key").alias("hub_key"), "h.*").alias("h"), F.col("m.key") == F.col("hub_key")).where(F.col("m.sig") != F.col("h.sig"))
+    if fits is not None:
+        near = near.where(fits("m", "h"))
+    best = near.groupBy(F.col("m.sig").alias("sig"), F.col("h.sig").alias("hub")).count().where(F.col("count") >= least).groupBy("sig").agg(F.max(F.struct("count", "hub")).alias("best"))
+    return best.select(F.least("sig", "best.hub").alias("a"), F.greatest("sig", "best.hub").alias("b")).distinct()
+
+
 def link_by_hubs(members: DataFrame, verify: Callable[[DataFrame], DataFrame], *, fits: Test | None = None, room: Test | None = None, more: Callable[[DataFrame], DataFrame] | None = None, hubs: int = 2, growth: int = 8, label: str = "hubs") -> DataFrame:
     """Labels (node, component) of the members (key, sig and own columns).
 
@@ -38,13 +53,7 @@ def link_by_hubs(members: DataFrame, verify: Callable[[DataFrame], DataFrame], *
     left = settle(members.join(score, "sig"), f"{label}-left")
     labels = settle(left.select(F.col("sig").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     test = lambda *tests: [t("m", "h") for t in tests if t is not None]
-    as_one = F.struct("score", *[c for c in left.columns if c not in ("score", "key")])
-    top = left.groupBy("key").agg(F.max(as_one).alias("h"))
-    near = left.alias("m").join(top.select(F.col("key").alias("hub_key"), "h.*").alias("h"), F.col("m.key") == F.col("hub_key")).where(F.col("m.sig") != F.col("h.sig"))
-    for condition in test(fits):
-        near = near.where(condition)
-    best = near.groupBy(F.col("m.sig").alias("sig"), F.col("h.sig").alias("hub")).count().groupBy("sig").agg(F.max(F.struct("count", "hub")).alias("best"))
-    done = settle(best.select(F.least("sig", "best.hub").alias("a"), F.greatest("sig", "best.hub").alias("b")).distinct(), f"{label}-pairs")
+    done = settle(first_pairs(left, fits), f"{label}-pairs")
     labels = merge_labels(labels, verify(done))
     left = _apart(left, labels, label).drop("component")
     if more is not None:

@@ -2,7 +2,7 @@
 
 A line goes down the tree by its token count and its leading tokens, where tokens with digits, ``@`` or ``://`` count as
 variable fields. A template keeps literal constants at a share of its places, so with ``v`` places left to vary one of ``v + 1``
-pieces of the line has constants only: lines none of whose pieces stands in a second document can have no template and
+pieces of the line has constants only: lines none of whose pieces stands in documents enough can have no template and
 leave the tree at once. Among the others a token is constant at its place if enough documents have it there. As values of a field recur,
 too, in a large leaf, there is a ladder of numbers that are enough, each ``STEP`` times the one before, and a line has a
 template for each in which its constants differ. Templates that recur in enough documents are dropped.
@@ -66,41 +66,48 @@ def piece_keys(tokens: list[bytes], leaf: int, percent: int) -> list[int]:
     return [_hash(b" ".join(tokens[a:b]), (leaf + i) & (1 << 64) - 1) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
 
 
-_PLACES = pa.schema([("doc_id", pa.int64()), ("leaf", pa.int64()), ("line", pa.int64()), ("pieces", pa.list_(pa.int64()))])
+_PLACES = pa.schema([("doc_id", pa.int64()), ("leaf", pa.int64()), ("line", pa.int64()), ("pieces", pa.list_(pa.int64())), ("fresh", pa.int32())])
 
 
 def _places(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Each class of a row's lines; of its pieces the ``fresh`` first are new in the row."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(_PLACES)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACES, strict=True)], schema=_PLACES)
+
     for batch in batches:
-        ids, leaves, lines, pieces = [], [], [], []
+        rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = set()
+            own, met = set(), set()
             for tokens, leaf, line in _lines(text, min_tokens, depth, percent):
                 if line not in own:
                     own.add(line)
-                    ids.append(key)
-                    leaves.append(leaf)
-                    lines.append(line)
-                    pieces.append(piece_keys(tokens, leaf, percent))
-            if len(ids) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, leaves, lines, pieces), _PLACES, strict=True)], schema=_PLACES)
-                ids, leaves, lines, pieces = [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, leaves, lines, pieces), _PLACES, strict=True)], schema=_PLACES)
+                    pieces = piece_keys(tokens, leaf, percent)
+                    new = [p for p in pieces if p not in met]
+                    met.update(new)
+                    rows.append((key, leaf, line, new if len(new) == len(pieces) else new + [p for p in pieces if p not in set(new)], len(new)))
+            if len(rows) >= 20_000:
+                yield out(rows)
+                rows = []
+        yield out(rows)
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, percent: int, wanted) -> Iterator[pa.RecordBatch]:
-    """The lines of the filter's classes, each once as far as 200,000 classes remember."""
+    """The lines of the filter's classes with their token counts and hashes of their literal tokens with leaf and place, each once as far as 200,000 classes remember."""
     bits, seen = wanted.value, set()
     for batch in batches:
-        lines, tokens = [], []
+        lines, sizes, spots = [], [], []
         for text in batch.column(0):
-            for words, _, line in _lines(text, min_tokens, depth, percent):
+            for words, leaf, line in _lines(text, min_tokens, depth, percent):
                 if line not in seen and bitfilter.has(bits, line):
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(line)
                     lines.append(line)
-                    tokens.append([w.decode() for w in words])
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], names=["line", "tokens"])
+                    sizes.append(len(words))
+                    spots.append([_hash(w, (leaf ^ at) & (1 << 64) - 1) for at, w in enumerate(words) if w is not ANY])
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(sizes, pa.int32()), pa.array(spots, pa.list_(pa.int64()))], names=["line", "n", "spots"])
 
 
 def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, percent: int = 80, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,38 +118,40 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, perce
     """
     options = {"min_tokens": min_tokens, "depth": depth, "percent": percent}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    placed = settle(rows.mapInArrow(partial(_places, **options), "doc_id long, leaf long, line long, pieces array<long>"), "lines")
-    pieces = placed.select("doc_id", "line", F.explode("pieces").alias("piece"))
-    shared = settle(pieces.groupBy("piece").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("piece"), "line-pieces")
-    maybe = bitfilter.split(pieces.select("line", "piece"), "piece", shared, "piece")[1]
+    placed = settle(rows.mapInArrow(partial(_places, **options), "doc_id long, leaf long, line long, pieces array<long>, fresh int"), "lines")
+    # a row has each of its pieces once among the fresh ones, so rows count documents, but for documents of several rows
+    repeated = settle(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    quiet, loud = bitfilter.split(placed, "doc_id", repeated, "doc_id")
+    again = loud.join(repeated, "doc_id", "left_semi").select("doc_id", F.explode("pieces").alias("piece")).distinct().select("piece")
+    once = quiet.unionAll(loud.join(repeated, "doc_id", "left_anti")).select(F.explode(F.slice("pieces", F.lit(1), F.col("fresh"))).alias("piece"))
+    shared = settle(once.unionAll(again).groupBy("piece").count().where(F.col("count") >= min_docs).select("piece"), "line-pieces")
+    maybe = bitfilter.split(placed.select("line", F.explode("pieces").alias("piece")), "piece", shared, "piece")[1]
     able = settle(maybe.join(shared, "piece", "left_semi").select("line").distinct(), "line-able")
     held = bitfilter.split(placed.select("doc_id", "leaf", "line"), "line", able, "line")[1]
     held = settle(held.join(able, "line", "left_semi").distinct(), "line-held")
-    classes = settle(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), "line-classes")
+    classes = settle(held.groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), "line-classes")
     several = held.groupBy("doc_id", "leaf").count().where("count > 1").select("doc_id", "leaf")
-    several = settle(held.join(several, ["doc_id", "leaf"], "left_semi"), "line-several")
-    texts = rows.select("text").mapInArrow(partial(_wanted, **options, wanted=bitfilter.build(able, "line")), "line long, tokens array<string>").dropDuplicates(["line"])
-    known = classes.join(texts, "line")
-    tokens = known.select("leaf", "line", "docs", "first_doc", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).where(F.col("token") != ANY.decode())
-    tokens = settle(tokens.withColumn("token", F.xxhash64("token")), "line-tokens")
-
-    def documents(counted: DataFrame, *keys: str) -> DataFrame:
-        """Distinct documents and least id by leaf and ``keys``; ``counted`` has them for each class."""
-        again = several.join(counted.select("line", *keys), "line").groupBy("doc_id", "leaf", *keys).count().where("count > 1")
-        both = counted.select("leaf", *keys, "docs", "first_doc").unionAll(again.select("leaf", *keys, (1 - F.col("count")).alias("docs"), "doc_id"))
-        return both.groupBy("leaf", *keys).agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc")).where(F.col("docs") >= min_docs)
+    several = settle(held.join(several, ["doc_id", "leaf"], "left_semi").select("doc_id", "line"), "line-several")
+    texts = rows.select("text").mapInArrow(partial(_wanted, **options, wanted=bitfilter.build(able, "line")), "line long, n int, spots array<long>").dropDuplicates(["line"])
+    known = settle(classes.join(texts, "line"), "line-spots")
+    spots = known.select("line", "docs", "first_doc", F.explode("spots").alias("spot"))
+
+    def documents(counted: DataFrame, key: str) -> DataFrame:
+        """Distinct documents and least id by ``key``; ``counted`` has them for each class and key."""
+        again = several.join(counted.select("line", key), "line").groupBy("doc_id", key).count().where("count > 1")
+        both = counted.select(key, "docs", "first_doc").unionAll(again.select(key, (1 - F.col("count")).alias("docs"), "doc_id"))
+        return both.groupBy(key).agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc")).where(F.col("docs") >= min_docs)
 
     # the highest rung of the ladder that a token reaches at its place
     level = F.floor(F.log(F.col("docs") / min_docs) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
-    constant = documents(tokens, "at", "token").select("leaf", "at", "token", level.alias("level"))
-    kept = tokens.join(constant, ["leaf", "at", "token"]).repartition("leaf", "line")
+    constant = documents(spots, "spot").select("spot", level.alias("level"))
+    kept = spots.select("line", "spot").join(constant, "spot").repartition("line")
     # a template's hash adds up those of its constant places, so that counting them needs no sorting
-    rungs = kept.groupBy("leaf", "line", "level").agg(F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"), F.first("n").alias("n"), F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("template"))
-    above = Window.partitionBy("leaf", "line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
-    shape = rungs.withColumn("fixed", F.sum("fixed").over(above)).withColumn("template", F.bit_xor("template").over(above))
-    shape = settle(shape.where(100 * F.col("fixed") >= percent * F.col("n")), "line-templates")
-    templates = documents(shape, "template").select("leaf", "template", "first_doc")
-    found = shape.select("leaf", "line", "template").join(templates, ["leaf", "template"]).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
+    rungs = kept.groupBy("line", "level").agg(F.count("*").alias("fixed"), F.bit_xor("spot").alias("template"))
+    above = Window.partitionBy("line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    shape = rungs.select("line", F.sum("fixed").over(above).alias("fixed"), F.bit_xor("template").over(above).alias("template"))
+    shape = settle(shape.join(known.drop("spots"), "line").where(100 * F.col("fixed") >= percent * F.col("n")).drop("fixed", "n"), "line-templates")
+    found = shape.select("line", "template").join(documents(shape, "template").select("template", "first_doc"), "template").groupBy("line").agg(F.min("first_doc").alias("first_doc"))
     return held.select("doc_id", "line").join(found, "line")
 
 

@@ -120,7 +120,7 @@ p AS (
 d AS (SELECT DISTINCT doc_id, leaf, cls, n, k, w FROM p WHERE cls IS NOT NULL AND doc_id IS NOT NULL),
 i AS (SELECT doc_id, leaf, cls, n, k, w, unnest(range(k)) AS i FROM d),
 c AS (SELECT doc_id, leaf, cls, i, array_to_string(w[n * i // k + 1 : n * (i + 1) // k], ' ') AS piece FROM i),
-a AS (SELECT leaf, i, piece FROM c GROUP BY leaf, i, piece HAVING min(doc_id) <> max(doc_id)),
+a AS (SELECT leaf, i, piece FROM c GROUP BY leaf, i, piece HAVING count(DISTINCT doc_id) >= 3),
 h AS (SELECT DISTINCT cls FROM c JOIN a USING (leaf, i, piece)),
 b AS (SELECT d.* FROM d JOIN h USING (cls)),
 u AS (SELECT doc_id, leaf, cls, n, unnest(w) AS token, generate_subscripts(w, 1) AS spot FROM b),
