@@ -4,6 +4,9 @@ Template: ``[TURN]role[TEXT]text[END]`` per turn. Texts and roles are escaped so
 backslash becomes ``\\e``, ``[`` becomes ``\\k`` and ``<`` becomes ``\\l``. Marks can therefore be found by plain splitting, and
 chat control strings of any model (``</s>``, ``[INST]``, ``<|im_end|>``) never reach a tokenizer as such.
 
+A window has room for the opening system turn and, beside it, for ``C`` tokens. A turn of more than ``C / 2`` is a window of its own; the
+turns between those are cut where their prefix sums pass a multiple of ``C / 2``, so that a window's turns never exceed ``C``.
+
 Prefix sums over turn tokens are taken in two levels, blocks of turn numbers first, so that a conversation with a large part of
 all turns is not one task's work.
 """
@@ -36,48 +39,62 @@ def _render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(TURN), escape(role), F.lit(TEXT), escape(text), F.lit(END))
 
 
-def number_turns(turns: DataFrame) -> DataFrame:
-    """Adds ``idx`` (place in the conversation, from 0) and ``before`` (tokens of the turns before it)."""
-    tokens = word_count(F.col("text")) + MARK_TOKENS
-    held = turns.withColumn("tokens", tokens).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 62))) / BLOCK))
-    blocks = held.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("c"))
+def number_turns(turns: DataFrame, budget: int) -> DataFrame:
+    """Adds ``idx`` (place in the conversation, from 0), ``before`` (tokens of the turns before it), ``system`` (tokens of an opening
+    system turn of at most half the budget, else 0), ``long`` (too long to share a window) and ``longs`` (long turns before it).
+    """
+    held = turns.withColumn("tokens", word_count(F.col("text")) + MARK_TOKENS).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 62))) / BLOCK))
+    heads = held.groupBy("conv_id", "block").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("head")).groupBy("conv_id").agg(F.min_by("head", "block").alias("head"))
+    opens = (F.col("head.role") == "system") & (2 * F.col("head.tokens") <= budget)
+    heads = heads.select(F.col("conv_id").alias("c"), F.when(opens, F.col("head.tokens")).otherwise(0).alias("system"))
+    held = held.join(heads, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c").withColumn("long", 2 * F.col("tokens") > budget - F.col("system"))
+    blocks = held.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("c"), F.count_if("long").alias("l"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("conv_id", "block", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
+    starts = blocks.select("conv_id", "block", *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}0") for x in "tcl"])
     placed = held.alias("h").join(starts.alias("s"), F.col("h.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("h.block") == F.col("s.block")))
     inside = Window.partitionBy("h.conv_id", "h.block").orderBy("h.turn", "h.role", "h.text")
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    idx = F.col("s.c0") + F.row_number().over(inside) - 1
+    opening = (idx == 0) & (F.col("h.system") > 0)
     return placed.select(
-        "h.conv_id", "h.turn", "h.role", "h.text", "h.tokens",
-        (F.col("s.c0") + F.row_number().over(inside) - 1).alias("idx"),
-        (F.col("s.t0") + F.coalesce(F.sum("h.tokens").over(upto), F.lit(0))).alias("before"),
+        "h.conv_id", "h.turn", "h.role", "h.text", "h.tokens", "h.system", idx.alias("idx"),
+        (F.col("s.t0") + F.coalesce(F.sum("h.tokens").over(upto), F.lit(0))).alias("before"), (F.col("h.long") & ~opening).alias("long"),
+        # an opening system turn of above C / 2 is the first of all, so it is one too many for every turn after it, which changes no order
+        (F.col("s.l0") + F.coalesce(F.sum(F.col("h.long").cast("long")).over(upto), F.lit(0))).alias("longs"),
     )
 
 
 def chat_windows(turns: DataFrame, *, budget: int = 512, history: int = 2, target_role: str = "assistant") -> DataFrame:
     """One row per window: conv_id, window, tokens, text, spans (array of idx, start, length, loss, carried), ordered as in the text.
 
-    ``turns`` has conv_id, turn, role, text. A turn belongs to the window in whose range of ``budget`` tokens it
-    starts, so windows are turn-aligned, and a window's own turns hold at most the budget and the rest of the last one; tokens are words plus
-    ``MARK_TOKENS`` a turn. Each later window first repeats a conversation's opening system turn and the ``history`` turns
-    before it; those are ``carried`` and never in the loss. Carried turns are not taken off the budget and may be of any length, so
-    ``tokens``, which counts all turns of the window, has no bound. ``loss`` marks the target role's texts in the window that owns
+    ``turns`` has conv_id, turn, role, text. Every turn is its own in one window, which is named by its first own turn's idx. Later
+    windows first repeat the conversation's opening system turn, if it has half the budget at most, and up to ``history`` of the turns before them, the last ones
+    that fit; those are ``carried`` and never in the loss. ``tokens`` are words plus ``MARK_TOKENS`` of each turn, own and carried, and are
+    ``budget`` at most, but for a window that has one own turn above the budget and nothing else; a system turn that doesn't fit
+    beside a long turn is left out there. ``loss`` marks the target role's texts in the window that owns
     them: ``start`` and ``length`` are code points of the escaped text inside ``text``. Null text or role is empty; a null
     conv_id is a conversation of its own; equal turn numbers are ordered by role and text, and repeated rows all stay;
     an empty table gives no rows; further columns are ignored.
     """
     clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    numbered = settle(number_turns(clean).withColumn("window", F.floor(F.col("before") / budget)), "chat-turns")
-    first = numbered.groupBy("conv_id", "window").agg(F.min("idx").alias("begin"))
-    later = first.where("begin > 0")
-    opening = numbered.where("idx = 0 and role = 'system'").select(F.col("conv_id").alias("c"), "idx", "role", "text", "tokens")
-    system = later.join(opening, F.col("conv_id").eqNullSafe(F.col("c"))).where(F.col("begin") > history).select("conv_id", "window", "idx", "role", "text", "tokens")
-    wanted = later.select(F.col("conv_id").alias("c"), F.col("window").alias("to"), F.explode(F.sequence(F.greatest(F.col("begin") - history, F.lit(0)), F.col("begin") - 1)).alias("at")) if history else None
-    repeated = [system]
-    if wanted is not None:
-        repeated.append(numbered.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("idx") == F.col("at"))).select("conv_id", F.col("to").alias("window"), "idx", "role", "text", "tokens"))
-    pieces = numbered.select("conv_id", "window", "idx", "role", "text", "tokens", F.lit(False).alias("carried"))
-    for part in repeated:
-        pieces = pieces.unionByName(part.withColumn("carried", F.lit(True)))
+    room = budget - F.col("system")
+    part = F.when(F.col("long"), F.struct((2 * F.col("longs") + 1).alias("run"), F.lit(0).cast("long").alias("bin")))
+    part = part.otherwise(F.struct((2 * F.col("longs")).alias("run"), F.floor(2 * F.greatest(F.col("before") - F.col("system"), F.lit(0)) / room).alias("bin")))
+    numbered = settle(number_turns(clean, budget).withColumn("part", part), "chat-turns")
+    first = settle(numbered.groupBy("conv_id", "part").agg(F.min("idx").alias("window"), F.sum("tokens").alias("own"), F.max("system").alias("system")), "chat-parts")
+    same = F.col("n.conv_id").eqNullSafe(F.col("f.conv_id"))
+    own = numbered.alias("n").join(first.alias("f"), same & (F.col("n.part") == F.col("f.part"))).select("n.conv_id", "f.window", "n.idx", "n.role", "n.text", "n.tokens", F.lit(False).alias("carried"))
+    later = first.where("window > 0").withColumn("fixed", F.when(F.col("system") + F.col("own") <= budget, F.col("system")).otherwise(0))
+    opening = numbered.where("idx = 0 AND system > 0")
+    system = opening.alias("n").join(later.where("fixed > 0").alias("f"), same).select("n.conv_id", "f.window", "n.idx", "n.role", "n.text", "n.tokens", F.lit(True).alias("carried"))
+    pieces = own.unionByName(system)
+    if history:
+        spare = later.withColumn("spare", budget - F.col("fixed") - F.col("own")).where(F.col("spare") >= MARK_TOKENS)
+        wanted = spare.select("conv_id", "window", "spare", F.explode(F.sequence(F.greatest(F.col("window") - history, F.lit(0)), F.col("window") - 1)).alias("at"))
+        back = numbered.where("idx > 0 OR system = 0").alias("n").join(wanted.alias("f"), same & (F.col("n.idx") == F.col("f.at")))
+        total = F.sum("tokens").over(Window.partitionBy("conv_id", "window").orderBy(F.desc("idx")))
+        back = back.select("n.conv_id", "f.window", "n.idx", "n.role", "n.text", "n.tokens", F.lit(True).alias("carried"), "f.spare").withColumn("total", total)
+        pieces = pieces.unionByName(back.where("total <= spare").drop("total", "spare"))
     piece = F.struct("idx", "role", _render(F.col("role"), F.col("text")).alias("text"), F.length(escape(F.col("role"))).alias("skip"), "carried")
     grouped = pieces.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.sum("tokens").cast("long").alias("tokens"))
     lengths = F.transform("p", lambda x: F.length(x["text"]))

@@ -91,15 +91,27 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
 n AS (
-  SELECT *, row_number() OVER w - 1 AS idx,
-    CAST(coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 512 AS win,
+  SELECT *, row_number() OVER w - 1 AS idx, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
     length(role) + length(text) + 17
       + length(role || text) * 2 - length(replace(role || text, chr(92), '')) - length(translate(role || text, '[<', '')) AS chars
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-b AS (SELECT conv_id, win, min(idx) AS begin FROM n GROUP BY conv_id, win),
+s AS (SELECT conv_id, sum(CASE WHEN idx = 0 AND role = 'system' AND 2 * tokens <= 512 THEN tokens ELSE 0 END) AS sys FROM n GROUP BY conv_id),
+m AS (
+  SELECT n.*, sys, (idx > 0 OR sys = 0) AND 2 * tokens > 512 - sys AS big, greatest(coalesce(sum(tokens) OVER w, 0) - sys, 0) AS before
+  FROM n JOIN s USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (
+  SELECT *, coalesce(sum(CAST(big AS INT)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run,
+    CASE WHEN big THEN -1 ELSE floor(2 * before / (512 - sys)) END AS bin FROM m),
+b AS (
+  SELECT conv_id, run, bin, min(idx) AS begin, sum(tokens) AS own, any_value(sys) AS sys, CASE WHEN any_value(sys) + sum(tokens) <= 512 THEN any_value(sys) ELSE 0 END AS fixed
+  FROM k GROUP BY conv_id, run, bin),
+v AS (
+  SELECT k.conv_id, k.chars, sum(k.tokens) OVER (PARTITION BY k.conv_id, b.begin ORDER BY k.idx DESC) AS total, 512 - b.fixed - b.own AS spare
+  FROM b JOIN k ON k.conv_id = b.conv_id AND k.idx < b.begin AND k.idx >= b.begin - 2 AND (k.idx > 0 OR k.sys = 0)),
 x AS (
   SELECT conv_id, chars FROM n
-  UNION ALL SELECT n.conv_id, n.chars FROM b JOIN n ON n.conv_id = b.conv_id AND b.begin > 0 AND n.idx < b.begin AND (n.idx >= b.begin - 2 OR (n.idx = 0 AND n.role = 'system'))),
+  UNION ALL SELECT k.conv_id, k.chars FROM b JOIN k ON k.conv_id = b.conv_id AND b.begin > 0 AND k.idx = 0 AND b.fixed > 0
+  UNION ALL SELECT conv_id, chars FROM v WHERE total <= spare),
 f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM x GROUP BY conv_id),
 g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx) AS turns,
