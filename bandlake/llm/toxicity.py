@@ -1,7 +1,7 @@
 """Toxicity scores by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features are densities of a fixed list of insults and of words and word beginnings that the labelled sample marks,
-second-person words, capitals, punctuation and obfuscated spellings.
+Features are densities of a fixed list of insults and of words and word beginnings that the labelled sample marks ("hits"),
+second-person words and how close to hits they stand, capitals, punctuation and obfuscated spellings.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,16 @@ from ..session import settle
 INSULTS = frozenset("asshole bastard bitch clown crap creep damn disgusting dumb fool freak garbage idiot imbecile jerk liar loser lunatic moron morons pathetic pig retard scum shit shut stupid trash ugly useless vermin worthless".split())
 #: Fixed list of second-person words.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti contigo usted ustedes vosotros".split())
-FEATURES = ("insults", "learned", "beginnings", "strongest", "hits", "second_person", "capitals", "exclamations", "punctuation", "obfuscated", "length")
+FEATURES = ("insults", "learned", "beginnings", "strongest", "hits", "second_person", "closest", "addressed", "capitals", "exclamations", "punctuation", "obfuscated", "length")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„«»"
 _LEET = str.maketrans("013457@$!|", "oieastasii")
 _INNER = regex.compile(r"[\p{L}\p{N}][^\p{L}\s,.;:/][\p{L}\p{N}]|\p{L}[0-9@$!|*][\p{L}0-9@$!|*]*\p{L}")
 
 
+#: A hit counts as addressed with a second-person word at most so many words away.
+REACH = 6
+
+
 def plain(token: str) -> tuple[str, bool]:
     """(word, obfuscated): lower case without edge punctuation, look-alikes put back where letters enclose them."""
     word = token.strip(_EDGE).lower()
@@ -77,9 +81,27 @@ def learn_lexicon(sample: DataFrame, *, max_entries: int = 2_000, min_docs: int
     return Lexicon(*[{r.entry: float(r.odds) for r in rows} for rows in kept])
 
 
+def _proximity(tokens: list[str], memory: dict) -> tuple[float, int]:
+    """(1 / least distance in words of a hit and a second-person word, hits with one within ``REACH``); 1 and 0 words apart count alike."""
+    yous, hits = [], []
+    for at, token in enumerate(tokens):
+        insult, odds, start, you, _ = memory[token]
+        if you:
+            yous.append(at)
+        if insult or odds or start:
+            hits.append(at)
+    apart, k = [], 0
+    for at in hits:
+        while k + 1 < len(yous) and abs(yous[k + 1] - at) <= abs(yous[k] - at):
+            k += 1
+        apart.append(max(1, abs(yous[k] - at)))
+    return 1.0 / min(apart), sum(d <= REACH for d in apart)
+
+
 def text_features(text: str | None, lexicon: Lexicon, memory: dict) -> tuple[float, ...]:
     """``FEATURES`` of one text; zeros for an empty or null one."""
-    counts = Counter(text.split()) if text else None
+    tokens = text.split() if text else []
+    counts = Counter(tokens)
     if not counts:
         return (0.0,) * len(FEATURES)
     n = insults = learned = begin = second = hidden = hits = 0
@@ -101,11 +123,12 @@ def text_features(text: str | None, lexicon: Lexicon, memory: dict) -> tuple[flo
             hidden += veiled * times
             strongest = max(strongest, odds, start, 4.0 * insult)
         second += you * times
+    closest, addressed = _proximity(tokens, memory) if hits and second else (0.0, 0)
     size = len(text)
     upper = sum(1 for c in text if c.isupper()) if not text.islower() else 0
     marks = text.count("!") + text.count("?")
     other = sum(map(text.count, ".,;:#$%&*|"))
-    return (insults / n, learned / n, begin / n, strongest, math.log1p(hits), second / n, upper / size, marks / size, other / size, hidden / n, math.log1p(n))
+    return (insults / n, learned / n, begin / n, strongest, math.log1p(hits), second / n, closest, addressed / n, upper / size, marks / size, other / size, hidden / n, math.log1p(n))
 
 
 def _with_features(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
@@ -129,33 +152,50 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...], text
 
 @dataclass(frozen=True)
 class ToxicityModel:
+    """Without trees every score is ``constant``."""
+
     lexicon: Lexicon
     trees: object | None
     calibration: object | None
+    constant: float = 0.0
 
 
-def fit(sample: DataFrame, *, max_iter: int = 15, max_depth: int = 3) -> ToxicityModel:
+def fit(sample: DataFrame, *, max_iter: int = 15, max_depth: int = 3, folds: int = 4) -> ToxicityModel:
     """A model from a bounded labelled sample (doc_id, text, label).
 
-    Half of the sample teaches the lexicon and the other half the trees and their calibration, so that entries that
-    only memorise their own documents don't count. With one label only, there are no trees and every score is that label's.
+    Half of the sample teaches the lexicon and the other half the trees, so that entries that only memorise their own documents
+    don't count. The calibration learns from rows that trees have not seen: each of ``folds`` parts of the second half is scored by trees of the others,
+    or, where those have one label only, by all. With one label only, there are no trees and every score is that label's, 0 for an empty sample.
+    Documents are told apart by id; one with both labels counts for both; null and empty texts have no features.
     """
-    half = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2)) == 0
-    lexicon = learn_lexicon(sample.where(half))
-    rows = with_features(sample.where(~half), lexicon, ("doc_id", "label")).select("label", array_to_vector("features").alias("features")).persist()
-    if rows.select("label").distinct().count() < 2:
-        return ToxicityModel(lexicon, None, None)
-    trees = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=7, stepSize=0.2).fit(rows)
-    raw = trees.transform(rows).select("label", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2 * folds))
+    lexicon = learn_lexicon(sample.where(half < folds))
+    rows = with_features(sample.where(half >= folds).withColumn("part", half.cast("int")), lexicon, ("doc_id", "label", "part")).select("label", "part", array_to_vector("features").alias("features")).persist()
+    labels = {(r.part, r.label) for r in rows.select("part", "label").distinct().collect()}
+    known = sorted({label for _, label in labels} or {r.label for r in sample.select("label").distinct().collect()})
+    if len({label for _, label in labels}) < 2:
+        rows.unpersist()
+        return ToxicityModel(lexicon, None, None, known[-1] if known else 0.0)
+    learner = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=7, stepSize=0.2)
+    trees = learner.fit(rows)
+
+    def unseen(part: int) -> DataFrame:
+        others = trees if len({label for p, label in labels if p != part}) < 2 else learner.fit(rows.where(F.col("part") != part))
+        return others.transform(rows.where(F.col("part") == part)).select("label", vector_to_array("probability")[1].alias("raw"))
+
+    scored = reduce(DataFrame.unionAll, (unseen(part) for part in range(folds, 2 * folds)))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(scored)
     rows.unpersist()
     return ToxicityModel(lexicon, trees, calibration)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns and score (0 to 1) for every row; empty and null texts have the score of no features."""
+    """The ``keep`` columns and score (0 to 1) for every row; empty and null texts have the score of no features.
+
+    Very long texts are read whole; repeated rows have equal scores; an empty table gives no rows; of the kept columns only ``score`` would clash.
+    """
     rows = with_features(docs, model.lexicon, keep, text_col)
     if model.trees is None:
-        return rows.select(*keep, F.lit(0.0).alias("score"))
+        return rows.select(*keep, F.lit(float(model.constant)).alias("score"))
     raw = model.trees.transform(rows.withColumn("features", array_to_vector("features"))).select(*keep, vector_to_array("probability")[1].alias("raw"))
     return model.calibration.transform(raw).select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
