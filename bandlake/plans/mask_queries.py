@@ -31,8 +31,16 @@ def prompts(s: SparkSession, d: str) -> DataFrame:
     return p.withColumn("points", points).withColumn("box", box)
 
 
-_RAW = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '[[1,2],[3.5,4]]' WHEN 3 THEN '[[1,2],[3,4]]' WHEN 4 THEN '[{"x":1,"y":2,"label":1}]'
-  WHEN 5 THEN '[{"x":1,"label":1}]' WHEN 6 THEN '5' WHEN 7 THEN '[7]' ELSE '[[1,2,3]]' END AS points, CASE event_id % 9 WHEN 2 THEN '[1,0]' WHEN 3 THEN '[1]' WHEN 8 THEN '[1]' END AS labels FROM events"""
+def _entry(k: str) -> str:
+    """A prompt entry as JSON text, of one of eleven shapes by ``k``, with numbers from it."""
+    x, y = f"CAST({k} % 97 AS STRING)", f"CAST({k} % 13 AS STRING)"
+    shapes = [f"'[' || {x} || ',' || {y} || '.5]'"] * 5 + [f"""'["' || {x} || '",2]'""", f"'[' || {x} || ']'", x, f"""'{{"x":' || {x} || ',"y":' || {y} || ',"label":1}}'""", f"""'{{"x":"' || {x} || '","y":2,"label":1}}'""", f"""'{{"x":' || {x} || ',"y":2,"label":1.5}}'"""]
+    return f"CASE {k} % 11 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes)) + " END"
+
+
+_RAW = f"""SELECT event_id, CASE event_id % 17 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '5' WHEN 3 THEN '{{"x":1}}' WHEN 4 THEN 'no json' WHEN 5 THEN '[' || {_entry("event_id")} || ']'
+  WHEN 6 THEN '[' || {_entry("event_id")} || ', ' || {_entry("(event_id * 7 + 1)")} || ', ' || {_entry("(event_id * 5 + 3)")} || ']' ELSE '[' || {_entry("event_id")} || ', ' || {_entry("(event_id * 3 + user_id)")} || ']' END AS points,
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '[1]' ELSE '[1,0]' END AS labels FROM events"""
 _MODELS = """SELECT n_regionkey AS server, n_nationkey AS ord, n_name AS id, CASE n_nationkey % 3 WHEN 0 THEN 'detection' ELSE 'segmentation' END AS type,
   CASE n_nationkey % 5 WHEN 0 THEN 'point_list,bbox' WHEN 1 THEN 'bbox' WHEN 2 THEN 'text' WHEN 3 THEN 'image_region' ELSE 'point_list' END AS i, CASE n_nationkey % 4 WHEN 0 THEN 'mask' WHEN 1 THEN 'polygon_list' WHEN 2 THEN 'score' ELSE 'score,mask' END AS o FROM nation"""
 
@@ -52,7 +60,7 @@ def _segment(s: SparkSession, d: str) -> DataFrame:
         x2, y2 = min(prompt["px"] + 24.0, encoded[0]), min(prompt["py"] + 24.0, encoded[1])
         return [max(prompt["px"] - 24.0, 0.0), max(prompt["py"] - 24.0, 0.0), x2, y2], 0.93
 
-    return M.batch_segment(planned, encode, decode).select("prompt_id", "key", F.size("polygon").alias("n"), F.col("score").cast("double").alias("score"))
+    return M.batch_segment(planned, encode, decode).select("prompt_id", "key", *[F.round(F.col("polygon")[k].cast("double"), 3).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], F.col("score").cast("double").alias("score"))
 
 
 def _outcomes(s: SparkSession, d: str) -> DataFrame:
@@ -66,7 +74,7 @@ def _flags(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "m1_normalize_prompts": lambda s, d: rows(s, d, _RAW).withColumn("n", M.normalize_prompts(F.col("points"), F.col("labels"))).select("event_id", "n.error", F.coalesce(F.size("n.points"), F.lit(-1)).alias("n"), F.get("n.points", F.lit(0))["x"].alias("x")),
+    "m1_normalize_prompts": lambda s, d: rows(s, d, _RAW).withColumn("n", M.normalize_prompts(F.col("points"), F.col("labels"))).select("event_id", "n.error", F.array_join(F.transform("n.points", lambda p: F.format_string("%.1f %.1f %d", p["x"], p["y"], p["label"])), ",").alias("points")),
     "m2_validate_prompts": lambda s, d: prompts(s, d).select("prompt_id", M.validate_prompts(F.col("points"), F.col("box")).alias("error")),
     "m3_embedding_key": lambda s, d: M.plan_encodes(view(s, d, "fx_prompts"), view(s, d, "fx_images")).select("prompt_id", "key"),
     "m4_plan_encodes": lambda s, d: M.plan_encodes(view(s, d, "fx_prompts"), view(s, d, "fx_images")).groupBy("image_id").agg(F.countDistinct("key").alias("encodes"), F.count("*").alias("decodes")),
@@ -106,15 +114,25 @@ t AS (SELECT mask_id, i AS root, i FROM c UNION SELECT t.mask_id, t.root, e.j FR
 l AS (SELECT mask_id, i, min(root) AS first FROM t GROUP BY mask_id, i),
 s AS (SELECT mask_id, CAST(first AS BIGINT) AS first, count(*) AS pixels FROM l GROUP BY mask_id, first)"""
 _NEAR = "CAST(least(greatest(round((CAST({k} AS FLOAT) + 0.5::FLOAT) * (8.0::FLOAT / {n}.0::FLOAT) - 0.5::FLOAT), 0), 7) AS INT)"
+_NUMBER = "coalesce(json_type(v, '{}') IN ('DOUBLE', 'BIGINT', 'UBIGINT'), false)"
+_WHOLE = "coalesce(json_type(v, '{}') IN ('BIGINT', 'UBIGINT'), false)"
 _MASKS = "type = 'segmentation' AND (list_contains(string_split(o, ','), 'mask') OR list_contains(string_split(o, ','), 'polygon_list'))"
 _IN = "list_contains(string_split(i, ','), '{t}')"
 
 SQL = {
-    "m1_normalize_prompts": "SELECT event_id, CASE event_id % 9 WHEN 3 THEN 'points and labels length mismatch' WHEN 5 THEN 'point object missing numeric y' WHEN 6 THEN 'points must be an array' WHEN 7 THEN 'points must be [] or [[x,y], ...] or [{x,y,label}, ...]' WHEN 8 THEN 'point entries must contain exactly 2 values' END AS error, CASE event_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 4 THEN 1 ELSE -1 END AS n, CASE WHEN event_id % 9 IN (2, 4) THEN 1.0 END::DOUBLE AS x FROM events",
+    "m1_normalize_prompts": f"""WITH r AS ({_RAW}), j AS (SELECT event_id, points IS NULL AS none, try_cast(points AS JSON) AS j, from_json(labels, '["INTEGER"]') AS m FROM r),
+      i AS (SELECT *, json_type(j) AS kind, CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["JSON"]') END AS items FROM j),
+      e AS (SELECT *, json_type(items[1]) AS shape,
+        list_transform(items, lambda v: CASE WHEN json_type(v) <> 'ARRAY' THEN '{M.NO_PAIR}' WHEN json_array_length(v) <> 2 THEN '{M.NOT_TWO}' WHEN NOT {_NUMBER.format("$[0]")} THEN '{M.PAIR_X}' WHEN NOT {_NUMBER.format("$[1]")} THEN '{M.PAIR_Y}' END) AS pe,
+        list_transform(items, lambda v: CASE WHEN NOT {_NUMBER.format("$.x")} THEN '{M.OBJECT_X}' WHEN NOT {_NUMBER.format("$.y")} THEN '{M.OBJECT_Y}' WHEN NOT {_WHOLE.format("$.label")} THEN '{M.OBJECT_LABEL}' END) AS oe FROM i),
+      f AS (SELECT *, CASE WHEN none OR len(items) = 0 THEN NULL WHEN kind IS NULL OR kind <> 'ARRAY' THEN '{M.NO_ARRAY}'
+        WHEN shape = 'ARRAY' THEN CASE WHEN m IS NULL THEN '{M.NO_LABELS}' WHEN len(m) <> len(items) THEN '{M.UNEQUAL}' ELSE list_filter(pe, lambda x: x IS NOT NULL)[1] END
+        WHEN shape = 'OBJECT' THEN list_filter(oe, lambda x: x IS NOT NULL)[1] ELSE '{M.NO_SHAPE}' END AS error FROM e)
+      SELECT event_id, error, CASE WHEN error IS NULL THEN coalesce(array_to_string(list_transform(items, lambda v, k: CASE WHEN shape = 'ARRAY' THEN printf('%.1f %.1f %d', CAST(v->'$[0]' AS DOUBLE), CAST(v->'$[1]' AS DOUBLE), m[k]) ELSE printf('%.1f %.1f %d', CAST(v->'$.x' AS DOUBLE), CAST(v->'$.y' AS DOUBLE), CAST(v->'$.label' AS INT)) END), ','), '') END AS points FROM f""",
     "m2_validate_prompts": f"WITH {_P} SELECT prompt_id, CASE WHEN prompt_id % 5 = 0 AND NOT has_box THEN 'At least one prompt (points or box) is required' END AS error FROM p",
     "m3_embedding_key": f"WITH {_P} SELECT prompt_id, {_KEY} AS key FROM p",
     "m4_plan_encodes": f"WITH {_P} SELECT image_id, count(DISTINCT {_KEY}) AS encodes, count(*) AS decodes FROM p GROUP BY image_id",
-    "m5_batch_segment": f"WITH {_P} SELECT prompt_id, {_KEY} AS key, 4 AS n, 0.93::FLOAT::DOUBLE AS score FROM p",
+    "m5_batch_segment": f"WITH {_P} SELECT prompt_id, {_KEY} AS key, round(greatest(px::DOUBLE - 24, 0), 3) AS x1, round(greatest(py::DOUBLE - 24, 0), 3) AS y1, round(least(px::DOUBLE + 24, width), 3) AS x2, round(least(py::DOUBLE + 24, height), 3) AS y2, 0.93::FLOAT::DOUBLE AS score FROM p",
     "m6_box_model": f"WITH {_P} SELECT prompt_id, " + ", ".join(f"({e.format(box='has_box')})::DOUBLE AS {n}" for n, e in _XY.items()) + " FROM p",
     "m7_scale_prompts": f"""WITH {_P}, q AS (SELECT *, CAST(1024 AS FLOAT) / CAST(width AS FLOAT) AS sx, CAST(1024 AS FLOAT) / CAST(height AS FLOAT) AS sy FROM p),
       z AS (SELECT prompt_id, 0 AS o, px * sx AS x, py * sy AS y, label FROM q WHERE prompt_id % 5 <> 0 UNION ALL SELECT prompt_id, 1, px * sx, py * sy, 2 FROM q WHERE has_box UNION ALL SELECT prompt_id, 2, (px + 30.0::FLOAT) * sx, (py + 20.0::FLOAT) * sy, 3 FROM q WHERE has_box

@@ -5,26 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder; one of the two must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bandlake-"))
-        found = sc.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the tasks' Python workers this package, once per application, wherever the driver has imported it from.
-
-    Arrow batches get fewer rows than by default, because rows here hold whole texts, cubes or masks.
-    """
+    """Give the tasks' Python workers this package, once per application, wherever the driver has imported it from."""
     sc = spark.sparkContext
     if getattr(sc, "_bandlake_shipped", False):
         return
@@ -35,14 +34,21 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(archive))
     sc._bandlake_shipped = True
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; a set value stays
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def in_tasks(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package shipped before the function is captured; batches are cut to ``BATCH_ROWS`` rows, as rows may hold whole texts or images."""
+    ship(df.sparkSession)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(1, batch.num_rows), BATCH_ROWS))
+
+    return df.mapInArrow(short, schema)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
