@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import in_tasks, settle
 from . import bitfilter
 
 
@@ -166,7 +166,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, error_share: float
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
         held = [(r[0], n) for r in part.collect() if (n := normalise(r[1]))]  # about block_chars
-        found = rows.mapInArrow(partial(_match, block=spark.sparkContext.broadcast(held), error_share=error_share, exact_below=min_chars), "doc_id long, item_id long, distance int, end_char int")
+        found = rows.transform(in_tasks, partial(_match, block=spark.sparkContext.broadcast(held), error_share=error_share, exact_below=min_chars), "doc_id long, item_id long, distance int, end_char int")
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import in_tasks, settle
 
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
@@ -83,7 +83,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 4_000, max_words: int = 20_000,
                 part = items[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()), pa.array([w for w, _ in part]), pa.array([c for _, c in part], pa.int64())], names=["lang", "n", "entry", "times"])
 
-    counted = sample.select("text", "lang").mapInArrow(count, "lang string, n int, entry string, times long").groupBy("n", "entry", "lang").agg(F.sum("times").alias("times"))
+    counted = sample.select("text", "lang").transform(in_tasks, count, "lang string, n int, entry string, times long").groupBy("n", "entry", "lang").agg(F.sum("times").alias("times"))
     by_entry = counted.groupBy("n", "entry").agg(F.sum("times").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("langs"))
     by_entry = settle(by_entry.where(F.col("total") >= min_count), "language-counts")
     kept = []
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = (
     """
     cols = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes[:-1])
-    return cols.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), out=names), f"{schema}, {names[0]} string, {names[1]} double")
+    return cols.transform(in_tasks, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), out=names), f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:

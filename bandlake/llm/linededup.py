@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import in_tasks, settle
 from . import bitfilter
 
 _FIELD = re.compile(rb"[0-9@]|://")
@@ -118,7 +118,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, perce
     """
     options = {"min_tokens": min_tokens, "depth": depth, "percent": percent}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    placed = settle(rows.mapInArrow(partial(_places, **options), "doc_id long, leaf long, line long, pieces array<long>, fresh int"), "lines")
+    placed = settle(rows.transform(in_tasks, partial(_places, **options), "doc_id long, leaf long, line long, pieces array<long>, fresh int"), "lines")
     # a row has each of its pieces once among the fresh ones, so rows count documents, but for documents of several rows
     repeated = settle(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     quiet, loud = bitfilter.split(placed, "doc_id", repeated, "doc_id")
@@ -132,7 +132,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, perce
     classes = settle(held.groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), "line-classes")
     several = held.groupBy("doc_id", "leaf").count().where("count > 1").select("doc_id", "leaf")
     several = settle(held.join(several, ["doc_id", "leaf"], "left_semi").select("doc_id", "line"), "line-several")
-    texts = rows.select("text").mapInArrow(partial(_wanted, **options, wanted=bitfilter.build(able, "line")), "line long, n int, spots array<long>").dropDuplicates(["line"])
+    texts = rows.select("text").transform(in_tasks, partial(_wanted, **options, wanted=bitfilter.build(able, "line")), "line long, n int, spots array<long>").dropDuplicates(["line"])
     known = settle(classes.join(texts, "line"), "line-spots")
     spots = known.select("line", "docs", "first_doc", F.explode("spots").alias("spot"))
 
@@ -222,7 +222,7 @@ def drop_long_lines(docs: DataFrame, *, least_words: int = 50, id_col: str = "do
     equal ids are one document; a null id keeps all its lines; null texts stay null; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = settle(rows.mapInArrow(partial(_long_lines, least_words=least_words), "doc_id long, line long"), "long-lines")
+    placed = settle(rows.transform(in_tasks, partial(_long_lines, least_words=least_words), "doc_id long, line long"), "long-lines")
     twice = placed.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
     return _drop(docs, placed.join(twice, "line"), partial(_verbatim, least_words=least_words), True, False, id_col, text_col)
 
@@ -243,6 +243,6 @@ def _drop(docs: DataFrame, found: DataFrame, key_of: Callable[[bytes], int | Non
     types = dict(rows.dtypes)
     schema = "".join(f"`{n}` {types[n]}, " for n in rest) + "__text string, __lines long, __dropped long"
     clean = partial(_without, key_of=key_of)
-    out = quiet.mapInArrow(clean, schema).unionAll(loud.mapInArrow(clean, schema))
+    out = quiet.transform(in_tasks, clean, schema).unionAll(loud.transform(in_tasks, clean, schema))
     report = [F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped")] if counts else []
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in own], *report)

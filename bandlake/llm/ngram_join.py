@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import in_tasks, settle
 from . import bitfilter, textbits
 from .hubs import link_by_hubs
 
@@ -151,7 +151,7 @@ def token_order(docs: DataFrame, size: int, limit: int, least: int) -> TokenOrde
     """Counts every token of every document. At most ``limit`` tokens are frequent: whole classes (powers of two) from the top."""
     parts = docs.rdd.getNumPartitions()
     chunk_bits = min(20, max(8, (8 * parts - 1).bit_length()))
-    chunks = docs.mapInArrow(partial(_token_chunks, size=size, chunk_bits=chunk_bits), "chunk int, tokens binary")
+    chunks = docs.transform(in_tasks, partial(_token_chunks, size=size, chunk_bits=chunk_bits), "chunk int, tokens binary")
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         return _count_chunk(key, group, chunk_bits, least)
@@ -288,7 +288,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return needed.select(F.col("sig").alias(name), F.col("shingles").alias(f"s{name}"))
 
     full = pairs.join(side("a"), "a").join(side("b"), "b")
-    return settle(full.select("a", "b", "sa", "sb").mapInArrow(partial(_verify, percent=percent), "a long, b long"), "ngram-links")
+    return settle(full.select("a", "b", "sa", "sb").transform(in_tasks, partial(_verify, percent=percent), "a long, b long"), "ngram-links")
 
 
 def _set_bits(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -316,14 +316,14 @@ def _indexed(docs: DataFrame, size: int, percent: int, frequent_limit: int, leas
     """Documents with their class (doc_id, sig, n), classes by shared keys (key, sig, n) and the sets of those (sig, bits, shingles)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = settle(rows.mapInArrow(partial(_classify, size=size), "doc_id long, sig long, n int"), "ngram-classes")
+    known = settle(rows.transform(in_tasks, partial(_classify, size=size), "doc_id long, sig long, n int"), "ngram-classes")
     order = spark.sparkContext.broadcast(token_order(rows, size, frequent_limit, least))
-    index = settle(rows.mapInArrow(partial(_index, size=size, percent=percent, order=order), "key long, sig long, n int"), "ngram-index")
+    index = settle(rows.transform(in_tasks, partial(_index, size=size, percent=percent, order=order), "key long, sig long, n int"), "ngram-index")
     shared = index.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
     members = settle(index.join(shared, "key").distinct(), "ngram-members")
     stands = known.where("n > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")).join(members.select("sig").distinct(), "sig")
     wanted = bitfilter.build(stands.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("at")), "at")
-    sets = settle(rows.mapInArrow(partial(_chosen, size=size, wanted=wanted), "sig long, bits array<long>, shingles binary"), "ngram-sets")
+    sets = settle(rows.transform(in_tasks, partial(_chosen, size=size, wanted=wanted), "sig long, bits array<long>, shingles binary"), "ngram-sets")
     return known, members, sets
 
 

@@ -61,7 +61,7 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def with_features(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     cols = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes[:-1])
-    return cols.mapInArrow(_with_features, f"{schema}, features array<double>")
+    return cols.transform(in_tasks, _with_features, f"{schema}, features array<double>")
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def fit(sample: DataFrame, *, rivals: int = 3) -> RankingModel:
     Each document of the rarer label meets ``rivals`` of the other, by a hash order that wraps around; without pairs
     all weights are 0 and the score is 1/2.
     """
-    from ..session import settle
+    from ..session import in_tasks, settle
 
     rows = settle(with_features(sample, ("doc_id", "label")), "quality-features")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import in_tasks, settle
 
 #: Fixed list of insults.
 INSULTS = frozenset("asshole bastard bitch clown crap creep damn disgusting dumb fool freak garbage idiot imbecile jerk liar loser lunatic moron morons pathetic pig retard scum shit shut stupid trash ugly useless vermin worthless".split())
@@ -73,7 +73,7 @@ def learn_lexicon(sample: DataFrame, *, max_entries: int = 2_000, min_docs: int
 
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     bad, good = sizes.get(1.0, 0), sizes.get(0.0, 0)
-    counted = sample.select("text", "label").mapInArrow(count, "kind int, entry string, label double, docs long")
+    counted = sample.select("text", "label").transform(in_tasks, count, "kind int, entry string, label double, docs long")
     both = counted.groupBy("kind", "entry").agg(F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     strong = settle(both.where(F.col("bad") >= min_docs).withColumn("odds", odds).where("odds > 1.5"), "toxic-words")
@@ -147,7 +147,7 @@ def _with_features(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.Re
 def with_features(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     cols = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes[:-1])
-    return cols.mapInArrow(partial(_with_features, lexicon=docs.sparkSession.sparkContext.broadcast(lexicon)), f"{schema}, features array<double>")
+    return cols.transform(in_tasks, partial(_with_features, lexicon=docs.sparkSession.sparkContext.broadcast(lexicon)), f"{schema}, features array<double>")
 
 
 @dataclass(frozen=True)
