@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 BITS = 24
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many leading underscores as it takes to differ from ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cell(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - BITS)
 
@@ -22,17 +33,19 @@ def _words(hashes: DataFrame, column: str) -> DataFrame:
 def split(rows: DataFrame, id_col: str, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose id is surely not in ``ids``, the others), without a shuffle of ``rows``; null ids are never in ``ids``."""
     words = _words(ids.where(F.col(column).isNotNull()).select(F.xxhash64(F.col(column).cast("long")).alias("__h")), "__h")
-    words = words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
-    held = rows.withColumn("__cell", cell(F.xxhash64(F.col(id_col).cast("long")))).join(F.broadcast(words), F.shiftright(F.col("__cell"), 6) == F.col("__word"), "left")
-    hit = F.col(id_col).isNotNull() & F.coalesce(F.expr("(shiftright(__bits, cast(__cell & 63 as int)) & 1) = 1"), F.lit(False))
+    at, word, bits = unused(rows.columns, "cell", "word", "bits")
+    words = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    held = rows.withColumn(at, cell(F.xxhash64(F.col(id_col).cast("long")))).join(F.broadcast(words), F.shiftright(F.col(at), 6) == F.col(word), "left")
+    hit = F.col(id_col).isNotNull() & F.coalesce(F.expr(f"(shiftright({bits}, cast({at} & 63 as int)) & 1) = 1"), F.lit(False))
     return held.where(~hit).select(*rows.columns), held.where(hit).select(*rows.columns)
 
 
 def without_ids(rows: DataFrame, id_col: str, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` but for those whose id is in ``ids``; only rows that the filter can't clear are shuffled."""
     quiet, loud = split(rows, id_col, ids, column)
-    gone = ids.select(F.col(column).alias("__gone")).distinct()
-    return quiet.unionAll(loud.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))
+    (name,) = unused(rows.columns, "gone")
+    gone = ids.select(F.col(column).alias(name)).distinct()
+    return quiet.unionAll(loud.join(gone, F.col(id_col) == F.col(name), "left_anti"))
 
 
 def build(hashes: DataFrame, column: str):

@@ -39,6 +39,6 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, component) after joining the components that ``links`` (a, b: nodes) connect."""
     by = labels.select(F.col("node"), F.col("component"))
     at = links.join(by.withColumnsRenamed({"node": "a", "component": "ca"}), "a").join(by.withColumnsRenamed({"node": "b", "component": "cb"}), "b")
-    found = connected_components(at.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    found = settle(connected_components(at.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")  # as a table of its own, so that the join can split a large component
     moved = labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
     return settle(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")

@@ -62,7 +62,7 @@ def link_by_hubs(members: DataFrame, verify: Callable[[DataFrame], DataFrame], *
         held = _apart(left, labels, label)
         if held.isEmpty():
             return labels
-        sizes = labels.groupBy("component").agg(F.count("*").alias("weight"))
+        sizes = settle(labels.groupBy("component").agg(F.count("*").alias("weight")), f"{label}-sizes")
         order = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("score"), "sig")
         hub = settle(held.join(sizes, "component").withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).drop("place", "weight", "score"), f"{label}-hubs")
         met = (F.col("m.key") == F.col("h.key")) & (F.col("m.component") != F.col("h.component"))

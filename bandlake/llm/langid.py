@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..session import in_tasks, settle
 
@@ -50,20 +51,18 @@ def _logs(counts: list[Counter], limit: int, floor: float) -> dict[str, tuple[fl
 
 
 def fit(labelled: DataFrame, *, max_rows: int = 4_000, max_words: int = 20_000, max_grams: int = 20_000, orders: tuple[int, ...] = (4, 3, 2, 1), min_count: int = 3, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from at most ``max_rows`` labelled rows, spread evenly over the languages, the least row hashes first.
+    """A model from at most ``max_rows`` labelled rows, spread evenly over the languages, at least one of each, the least row hashes first.
 
     Rows whose text or language is null are left out; without any the model knows no language. Words need
     ``min_count`` occurrences in the sample. Counting runs in tasks; only the sample's most frequent entries reach the driver.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    n_langs = max(1, rows.select("lang").distinct().count())
-    per = max_rows // n_langs
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():  # a hash threshold instead of a sort: about `per` rows of each language, whatever their number
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per / n))).otherwise(share)
+    per = max(1, max_rows // max(1, len(sizes)))
+    # a hash threshold instead of a sort: about `per` rows of each language, whatever their number
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per / n))]) if sizes else F.lit(None).cast("map<string,double>")
     unit = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(unit < share)
+    sample = rows.where(unit < F.element_at(shares, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], Counter] = {}
@@ -133,7 +132,7 @@ def predict(model: LanguageModel, text: str | None, memory: dict | None = None)
     return model.languages[best], 1.0 / sum(math.exp(max(-60.0, (t - totals[best]) * sharp)) for t in totals)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, out: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     known, memory = model.value, {}
     for batch in batches:
         names, scores = [], []
@@ -143,18 +142,19 @@ def _score(batches: Iterator[pa.RecordBatch], model, out: tuple[str, str]) -> It
             name, score = predict(known, text.as_py(), memory)
             names.append(name)
             scores.append(score)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *out])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["kept", "language", "score"])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The ``keep`` columns, lang_pred and score (0 to 1) for every row.
 
     ``und`` with score 0 for null or letterless text. Texts of unseen words without any known n-gram get the first
-    language at an even score; ties go to the first language by name; repeated rows get equal results; an empty table gives no rows.
+    language at an even score; ties go to the first language by name; very long texts are read whole; of the kept columns only those called like ``names`` would clash; repeated rows get equal results; an empty table gives no rows.
     """
-    cols = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes[:-1])
-    return cols.transform(in_tasks, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), out=names), f"{schema}, {names[0]} string, {names[1]} double")
+    cols = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("text"))
+    schema = StructType([cols.schema["kept"], StructField("language", StringType()), StructField("score", DoubleType())])
+    scored = cols.transform(in_tasks, partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return scored.select("kept.*", F.col("language").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import in_tasks, settle
 from . import bitfilter
@@ -177,7 +178,7 @@ def _long_lines(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator
 
 
 def _without(batches: Iterator[pa.RecordBatch], key_of: Callable[[bytes], int | None]) -> Iterator[pa.RecordBatch]:
-    """Appends text, n_lines and n_dropped to columns that end with the text and the lists of dropped classes and of those kept once."""
+    """(kept, text, n_lines, n_dropped) of kept columns, text and the lists of dropped classes and of those kept once."""
     for batch in batches:
         texts, totals, dropped = [], [], []
         for text, drop, once in zip(batch.column(batch.num_columns - 3), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
@@ -200,7 +201,7 @@ def _without(batches: Iterator[pa.RecordBatch], key_of: Callable[[bytes], int |
             texts.append(b"\n".join(kept).decode())
             totals.append(len(lines))
             dropped.append(len(lines) - len(kept))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-3], "__text", "__lines", "__dropped"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=["kept", "text", "n_lines", "n_dropped"])
 
 
 def drop_recurring_lines(docs: DataFrame, *, keep_first: bool = False, counts: bool = True, min_docs: int = 3, depth: int = 3, percent: int = 80, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,19 +231,15 @@ def drop_long_lines(docs: DataFrame, *, least_words: int = 50, id_col: str = "do
 def _drop(docs: DataFrame, found: DataFrame, key_of: Callable[[bytes], int | None], keep_first: bool, counts: bool, id_col: str, text_col: str) -> DataFrame:
     """The documents without the lines in ``found`` (doc_id, line, first_doc); ``key_of`` gives a line's class."""
     first = F.col("doc_id") == F.col("first_doc") if keep_first else F.lit(False)
-    lists = found.groupBy("doc_id").agg(F.collect_set(F.when(~first, F.col("line"))).alias("__drop"), F.collect_set(F.when(first, F.col("line"))).alias("__once"))
-    lists = settle(lists.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__id"), "line-lists")
+    lists = found.groupBy("doc_id").agg(F.collect_set(F.when(~first, F.col("line"))).alias("drop"), F.collect_set(F.when(first, F.col("line"))).alias("once"))
+    lists = settle(lists.where("doc_id IS NOT NULL"), "line-lists")
     own = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
-    rows = docs.select(*own)
-    quiet, loud = bitfilter.split(rows, id_col, lists, "__id")
-    rest = [c for c in own if c != text_col]
-    cols = [*rest, F.col(text_col).alias("__text")]
+    rows = docs.select(F.struct(*[c for c in own if c != text_col]).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    quiet, loud = bitfilter.split(rows, "doc_id", lists, "doc_id")
     none = F.lit(None).cast("array<long>")
-    quiet = quiet.select(*cols, none.alias("__drop"), none.alias("__once"))
-    loud = loud.join(lists, F.col(id_col).cast("long") == F.col("__id"), "left").select(*cols, "__drop", "__once")
-    types = dict(rows.dtypes)
-    schema = "".join(f"`{n}` {types[n]}, " for n in rest) + "__text string, __lines long, __dropped long"
+    quiet = quiet.select("kept", "text", none.alias("drop"), none.alias("once"))
+    loud = loud.join(lists, "doc_id", "left").select("kept", "text", "drop", "once")
+    schema = StructType([rows.schema["kept"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     clean = partial(_without, key_of=key_of)
     out = quiet.transform(in_tasks, clean, schema).unionAll(loud.transform(in_tasks, clean, schema))
-    report = [F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped")] if counts else []
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in own], *report)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in own], *(["n_lines", "n_dropped"] if counts else []))

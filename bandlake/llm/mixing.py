@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .bitfilter import unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that prose seldom has; their share lowers a document's weight.
@@ -92,9 +93,11 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, all columns, with target, repeats (times taken) and taken (words).
 
     Rows equal in id and text are one document here and all carry its largest share.
+    Columns of the documents that are named target, repeats or taken give way; all others stay, whatever their names.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    mix = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
-    mix = mix.agg(F.max("target").alias("target"), F.max(F.col("epochs") + F.col("selected").cast("long")).alias("repeats"), F.max("taken").alias("taken")).where("taken > 0")
     own = docs.drop("target", "repeats", "taken")
-    return own.join(mix, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tie"))).drop("__id", "__tie")
+    key, tie = unused([*own.columns, "target", "repeats", "taken"], "key", "tie")
+    mix = mix_sources(docs, **options).groupBy(F.col("doc_id").alias(key), F.col("tie").alias(tie))
+    mix = mix.agg(F.max("target").alias("target"), F.max(F.col("epochs") + F.col("selected").cast("long")).alias("repeats"), F.max("taken").alias("taken")).where("taken > 0")
+    return own.join(mix, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(tie))).drop(key, tie)

@@ -284,7 +284,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (a, b); of the sets only those that a bit filter can't rule out are shuffled."""
 
     def side(name: str) -> DataFrame:
-        needed = bitfilter.split(sets.select("sig", "shingles"), "sig", pairs, name)[1]
+        needed = bitfilter.split(sets.select("sig", "shingles"), "sig", pairs, name)[1].dropDuplicates(["sig"])
         return needed.select(F.col("sig").alias(name), F.col("shingles").alias(f"s{name}"))
 
     full = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -340,7 +340,7 @@ def ngram_links(docs: DataFrame, *, size: int = 5, percent: int = 80, frequent_l
     wide = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("y")), "b")
     wide = wide.select(F.struct(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("x").alias("bits")).alias("m"), F.struct(F.col("b").alias("sig"), F.col("nb").alias("n"), F.col("y").alias("bits")).alias("h"))
     near = settle(wide.where(_room("m", "h", percent)).select(F.col("m.sig").alias("a"), F.col("h.sig").alias("b")), "ngram-pairs")
-    return _verified(near, sets.dropDuplicates(["sig"]), percent), known.select("doc_id", F.col("sig").alias("class"))
+    return _verified(near, sets, percent), known.select("doc_id", F.col("sig").alias("class"))
 
 
 def ngram_components(docs: DataFrame, *, size: int = 5, percent: int = 80, frequent_limit: int = 1 << 18, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +355,7 @@ def ngram_components(docs: DataFrame, *, size: int = 5, percent: int = 80, frequ
     known, members, sets = _indexed(docs, size, percent, frequent_limit, least, id_col, text_col)
     labels = link_sets(members, sets, percent)
     placed = known.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    heads = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("head"))
+    heads = settle(placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("head")), "ngram-heads")  # as a table of its own, so that the join can split a large component
     return placed.join(heads, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
 
 

@@ -16,6 +16,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from ..session import in_tasks, settle
 
 from . import textbits
 from .samples import labelled_sample
@@ -59,9 +62,9 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def with_features(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    cols = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes[:-1])
-    return cols.transform(in_tasks, _with_features, f"{schema}, features array<double>")
+    """(kept: struct of the ``keep`` columns, features) of every row."""
+    cols = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("text"))
+    return cols.transform(in_tasks, _with_features, StructType([cols.schema["kept"], StructField("features", ArrayType(DoubleType()))]))
 
 
 @dataclass(frozen=True)
@@ -83,11 +86,9 @@ def fit(sample: DataFrame, *, rivals: int = 3) -> RankingModel:
     """A model from a bounded labelled sample (doc_id, text, label).
 
     Each document of the rarer label meets ``rivals`` of the other, by a hash order that wraps around; without pairs
-    all weights are 0 and the score is 1/2.
+    all weights are 0 and the score is 1/2. Rows that are repeated count again; equal hashes are ordered by id; null and empty texts have no features.
     """
-    from ..session import in_tasks, settle
-
-    rows = settle(with_features(sample, ("doc_id", "label")), "quality-features")
+    rows = settle(with_features(sample, ("doc_id", "label")).select("kept.*", "features"), "quality-features")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     good, bad = counts.get(1.0, 0), counts.get(0.0, 0)
     if not good or not bad:
@@ -113,8 +114,11 @@ def settle_vectors(df: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model: RankingModel, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns and score for every row; empty and null texts have the score of no features."""
-    return with_features(docs, keep, text_col).select(*keep, model.score("features").alias("score"))
+    """The ``keep`` columns and score for every row; empty and null texts have the score of no features.
+
+    Very long texts are read whole; repeated rows have equal scores; an empty table gives no rows; of the kept columns only ``score`` would clash.
+    """
+    return with_features(docs, keep, text_col).select("kept.*", model.score("features").alias("score"))
 
 
 def keep_best(scored: DataFrame, share: float, accuracy: int = 10_000) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import in_tasks, settle
 
@@ -145,9 +146,9 @@ def _with_features(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.Re
 
 
 def with_features(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    cols = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes[:-1])
-    return cols.transform(in_tasks, partial(_with_features, lexicon=docs.sparkSession.sparkContext.broadcast(lexicon)), f"{schema}, features array<double>")
+    """(kept: struct of the ``keep`` columns, features) of every row."""
+    cols = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("text"))
+    return cols.transform(in_tasks, partial(_with_features, lexicon=docs.sparkSession.sparkContext.broadcast(lexicon)), StructType([cols.schema["kept"], StructField("features", ArrayType(DoubleType()))]))
 
 
 @dataclass(frozen=True)
@@ -170,7 +171,7 @@ def fit(sample: DataFrame, *, max_iter: int = 15, max_depth: int = 3, folds: int
     """
     half = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2 * folds))
     lexicon = learn_lexicon(sample.where(half < folds))
-    rows = with_features(sample.where(half >= folds).withColumn("part", half.cast("int")), lexicon, ("doc_id", "label", "part")).select("label", "part", array_to_vector("features").alias("features")).persist()
+    rows = with_features(sample.where(half >= folds).withColumn("part", half.cast("int")), lexicon, ("doc_id", "label", "part")).select("kept.label", "kept.part", array_to_vector("features").alias("features")).persist()
     labels = {(r.part, r.label) for r in rows.select("part", "label").distinct().collect()}
     known = sorted({label for _, label in labels} or {r.label for r in sample.select("label").distinct().collect()})
     if len({label for _, label in labels}) < 2:
@@ -196,6 +197,6 @@ def score(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...] = ("do
     """
     rows = with_features(docs, model.lexicon, keep, text_col)
     if model.trees is None:
-        return rows.select(*keep, F.lit(float(model.constant)).alias("score"))
-    raw = model.trees.transform(rows.withColumn("features", array_to_vector("features"))).select(*keep, vector_to_array("probability")[1].alias("raw"))
-    return model.calibration.transform(raw).select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
+        return rows.select("kept.*", F.lit(float(model.constant)).alias("score"))
+    raw = model.trees.transform(rows.withColumn("features", array_to_vector("features"))).select("kept", vector_to_array("probability")[1].alias("raw"))
+    return model.calibration.transform(raw).select("kept.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
