@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandlake.llm import decontaminate, langid, linededup, mixing, ngram_join
+from bandlake.llm import bitfilter, decontaminate, langid, linededup, mixing, ngram_join
 from bandlake.session import settle, table
 
 #: Below this score a text's language counts as unknown.
@@ -20,9 +20,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(docs)
     if not model.languages:  # nothing to learn from: only letterless texts can be told
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    scored = langid.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
-    kept = scored.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found, score = bitfilter.unused(docs.columns, "lang_found", "lang_score")
+    scored = langid.identify(docs, model, keep=tuple(columns), names=(found, score))
+    kept = scored.where((F.col(found) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", found)).select(*columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
