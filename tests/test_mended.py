@@ -1,4 +1,5 @@
 import io
+import os
 import random
 import subprocess
 import sys
@@ -134,5 +135,5 @@ except ValueError as e:
 else:
     raise AssertionError
 """
-    done = subprocess.run(["timeout", "170", sys.executable, "-c", code], capture_output=True, text=True, cwd="/", env={"PATH": "/usr/bin:/bin:/usr/local/bin", "JAVA_HOME": __import__("os").environ.get("JAVA_HOME", ""), "HOME": "/tmp"})
+    done = subprocess.run(["timeout", "170", sys.executable, "-c", code], capture_output=True, text=True, cwd="/", env=os.environ | {"PYTHONPATH": "", "PYSPARK_PYTHON": sys.executable})
     assert done.returncode == 0, done.stderr[-2000:]
