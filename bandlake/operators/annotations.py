@@ -214,3 +214,10 @@ def import_report(ds: Dataset, skipped: DataFrame) -> DataFrame:
     for part in (count(ds.categories, "categories"), count(ds.annotations, "annotations"), count(skipped, "skipped")):
         out = out.join(part, KEY, "left")
     return out.na.fill(0)
+
+
+def merged_capabilities(spark: SparkSession, formats: DataFrame, by: str) -> DataFrame:
+    """``by`` and the five flags, each set if any of the group's formats (``by``, format) has it; unknown formats count for nothing."""
+    caps = F.broadcast(format_capabilities(spark))  # four rows
+    flags = ("multi_image", "bbox", "polygon", "point", "attributes")
+    return formats.join(caps, "format").groupBy(by).agg(*[F.bool_or(f).alias(f) for f in flags])

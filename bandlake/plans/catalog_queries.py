@@ -69,6 +69,7 @@ _REASON = f"""CASE WHEN trim(raw_name) = '' THEN 'empty' WHEN trim(raw_name) LIK
 _ERRORS = ", ".join(f"({c}, '{n}', {str(r).lower()}, {ms})" for c, n, r, ms in telemetry.ERRORS)
 
 SQL = {
+    "k6_image_fingerprint": "SELECT image_id, left(sha256(path || chr(10) || size_bytes || chr(10) || '0'), 16) AS fingerprint FROM fx_images",
     "s1_scan_catalog": f"SELECT 'id:' || lower(hex(path)) AS id, regexp_extract(path, '([^/]*)$', 1) AS name, path, upper({_UPPER}) AS format FROM fx_images WHERE {_SUPPORTED}",
     "s2_count_images": f"SELECT project, count(*) FILTER (WHERE {_SUPPORTED}) AS images FROM fx_images GROUP BY project",
     "s3_is_supported": f"SELECT image_id, {_SUPPORTED} AS supported FROM fx_images",

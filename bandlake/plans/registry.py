@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotation_queries, catalog_queries, file_queries, mask_queries, pixel_queries
+from . import annotation_queries, catalog_queries, file_queries, mask_queries, more_queries, pixel_queries
 from .fixtures import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (catalog_queries, pixel_queries, annotation_queries, mask_queries, file_queries)
+_MODULES = (catalog_queries, pixel_queries, annotation_queries, mask_queries, more_queries, file_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators.annotations import KEY, Dataset
+from ..operators.ordinals import running
+from ..session import settle
 
 MAX_STATE_BYTES = 64 << 20
 _BUNDLE = "struct<files:array<struct<path:string,bytes:array<int>,mime_type:string>>>"
 
 
 def read_bundles(spark: SparkSession, root: str) -> DataFrame:
-    """Text files below ``root``, one folder per dataset, ordered by path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("value").alias("content"), F.input_file_name().alias("file"))
-    below = "/" + root.rstrip("/").rsplit("/", 1)[-1] + r"/([^/]+)/(.*)$"
-    named = files.select(F.regexp_extract("file", below, 1).alias(KEY), F.regexp_extract("file", below, 2).alias("path"), "content")
-    return named.withColumn("ord", (F.row_number().over(Window.partitionBy(KEY).orderBy("path")) - 1).cast("long")).select(KEY, "ord", "path", "content")
+    """Text files below ``root``, one folder per dataset, ordered by path; names may hold any character."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.regexp_replace(F.lit("/" + root.split(":", 1)[-1].strip("/") + "/"), "/+", "/")
+    below = F.substring(F.regexp_replace("path", r"^\w+:/*", "/"), F.length(base) + 1, F.lit(1 << 20))
+    named = settle(found.select(F.substring_index(below, "/", 1).alias(KEY), F.regexp_extract(below, "^[^/]+/(.*)$", 1).alias("path"), F.decode("content", "UTF-8").alias("content")).where("path <> ''"), "bundle-files")
+    ranked = named.select(KEY, "path").withColumn("ord", (F.row_number().over(Window.partitionBy(KEY).orderBy("path")) - 1).cast("long"))
+    return named.join(ranked, [KEY, "path"]).select(KEY, "ord", "path", "content")
 
 
 def file_by_path(bundles: DataFrame, path: str) -> DataFrame:
@@ -32,12 +36,11 @@ def first_by_suffix(bundles: DataFrame, suffix: str) -> DataFrame:
 
 
 def _document(bundles: DataFrame, exact: str | None, any_file: bool) -> DataFrame:
-    """dataset_id, content of the file that holds the annotations, null for none."""
-    out = bundles.select(KEY).distinct()
-    parts = ([file_by_path(bundles, exact)] if exact else []) + [first_by_suffix(bundles, ".json")] + ([bundles.groupBy(KEY).agg(F.min_by(F.struct("path", "content", "ord"), "ord").alias("file"))] if any_file else [])
-    for k, part in enumerate(parts):
-        out = out.join(part.withColumnRenamed("file", f"f{k}"), KEY, "left")
-    return out.select(KEY, F.coalesce(*[F.col(f"f{k}") for k in range(len(parts))]).getField("content").alias("content"))
+    """dataset_id, content of the file that holds the annotations, null for none, from one pass over the bundles."""
+    path = F.col("path")
+    rules = ([path == exact] if exact else []) + [F.endswith(path, F.lit(".json"))] + ([F.lit(True)] if any_file else [])
+    first = [F.min(F.when(rule, F.struct("ord", "content")))["content"] for rule in rules]
+    return bundles.groupBy(KEY).agg(F.coalesce(*first).alias("content"))
 
 
 _COCO = """struct<info:struct<description:string>,images:array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>,
@@ -50,7 +53,7 @@ def read_coco(bundles: DataFrame) -> tuple[Dataset, DataFrame]:
     doc = _document(bundles, None, True).withColumn("d", F.from_json("content", _COCO))
     lacks = lambda rows, names: F.exists(rows, lambda x: F.array_contains(F.array(*[x[n].isNull() for n in names]), True))
     broken = F.coalesce(F.col("d.images").isNull() | F.col("d.annotations").isNull() | F.col("d.categories").isNull() | lacks(F.col("d.images"), ("id", "file_name", "width", "height")) | lacks(F.col("d.annotations"), ("id", "image_id", "category_id", "area", "iscrowd")) | lacks(F.col("d.categories"), ("id", "name", "supercategory")), F.lit(True))
-    doc = doc.withColumn("broken", broken)
+    doc = settle(doc.withColumn("broken", broken).drop("content"), "coco")
     good = doc.where(~F.col("broken"))
     images = good.select(KEY, F.posexplode("d.images").alias("ord", "x")).select(KEY, F.col("x.id").alias("image_id"), "x.file_name", "x.width", "x.height", F.col("ord").cast("long").alias("ord"))
     categories = good.select(KEY, F.posexplode("d.categories").alias("ord", "x")).select(KEY, F.col("x.id").alias("category_id"), "x.name", F.col("ord").cast("long").alias("ord"))
@@ -65,29 +68,30 @@ _DATUMARO = """struct<categories:struct<label:array<struct<name:string>>>,items:
 annotations:array<struct<id:bigint,label:bigint,type:string,bbox:array<float>,points:array<float>>>>>>"""
 
 
-def _number_missing(rows: DataFrame, given: Column, order: list) -> Column:
-    """Given ids, else the next of a counter from 1 that only missing ones advance; it may collide with given ids."""
-    upto = Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(given, F.sum(given.isNull().cast("long")).over(upto))
+def number_missing(rows: DataFrame, given: Column, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: given ids, else the next of a counter from 1 that only missing ones advance; it may collide with given ids."""
+    counted = running(rows, KEY, order, given.isNull(), "__nth")
+    return counted.withColumn(name, F.coalesce(given, "__nth")).drop("__nth")
 
 
 def read_datumaro(bundles: DataFrame, policy: str = "allow_lossy_warn", bbox_tags: tuple[str, ...] = ("b_box",)) -> tuple[Dataset, DataFrame]:
-    doc = _document(bundles, "annotations/default.json", False).withColumn("d", F.from_json("content", _DATUMARO))
+    doc = settle(_document(bundles, "annotations/default.json", False).select(KEY, F.from_json("content", _DATUMARO).alias("d")), "datumaro")
     categories = doc.select(KEY, F.posexplode("d.categories.label").alias("ord", "x")).select(KEY, F.col("ord").cast("long").alias("category_id"), "x.name", F.col("ord").cast("long").alias("ord"))
     counts = categories.groupBy(KEY).agg(F.count("*").alias("n_labels"))
     items = doc.select(KEY, F.posexplode("d.items").alias("ord", "x"))
     given = F.when(F.col("x.id").rlike(r"^\+?\d+$"), F.col("x.id").try_cast("long"))
-    items = items.withColumn("image_id", _number_missing(items, given, ["ord"]))
+    items = settle(number_missing(items, given, ["ord"], "image_id"), "datumaro-items")
     size, at_least = F.col("x.image.size"), lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
     images = items.select(KEY, "image_id", F.coalesce("x.image.path", F.concat("x.id", F.lit(".png"))).alias("file_name"), at_least(F.get(size, F.lit(1))).alias("width"), at_least(F.get(size, F.lit(0))).alias("height"), F.col("ord").cast("long").alias("ord"))
     no_size = items.where(size.isNull()).select(KEY, F.lit("missing_image_dimensions").alias("code"), F.concat(F.lit("Item "), F.col("x.id"), F.when(F.col("x.image").isNull(), " missing image info; defaulting to 1x1").otherwise(" missing image size; defaulting to 1x1")).alias("message"))
     rows = items.select(KEY, "image_id", "ord", F.col("x.id").alias("item"), F.posexplode("x.annotations").alias("at", "a")).join(counts, KEY, "left")
     label = F.coalesce("a.label", F.lit(0))
     rows = rows.withColumn("label", label).withColumn("in_range", F.col("label") < F.coalesce("n_labels", F.lit(0))).withColumn("r", G.datumaro_geometry(F.col("a.type"), F.coalesce("a.bbox", "a.points"), policy, bbox_tags))
+    rows = settle(rows, "datumaro-annotations")
     accepted = rows.where("in_range AND r.geometry IS NOT NULL")
-    accepted = accepted.withColumn("annotation_id", _number_missing(accepted, F.col("a.id"), ["ord", "at"]))
-    order = F.row_number().over(Window.partitionBy(KEY).orderBy("ord", "at")) - 1
-    annotations = accepted.select(KEY, "annotation_id", "image_id", F.col("label").alias("category_id"), F.col("r.geometry").alias("geometry"), order.cast("long").alias("ord"))
+    accepted = settle(running(accepted.withColumn("given", F.col("a.id")), KEY, ["ord", "at"], F.lit(1), "nth"), "datumaro-accepted")
+    accepted = number_missing(accepted, F.col("given"), ["ord", "at"], "annotation_id")
+    annotations = accepted.select(KEY, "annotation_id", "image_id", F.col("label").alias("category_id"), F.col("r.geometry").alias("geometry"), (F.col("nth") - 1).alias("ord"))
     outside = rows.where(~F.col("in_range")).select(KEY, F.lit("invalid_record").alias("code"), F.concat(F.lit("Item "), F.col("item"), F.lit(" references invalid label "), F.col("label").cast("string")).alias("message"))
     failed = rows.where("in_range AND r.error IS NOT NULL").select(KEY, F.lit("parse_error").alias("code"), F.col("r.error").alias("message"))
     dropped = rows.where("in_range AND r.skipped").select(KEY, F.lit("skipped").alias("code"), F.concat(F.lit("Item "), F.col("item")).alias("message"))
@@ -97,20 +101,25 @@ def read_datumaro(bundles: DataFrame, policy: str = "allow_lossy_warn", bbox_tag
 def resolve_label_files(wanted: DataFrame, bundles: DataFrame, strict_basename: bool = False) -> DataFrame:
     """``wanted`` (dataset_id, label_path, ...) with content: the exact path, else with separators as ``__``, else the first file that ends with the base name.
 
-    As a plain suffix, ``1.txt`` also ends ``11.txt``; ``strict_basename`` wants the whole name. Only what the first two leave is matched by suffix.
+    Files are told apart by their ``ord``. As a plain suffix, ``1.txt`` also ends ``11.txt``; ``strict_basename`` wants the whole name.
     """
-    files = bundles.groupBy(KEY, "path").agg(F.min_by("content", "ord").alias("content"))
-    a = wanted.join(files.select(KEY, F.col("path").alias("label_path"), F.col("content").alias("c1")), [KEY, "label_path"], "left")
-    a = a.withColumn("flat", F.regexp_replace("label_path", r"[/\\]", "__")).join(files.select(KEY, F.col("path").alias("flat"), F.col("content").alias("c2")), [KEY, "flat"], "left")
+    files = bundles.select(KEY, "path", "ord")  # contents are fetched last
+    least = lambda df, *keys: df.groupBy(KEY, *keys).agg(F.min("ord").alias("at"))
+    by_path = least(files, "path")
+    a = wanted.join(by_path.select(KEY, F.col("path").alias("label_path"), F.col("at").alias("f1")), [KEY, "label_path"], "left")
+    a = a.withColumn("flat", F.regexp_replace("label_path", r"[/\\]", "__")).join(by_path.select(KEY, F.col("path").alias("flat"), F.col("at").alias("f2")), [KEY, "flat"], "left")
     a = a.withColumn("base", F.regexp_extract("label_path", r"([^/\\]*)$", 1))
-    left = a.where("c1 IS NULL AND c2 IS NULL").select(KEY, "label_path", "base").distinct()
-    ends = F.regexp_extract("path", r"([^/\\]*)$", 1) == F.col("base") if strict_basename else F.endswith("path", F.col("base"))
-    by_suffix = left.join(bundles, KEY).where(ends).groupBy(KEY, "label_path").agg(F.min_by("content", "ord").alias("c3"))
-    return a.join(by_suffix, [KEY, "label_path"], "left").withColumn("content", F.coalesce("c1", "c2", "c3")).drop("c1", "c2", "c3", "flat", "base")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    # a base name holds no separator, so it can only end a file's name
+    ends = F.array(F.regexp_extract("path", r"([^/\\]*)$", 1)) if strict_basename else F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.right(name, n))
+    by_end = least(files.select(KEY, "ord", F.explode(ends).alias("base")), "base").select(KEY, "base", F.col("at").alias("f3"))
+    a = a.join(by_end, [KEY, "base"], "left").withColumn("at", F.coalesce("f1", "f2", "f3")).drop("f1", "f2", "f3", "flat", "base")
+    return a.join(bundles.select(KEY, F.col("ord").alias("at"), "content"), [KEY, "at"], "left").drop("at")
 
 
 def read_yolo(bundles: DataFrame, *, shape: str = "bbox", strict_basename: bool = False) -> tuple[Dataset, DataFrame]:
     """Detect (``bbox``) or segmentation (``polygon``) bundles: classes.txt, image_meta.json if there, label files."""
+    bundles = settle(bundles, "yolo")
     classes = bundles.where("path = 'classes.txt'")
     names = F.filter(F.transform(F.split("content", r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     categories = classes.select(KEY, F.posexplode(names).alias("ord", "name")).select(KEY, F.col("ord").cast("long").alias("category_id"), "name", F.col("ord").cast("long").alias("ord"))
@@ -119,20 +128,20 @@ def read_yolo(bundles: DataFrame, *, shape: str = "bbox", strict_basename: bool
     metas = bundles.where("path = 'image_meta.json'").select(KEY, F.posexplode(F.from_json("content", meta_schema)).alias("ord", "m"))
     with_meta = bundles.where("path = 'image_meta.json'").select(KEY).distinct()
     labels = bundles.where(F.endswith("path", F.lit(".txt")) & (F.col("path") != "classes.txt")).join(with_meta, KEY, "left_anti")
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy("ord"))
+    labels, place = running(labels, KEY, ["ord"], F.lit(1), "place"), F.col("place")
     guessed = labels.select(KEY, (place - 1).alias("ord"), F.struct(place.cast("long").alias("id"), F.replace(F.replace("path", F.lit("labels/"), F.lit("")), F.lit(".txt"), F.lit(".png")).alias("file_name"), F.lit(1).cast("long").alias("width"), F.lit(1).cast("long").alias("height"), F.col("path").alias("label_path")).alias("m"))
     meta = metas.unionByName(guessed)
     images = meta.select(KEY, F.col("m.id").alias("image_id"), "m.file_name", F.greatest("m.width", F.lit(1)).alias("width"), F.greatest("m.height", F.lit(1)).alias("height"), F.col("ord").cast("long").alias("ord"))
     wanted = meta.select(KEY, F.col("m.id").alias("image_id"), F.col("m.label_path").alias("label_path"), F.col("m.width").alias("width"), F.col("m.height").alias("height"), "ord")
-    found = resolve_label_files(wanted, bundles, strict_basename)
+    found = settle(resolve_label_files(settle(wanted, "yolo-images"), bundles, strict_basename), "yolo-labels")
     parse = G.parse_detect_line if shape == "bbox" else G.parse_seg_line
     lines = found.where("content IS NOT NULL").select(KEY, "image_id", "width", "height", "ord", "label_path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "line")).where(F.trim("line") != "")
-    lines = lines.withColumn("p", parse(F.col("line"))).join(counts, KEY, "left")
+    lines = settle(lines.withColumn("p", parse(F.col("line"))).join(counts, KEY, "left"), "yolo-lines")
     valid = F.col("p.error").isNull()
     in_range = F.col("p.class") < F.coalesce("n_classes", F.lit(0))
     made = G.denormalize_bbox(F.col("p.values"), F.col("width"), F.col("height")) if shape == "bbox" else G.denormalize_polygon(F.col("p.values"), F.col("width"), F.col("height"))
-    nth = F.row_number().over(Window.partitionBy(KEY).orderBy("ord", "at")).cast("long")
-    annotations = lines.where(valid & in_range).select(KEY, nth.alias("annotation_id"), "image_id", F.col("p.class").alias("category_id"), made.alias("geometry"), (nth - 1).alias("ord"))
+    nth = F.col("nth")
+    annotations = running(lines.where(valid & in_range), KEY, ["ord", "at"], F.lit(1), "nth").select(KEY, nth.alias("annotation_id"), "image_id", F.col("p.class").alias("category_id"), made.alias("geometry"), (nth - 1).alias("ord"))
     message = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("message")
     number = (F.col("at") + 1).cast("string")
     bad = F.lit("invalid_record").alias("code")
