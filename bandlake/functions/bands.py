@@ -100,9 +100,3 @@ def thumbnail_size(width: Column, height: Column, most: int = 256) -> tuple[Colu
     longest = F.greatest(width, height)
     scaled = lambda side: F.when(longest <= most, side).otherwise(F.greatest(F.round(side * (F.lit(float(most)) / longest)), F.lit(1)).cast("int"))
     return scaled(width), scaled(height)
-
-
-def rgba(channels: list[Column], pixels: Column) -> Column:
-    """Interleaved bytes of four channels; a channel is an array of bytes or, as an int column, one byte for all pixels."""
-    octet = lambda v: F.lpad(F.hex(v), 2, "0")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), pixels.cast("int") - 1), lambda i: F.concat(*[octet(c(i)) for c in channels])), ""))

@@ -19,4 +19,6 @@ def running(df: DataFrame, key: str, order: list[str], value: Column, name: str)
     before = F.sum("__sum").over(Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(key, "__block", F.coalesce(before, F.lit(0)).alias("__start"))
     inside = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return held.join(starts, [key, "__block"]).withColumn(name, F.col("__start") + F.sum("__value").over(inside)).drop("__value", "__block", "__start")
+    same = F.col(f"h.{key}").eqNullSafe(F.col(f"s.{key}")) & F.col("h.__block").eqNullSafe(F.col("s.__block"))
+    joined = held.alias("h").join(starts.alias("s"), same).select("h.*", "s.__start")
+    return joined.withColumn(name, F.col("__start") + F.sum("__value").over(inside)).drop("__value", "__block", "__start")

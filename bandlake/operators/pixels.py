@@ -1,15 +1,18 @@
 """Band cubes: normalising, packing into layers, pyramids, thumbnails.
 
-``bands`` has one row per image and band: image_id, band, width, height, px (array of float, row-major). Pixels stay arrays; only
-band rows are joined or grouped, four to a layer.
+``bands`` has one row per image and band: image_id, band, width, height, px (array of float, row-major). Pixels stay arrays of floats, then
+binary columns of bytes; only band rows are joined or grouped, four to a layer.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from ..functions import bands as B
+from ..session import settle
+from . import arrays
 
 
 def normalize_cube(bands: DataFrame) -> DataFrame:
@@ -29,19 +32,27 @@ def pack_layers(bands: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     key = ["image_id", *extra]
     images = bands.groupBy(*key).agg(F.max("width").alias("width"), F.max("height").alias("height"), F.count("*").alias("n"))
     layers = images.select(*key, "width", "height", F.explode(F.sequence(F.lit(0), B.num_layers(F.col("n")) - 1)).alias("layer"))
-    channel = lambda c: F.max(F.when(F.col("band") % 4 == c, F.transform("px", B.quantize))).alias(f"c{c}")
-    own = bands.groupBy(*key, F.floor(F.col("band") / 4).cast("int").alias("layer")).agg(*[channel(c) for c in range(4)])
+    channel = lambda c: F.max(F.when(F.col("band") % 4 == c, F.col("octets"))).alias(f"c{c}")
+    own = quantize_bands(bands).groupBy(*key, F.floor(F.col("band") / 4).cast("int").alias("layer")).agg(*[channel(c) for c in range(4)])
     full = layers.join(own, [*key, "layer"], "left")
-    empty = [F.lit(0)] * 3 + [F.lit(255)]
-    pick = [lambda i, c=c: F.when(F.col(f"c{c}").isNull(), empty[c]).otherwise(F.coalesce(F.get(f"c{c}", i), F.lit(0))) for c in range(4)]
-    return full.select(*key, "layer", "width", "height", B.rgba(pick, F.col("width") * F.col("height")).alias("rgba"))
+    return interleave(full, "rgba", [f"c{c}" for c in range(4)], (0, 0, 0, 255)).select(*key, "layer", "width", "height", "rgba")
+
+
+def quantize_bands(bands: DataFrame) -> DataFrame:
+    """Bands with ``octets`` (one byte a pixel) in place of px."""
+    return arrays.mapped(bands, lambda px: arrays.quantized(arrays.values(px)).tobytes(), "octets", BinaryType(), "px").drop("px")
+
+
+def interleave(rows: DataFrame, name: str, channels: list[str], fill: tuple[int, ...]) -> DataFrame:
+    """``rows`` (width, height, ...) with ``name``: the binary ``channels`` pixel by pixel; a null one counts as its fill."""
+    return arrays.mapped(rows, lambda w, h, *parts: arrays.interleaved([p.as_py() for p in parts], w.as_py() * h.as_py(), fill), name, BinaryType(), "width", "height", *channels)
 
 
 def flatten_layers(layers: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """image_id, payload: the layers' bytes in order."""
     key = ["image_id", *extra]
-    parts = F.array_sort(F.collect_list(F.struct("layer", F.hex("rgba").alias("h"))))
-    return layers.groupBy(*key).agg(parts.alias("p")).select(*key, F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("payload"))
+    grouped = layers.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("layer", "rgba"))), lambda x: x["rgba"]).alias("parts"))
+    return arrays.mapped(grouped, lambda parts: b"".join(parts.as_py()), "payload", BinaryType(), "parts").select(*key, "payload")
 
 
 def payload_contract(images: DataFrame) -> DataFrame:
@@ -51,22 +62,23 @@ def payload_contract(images: DataFrame) -> DataFrame:
 
 
 def downsample(bands: DataFrame, to_width: Column, to_height: Column) -> DataFrame:
-    px = B.resample(F.col("px"), F.col("width"), F.col("height"), F.col("__w"), F.col("__h"))
     sized = bands.withColumn("__w", to_width.cast("int")).withColumn("__h", to_height.cast("int"))
-    return sized.withColumn("px", px).withColumn("width", F.col("__w")).withColumn("height", F.col("__h")).drop("__w", "__h")
+    shrink = lambda px, *sizes: arrays.resampled(arrays.values(px), *[x.as_py() for x in sizes])
+    out = arrays.mapped(sized, shrink, "px", ArrayType(FloatType()), "px", "width", "height", "__w", "__h")
+    return out.withColumn("width", F.col("__w")).withColumn("height", F.col("__h")).drop("__w", "__h")
 
 
-def pyramid_bands(bands: DataFrame, *, min_side: int = B.MIN_SIDE, max_levels: int = 16) -> DataFrame:
+def pyramid_bands(bands: DataFrame, *, min_side: int = B.MIN_SIDE) -> DataFrame:
     """Bands with ``level``: each level comes from the one before at half size rounded up, until both sides are small.
 
-    An image leaves when it is small enough. ``max_levels`` bounds the plan: 16 levels take a side of 2**15 times ``min_side``.
+    An image leaves when it is small enough. Every level is written once, so that the next one starts from it.
     """
-    level = bands.withColumn("level", F.lit(0))
-    depth = bands.agg(F.max(B.num_levels(F.col("width"), F.col("height"), min_side))).first()[0] or 1
+    level = settle(bands.withColumn("level", F.lit(0)), "pyramid-level")
+    depth = level.agg(F.max(B.num_levels(F.col("width"), F.col("height"), min_side))).first()[0] or 1
     out = level
-    for n in range(1, min(depth, max_levels)):
+    for n in range(1, depth):
         larger = level.where((F.col("width") > min_side) | (F.col("height") > min_side))
-        level = downsample(larger, F.ceil(F.col("width") / 2), F.ceil(F.col("height") / 2)).withColumn("level", F.lit(n))
+        level = settle(downsample(larger, F.ceil(F.col("width") / 2), F.ceil(F.col("height") / 2)).withColumn("level", F.lit(n)), "pyramid-level")
         out = out.unionByName(level)
     return out
 
@@ -91,11 +103,9 @@ def select_rgb(bands: DataFrame, picks: DataFrame) -> DataFrame:
     for c in "rgb":
         chosen = chosen.withColumn(c, F.least(F.col(c), F.col("n") - 1))
     joined = bands.join(chosen, "image_id")
-    take = lambda c: F.max(F.when(F.col("band") == F.col(c), F.transform("px", B.quantize))).alias(f"p{c}")
-    grouped = joined.groupBy("image_id").agg(*[take(c) for c in "rgb"])
-    octet = lambda v: F.lpad(F.hex(v), 2, "0")
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.size("pr") - 1), lambda i: F.concat(*[octet(F.get(f"p{c}", i)) for c in "rgb"])), "")
-    return grouped.select("image_id", F.unhex(body).alias("rgb"))
+    take = lambda c: F.max(F.when(F.col("band") == F.col(c), F.col("octets"))).alias(f"p{c}")
+    grouped = quantize_bands(joined).groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), *[take(c) for c in "rgb"])
+    return interleave(grouped, "rgb", ["pr", "pg", "pb"], (0, 0, 0)).select("image_id", "rgb")
 
 
 def thumbnails(bands: DataFrame, most: int = 256) -> DataFrame:
@@ -103,10 +113,10 @@ def thumbnails(bands: DataFrame, most: int = 256) -> DataFrame:
     w, h = B.thumbnail_size(F.col("width"), F.col("height"), most)
     counts = bands.groupBy("image_id").agg(F.count("*").alias("n"))
     small = downsample(bands.where("band < 3"), w, h)
-    channel = lambda c: F.max(F.when(F.col("band") == c, F.transform("px", B.quantize))).alias(f"c{c}")
-    grouped = small.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), *[channel(c) for c in range(3)]).join(counts, "image_id")
-    pick = [lambda i, c=c: F.when(F.col("n") >= 3, F.get(f"c{c}", i)).otherwise(F.get("c0", i)) for c in range(3)] + [lambda i: F.lit(255)]
-    return grouped.select("image_id", "width", "height", B.rgba(pick, F.col("width") * F.col("height")).alias("rgba"))
+    channel = lambda c: F.max(F.when(F.col("band") == c, F.col("octets")))
+    pick = lambda c: F.when(F.max("n") >= 3, channel(c)).otherwise(channel(0)).alias(f"c{c}")
+    grouped = quantize_bands(small).join(counts, "image_id").groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), *[pick(c) for c in range(3)])
+    return interleave(grouped.withColumn("c3", F.lit(None).cast("binary")), "rgba", [f"c{c}" for c in range(4)], (0, 0, 0, 255)).select("image_id", "width", "height", "rgba")
 
 
 def pyramid_thumbnails(layers: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordinals import running
+
 #: Fixed endpoints of the metrics.
 ENDPOINTS = ("image_bands", "sam_infer", "sam_warm")
 #: Fixed severities, by rank.
@@ -57,10 +59,15 @@ def severity_rank(severity: Column) -> Column:
 
 
 def latency_summary(log: DataFrame, by: str, value: str) -> DataFrame:
-    """Least, upper median and mean by group: the value at place n div 2 of the sorted ones, by rank over salted counts."""
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = log.select(by, value).withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    return ranked.groupBy(by).agg(F.min(value).alias("min"), F.max(F.when(F.col("at") == F.expr("n div 2") + 1, F.col(value))).alias("median"), F.avg(value).alias("mean"))
+    """Least, upper median and mean by group: the median is the value at place n div 2 of the sorted ones.
+
+    Equal values are counted first and their counts summed up block by block, so that no group is sorted as a whole.
+    """
+    counts = log.groupBy(by, value).agg(F.count("*").alias("times")).where(F.col(value).isNotNull())
+    placed = running(counts, by, [value], F.col("times"), "upto")
+    whole = counts.groupBy(by).agg(F.min(value).alias("min"), F.sum("times").alias("n"), (F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean")).withColumnRenamed(by, "__by")
+    met = placed.join(whole, F.col(by).eqNullSafe(F.col("__by"))).where(F.col("upto") > F.expr("n div 2"))
+    return met.groupBy(by).agg(F.first("min").alias("min"), F.min(value).alias("median"), F.first("mean").alias("mean"))
 
 
 def pyramid_status(text: Column) -> Column:

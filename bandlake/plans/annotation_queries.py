@@ -127,7 +127,7 @@ QUERIES = {
     "s16_write_yolo_seg": lambda s, d: _bundle(s, d, "polygon").where("path LIKE 'labels/%'").select("path", "content"),
     "s17_validate_bundles": lambda s, d: B.validate_bundles(_states(s, d)).select("page_id", "status"),
     "s18_bundle_files": lambda s, d: B.bundle_files(_states(s, d), key="page_id"),
-    "s19_project_state": lambda s, d: B.load_project_states(rows(s, d, "SELECT project, image_id AS version, path AS payload FROM fx_images WHERE image_id % 2 = 0 AND project <> 'Brand#11'"), rows(s, d, "SELECT DISTINCT project FROM fx_images")),
+    "s19_project_state": lambda s, d: B.load_project_states(rows(s, d, "SELECT project, image_id AS version, path AS payload FROM fx_images"), rows(s, d, "SELECT DISTINCT project FROM fx_images UNION ALL SELECT DISTINCT project || ' unsaved' FROM fx_images")),
 }
 
 _A = """g AS (SELECT a.annotation_id, a.image_id, a.category_id, a.kind, a.x, a.y, a.w, a.h, i.project AS dataset_id, i.width, i.height, i.path, v.pts
@@ -199,5 +199,5 @@ SQL = {
     "s16_write_yolo_seg": f"WITH {_SEG} {_FILES}",
     "s17_validate_bundles": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'empty' WHEN 2 THEN 'ok' ELSE 'invalid' END AS status FROM pages",
     "s18_bundle_files": "SELECT page_id, f.ord, f.path, f.n_bytes, CAST(NULL AS VARCHAR) AS mime FROM pages, (VALUES (2, 0, 'annotations/default.json', 2), (2, 1, 'x.txt', 1), (4, 0, 'a', NULL)) f(m, ord, path, n_bytes) WHERE page_id % 5 = f.m",
-    "s19_project_state": "SELECT p.project, s.payload, s.payload IS NOT NULL AS found FROM (SELECT DISTINCT project FROM fx_images) p LEFT JOIN (SELECT project, arg_max(path, image_id) AS payload FROM fx_images WHERE image_id % 2 = 0 AND project <> 'Brand#11' GROUP BY project) s ON s.project = p.project",
+    "s19_project_state": "SELECT p.project, s.payload, s.payload IS NOT NULL AS found FROM (SELECT DISTINCT project FROM fx_images UNION ALL SELECT DISTINCT project || ' unsaved' FROM fx_images) p LEFT JOIN (SELECT project, arg_max(path, image_id) AS payload FROM fx_images GROUP BY project) s ON s.project = p.project",
 }

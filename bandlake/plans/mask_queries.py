@@ -41,8 +41,10 @@ def _entry(k: str) -> str:
 _RAW = f"""SELECT event_id, CASE event_id % 17 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '5' WHEN 3 THEN '{{"x":1}}' WHEN 4 THEN 'no json' WHEN 5 THEN '[' || {_entry("event_id")} || ']'
   WHEN 6 THEN '[' || {_entry("event_id")} || ', ' || {_entry("(event_id * 7 + 1)")} || ', ' || {_entry("(event_id * 5 + 3)")} || ']' ELSE '[' || {_entry("event_id")} || ', ' || {_entry("(event_id * 3 + user_id)")} || ']' END AS points,
   CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '[1]' ELSE '[1,0]' END AS labels FROM events"""
-_MODELS = """SELECT n_regionkey AS server, n_nationkey AS ord, n_name AS id, CASE n_nationkey % 3 WHEN 0 THEN 'detection' ELSE 'segmentation' END AS type,
-  CASE n_nationkey % 5 WHEN 0 THEN 'point_list,bbox' WHEN 1 THEN 'bbox' WHEN 2 THEN 'text' WHEN 3 THEN 'image_region' ELSE 'point_list' END AS i, CASE n_nationkey % 4 WHEN 0 THEN 'mask' WHEN 1 THEN 'polygon_list' WHEN 2 THEN 'score' ELSE 'score,mask' END AS o FROM nation"""
+_MODELS = """SELECT s_nationkey % 5 AS server, s_suppkey AS ord, s_name AS id, CASE s_suppkey % 3 WHEN 0 THEN 'detection' ELSE 'segmentation' END AS type,
+  CASE s_suppkey % 5 WHEN 0 THEN 'point_list,bbox' WHEN 1 THEN 'bbox' WHEN 2 THEN 'text' WHEN 3 THEN 'image_region' ELSE 'point_list' END AS i, CASE s_suppkey % 4 WHEN 0 THEN 'mask' WHEN 1 THEN 'polygon_list' WHEN 2 THEN 'score' ELSE 'score,mask' END AS o FROM supplier"""
+#: The regions, and a server without models.
+_SERVERS = "(SELECT r_regionkey FROM region UNION ALL SELECT 9)"
 
 
 def _models(s: SparkSession, d: str) -> DataFrame:
@@ -69,8 +71,8 @@ def _outcomes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _flags(s: SparkSession, d: str) -> DataFrame:
-    servers = rows(s, d, "SELECT r_regionkey AS server, CASE WHEN r_regionkey = 1 THEN true END AS inference, CASE WHEN r_regionkey = 2 THEN false END AS segmentation, r_regionkey = 3 AS progressive, CASE WHEN r_regionkey = 4 THEN true END AS thumbnails, CASE WHEN r_regionkey = 0 THEN true END AS downloads, CASE r_regionkey % 2 WHEN 0 THEN 'chunked' ELSE 'single_zip' END AS download_mode FROM region")
-    return X.server_flags(servers, _models(s, d).where("server <> 3"))
+    servers = rows(s, d, "SELECT r_regionkey AS server, CASE WHEN r_regionkey = 1 THEN true END AS inference, CASE WHEN r_regionkey = 2 THEN false END AS segmentation, r_regionkey = 3 AS progressive, CASE WHEN r_regionkey = 4 THEN true END AS thumbnails, CASE WHEN r_regionkey = 0 THEN true END AS downloads, CASE r_regionkey % 2 WHEN 0 THEN 'chunked' ELSE 'single_zip' END AS download_mode FROM (SELECT r_regionkey FROM region UNION ALL SELECT 9)")
+    return X.server_flags(servers, _models(s, d))
 
 
 QUERIES = {
@@ -149,8 +151,8 @@ SQL = {
     "m19_request_outcome": """WITH o AS (SELECT event_id AS request_id, CASE WHEN event_id % 13 = 0 THEN 'model_not_found' WHEN event_id % 7 = 0 THEN 'invalid_inputs' WHEN i.image_id IS NULL THEN 'image_not_found' WHEN i.image_id % 6 > 3 THEN 'unsupported_format' ELSE 'ok' END AS code FROM events LEFT JOIN fx_images i ON i.image_id = user_id)
       SELECT request_id, code, CASE code WHEN 'ok' THEN 200 WHEN 'image_not_found' THEN 404 ELSE 400 END AS status FROM o""",
     "x1_prompt_capabilities": f"WITH m AS ({_MODELS}) SELECT ord, id, type, {_MASKS} AND {_IN.format(t='point_list')} AS point, {_MASKS} AND {_IN.format(t='bbox')} AS bbox, {_MASKS} AND {_IN.format(t='point_list')} AND {_IN.format(t='bbox')} AS point_bbox, {_MASKS} AND {_IN.format(t='text')} AS text, {_MASKS} AND {_IN.format(t='image_region')} AS example FROM m",
-    "x2_server_flags": f"""WITH m AS ({_MODELS}), b AS (SELECT server, count(*) AS n, bool_or({_MASKS} AND {_IN.format(t='point_list')}) AS q FROM m WHERE server <> 3 GROUP BY server),
-      f AS (SELECT r_regionkey AS server, r_regionkey = 1 OR coalesce(n, 0) > 0 AS inference, coalesce(q, false) AS segmentation, r_regionkey % 2 = 0 AS chunked, r_regionkey = 3 AS prog FROM region LEFT JOIN b ON b.server = r_regionkey)
+    "x2_server_flags": f"""WITH m AS ({_MODELS}), b AS (SELECT server, count(*) AS n, bool_or({_MASKS} AND {_IN.format(t='point_list')}) AS q FROM m GROUP BY server),
+      f AS (SELECT r_regionkey AS server, r_regionkey = 1 OR coalesce(n, 0) > 0 AS inference, coalesce(q, false) AS segmentation, r_regionkey % 2 = 0 AS chunked, r_regionkey = 3 AS prog FROM {_SERVERS} r LEFT JOIN b ON b.server = r_regionkey)
       SELECT server, inference, segmentation, chunked, prog OR inference AS progressive, server = 4 OR server = 0 OR chunked AS thumbnails, CASE WHEN segmentation THEN 'segmentation' WHEN inference OR prog THEN 'full' ELSE 'core' END AS profile FROM f""",
     "x3_find_models": f"WITH m AS ({_MODELS}) SELECT server, arg_min(id, ord) FILTER (type = 'detection') AS first_of_kind, arg_min(id, ord) FILTER ({_MASKS} AND {_IN.format(t='point_list')}) AS first_promptable FROM m GROUP BY server",
 }

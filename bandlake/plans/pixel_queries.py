@@ -25,6 +25,12 @@ def _norm(s: SparkSession, d: str) -> DataFrame:
     return pixels.normalize_cube(cubes(s, d))
 
 
+def _with_fewer(s: SparkSession, d: str, most: int) -> DataFrame:
+    """All cubes, and every fourth one once more, as an image of ``most`` bands."""
+    bands = _norm(s, d)
+    return bands.unionByName(bands.where(f"image_id % 4 = 0 AND band < {most}").withColumn("image_id", F.col("image_id") + 1_000_000_000))
+
+
 def _hexed(df: DataFrame, column: str = "rgba") -> DataFrame:
     return df.withColumn(column, F.hex(column))
 
@@ -37,7 +43,7 @@ def _sizes(s: SparkSession, d: str, *cols) -> DataFrame:
 
 def _thumb_of_pyramid(s: SparkSession, d: str) -> DataFrame:
     layers, _ = pixels.build_pyramid(_norm(s, d), min_side=1)
-    return _hexed(pixels.pyramid_thumbnails(layers.where("image_id % 3 <> 0"), pixels.thumbnails(_norm(s, d), 2)))
+    return _hexed(pixels.pyramid_thumbnails(layers, pixels.thumbnails(_with_fewer(s, d, 3), 2)))
 
 
 def _metadata(s: SparkSession, d: str) -> DataFrame:
@@ -49,7 +55,7 @@ def _metadata(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "b1_normalize_cube": lambda s, d: _norm(s, d).select("image_id", "band", F.posexplode("px").alias("i", "v")).withColumn("v", F.col("v").cast("double")),
     "b2_quantize_u8": lambda s, d: view(s, d, "fx_values").select("vec_id", "i", B.quantize(F.col("v").cast("float")).alias("byte")),
-    "b3_pack_layers": lambda s, d: _hexed(pixels.pack_layers(_norm(s, d).where("image_id % 4 <> 0 OR band < 3"))),
+    "b3_pack_layers": lambda s, d: _hexed(pixels.pack_layers(_with_fewer(s, d, 3))),
     "b4_num_layers": lambda s, d: images(s, d).select("image_id", B.num_layers(F.col("num_bands")).alias("layers")),
     "b5_flatten_layers": lambda s, d: _hexed(pixels.flatten_layers(pixels.pack_layers(_norm(s, d))), "payload"),
     "b6_payload_contract": lambda s, d: pixels.payload_contract(images(s, d)),
@@ -65,7 +71,7 @@ QUERIES = {
     "b16_progressive_levels": lambda s, d: _sizes(s, d, F.explode(B.progressive_levels((F.col("image_id") % 9).cast("int"), F.lit(5), F.col("image_id") % 2 == 0)).alias("level")),
     "b17_row_chunks": lambda s, d: images(s, d).select("image_id", F.explode(B.row_chunks(F.col("height"))).alias("c")).select("image_id", "c.start", "c.end"),
     "b18_thumbnail_size": lambda s, d: _sizes(s, d, *(c.alias(n) for c, n in zip(B.thumbnail_size(F.col("width"), F.col("height")), "wh", strict=True))),
-    "b19_thumbnail_pixels": lambda s, d: _hexed(pixels.thumbnails(_norm(s, d).where("image_id % 4 <> 0 OR band < 1"), 2)),
+    "b19_thumbnail_pixels": lambda s, d: _hexed(pixels.thumbnails(_with_fewer(s, d, 1), 2)),
     "b20_pyramid_thumbnail": _thumb_of_pyramid,
     "b21_select_rgb": lambda s, d: _hexed(pixels.select_rgb(_norm(s, d), cubes(s, d).select("image_id").distinct().select("image_id", (F.col("image_id") % 3).cast("int").alias("r"), (F.col("image_id") % 7).cast("int").alias("g"), F.lit(9).alias("b"))), "rgb"),
     "b22_image_metadata": _metadata,
@@ -119,14 +125,15 @@ def _level(n: int, px: str, size: int) -> str:
 
 _PYRAMID = f"{_CUBE}, {_level(0, 'px', 4)}, {_level(1, 'px', 2)}, a AS (SELECT *, 0 AS level FROM c UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2)"
 _LEVELS = "CAST(greatest(ceil(log2(greatest(width, height) / 256.0)), 0) AS INT) + 1"
-_SMALL = f"t AS (SELECT image_id, band, 2 AS width, 2 AS height, {_resampled('px', 4, 4, 2, 2)} AS px FROM c WHERE {{w}})"
+_SMALL = f"t AS (SELECT image_id, band, 2 AS width, 2 AS height, {_resampled('px', 4, 4, 2, 2)} AS px FROM z WHERE band < 3)"
+_FEWER = "z AS (SELECT * FROM c UNION ALL SELECT image_id + 1000000000, band, width, height, px FROM c WHERE image_id % 4 = 0 AND band < {n})"
 _GRAY = f"""SELECT image_id, 2 AS width, 2 AS height, string_agg({_hex(_byte("p0[k + 1]"))} || {_hex(_byte("coalesce(p1, p0)[k + 1]"))} || {_hex(_byte("coalesce(p2, p0)[k + 1]"))} || 'FF', '' ORDER BY k) AS rgba
 FROM (SELECT image_id, any_value(px) FILTER (band = 0) AS p0, any_value(px) FILTER (band = 1) AS p1, any_value(px) FILTER (band = 2) AS p2 FROM t GROUP BY image_id), unnest(range(4)) u(k) GROUP BY image_id"""
 
 SQL = {
     "b1_normalize_cube": f"WITH {_CUBE} SELECT image_id, band, CAST(pos AS INT) AS i, v::DOUBLE AS v FROM n",
     "b2_quantize_u8": f"SELECT vec_id, i, {_byte('CAST(v AS FLOAT)')} AS byte FROM fx_values",
-    "b3_pack_layers": f"WITH {_CUBE} {_layers('c', where='image_id % 4 <> 0 OR band < 3')}",
+    "b3_pack_layers": f"WITH {_CUBE}, {_FEWER.format(n=3)} {_layers('z')}",
     "b4_num_layers": "SELECT image_id, greatest((num_bands + 3) // 4, 2) AS layers FROM fx_images",
     "b5_flatten_layers": f"WITH {_CUBE}, y AS ({_layers('c')}) SELECT image_id, string_agg(rgba, '' ORDER BY layer) AS payload FROM y GROUP BY image_id",
     "b6_payload_contract": "SELECT image_id, width, height, num_bands, greatest((num_bands + 3) // 4, 2) AS layers, CAST(width AS BIGINT) * height * 4 * greatest((num_bands + 3) // 4, 2) AS payload_bytes FROM fx_images",
@@ -142,8 +149,8 @@ SQL = {
     "b16_progressive_levels": "SELECT image_id, CAST(unnest(CASE WHEN image_id % 2 = 0 AND least(image_id % 9, 5) > 0 THEN list_reverse(range(least(image_id % 9, 5), 6)) ELSE [least(image_id % 9, 5)] END) AS INT) AS level FROM fx_images",
     "b17_row_chunks": 'SELECT image_id, CAST(a AS INT) AS start, CAST(least(a + 128, height) AS INT) AS "end" FROM fx_images, unnest(range(0, height, 128)) u(a)',
     "b18_thumbnail_size": "SELECT image_id, CASE WHEN greatest(width, height) <= 256 THEN width ELSE CAST(greatest(round(width * (256.0::DOUBLE / greatest(width, height))), 1) AS INT) END AS w, CASE WHEN greatest(width, height) <= 256 THEN height ELSE CAST(greatest(round(height * (256.0::DOUBLE / greatest(width, height))), 1) AS INT) END AS h FROM fx_images",
-    "b19_thumbnail_pixels": f"WITH {_CUBE}, {_SMALL.format(w='(image_id % 4 <> 0 OR band < 1) AND band < 3')} {_GRAY}",
-    "b20_pyramid_thumbnail": f"WITH {_PYRAMID}, {_SMALL.format(w='band < 3')}, g AS ({_GRAY}), y AS ({_layers('l2')}) SELECT g.image_id, CASE WHEN g.image_id % 3 <> 0 THEN y.rgba ELSE g.rgba END AS rgba FROM g LEFT JOIN y ON y.image_id = g.image_id AND layer = 0",
+    "b19_thumbnail_pixels": f"WITH {_CUBE}, {_FEWER.format(n=1)}, {_SMALL} {_GRAY}",
+    "b20_pyramid_thumbnail": f"WITH {_PYRAMID}, {_FEWER.format(n=3)}, {_SMALL}, g AS ({_GRAY}), y AS ({_layers('l2')}) SELECT g.image_id, coalesce(y.rgba, g.rgba) AS rgba FROM g LEFT JOIN y ON y.image_id = g.image_id AND layer = 0",
     "b21_select_rgb": f"""WITH {_CUBE}, p AS (SELECT image_id, image_id % 3 AS r, least(image_id % 7, 3) AS g, 3 AS b FROM c GROUP BY image_id)
       SELECT p.image_id, string_agg({_hex(_byte("x.v"))} || {_hex(_byte("y.v"))} || {_hex(_byte("z.v"))}, '' ORDER BY x.pos) AS rgb FROM p JOIN n x ON x.image_id = p.image_id AND x.band = r JOIN n y ON y.image_id = p.image_id AND y.band = g AND y.pos = x.pos JOIN n z ON z.image_id = p.image_id AND z.band = b AND z.pos = x.pos GROUP BY p.image_id""",
     "b22_image_metadata": f"SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 'ready' ELSE 'pending' END AS status, CASE WHEN image_id % 5 = 0 THEN '0x' || width || 'x' || height ELSE array_to_string(list_transform(range({_LEVELS}), lambda n: n || 'x' || CAST(ceil(width / 2.0 ** n) AS INT) || 'x' || CAST(ceil(height / 2.0 ** n) AS INT)), ',') END AS levels FROM fx_images",

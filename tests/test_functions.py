@@ -99,3 +99,77 @@ def test_masks():
     assert masks.mask_polygon(np.zeros((3, 3), bool)).shape == (0, 2)
     line = np.array([(x, 0.0) for x in range(10)] + [(9.0, y) for y in range(1, 10)])
     assert masks.simplify(line, 0.5).tolist() == [[0, 0], [9, 0], [9, 9]]
+
+
+def test_arrays_in_tasks_equal_column_functions(spark):
+    """Resampling and quantising on numpy give what the column functions give, pixel by pixel."""
+    import random
+
+    import numpy as np
+
+    from bandlake.functions import bands
+    from bandlake.operators import arrays
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        w, h, tw, th = (rng.randrange(1, 9) for _ in range(4))
+        rows.append((k, w, h, tw, th, [rng.uniform(-0.5, 1.5) for _ in range(w * h)]))
+    rows.append((60, 2, 1, 3, 300, [float("nan"), 0.25]))
+    frame = spark.createDataFrame(rows, "k int, w int, h int, tw int, th int, px array<float>")
+    cols = [F.col(c) for c in ("px", "w", "h", "tw", "th")]
+    for r in frame.select("*", bands.resample(*cols).alias("q"), F.transform("px", bands.quantize).alias("b")).collect():
+        got = arrays.resampled(np.array(r.px, np.float32), r.w, r.h, r.tw, r.th)
+        assert np.array_equal(got, np.array(r.q, np.float32), equal_nan=True)
+        assert arrays.quantized(np.array(r.px, np.float32)).tolist() == r.b
+
+
+def test_postprocessing_by_steps(spark):
+    """One pass over a mask equals upsampling, thresholding, tracing and scaling one by one; with outlines of above 500 and 1,000 points."""
+    import random
+
+    from bandlake.operators import masks
+
+    rng = random.Random(3)
+    rows = [(k, w, h, [rng.uniform(-1, 1) for _ in range(w * h)]) for k, (w, h) in enumerate([(1, 1), (3, 2), (8, 8), (5, 9), (40, 40)])] + [(9, 60, 60, [1.0 if y % 4 < 2 or x == 0 else -1.0 for y in range(60) for x in range(60)]), (10, 4, 4, [-1.0] * 16)]
+    frame = spark.createDataFrame(rows, "mask_id long, width int, height int, px array<float>")
+    to_w, to_h = F.col("width") * 9, F.lit(1300)
+    got = {r.mask_id: r.polygon for r in masks.postprocess_masks(frame, to_w, to_h).collect()}
+    w, h, sx, sy = masks.contour_grid(to_w, to_h)
+    sized = frame.select("*", w.alias("gw"), h.alias("gh"), sx.alias("sx"), sy.alias("sy"))
+    large = masks.upsample_logits(sized)
+    cells = large.withColumn("cells", masks.threshold_resample(F.col("px"), F.col("width"), F.col("height"), F.col("gw"), F.col("gh"))).withColumn("width", F.col("gw")).withColumn("height", F.col("gh"))
+    traced = {r.mask_id: r.polygon for r in masks.mask_to_polygon(cells).collect()}
+    import numpy as np
+
+    for r in cells.select("mask_id", "sx", "sy").collect():
+        want = np.array(traced[r.mask_id], np.float32).reshape(-1, 2) * np.array([r.sx, r.sy], np.float32)
+        assert np.array_equal(np.array(got[r.mask_id], np.float32), want.ravel())
+    assert len(got[9]) > 100 and got[10] == []
+
+
+def test_parts_of_a_large_project(spark):
+    from bandlake.operators import downloads
+
+    rows = [("p", f"{i:05}", 1 + i * 7919 % 50) for i in range(3000)] + [("q", "a", 500), ("q", "b", None), (None, "c", 3)]
+    got = downloads.plan_parts(spark.createDataFrame(rows, "project string, path string, size_bytes long"), 100).collect()
+    want, part, used = {}, 0, 0
+    for _, path, size in rows[:3000]:
+        if used + size > 100:
+            part, used = part + 1, 0
+        used += size
+        want["p", path] = part
+    want |= {("q", "a"): 0, ("q", "b"): 1, (None, "c"): 0}
+    assert {(r.project, r.path): r.part for r in got} == want
+
+
+def test_latency_medians(spark):
+    import random
+
+    from bandlake.operators import telemetry
+
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(20_000)) for k in ("a", "b", None) for _ in range(rng.randrange(1, 400))] + [("c", 5)]
+    for r in telemetry.latency_summary(spark.createDataFrame(rows, "k string, v long"), "k", "v").collect():
+        own = sorted(v for k, v in rows if k == r.k)
+        assert (r.min, r.median, r.mean) == (own[0], own[len(own) // 2], sum(own) / len(own))
