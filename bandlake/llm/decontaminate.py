@@ -93,7 +93,8 @@ class Matcher:
         for k, (_, text, errors) in enumerate(self.items):
             cut = pieces(text, errors)
             for j, (offset, piece) in enumerate(cut):
-                parts = tuple((cut[a][0], "".join(x for _, x in cut[a:b]), b - a - 1) for a, b in ancestors(j, len(cut))[:-1])
+                # ranges of the item, not texts, so that a piece costs the same in an item of any length
+                parts = tuple((cut[a][0], cut[b][0] if b < len(cut) else len(text), b - a - 1) for a, b in ancestors(j, len(cut))[:-1])
                 owners.setdefault(piece, []).append((k, offset + len(piece), parts))
         self.automaton = ahocorasick.Automaton()
         for piece, at in owners.items():
@@ -114,7 +115,7 @@ class Matcher:
                     if k not in exact and bounded(text, start, end + 1):
                         exact[k] = end + 1
                     continue
-                if start not in windows.get(k, ()) and all(best_distance(part, text[max(0, start + at - errors) : max(0, start + at + len(part) + errors)], errors) for at, part, errors in parts):
+                if start not in windows.get(k, ()) and all(best_distance(self.items[k][1][at:to], text[max(0, start + at - errors) : max(0, start + to + errors)], errors) for at, to, errors in parts):
                     windows.setdefault(k, set()).add(start)
         for k, end in exact.items():
             yield self.items[k][0], 0, end
@@ -154,8 +155,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, error_share: float
     Matching ignores case and runs of white space. An item is found where a passage differs by at most ``error_share`` of
     its characters. The items are broadcast in blocks of about ``block_chars`` characters; a larger benchmark takes several passes
     over the documents. Null and empty texts hold nothing; items shorter than ``min_chars`` are found
-    without edits only and between word boundaries where the script has them; null and empty items are left out; repeated items and repeated rows give repeated results; columns other than those
-    named are ignored; empty tables give no rows.
+    without edits only and between word boundaries where the script has them; null and empty items are left out; repeated items and repeated rows give repeated results; a null document id stays null in its rows; columns other than those
+    named are ignored; empty tables give no rows. A block holds an item that is longer than ``block_chars`` alone with those that share its hash, and
+    equal items always share one; so a benchmark's block is bounded by its longest or most repeated item.
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
