@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import numpy as np
@@ -23,7 +24,7 @@ def write(root, name, content):
 
 
 def test_npy_files(spark, tmp_path):
-    cube = np.array([[[(b * 100 + y * 10 + x) / 1000 for x in range(5)] for y in range(6)] for b in range(7)], np.float32)
+    cube = np.random.default_rng(17).uniform(-2, 3, (6, 3, 4)).astype(np.float32)
     write(tmp_path, "a/cube.npy", npy(cube))
     write(tmp_path, "flat.npy", npy(cube[0]))
     write(tmp_path, "broken.npy", b"nothing")
@@ -32,10 +33,10 @@ def test_npy_files(spark, tmp_path):
     assert [r.path for r in listed] == ["a/cube.npy", "broken.npy", "flat.npy"] and listed[0].format == "NPY"
     read = files.read_files(spark, str(tmp_path)).where("path LIKE '%.npy'")
     meta = {r.path: r for r in files.npy_meta(read).collect()}
-    assert (meta["a/cube.npy"].bands, meta["a/cube.npy"].height, meta["a/cube.npy"].width) == (7, 6, 5)
+    assert (meta["a/cube.npy"].bands, meta["a/cube.npy"].height, meta["a/cube.npy"].width) == (6, 3, 4)
     assert meta["flat.npy"].error.startswith("expected a cube") and meta["broken.npy"].error == "not an NPY file"
     bands = files.read_npy(read)
-    assert bands.count() == 7 and np.allclose(bands.where("band = 3").first().px, cube[3].ravel())
+    assert bands.count() == 6 and np.allclose(bands.where("band = 4").first().px, cube[4].ravel())
     assert pixels.pack_layers(pixels.normalize_cube(bands.withColumn("px", F.col("px").cast("array<float>")))).count() == 2
 
 
@@ -62,10 +63,10 @@ def test_streams(spark, tmp_path):
 
 
 def dataset(spark):
-    images = spark.createDataFrame([("d", 1, "one.png", 640, 480, 0), ("d", 2, "two.png", 100, 100, 1)], "dataset_id string, image_id long, file_name string, width long, height long, ord long")
-    categories = spark.createDataFrame([("d", 5, "cat", 0), ("d", 3, "dog", 1)], "dataset_id string, category_id long, name string, ord long")
-    box, dot = ("bounding_box", 10.0, 20.0, 30.0, 40.0, None), ("point", 5.0, 6.0, None, None, None)
-    polygon = ("polygon", None, None, None, None, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)])
+    images = spark.createDataFrame([("d", 1, "meadow.png", 333, 77, 0), ("d", 2, "harbour.png", 58, 91, 1)], "dataset_id string, image_id long, file_name string, width long, height long, ord long")
+    categories = spark.createDataFrame([("d", 5, "barley", 0), ("d", 3, "gull", 1)], "dataset_id string, category_id long, name string, ord long")
+    box, dot = ("bounding_box", 101.0, 12.5, 44.0, 31.0, None), ("point", 250.5, 8.25, None, None, None)
+    polygon = ("polygon", None, None, None, None, [(3.5, 61.0), (40.25, 9.0), (77.0, 70.5), (20.0, 72.0)])
     rows = [("d", k, 1, 5, g, k) for k, g in enumerate((box, polygon, dot))]
     from bandlake.functions.geometry import GEOMETRY_TYPE
 
@@ -85,13 +86,14 @@ def test_round_trips(spark):
 
 
 def test_bad_documents(spark):
+    document = lambda *shapes: json.dumps({"images": [{"id": 8, "file_name": "m.tif", "width": 64, "height": 32}], "categories": [{"id": 2, "name": "kelp", "supercategory": "sea"}], "annotations": [{"id": k, "image_id": 8, "category_id": 2, **shape} for k, shape in enumerate(shapes)]})
+    flags = {"area": 12.0, "iscrowd": 0}
     rows = [
-        ("rle", '{"images":[{"id":1,"file_name":"a","width":9,"height":9}],"categories":[{"id":1,"name":"c","supercategory":""}],"annotations":[{"id":1,"image_id":1,"category_id":1,"area":1.0,"iscrowd":0,"bbox":[1,2,3,4],"segmentation":{"size":[10,10],"counts":"A1B2"}}]}'),
-        ("bad", '{"images":[],"categories":[],"annotations":[{"id":1,"image_id":1,"category_id":1,"area":1.0,"iscrowd":0,"segmentation":[[0,0,1]]}]}'),
-        ("lacks", '{"images":[],"categories":[],"annotations":[{"id":1,"image_id":1,"category_id":1}]}'),
-        ("text", "no json"),
-    ]
+        ("lengths", document({**flags, "bbox": [7, 5, 2.5, 6], "segmentation": {"size": [32, 64], "counts": "0kP"}})),
+        ("bad", document({**flags, "segmentation": [[4, 4, 9]]}, {**flags, "bbox": [1, 1, 1]})),
+        ("lacks", document({"bbox": [7, 5, 2, 6]})), ("cut", document({**flags, "bbox": [1, 2, 3, 4]})[:-3]), ("list", "[1, 2]"),
+    ]
     ds, warnings = bundles.read_coco(spark.createDataFrame([(k, 0, "a.json", v) for k, v in rows], "dataset_id string, ord long, path string, content string"))
     found = ds.annotations.collect()
-    assert len(found) == 1 and (found[0].geometry.kind, found[0].geometry.w) == ("bounding_box", 3.0)
-    assert {(r.dataset_id, r.code) for r in warnings.collect()} == {("bad", "invalid_record"), ("lacks", "parse_error"), ("text", "parse_error")}
+    assert [(r.dataset_id, r.geometry.kind, r.geometry.w) for r in found] == [("lengths", "bounding_box", 2.5)]
+    assert sorted((r.dataset_id, r.code) for r in warnings.collect()) == [("bad", "invalid_record"), ("bad", "invalid_record"), ("cut", "parse_error"), ("lacks", "parse_error"), ("list", "parse_error")]
