@@ -19,6 +19,9 @@ _NAMES = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN '  ' WHEN 1 THEN ' a/b:c*
 _UPLOADS = "SELECT upload_id, page_id AS ord, raw_name, CASE WHEN page_id % 31 = 0 THEN 0 WHEN page_id % 97 = 1 THEN 600000000 ELSE size_bytes * 9000 END AS size_bytes FROM fx_upload_names"
 _LIMIT = 256 << 20
 
+#: All images, and every eleventh one once more under an id that has no build.
+_WITH_UNBUILT = "SELECT image_id FROM fx_images UNION ALL SELECT image_id + 1000000 FROM fx_images WHERE image_id % 11 = 0"
+
 QUERIES = {
     "s1_scan_catalog": lambda s, d: catalog.catalog(view(s, d, "fx_images").select("path")),
     "s2_count_images": lambda s, d: catalog.count_images(view(s, d, "fx_images")),
@@ -45,7 +48,7 @@ QUERIES = {
     "t4_severity_rank": lambda s, d: view(s, d, "fx_request_log").groupBy("endpoint").agg(F.max(telemetry.severity_rank(F.expr("CASE error_code div 1000 WHEN 1 THEN 'Warning' WHEN 4 THEN 'Error' WHEN 5 THEN 'Fatal' WHEN 9 THEN 'Odd' ELSE 'Info' END"))).cast("int").alias("severity")),
     "t5_latency_summary": lambda s, d: telemetry.latency_summary(rows(s, d, "SELECT event_type, value FROM events"), "event_type", "value"),
     "t6_pyramid_status": lambda s, d: view(s, d, "fx_build_status").select("image_id", telemetry.pyramid_status(F.col("status_text")).alias("status")),
-    "t7_pending_builds": lambda s, d: telemetry.pending_builds(view(s, d, "fx_images"), view(s, d, "fx_build_status").where("image_id % 11 <> 0")),
+    "t7_pending_builds": lambda s, d: telemetry.pending_builds(rows(s, d, _WITH_UNBUILT), view(s, d, "fx_build_status")),
     "t8_build_outcomes": lambda s, d: telemetry.build_outcomes(view(s, d, "fx_images").join(view(s, d, "fx_build_status"), "image_id").withColumn("status", telemetry.pyramid_status(F.col("status_text"))).select("project", F.when(F.col("status").isin("ready", "building"), "skipped").when(F.col("status") == "failed", "failed").otherwise("generated").alias("outcome"))),
     "t9_build_progress": lambda s, d: rows(s, d, "SELECT image_id, image_id % 8 AS level, 8 AS levels FROM fx_images").select("image_id", *(c.alias(n) for c, n in zip(telemetry.build_progress(F.col("level"), F.col("levels")), ("progress", "eta_s"), strict=True))),
     "t11_stale_connections": lambda s, d: telemetry.stale_connections(rows(s, d, "SELECT user_id, ts FROM events")),
@@ -101,7 +104,7 @@ SQL = {
     "t4_severity_rank": "SELECT endpoint, max(CASE WHEN error_code IS NULL THEN 0 ELSE CASE error_code // 1000 WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 9 THEN NULL ELSE 0 END END) AS severity FROM fx_request_log GROUP BY endpoint",
     "t5_latency_summary": "SELECT event_type, min(value) AS min, list_sort(list(value))[count(*) // 2 + 1] AS median, avg(value) AS mean FROM events GROUP BY event_type",
     "t6_pyramid_status": "SELECT image_id, CASE WHEN trim(status_text) = 'ready' THEN 'ready' WHEN trim(status_text) = 'building' THEN 'building' WHEN trim(status_text) LIKE 'failed:%' THEN 'failed' ELSE 'pending' END AS status FROM fx_build_status",
-    "t7_pending_builds": "SELECT i.image_id, CASE WHEN trim(status_text) LIKE 'failed:%' THEN 'failed' ELSE 'pending' END AS status FROM fx_images i LEFT JOIN (SELECT * FROM fx_build_status WHERE image_id % 11 <> 0) b ON b.image_id = i.image_id WHERE coalesce(trim(status_text), '') NOT IN ('ready', 'building')",
+    "t7_pending_builds": f"SELECT i.image_id, CASE WHEN trim(status_text) LIKE 'failed:%' THEN 'failed' ELSE 'pending' END AS status FROM ({_WITH_UNBUILT}) i LEFT JOIN fx_build_status b ON b.image_id = i.image_id WHERE coalesce(trim(status_text), '') NOT IN ('ready', 'building')",
     "t8_build_outcomes": "WITH o AS (SELECT project, CASE WHEN trim(status_text) IN ('ready', 'building') THEN 'skipped' WHEN trim(status_text) LIKE 'failed:%' THEN 'failed' ELSE 'generated' END AS outcome FROM fx_images JOIN fx_build_status USING (image_id)) SELECT project, count(*) FILTER (WHERE outcome = 'generated') AS generated, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM o GROUP BY project",
     "t9_build_progress": "SELECT image_id, (image_id % 8) / 8.0::DOUBLE AS progress, CASE WHEN image_id % 8 > 0 THEN (8 - image_id % 8) * 2 END AS eta_s FROM fx_images",
     "t11_stale_connections": """WITH g AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, floor((epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000)) / 1000.0) AS gap FROM events),

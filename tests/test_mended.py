@@ -161,3 +161,22 @@ def test_numbers_go_on_over_blocks(spark):
     got = ordinals.running(spark.createDataFrame(rows, "key string, ord long, on boolean"), "key", ["ord"], F.col("on"), "n").collect()
     for r in got:
         assert r.n == sum(on for k, o, on in rows if k == r.key and o <= r.ord)
+
+
+def test_simplifying_by_recursion():
+    def plain(points, epsilon):
+        if len(points) < 3:
+            return points
+        (ax, ay), (bx, by) = points[0], points[-1]
+        length = np.float32(np.hypot(bx - ax, by - ay))
+        away = [abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / length if length else np.hypot(x - ax, y - ay) for x, y in points[1:-1]]
+        k = max(range(len(away)), key=lambda i: (away[i], -i))
+        if away[k] <= epsilon:
+            return [points[0], points[-1]]
+        return plain(points[: k + 2], epsilon)[:-1] + plain(points[k + 1 :], epsilon)
+
+    rng = random.Random(6)
+    for _ in range(200):
+        points = [(float(rng.randrange(40)), float(rng.randrange(40))) for _ in range(rng.randrange(0, 40))]
+        epsilon = rng.choice((0.4, 1.5, 6.3))
+        assert [tuple(map(float, p)) for p in masks.simplify(np.array(points, np.float32), epsilon)] == plain(points, epsilon)
