@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import settle
 
 KEY = "dataset_id"
 
@@ -187,7 +188,7 @@ def semantic_rows(ds: Dataset, decimals: int = 3) -> DataFrame:
 
 def roundtrip_diff(a: Dataset, b: Dataset, decimals: int = 3) -> DataFrame:
     """Rows of one dataset only, with ``side``."""
-    x, y = semantic_rows(a, decimals), semantic_rows(b, decimals)
+    x, y = settle(semantic_rows(a, decimals), "semantic"), settle(semantic_rows(b, decimals), "semantic")  # each is read twice
     return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
 
 
