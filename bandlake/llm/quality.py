@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import in_tasks, settle
-
 from . import textbits
-from .samples import labelled_sample
 
 FEATURES = ("junk", "marks", "capitals", "digits", "words_short", "words_long", "repeats", "pairs_repeat", "mark_ends", "spread", "length")
 _CLASS = np.zeros((256, 5))

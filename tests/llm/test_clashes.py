@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from bandlake.llm import chat, decontaminate, langid, linededup, mixing, ngram_join, quality, toxicity
+from bandlake.llm import decontaminate, langid, linededup, mixing, ngram_join, quality, toxicity
 
 NAMES = ("kept", "text_", "features", "raw", "cell", "word", "bits", "gone", "key", "tie", "at", "sig", "line", "component", "head", "n", "drop", "once", "size", "src", "score_", "lang_found", "part", "__text", "__id", "a b")
 EXTRA = ", ".join(f"`{n}` string" for n in NAMES)

@@ -3,7 +3,6 @@ import re
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
 from bandlake.llm import chat, components, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, quality, toxicity
 from bandlake.llm.samples import labelled_sample
