@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, quality, toxicity, whitening
+from . import alignment, chat, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, quality, toxicity, whitening
 from .samples import labelled_sample
 
 
@@ -63,6 +63,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns.unionByName(extra)))
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_measures(table(spark, sf_dir, "documents"))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -155,7 +159,7 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_image_copies": op9_image_copies, "op10_chat_windows": op10_chat_windows, "op12_whiten": op12_whiten}
+    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_image_copies": op9_image_copies, "op10_chat_windows": op10_chat_windows, "op11_align_tokens": op11_align_tokens, "op12_whiten": op12_whiten}
 
 
 def oracle_sql() -> dict[str, str]:
