@@ -27,7 +27,7 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: An id pair is one number: ids are below 2**24.
 SHIFT = 24
 #: Links that are spread out at once, tokens handed on at once, and pairs that a task holds before it gives its sums away.
-LINKS, TOKENS, HELD = 1 << 21, 1 << 19, 1 << 20
+LINKS, TOKENS, HELD = 1 << 17, 1 << 16, 1 << 18
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 _ALIGNED = "text_key binary, n_docs long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 
@@ -190,7 +190,7 @@ class _Part:
         return out
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def _spelled(code: int) -> bytes:
     return b"%d%s" % (code >> 2, (b",", b"|", b";")[code & 3])
 
