@@ -28,8 +28,10 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SHIFT = 24
 #: Links that are spread out at once, tokens handed on at once, and pairs that a task holds before it gives its sums away.
 LINKS, TOKENS, HELD = 1 << 17, 1 << 16, 1 << 18
+#: Rows of a part, and how many spelled ids are added to a task's table at once (as a power of two, times four).
+ROWS, SPELLED = 1 << 14, 16
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-_ALIGNED = "text_key binary, n_docs long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+_ALIGNED = "text_key binary, n_docs long, n_a long, n_b long, a_ids binary, b_ids binary, a_cuts binary, b_cuts binary"
 
 
 @dataclass(frozen=True)
@@ -70,21 +72,21 @@ class Engines:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_lengths, self.b_lengths = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes))
 
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(A ids, B ids, A tokens of each group, B tokens of each group); nothing if either doesn't spell space + text."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none, none, none
-        spaced = f" {text}"
-        want = spaced.encode()
-        a, b = self.a.encode_ordinary(spaced), self.b.encode(text, num_threads=1)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
-            return none, none, none, none
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        a_ends, b_ends = self.a_lengths[a].cumsum(), self.b_lengths[b].cumsum()
-        at = np.searchsorted(b_ends, a_ends)  # the last ends are equal, so there always is one
-        both = np.flatnonzero(b_ends[at] == a_ends)
-        return a, b, np.diff(both, prepend=-1), np.diff(at[both], prepend=-1)
+    def align(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(A ids, B ids, which A tokens end a group, which B tokens do) of each text; nothing if one doesn't spell space + text."""
+        a_ids, b_ids = [], []
+        for text in texts:
+            b = self.b.encode(text, num_threads=1) if text else []
+            spelled = bool(b) and b"".join(map(self.b_bytes.__getitem__, b)) == f" {text}".encode()
+            a_ids.append(self.a.encode_ordinary(f" {text}") if spelled else [])  # byte-level tokens spell any text
+            b_ids.append(b if spelled else [])
+        a, b = (np.fromiter((i for own in ids for i in own), np.int64) for ids in (a_ids, b_ids))
+        a_ends, b_ends = self.a_lengths[a].cumsum(), self.b_lengths[b].cumsum()  # both kinds have as many bytes a text, so offsets agree across texts
+        found = [np.zeros(1 + int(a_ends[-1]) if len(a) else 1, bool) for _ in range(2)]
+        found[0][a_ends] = found[1][b_ends] = True
+        a_cuts, b_cuts = found[1][a_ends], found[0][b_ends]
+        cut = lambda flat, ids: np.split(flat, np.cumsum([len(x) for x in ids])[:-1]) if ids else []
+        return list(zip(cut(a, a_ids), cut(b, b_ids), cut(a_cuts, a_ids), cut(b_cuts, b_ids), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -92,16 +94,12 @@ def engines(files: Tokenizers) -> Engines:
     return Engines(files)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32)))
-
-
 def align(docs: DataFrame, *, tokenizers: Tokenizers | None = None, text_col: str = "text") -> DataFrame:
-    """(text_key, n_docs, a_ids, b_ids, a_sizes, b_sizes) of each distinct text that is neither null nor empty.
+    """(text_key, n_docs, n_a, n_b, a_ids, b_ids, a_cuts, b_cuts) of each distinct text that is neither null nor empty.
 
-    ``text_key`` is the text's sha-256, ``n_docs`` how many rows hold it; the sizes say how many tokens of each kind a group
-    has. Texts that one of the tokenizers doesn't spell as space + text have empty arrays. A text is tokenised whole, in
+    ``text_key`` is the text's sha-256, ``n_docs`` how many rows hold it. Ids are packed as little-endian numbers of two
+    bytes (four for a vocabulary of more than 65,536), cuts as a bit for each token that ends a group; ``unpacked`` gives
+    arrays. Texts that one of the tokenizers doesn't spell as space + text have no tokens. A text is tokenised whole, in
     memory that grows with it; equal texts are added up before the shuffle.
     """
     spark = docs.sparkSession
@@ -109,24 +107,57 @@ def align(docs: DataFrame, *, tokenizers: Tokenizers | None = None, text_col: st
     texts = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0).groupBy("text").agg(F.count("*").alias("n_docs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, tokens = [], 0
+        own = engines(shared.value)
+        widths = ["<u2" if len(t) <= 1 << 16 else "<u4" for t in (own.a_bytes, own.b_bytes)]
+        for batch in batches:
+            column, at = batch.column(0), 0
+            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]).astype(np.int64)
+            while at < len(column):
+                stop = max(at + 1, at + int(np.searchsorted(sizes[at:].cumsum(), 2 * TOKENS, "right")))
+                texts = column.slice(at, stop - at)
+                found = own.align(texts.to_pylist())
+                columns = [
+                    pa.array([hashlib.sha256(t.as_buffer()).digest() for t in texts], pa.binary()), batch.column(1).slice(at, stop - at),
+                    *[pa.array([len(f[k]) for f in found], pa.int64()) for k in (0, 1)], *[pa.array([f[k].astype(widths[k]).tobytes() for f in found], pa.binary()) for k in (0, 1)],
+                    *[pa.array([np.packbits(f[k]).tobytes() for f in found], pa.binary()) for k in (2, 3)],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["text_key", "n_docs", "n_a", "n_b", "a_ids", "b_ids", "a_cuts", "b_cuts"])
+                at = stop
+
+    return texts.transform(in_tasks, run, _ALIGNED)
+
+
+def unpacked(aligned: DataFrame) -> DataFrame:
+    """(text_key, n_docs, a_ids, b_ids, a_sizes, b_sizes) of aligned texts, as arrays; the sizes say how many tokens of each kind a group has."""
 
-        def ready() -> pa.RecordBatch:
-            keys, counts, *arrays = zip(*made, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), *[_lists(list(x)) for x in arrays]], names=["text_key", "n_docs", "a_ids", "b_ids", "a_sizes", "b_sizes"])
+    def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], lengths.cumsum())).astype(np.int32)), pa.array(values.astype(np.int32)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, n in zip(batch.column(0), batch.column(1), strict=True):
-                found = engines(shared.value).align(text.as_py())
-                made.append((hashlib.sha256(text.as_buffer()).digest(), n.as_py(), *found))
-                tokens += len(found[0]) + len(found[1])
-                if tokens >= TOKENS or len(made) >= 10_000:
-                    yield ready()
-                    made, tokens = [], 0
-        if made:
-            yield ready()
+            for part in _parts(batch):
+                columns = [part.keys, pa.array(part.weights), lists(part.a, part.n_a), lists(part.b, part.n_b), lists(part.a_sizes, part.n_groups), lists(part.b_sizes, part.n_groups)]
+                yield pa.RecordBatch.from_arrays(columns, names=["text_key", "n_docs", "a_ids", "b_ids", "a_sizes", "b_sizes"])
 
-    return texts.transform(in_tasks, run, _ALIGNED)
+    return aligned.transform(in_tasks, run, "text_key binary, n_docs long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>")
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column's rows, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
+
+
+def _ids(column: pa.Array, total: int) -> np.ndarray:
+    data = _bytes(column)
+    return data.view("<u2" if len(data) == 2 * total else "<u4").astype(np.int64)
+
+
+def _bits(column: pa.Array, lengths: np.ndarray) -> np.ndarray:
+    """The first ``lengths`` bits of each row, each of which is filled up to whole bytes."""
+    held = (lengths + 7) // 8
+    begin = np.repeat(8 * (held.cumsum() - held), lengths)
+    return np.unpackbits(_bytes(column))[begin + np.arange(len(begin)) - np.repeat(lengths.cumsum() - lengths, lengths)].astype(bool)
 
 
 class _Part:
@@ -134,12 +165,14 @@ class _Part:
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        self.rows = batch.num_rows
-        self.weights = column["n_docs"].to_numpy()
-        self.keys = column["text_key"]
-        self.a, self.b, self.a_sizes, self.b_sizes = (column[c].flatten().to_numpy().astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
-        self.lengths = {c: np.diff(column[c].offsets.to_numpy()).astype(np.int64) for c in ("a_ids", "b_ids", "a_sizes")}
-        self.owner = np.repeat(np.arange(self.rows), self.lengths["a_sizes"])
+        self.rows, self.keys, self.weights = batch.num_rows, column["text_key"], column["n_docs"].to_numpy()
+        self.n_a, self.n_b = column["n_a"].to_numpy(), column["n_b"].to_numpy()
+        self.a, self.b = (_ids(column[c], int(n.sum())) for c, n in (("a_ids", self.n_a), ("b_ids", self.n_b)))
+        ends = np.flatnonzero(_bits(column["a_cuts"], self.n_a))
+        self.a_sizes = np.diff(ends, prepend=-1)
+        self.b_sizes = np.diff(np.flatnonzero(_bits(column["b_cuts"], self.n_b)), prepend=-1)
+        self.owner = np.repeat(np.arange(self.rows), self.n_a)[ends]
+        self.n_groups = np.bincount(self.owner, minlength=self.rows).astype(np.int64)
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row, pair, times) of the links; a pair may come several times. Groups too large to be spread out go by their distinct ids, some at a time."""
@@ -175,39 +208,41 @@ class _Part:
         """sha-256 of each row's groups: A ids, bar, B ids; groups parted by semicolons, ids by commas."""
         na, nb = self.a_sizes, self.b_sizes
         a_ends, b_ends = na.cumsum(), nb.cumsum()
-        place = np.arange(len(na))
         a_spot = np.arange(len(self.a)) + np.repeat(b_ends - nb, na)  # after the B tokens of earlier groups
-        b_spot = np.arange(len(self.b)) + np.repeat(a_ends[place], nb)
+        b_spot = np.arange(len(self.b)) + np.repeat(a_ends, nb)
         codes = np.empty(len(self.a) + len(self.b), np.int64)
         codes[a_spot], codes[b_spot] = self.a << 2, self.b << 2
         codes[a_spot[a_ends - 1]] |= 1
         codes[b_spot[b_ends - 1]] |= 2
-        out, at = [], 0
-        for size in (self.lengths["a_ids"] + self.lengths["b_ids"]).tolist():
-            text = b"".join(map(_spelled, codes[at : at + size].tolist()))
+        out, at, spelled = [], 0, _spelled(1 + int(codes.max(initial=0) >> SPELLED))
+        for size in (self.n_a + self.n_b).tolist():
+            text = b"".join(map(spelled.__getitem__, codes[at : at + size].tolist()))
             out.append(hashlib.sha256(text[:-1]).hexdigest() if size else "")
             at += size
         return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _spelled(code: int) -> bytes:
-    return b"%d%s" % (code >> 2, (b",", b"|", b";")[code & 3])
+@lru_cache(maxsize=8)
+def _spelled(blocks: int) -> list[bytes]:
+    """Each id with a comma, a bar, a semicolon or nothing behind it."""
+    return [b"%d%s" % (code >> 2, (b",", b"|", b";", b"")[code & 3]) for code in range(blocks << SPELLED)]
 
 
 def _added(row: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((pair, row))
-    row, pair, times = row[order], pair[order], times[order]
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(pair) != 0)))) if len(row) else np.zeros(0, np.int64)
-    return row[first], pair[first], np.add.reduceat(times, first) if len(first) else times
+    """Rows are below 2**15 and pairs below 2**48, so both are one number to sort by."""
+    key = (row << 2 * SHIFT) | pair
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key = key[first]
+    return key >> 2 * SHIFT, key & ((1 << 2 * SHIFT) - 1), np.add.reduceat(times, first) if len(first) else times
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[_Part]:
-    """Cuts a batch so that the tokens of a part are bounded, but for a single text's."""
-    sizes = np.diff(batch.column(batch.schema.get_field_index("a_ids")).offsets.to_numpy())
-    at = 0
+    """Cuts a batch so that rows and tokens of a part are bounded, but for a single text's tokens."""
+    sizes, at = batch.column(batch.schema.get_field_index("n_a")).to_numpy(), 0
     while at < batch.num_rows:
-        stop = max(at + 1, at + int(np.searchsorted(sizes[at:].cumsum(), TOKENS, "right")))
+        stop = max(at + 1, at + int(np.searchsorted(sizes[at : at + ROWS].cumsum(), TOKENS, "right")))
         yield _Part(batch.slice(at, stop - at))
         at = stop
 
@@ -291,7 +326,7 @@ def text_measures(aligned: DataFrame, pairs: DataFrame, *, limit: int = 1 << 20)
                 left = pa.StructArray.from_arrays([pa.array(pair[~hit]), pa.array(times[~hit])], names=["pair", "times"])
                 ends = np.concatenate(([0], np.bincount(row[~hit], minlength=n).cumsum())).astype(np.int32)
                 columns = [
-                    part.keys, pa.array(part.lengths["a_ids"]), pa.array(part.lengths["b_ids"]), pa.array(part.lengths["a_sizes"]), pa.array(added(part.owner, part.a_sizes * part.b_sizes)),
+                    part.keys, pa.array(part.n_a), pa.array(part.n_b), pa.array(part.n_groups), pa.array(added(part.owner, part.a_sizes * part.b_sizes)),
                     pa.array(added(row_hit, np.where(best[at_hit], times_hit, 0))), pa.array(added(row_hit, times_hit * counts[at_hit])), pa.array(part.digests(), pa.string()),
                     pa.ListArray.from_arrays(pa.array(ends), left),
                 ]

@@ -5,6 +5,8 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from bandlake.llm import alignment
@@ -90,16 +92,33 @@ def test_measures_equal_the_plain_version(spark, plain, limit):
     assert got == measured(plain, rows)
 
 
+def packed(found):
+    columns = [[b"k"] * len(found), [1] * len(found), *[[len(f[k]) for f in found] for k in (0, 1)], *[[f[k].astype("<u4").tobytes() for f in found] for k in (0, 1)], *[[np.packbits(f[k]).tobytes() for f in found] for k in (2, 3)]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["text_key", "n_docs", "n_a", "n_b", "a_ids", "b_ids", "a_cuts", "b_cuts"])
+
+
+def test_unpacked_groups_are_the_plain_ones(spark, plain):
+    rows = corpus()
+    want = {}
+    for _, text in rows:
+        if text:
+            n, g = want.get(text, (0, groups_of(*t) if (t := plain(text)) else []))
+            want[text] = n + 1, g
+    want = {hashlib.sha256(t.encode()).digest(): v for t, v in want.items()}
+    found = alignment.unpacked(alignment.align(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(found) == len(want)
+    for r in found:
+        n, g = want[bytes(r.text_key)]
+        assert r.n_docs == n and (r.a_sizes, r.b_sizes) == ([len(a) for a, _ in g], [len(b) for _, b in g])
+        assert (r.a_ids, r.b_ids) == ([i for a, _ in g for i in a], [i for _, b in g for i in b])
+
+
 def test_large_groups_go_by_their_distinct_ids(spark, plain, monkeypatch):
     rows = [(k, t) for k, t in enumerate(["漢字" * 30, "aab" * 50, "éàü" * 40, "ab 12"])]
     engines = alignment.engines(alignment.load())
     monkeypatch.setattr(alignment, "LINKS", 2)
-    import pyarrow as pa
-
-    found = [engines.align(t) for _, t in rows]
-    batch = pa.RecordBatch.from_arrays([pa.array([b"k"] * 4), pa.array([1] * 4), *[alignment._lists([f[k] for f in found]) for k in range(4)]], names=["text_key", "n_docs", "a_ids", "b_ids", "a_sizes", "b_sizes"])
-    for k, (_, text) in enumerate(rows):
-        row, pair, times = alignment._Part(batch.slice(k, 1)).distinct()
+    for _, text in rows:
+        row, pair, times = alignment._Part(packed(engines.align([text]))).distinct()
         want = Counter((a << 24 | b) for left, right in groups_of(*plain(text)) for a in left for b in right)
         assert dict(zip(pair.tolist(), times.tolist(), strict=True)) == want
 
@@ -109,7 +128,7 @@ def test_same_ids_as_the_vocabulary_files_own_library(plain):
     for _ in range(3000):
         text = "".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(128, 0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(1, 12)))
         both = plain(text)
-        a, b, *_ = engines.align(text)
+        a, b, *_ = engines.align([text])[0]
         assert (a.tolist(), b.tolist()) == (([i for i, _ in both[0]], [i for i, _ in both[1]]) if both else ([], []))
 
 
