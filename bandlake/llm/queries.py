@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import alignment, chat, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, quality, toxicity, whitening
+from . import alignment, chat, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, privacy, quality, toxicity, whitening
 from .samples import labelled_sample
 
 
@@ -71,6 +71,10 @@ def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.span_digests(privacy.find_private(table(spark, sf_dir, "documents")))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -159,7 +163,7 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_image_copies": op9_image_copies, "op10_chat_windows": op10_chat_windows, "op11_align_tokens": op11_align_tokens, "op12_whiten": op12_whiten}
+    return {"op1_mix_sources": op1_mix_sources, "op2_quality_rank": op2_quality_rank, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_toxicity": op5_toxicity, "op6_license_scan": op6_license_scan, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_image_copies": op9_image_copies, "op10_chat_windows": op10_chat_windows, "op11_align_tokens": op11_align_tokens, "op12_whiten": op12_whiten, "op13_private_terms": op13_private_terms}
 
 
 def oracle_sql() -> dict[str, str]:
