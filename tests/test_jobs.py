@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bandlake.operators import annotations as A
@@ -53,13 +54,52 @@ def test_streams(spark, tmp_path):
     query = jobs.endpoint_metrics_stream(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")).writeStream.outputMode("complete").format("memory").queryName("metrics").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("metrics").collect()} == {("a", 2, 1, 6, 8), ("b", 1, 0, 1, 1)}
-    write(tmp_path, "in/x.npy", b"1")
-    write(tmp_path, "in/y.txt", b"1")
-    seen = []
-    for _ in range(2):
-        jobs.incremental_pyramids(spark, f"{tmp_path}/in", f"{tmp_path}/check", lambda batch: seen.extend(r.path.rsplit("/", 1)[1] for r in batch.collect())).awaitTermination()
-        write(tmp_path, "in/z.npy", b"1")
-    assert sorted(seen) == ["x.npy", "z.npy"]
+
+
+def test_only_new_and_changed_files_are_built(spark, tmp_path):
+    cube = lambda k: npy(np.arange(4 * 6 * 5, dtype=np.uint8).reshape(4, 6, 5) * k % 251)
+    given, store, state = (f"{tmp_path}/{n}" for n in ("in", "store", "seen"))
+    look = lambda: jobs.incremental_pyramids(spark, given, store, state, f"{tmp_path}/check", min_side=2).awaitTermination()
+    built = lambda: {r.image_id: r.n for r in spark.read.parquet(f"{store}/meta").where("level = 0").groupBy("image_id").agg(F.count("*").alias("n")).collect()}
+    for name, k in (("a/x.npy", 1), ("y.npy", 2), ("z.npy", 3)):
+        write(tmp_path, f"in/{name}", cube(k))
+    write(tmp_path, "in/broken.npy", b"nothing")
+    write(tmp_path, "in/notes.txt", b"x")
+    look()
+    assert built() == {"a/x.npy": 1, "y.npy": 1, "z.npy": 1}
+    look()  # nothing has changed
+    assert built() == {"a/x.npy": 1, "y.npy": 1, "z.npy": 1}
+    before = {(r.image_id, r.layer): bytes(r.rgba) for r in files.read_level(spark, store, 0).collect()}
+    write(tmp_path, "in/y.npy", cube(7))  # in its place
+    write(tmp_path, "in/w.npy", cube(4))
+    write(tmp_path, "in/broken.npy", cube(5))
+    look()
+    assert built() == {"a/x.npy": 1, "y.npy": 2, "z.npy": 1, "w.npy": 1, "broken.npy": 1}
+    after = {(r.image_id, r.layer): bytes(r.rgba) for r in files.read_level(spark, store, 0).collect()}
+    assert after["y.npy", 0] != before["y.npy", 0] and after["z.npy", 0] == before["z.npy", 0]
+    direct = files.read_npy(files.read_files(spark, given).where("path = 'y.npy'")).withColumn("px", F.col("px").cast("array<float>"))
+    assert after["y.npy", 0] == bytes(pixels.pack_layers(pixels.normalize_cube(direct)).where("layer = 0").first().rgba)
+    seen = {r.path: (r.error, r.look) for r in jobs.seen_files(spark, state).collect()}
+    assert seen == {"a/x.npy": (None, 0), "y.npy": (None, 2), "z.npy": (None, 0), "w.npy": (None, 2), "broken.npy": (None, 2)}
+    jobs.compact_seen(spark, state, f"{tmp_path}/seen2")
+    assert jobs.fresh_files(files.list_files(spark, given), jobs.seen_files(spark, f"{tmp_path}/seen2")).count() == 0
+
+
+def test_a_repeated_look_replaces_its_builds(spark, tmp_path):
+    write(tmp_path, "in/x.npy", npy(np.ones((4, 2, 2), np.uint8)))
+    for _ in range(2):  # as if the first had broken off before it noted what it saw
+        assert jobs.build_fresh(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/state-{_}", min_side=1) == 1
+    assert files.read_level(spark, f"{tmp_path}/store", 0).count() == 2 and files.read_pyramid_meta(spark, f"{tmp_path}/store").count() == 2
+    assert jobs.build_fresh(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/state-1") == 0
+
+
+def test_rejected_rasters_and_roots(spark, tmp_path):
+    write(tmp_path, "a.png", b"no image")
+    write(tmp_path, "b.webp", b"RIFF")
+    write(tmp_path, "c.txt", b"x")
+    assert {(r.origin.rsplit("/", 1)[1], r.error) for r in files.rejected_rasters(spark, str(tmp_path)).collect()} == {("a.png", "not a readable image"), ("b.webp", "no reader for WebP")}
+    with pytest.raises(ValueError, match="mounted"):
+        files.write_files(spark.createDataFrame([("x", b"1")], "path string, content binary"), "hdfs://nn/x")
 
 
 def dataset(spark):
