@@ -190,7 +190,7 @@ def datumaro_geometry(kind: Column, values: Column, policy: str, bbox_tags: tupl
     strict, lossy = policy == "strict", policy == "allow_lossy_warn"
     is_box, polygon, dots = kind.isin(*bbox_tags), kind == "polygon", kind == "points"
     unknown = ~(is_box | polygon | dots)
-    error = F.when(polygon & ((n < 6) | (n % 2 != 0)), "Datumaro polygon must have an even number of values >= 6").when(dots & (n < 2), "Datumaro points must contain at least one point")
+    error = F.when(is_box & (F.coalesce(n, F.lit(0)) != 4), "Datumaro box must have 4 values").when(polygon & ((n < 6) | (n % 2 != 0)), "Datumaro polygon must have an even number of values >= 6").when(dots & (n < 2), "Datumaro points must contain at least one point")
     if strict:
         error = error.when(dots & (n > 2), "Datumaro multi-point annotation cannot map to a single Point").when(unknown, "Unknown Datumaro annotation type")
     first = geometry("point", x=F.get(values, F.lit(0)), y=F.get(values, F.lit(1)))

@@ -1,7 +1,8 @@
 """Annotation datasets: class indexes, lookups, label lines, merging, comparing and reports.
 
-A dataset is four frames keyed by dataset_id: ``images`` (image_id, file_name, width, height, ord), ``categories`` (category_id, name,
-ord), ``annotations`` (annotation_id, image_id, category_id, geometry, ord). ``ord`` is the input order.
+A dataset is frames keyed by dataset_id: ``images`` (image_id, file_name, width, height, ord), ``categories`` (category_id, name,
+ord), ``annotations`` (annotation_id, image_id, category_id, geometry, attributes, ord) and, where it is known, ``info`` (description,
+version, year, contributor, date_created). ``ord`` is the input order, ``attributes`` a VARIANT object, which may be null or absent.
 """
 
 from __future__ import annotations
@@ -22,6 +23,21 @@ class Dataset:
     images: DataFrame
     categories: DataFrame
     annotations: DataFrame
+    info: DataFrame | None = None
+
+
+def attributes_text(annotations: DataFrame) -> Column:
+    """The attributes as JSON with sorted keys, ``{}`` for none."""
+    return F.coalesce(F.to_json("attributes"), F.lit("{}")) if "attributes" in annotations.columns else F.lit("{}")
+
+
+def _described(documents: DataFrame, ds: Dataset, info: str) -> DataFrame:
+    """``documents`` with the dataset's info, or with ``info`` as the description."""
+    text = lambda c, other="": F.coalesce(F.col(f"i.{c}"), F.lit(other)).alias(c)
+    given = ds.info if ds.info is not None else documents.select(KEY, F.lit(info).alias("description"), F.lit("").alias("version"), F.lit(None).cast("long").alias("year"), F.lit("").alias("contributor"), F.lit("").alias("date_created"))
+    packed = given.select(KEY, F.struct("description", "version", "year", "contributor", "date_created").alias("i"))
+    about = F.struct(text("description", info), text("version"), F.coalesce("i.year", F.lit(0)).alias("year"), text("contributor"), text("date_created"))
+    return documents.join(packed, KEY, "left").withColumn("info", about).drop("i")
 
 
 def dense_class_index(categories: DataFrame) -> DataFrame:
@@ -109,32 +125,34 @@ def coco_documents(ds: Dataset, info: str = "") -> tuple[DataFrame, DataFrame]:
     entry = F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", "c.bbox", "c.segmentation", "c.area", F.lit(0).alias("iscrowd"), F.col("c.point").alias("point"))
     ordered = lambda df, e, name: df.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", e.alias("e")))), lambda x: x["e"]).alias(name))
     images = ordered(ds.images, F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"), "images")
-    categories = ordered(ds.categories, F.struct(F.col("category_id").alias("id"), "name", F.lit("").alias("supercategory")), "categories")
+    categories = ordered(ds.categories, F.struct(F.col("category_id").alias("id"), "name", F.lit("none").alias("supercategory")), "categories")
     annotations = ordered(made.where("c.error IS NULL"), entry, "annotations")
-    joined = images.join(categories, KEY, "left").join(annotations, KEY, "left")
+    joined = _described(images.join(categories, KEY, "left").join(annotations, KEY, "left"), ds, info)
     empty = lambda c: F.coalesce(c, F.array().cast(joined.schema[c].dataType))
-    about = F.struct(F.lit(info).alias("description"), F.lit("").alias("version"), F.lit(0).alias("year"), F.lit("").alias("contributor"), F.lit("").alias("date_created"))
-    doc = F.to_json(F.struct(about.alias("info"), F.array().cast("array<string>").alias("licenses"), "images", empty("annotations").alias("annotations"), empty("categories").alias("categories")))
+    doc = F.to_json(F.struct("info", F.array().cast("array<string>").alias("licenses"), "images", empty("annotations").alias("annotations"), empty("categories").alias("categories")))
     bad = made.where("c.error IS NOT NULL").select(KEY, "annotation_id", F.col("c.error").alias("reason"))
     return joined.select(KEY, F.lit("annotations.json").alias("path"), doc.alias("content")), bad
 
 
 def datumaro_documents(ds: Dataset, info: str = "") -> DataFrame:
-    """dataset_id, path, content: label list by category id, items in image order, sizes as [height, width]."""
+    """dataset_id, path, content: label list by category id, items in image order, sizes as [height, width], attributes as they are."""
     g = F.col("geometry")
     index = dense_class_index(ds.categories)
     kind = F.when(g["kind"] == "bounding_box", "b_box").when(g["kind"] == "polygon", "polygon").otherwise("points")
     bbox = F.when(g["kind"] == "bounding_box", G.box(g["x"], g["y"], g["w"], g["h"]))
     flat = F.when(g["kind"] == "polygon", G.flatten_points(g["points"])).when(g["kind"] == "point", F.array(g["x"], g["y"]))
     known = lookup_class(ds.annotations, index)
-    entry = F.struct(F.col("annotation_id").alias("id"), F.col("class_index").alias("label"), F.lit(0).alias("group"), kind.alias("type"), bbox.alias("bbox"), flat.alias("points"))
+    entry = F.struct(F.col("annotation_id").alias("id"), F.col("class_index").alias("label"), F.lit(0).alias("group"), kind.alias("type"), bbox.alias("bbox"), flat.alias("points"), attributes_text(known).alias("attributes"))
     items = images_with_annotations(Dataset(ds.images, ds.categories, known), entry)
-    item = F.struct(F.col("image_id").cast("string").alias("id"), F.struct(F.col("file_name").alias("path"), F.array("height", "width").alias("size")).alias("image"), F.col("items").alias("annotations"))
+    item = F.struct(F.col("image_id").cast("string").alias("id"), F.struct(F.col("file_name").alias("path"), F.array("height", "width").alias("size")).alias("image"), F.col("items").alias("annotations"), F.lit("{}").alias("attributes"))
     listed = items.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("e")))), lambda x: x["e"]).alias("items"))
     label = F.struct("name", F.lit("").alias("parent"), F.array().cast("array<string>").alias("attributes"))
     labels = ds.categories.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("category_id", "ord", label.alias("e")))), lambda x: x["e"]).alias("label"))
-    doc = F.to_json(F.struct(F.struct(F.lit(info).alias("description")).alias("info"), F.struct("label").alias("categories"), "items"))
-    return listed.join(labels, KEY, "left").select(KEY, F.lit("annotations/default.json").alias("path"), doc.alias("content"))
+    # VARIANT can't be sorted, so attributes are text until here
+    whole = lambda x: x.withField("attributes", F.parse_json(x["attributes"]))
+    full = F.transform("items", lambda i: whole(i.withField("annotations", F.transform(i["annotations"], whole))))
+    doc = F.to_json(F.struct(F.struct("info.description").alias("info"), F.struct("label").alias("categories"), full.alias("items")))
+    return _described(listed.join(labels, KEY, "left"), ds, info).select(KEY, F.lit("annotations/default.json").alias("path"), doc.alias("content"))
 
 
 def select_scope(ds: Dataset, scope: str, indices: list[int] | None = None, current: int = 0) -> Dataset:
@@ -144,14 +162,14 @@ def select_scope(ds: Dataset, scope: str, indices: list[int] | None = None, curr
     wanted = [current] if scope == "current_image" else list(indices or ())
     place = F.row_number().over(Window.partitionBy(KEY).orderBy("ord")) - 1
     images = ds.images.withColumn("place", place).where(F.col("place").isin(wanted)).drop("place")
-    return Dataset(images, ds.categories, ds.annotations.join(images.select(KEY, "image_id"), [KEY, "image_id"], "left_semi"))
+    return Dataset(images, ds.categories, ds.annotations.join(images.select(KEY, "image_id"), [KEY, "image_id"], "left_semi"), ds.info)
 
 
 def merge_datasets(base: Dataset, incoming: Dataset, *, categories: str = "match_by_id", annotations: str = "merge_append") -> Dataset:
     """One dataset of two. Categories match by id or by name, or the incoming ones replace all; annotations of incoming images replace or join the others.
 
     A category that matches by name takes the base's id; one without match keeps its own, or the next free one where that is taken.
-    Images match by id, and the base's rows win.
+    Images match by id, and the base's rows win. Attributes stay with their annotations; the base's info stays.
     """
     own = base.categories.select(KEY, "category_id", "name", "ord")
     new = incoming.categories.select(KEY, "category_id", "name", "ord")
@@ -172,23 +190,27 @@ def merge_datasets(base: Dataset, incoming: Dataset, *, categories: str = "match
         merged = own.unionByName(found.where("known IS NULL").select(KEY, F.col("to").alias("category_id"), "name", "ord"))
         remap = found.select(KEY, "category_id", "to")
     images = base.images.unionByName(incoming.images.join(base.images.select(KEY, "image_id"), [KEY, "image_id"], "left_anti"))
-    moved_rows = incoming.annotations.join(remap, [KEY, "category_id"]).withColumn("category_id", F.col("to")).select(*base.annotations.columns)
-    kept = base.annotations if annotations == "merge_append" else base.annotations.join(incoming.images.select(KEY, "image_id"), [KEY, "image_id"], "left_anti")
-    return Dataset(images, merged, kept.unionByName(moved_rows))
+    own_rows, new_rows = (a if "attributes" in a.columns else a.withColumn("attributes", F.parse_json(F.lit("{}"))) for a in (base.annotations, incoming.annotations))
+    moved_rows = new_rows.join(remap, [KEY, "category_id"]).withColumn("category_id", F.col("to")).select(*own_rows.columns)
+    kept = own_rows if annotations == "merge_append" else own_rows.join(incoming.images.select(KEY, "image_id"), [KEY, "image_id"], "left_anti")
+    info = base.info if base.info is not None else incoming.info
+    return Dataset(images, merged, kept.unionByName(moved_rows), info)
 
 
-def semantic_rows(ds: Dataset, decimals: int = 3) -> DataFrame:
-    """dataset_id, file_name, category, shape: what two datasets are compared by, whatever their ids."""
+def semantic_rows(ds: Dataset, decimals: int = 3, attributes: bool = False) -> DataFrame:
+    """dataset_id, file_name, category, shape (with the ``attributes``, if they count): what two datasets are compared by, whatever their ids."""
     g = F.col("geometry")
     flat = F.when(g["kind"] == "polygon", G.flatten_points(g["points"])).when(g["kind"] == "point", F.array(g["x"], g["y"])).otherwise(F.array(g["x"], g["y"], g["w"], g["h"]))
     shape = F.concat_ws(" ", g["kind"], F.array_join(F.transform(flat, lambda v: F.format_string(f"%.{decimals}f", F.round(v.cast("double"), decimals) + 0.0)), " "))
+    if attributes:
+        shape = F.concat_ws(" ", shape, attributes_text(ds.annotations))
     joined = ds.annotations.join(ds.images.select(KEY, "image_id", "file_name"), [KEY, "image_id"]).join(ds.categories.select(KEY, "category_id", F.col("name").alias("category")), [KEY, "category_id"])
     return joined.select(KEY, "file_name", "category", shape.alias("shape"))
 
 
-def roundtrip_diff(a: Dataset, b: Dataset, decimals: int = 3) -> DataFrame:
+def roundtrip_diff(a: Dataset, b: Dataset, decimals: int = 3, attributes: bool = False) -> DataFrame:
     """Rows of one dataset only, with ``side``."""
-    x, y = settle(semantic_rows(a, decimals), "semantic"), settle(semantic_rows(b, decimals), "semantic")  # each is read twice
+    x, y = (settle(semantic_rows(ds, decimals, attributes), "semantic") for ds in (a, b))  # each is read twice
     return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
 
 

@@ -19,10 +19,13 @@ def dataset(s: SparkSession, d: str, *, known_only: bool = False) -> A.Dataset:
     base = view(s, d, "fx_annotations").join(shapes, "annotation_id", "left").join(images.select("dataset_id", "image_id"), "image_id")
     kind = F.col("kind")
     geometry = F.when(kind == "polygon", G.geometry("polygon", points=F.col("points"))).when(kind == "point", G.geometry("point", x=F.col("x"), y=F.col("y"))).otherwise(G.geometry("bounding_box", x=F.col("x"), y=F.col("y"), w=F.col("w"), h=F.col("h")))
-    annotations = base.select("dataset_id", "annotation_id", "image_id", "category_id", geometry.alias("geometry"), F.col("annotation_id").alias("ord"))
+    told = F.format_string('{"tags":["%s",{"z":null}],"score":%.2f,"occluded":%s}', kind, (F.col("annotation_id") % 97 + 1) / 100, (F.col("image_id") % 2 == 0).cast("string"))
+    attributes = F.when(F.col("annotation_id") % 3 == 0, F.parse_json(told))
+    annotations = base.select("dataset_id", "annotation_id", "image_id", "category_id", geometry.alias("geometry"), attributes.alias("attributes"), F.col("annotation_id").alias("ord"))
     if known_only:
         annotations = annotations.join(categories.select("dataset_id", "category_id"), ["dataset_id", "category_id"], "left_semi")
-    return A.Dataset(images, categories, annotations)
+    info = rows(s, d, "SELECT project AS dataset_id, 'set ' || project AS description, CASE WHEN count(*) % 2 = 0 THEN 'v2' ELSE '' END AS version, CASE WHEN count(*) % 3 > 0 THEN count(*) END AS year, '' AS contributor, '2024' AS date_created FROM fx_images GROUP BY project")
+    return A.Dataset(images, categories, annotations, info)
 
 
 def _geo(s: SparkSession, d: str) -> DataFrame:
@@ -80,9 +83,31 @@ def _roundtrip(s: SparkSession, d: str) -> DataFrame:
     return A.roundtrip_diff(ds, A.Dataset(back.images, back.categories, back.annotations.withColumn("geometry", moved)))
 
 
+def _text(bundle_of, ds: A.Dataset) -> DataFrame:
+    """The documents of a writer as bundles."""
+    return bundle_of(ds).withColumn("ord", F.lit(0).cast("long"))
+
+
+def _odd_documents(s: SparkSession, d: str) -> DataFrame:
+    """A bundle for each page: sound documents and such as are wrong in one place."""
+    return rows(s, d, """SELECT page_id AS dataset_id, 0L AS ord, CASE WHEN page_id % 13 = 12 THEN 'a.txt' ELSE 'annotations/default.json' END AS path,
+      replace(CASE page_id % 13 WHEN 11 THEN '{"categories":{"label":[{"name":"a"}]},"items":[X' WHEN 10 THEN '{"categories":{"label":[{"name":"a"}]},"items":[X]} more' WHEN 9 THEN '{"categories":{"label":[{"name":7}]},"items":[X]}'
+        WHEN 8 THEN '{"items":[X]}' ELSE '{"categories":{"label":[{"name":"a"}]},"items":[X]}' END, 'X',
+      '{"id":"' || CAST(page_id AS STRING) || '","image":{"path":"p","size":' || CASE page_id % 13 WHEN 7 THEN '[5]' ELSE '[5,6]' END || '},"annotations":[{"id":1,"label":' || CASE page_id % 13 WHEN 6 THEN '-1' WHEN 5 THEN '0.0' WHEN 4 THEN '3' ELSE '0' END
+      || ',"type":"b_box","bbox":' || CASE page_id % 13 WHEN 3 THEN '[1,2,3]' WHEN 2 THEN 'null' WHEN 1 THEN '[1,2,3,"4"]' ELSE '[1,2,3.5,4]' END || '}]}') AS content FROM pages""")
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    ds, warnings = B.read_datumaro(_odd_documents(s, d))
+    found = ds.annotations.groupBy("dataset_id").agg(F.count("*").alias("annotations"), F.max(F.col("geometry.w").cast("double")).alias("w"))
+    return _odd_documents(s, d).select("dataset_id").join(found, "dataset_id", "left").join(warnings, "dataset_id", "left").select("dataset_id", "annotations", "w", "code", "message")
+
+
 def _states(s: SparkSession, d: str) -> DataFrame:
-    return rows(s, d, """SELECT page_id, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{"not":"a valid bundle"}' WHEN 2 THEN '{"files":[{"path":"annotations/default.json","bytes":[123,125]},{"path":"x.txt","bytes":[1]}]}'
-      WHEN 3 THEN '{"files":[]}' ELSE '{"files":[{"path":"a"}]}' END AS payload FROM pages""")
+    return rows(s, d, """SELECT page_id, CASE page_id % 14 WHEN 0 THEN '' WHEN 1 THEN '{"not":"a valid bundle"}' WHEN 2 THEN '{"files":[{"path":"annotations/default.json","bytes":[123,125]},{"path":"x.txt","bytes":[1]}]}'
+      WHEN 3 THEN '{"files":[]}' WHEN 4 THEN '{"files":[{"path":"a"}]}' WHEN 5 THEN '{"files":[{"path":"a","bytes":[300,-1]}]}' WHEN 6 THEN '{"files":[{"path":"a","bytes":[null]}]}' WHEN 7 THEN '{"files":[{"path":5,"bytes":[1]}]}'
+      WHEN 8 THEN '{"files":[{"path":"a","bytes":[1],"mime_type":5}]}' WHEN 9 THEN '{"files":[{"path":"a","bytes":[1]}]} more' WHEN 10 THEN '{"files":[{"path":"a","bytes":[],"mime_type":null,"size":1}],"n":2} ' WHEN 11 THEN '{"files":[{"path":"a","bytes":[1.0]}]}'
+      WHEN 12 THEN '{"files":[{"path":"a","bytes":["1"]}]}' ELSE '{"files":[{"path":"a","bytes":[1]}],"files":[]}' END AS payload FROM pages""")
 
 
 QUERIES = {
@@ -118,9 +143,12 @@ QUERIES = {
     "r18_select_scope": lambda s, d: A.select_scope(dataset(s, d), "selected_image_indices", [0, 2, 5]).annotations.select("annotation_id"),
     "r19_merge_datasets": _merge,
     "s9_read_coco": lambda s, d: _shape(B.read_coco(A.coco_documents(dataset(s, d))[0].withColumn("ord", F.lit(0).cast("long")))[0].annotations),
-    "s10_write_coco": lambda s, d: A.coco_documents(dataset(s, d))[0].select("dataset_id", F.explode(F.from_json("content", B._COCO)["annotations"]).alias("a")).select("dataset_id", "a.id", "a.image_id", "a.category_id", F.round(F.col("a.area").cast("double"), 2).alias("area"), *[F.round(F.get("a.bbox", F.lit(k)).cast("double"), 3).alias(f"v{k}") for k in range(4)]),
-    "s11_read_datumaro": lambda s, d: _shape(B.read_datumaro(A.datumaro_documents(dataset(s, d)).withColumn("ord", F.lit(0).cast("long")))[0].annotations),
-    "s12_write_datumaro": lambda s, d: A.datumaro_documents(dataset(s, d)).select("dataset_id", F.explode(F.from_json("content", B._DATUMARO)["items"]).alias("i")).select("dataset_id", F.col("i.id").alias("item"), F.col("i.image.path").alias("path"), F.get("i.image.size", F.lit(0)).alias("height"), F.get("i.image.size", F.lit(1)).alias("width"), F.array_join(F.transform("i.annotations", lambda a: F.concat_ws(":", a["id"], a["label"], a["type"])), ",").alias("annotations")),
+    "s9_read_coco_info": lambda s, d: B.read_coco(_text(lambda ds: A.coco_documents(ds)[0], dataset(s, d)))[0].info,
+    "s10_write_coco": lambda s, d: A.coco_documents(dataset(s, d))[0].select("dataset_id", F.explode(F.from_json("content", f"struct<annotations:{B._COCO_ANNOTATIONS}>")["annotations"]).alias("a")).select("dataset_id", "a.id", "a.image_id", "a.category_id", F.round(F.col("a.area").cast("double"), 2).alias("area"), *[F.round(F.get("a.bbox", F.lit(k)).cast("double"), 3).alias(f"v{k}") for k in range(4)], F.size(F.get(F.try_variant_get("a.segmentation", "$", "array<array<float>>"), F.lit(0))).alias("n_seg"), F.size("a.point").alias("n_point")),
+    "s11_read_datumaro": lambda s, d: (lambda a: _shape(a).join(a.select("dataset_id", "annotation_id", A.attributes_text(a).alias("attributes")), ["dataset_id", "annotation_id"]))(B.read_datumaro(_text(A.datumaro_documents, dataset(s, d)))[0].annotations),
+    "s11_datumaro_info": lambda s, d: B.read_datumaro(_text(A.datumaro_documents, dataset(s, d)))[0].info.select("dataset_id", "description"),
+    "s11_odd_documents": _judged,
+    "s12_write_datumaro": lambda s, d: A.datumaro_documents(dataset(s, d)).select("dataset_id", F.explode(F.from_json("content", f"struct<items:{B._DATUMARO_ITEMS}>")["items"]).alias("i")).select("dataset_id", F.col("i.id").alias("item"), F.col("i.image.path").alias("path"), F.get("i.image.size", F.lit(0)).alias("height"), F.get("i.image.size", F.lit(1)).alias("width"), F.array_join(F.transform("i.annotations", lambda a: F.concat_ws(":", a["id"], a["label"], a["type"], F.to_json(a["attributes"]), F.array_join(F.transform(F.coalesce(a["bbox"], a["points"]), lambda v: F.format_string("%.3f", v.cast("double"))), " "))), ",").alias("annotations")),
     "s13_read_yolo_detect": _yolo_read,
     "s14_write_yolo_detect": lambda s, d: _bundle(s, d).where("path LIKE 'labels/%'").select("path", "content"),
     "s15_read_yolo_seg": lambda s, d: B.read_yolo(_bundle(s, d, "polygon"), shape="polygon")[0].annotations.select("image_id", "category_id", F.size("geometry.points").alias("n"), *[F.round(F.col("geometry.points")[k][c].cast("double"), 1).alias(f"{c}{k}") for k in (0, 2) for c in "xy"]),
@@ -150,6 +178,7 @@ _PX, _PY = _CL.format(v="p.x", m="width"), _CL.format(v="p.y", m="height")
 _SEG = f"{_A}, {_K}, q AS (SELECT *, {_CORNERS} AS poly FROM g), l AS (SELECT q.*, class_index, class_index || ' ' || array_to_string(list_transform(poly, lambda p: {_SIX(f'{_PX} / {_W}')} || ' ' || {_SIX(f'{_PY} / {_H}')}), ' ') AS line FROM q JOIN k ON k.category_id = q.category_id)"
 _FILES = "SELECT 'labels/' || image_id || '.txt' AS path, string_agg(line, chr(10) ORDER BY annotation_id) || chr(10) AS content FROM l GROUP BY image_id"
 _DS = "p AS (SELECT DISTINCT project AS dataset_id FROM fx_images)"
+_ATTRIBUTES = """CASE WHEN annotation_id % 3 = 0 THEN '{{"occluded":' || CASE WHEN g.image_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"score":' || regexp_replace(printf('%.2f', (annotation_id % 97 + 1) / 100.0::DOUBLE), '0+$', '') || ',"tags":["' || kind || '",{{"z":null}}]}}' ELSE '{{}}' END""".replace("{{", "{").replace("}}", "}")
 _SHAPE = "annotation_id, image_id, {c} AS category_id, kind, (CASE WHEN kind = 'polygon' THEN pts[1].x ELSE x END)::DOUBLE AS x, (CASE WHEN kind = 'polygon' THEN pts[1].y ELSE y END)::DOUBLE AS y, coalesce(len(pts), 0) AS n"
 
 SQL = {
@@ -187,17 +216,25 @@ SQL = {
     "r17_format_capabilities": f"WITH {_A}, n AS (SELECT kind, count(*) AS annotations FROM g GROUP BY kind) SELECT f.format, kind, annotations FROM n, (VALUES ('yolo_detect', 'bounding_box'), ('yolo_segmentation', 'polygon')) f(format, own) WHERE kind <> own",
     "r18_select_scope": f"WITH {_A}, o AS (SELECT image_id, row_number() OVER (PARTITION BY project ORDER BY image_id) - 1 AS place FROM fx_images) SELECT annotation_id FROM g JOIN o ON o.image_id = g.image_id WHERE place IN (0, 2, 5)",
     "r19_merge_datasets": f"WITH {_A}, a AS (SELECT dataset_id, count(*) AS annotations FROM g WHERE category_id IN (SELECT category_id FROM fx_categories) AND ((image_id % 3 = 1) OR (image_id % 3 <> 1 AND category_id % 5 <> 1)) GROUP BY dataset_id) SELECT dataset_id, annotations, (SELECT count(*) FROM fx_categories) AS categories FROM a",
+    "s9_read_coco_info": "SELECT project AS dataset_id, 'set ' || project AS description, CASE WHEN count(*) % 2 = 0 THEN 'v2' ELSE '' END AS version, CASE WHEN count(*) % 3 > 0 THEN count(*) ELSE 0 END AS year, '' AS contributor, '2024' AS date_created FROM fx_images GROUP BY project",
+    "s11_datumaro_info": "SELECT DISTINCT project AS dataset_id, 'set ' || project AS description FROM fx_images",
+    "s11_odd_documents": """WITH m AS (SELECT *, page_id % 13 AS m FROM pages) SELECT page_id AS dataset_id, CASE WHEN m = 0 THEN 1 END AS annotations, CASE WHEN m = 0 THEN 3.5::DOUBLE END AS w,
+      CASE m WHEN 0 THEN NULL WHEN 4 THEN 'invalid_record' WHEN 12 THEN 'invalid_bundle' ELSE 'parse_error' END AS code,
+      CASE m WHEN 0 THEN NULL WHEN 4 THEN 'Item ' || page_id || ' references invalid label 3' ELSE 'Datumaro document can''t be read: ' || CASE m WHEN 12 THEN 'no document in the bundle' WHEN 11 THEN 'not a JSON document' WHEN 10 THEN 'not a JSON document'
+        WHEN 9 THEN 'categories: label: [] name: expected a string' WHEN 8 THEN 'categories: missing' WHEN 7 THEN 'items: [] image: size: expected 2 values'
+        WHEN 3 THEN 'items: [] annotations: [] bbox: expected 4 values' WHEN 2 THEN 'items: [] annotations: [] bbox: expected an array' WHEN 1 THEN 'items: [] annotations: [] bbox: [] expected a number'
+        ELSE 'items: [] annotations: [] label: expected a whole number from 0 to 9223372036854775807' END END AS message FROM m""",
     "s9_read_coco": f"WITH {_A} SELECT dataset_id, {_SHAPE.format(c='category_id')} FROM g",
-    "s10_write_coco": f"WITH {_A} SELECT dataset_id, annotation_id AS id, image_id, category_id, round((CASE kind WHEN 'polygon' THEN {_AREA} WHEN 'point' THEN 1.0::FLOAT ELSE w * h END)::DOUBLE, 2) AS area, " + ", ".join(f"round(({e})::DOUBLE, 3) AS v{k}" for k, e in enumerate(_BOX)) + " FROM g",
-    "s11_read_datumaro": f"WITH {_A}, {_K} SELECT dataset_id, {_SHAPE.format(c='class_index')} FROM g JOIN k ON k.category_id = g.category_id",
-    "s12_write_datumaro": f"WITH {_A}, {_K} SELECT i.project AS dataset_id, CAST(i.image_id AS VARCHAR) AS item, i.path, i.height, i.width, coalesce(string_agg(annotation_id || ':' || class_index || ':' || CASE g.kind WHEN 'bounding_box' THEN 'b_box' WHEN 'polygon' THEN 'polygon' ELSE 'points' END, ',' ORDER BY annotation_id), '') AS annotations FROM fx_images i LEFT JOIN (SELECT g.*, class_index FROM g JOIN k ON k.category_id = g.category_id) g ON g.image_id = i.image_id GROUP BY i.project, i.image_id, i.path, i.height, i.width",
+    "s10_write_coco": f"WITH {_A} SELECT dataset_id, annotation_id AS id, image_id, category_id, round((CASE kind WHEN 'polygon' THEN {_AREA} WHEN 'point' THEN 1.0::FLOAT ELSE w * h END)::DOUBLE, 2) AS area, " + ", ".join(f"round(({e})::DOUBLE, 3) AS v{k}" for k, e in enumerate(_BOX)) + ", CASE WHEN kind = 'polygon' THEN 2 * len(pts) END AS n_seg, CASE WHEN kind = 'point' THEN 2 END AS n_point FROM g",
+    "s11_read_datumaro": f"WITH {_A}, {_K} SELECT dataset_id, {_SHAPE.format(c='class_index')}, {_ATTRIBUTES} AS attributes FROM g JOIN k ON k.category_id = g.category_id",
+    "s12_write_datumaro": f"WITH {_A}, {_K} SELECT i.project AS dataset_id, CAST(i.image_id AS VARCHAR) AS item, i.path, i.height, i.width, coalesce(string_agg(annotation_id || ':' || class_index || ':' || CASE g.kind WHEN 'bounding_box' THEN 'b_box' WHEN 'polygon' THEN 'polygon' ELSE 'points' END || ':' || {_ATTRIBUTES} || ':' || array_to_string(list_transform(CASE g.kind WHEN 'polygon' THEN flatten(list_transform(pts, lambda p: [p.x, p.y])) WHEN 'point' THEN [x, y] ELSE [x, y, w, h] END, lambda v: printf('%.3f', v::DOUBLE)), ' '), ',' ORDER BY annotation_id), '') AS annotations FROM fx_images i LEFT JOIN (SELECT g.*, class_index FROM g JOIN k ON k.category_id = g.category_id) g ON g.image_id = i.image_id GROUP BY i.project, i.image_id, i.path, i.height, i.width",
     "s13_read_yolo_detect": f"""WITH {_DETECT}, f AS (SELECT image_id, class_index, width, height, list_transform(string_split(line, ' ')[2:], lambda t: CAST(t AS FLOAT)) AS v FROM l),
       z AS (SELECT image_id, class_index AS category_id, v[3] * {_W} AS w, v[4] * {_H} AS h, v[1] * {_W} AS cx, v[2] * {_H} AS cy FROM f)
       SELECT image_id, category_id, round((cx - w / 2.0::FLOAT)::DOUBLE, 2) + 0.0 AS x, round((cy - h / 2.0::FLOAT)::DOUBLE, 2) + 0.0 AS y, round(w::DOUBLE, 2) + 0.0 AS w, round(h::DOUBLE, 2) + 0.0 AS h FROM z""",
     "s14_write_yolo_detect": f"WITH {_DETECT} {_FILES}",
     "s15_read_yolo_seg": f"WITH {_SEG}, v AS (SELECT image_id, class_index, width, height, list_transform(string_split(line, ' ')[2:], lambda t: CAST(t AS FLOAT)) AS f FROM l) SELECT image_id, class_index AS category_id, len(f) // 2 AS n, " + ", ".join(f"round((f[{2 * k + 1 + (c == 'y')}] * {_W if c == 'x' else _H})::DOUBLE, 1) AS {c}{k}" for k in (0, 2) for c in "xy") + " FROM v",
     "s16_write_yolo_seg": f"WITH {_SEG} {_FILES}",
-    "s17_validate_bundles": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'empty' WHEN 2 THEN 'ok' ELSE 'invalid' END AS status FROM pages",
-    "s18_bundle_files": "SELECT page_id, f.ord, f.path, f.n_bytes, CAST(NULL AS VARCHAR) AS mime FROM pages, (VALUES (2, 0, 'annotations/default.json', 2), (2, 1, 'x.txt', 1), (4, 0, 'a', NULL)) f(m, ord, path, n_bytes) WHERE page_id % 5 = f.m",
+    "s17_validate_bundles": "SELECT page_id, CASE page_id % 14 WHEN 0 THEN 'empty' WHEN 2 THEN 'ok' WHEN 10 THEN 'ok' ELSE 'invalid' END AS status FROM pages",
+    "s18_bundle_files": "SELECT page_id, f.ord, f.path, f.n_bytes, CAST(NULL AS VARCHAR) AS mime FROM pages, (VALUES (2, 0, 'annotations/default.json', 2), (2, 1, 'x.txt', 1), (10, 0, 'a', 0)) f(m, ord, path, n_bytes) WHERE page_id % 14 = f.m",
     "s19_project_state": "SELECT p.project, s.payload, s.payload IS NOT NULL AS found FROM (SELECT DISTINCT project FROM fx_images UNION ALL SELECT DISTINCT project || ' unsaved' FROM fx_images) p LEFT JOIN (SELECT project, arg_max(path, image_id) AS payload FROM fx_images GROUP BY project) s ON s.project = p.project",
 }

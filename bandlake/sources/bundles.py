@@ -1,6 +1,7 @@
 """Annotation bundles: reading COCO, Datumaro and YOLO into datasets, and project states.
 
 A bundle is rows dataset_id, ord, path, content (text). Every reader returns (dataset, warnings: dataset_id, code, message).
+JSON documents are VARIANT, so that attributes of any kind pass through.
 """
 
 from __future__ import annotations
@@ -8,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import documents as D
 from ..functions import geometry as G
 from ..operators.annotations import KEY, Dataset
 from ..operators.ordinals import running
 from ..session import settle
 
 MAX_STATE_BYTES = 64 << 20
-_BUNDLE = "struct<files:array<struct<path:string,bytes:array<int>,mime_type:string>>>"
 
 
 def read_bundles(spark: SparkSession, root: str) -> DataFrame:
@@ -43,29 +44,70 @@ def _document(bundles: DataFrame, exact: str | None, any_file: bool) -> DataFram
     return bundles.groupBy(KEY).agg(F.coalesce(*first).alias("content"))
 
 
-_COCO = """struct<info:struct<description:string>,images:array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>,
-categories:array<struct<id:bigint,name:string,supercategory:string>>,
-annotations:array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<float>,segmentation:string,area:float,iscrowd:int,point:array<float>>>>"""
+_ID, _SIZE = D.whole(), D.whole(0, (1 << 32) - 1)
+_COCO_KIND = D.fields(default={
+    "info": D.fields(default={"year": _SIZE, **dict.fromkeys(("version", "description", "contributor", "url", "date_created"), D.string)}),
+    "images": D.array(D.fields({"id": _ID, "file_name": D.string, "width": _SIZE, "height": _SIZE}, optional={"license": _SIZE, **dict.fromkeys(("coco_url", "flickr_url", "date_captured"), D.string)})),
+    "annotations": D.array(D.fields(
+        {"id": _ID, "image_id": _ID, "category_id": _ID, "area": D.number, "iscrowd": D.whole(0, 255)},
+        optional={"bbox": D.array(D.number, 4), "segmentation": D.either(D.array(D.array(D.number)), D.fields(default={"size": D.array(_SIZE)})), "point": D.array(D.number, 2)},
+    )),
+    "categories": D.array(D.fields({"id": _ID, "name": D.string, "supercategory": D.string})),
+    "licenses": D.array(D.fields({"id": _SIZE, "name": D.string, "url": D.string})),
+})
+_COCO_IMAGES, _COCO_CATEGORIES = "array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>", "array<struct<id:bigint,name:string>>"
+_COCO_ANNOTATIONS = "array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<float>,segmentation:variant,area:float,iscrowd:int,point:array<float>>>"
+
+
+def _judged(bundles: DataFrame, kind: D.Kind, exact: str | None, any_file: bool, label: str) -> tuple[DataFrame, DataFrame]:
+    """(dataset_id, d: the document as VARIANT of each sound bundle; warnings: one row for each bundle without document or with a wrong one)."""
+    doc = _document(bundles, exact, any_file).withColumn("d", D.whole_document(F.col("content")))
+    found = F.when(F.col("content").isNull(), "no document in the bundle").when(F.col("d").isNull(), "not a JSON document").otherwise(kind(F.col("d")))
+    doc = settle(doc.withColumn("wrong", found).withColumn("none", F.col("content").isNull()).drop("content"), label.lower())
+    bad = doc.where("wrong IS NOT NULL").select(KEY, F.when(F.col("none"), "invalid_bundle").otherwise("parse_error").alias("code"), F.concat(F.lit(f"{label} document can't be read: "), F.col("wrong")).alias("message"))
+    return doc.where("wrong IS NULL").select(KEY, "d"), bad
+
+
+def _listed(doc: DataFrame, path: str, schema: str) -> DataFrame:
+    """dataset_id, ord, x: the entries of an array of the documents, in order."""
+    return doc.select(KEY, F.posexplode(F.try_variant_get("d", path, schema)).alias("ord", "x")).withColumn("ord", F.col("ord").cast("long"))
+
+
+def _info(doc: DataFrame) -> DataFrame:
+    """dataset_id, description, version, year, contributor, date_created; absent ones are empty or null (year)."""
+    text = lambda c: F.coalesce(F.try_variant_get("d", f"$.info.{c}", "string"), F.lit("")).alias(c)
+    return doc.select(KEY, text("description"), text("version"), F.try_variant_get("d", "$.info.year", "bigint").alias("year"), text("contributor"), text("date_created"))
 
 
 def read_coco(bundles: DataFrame) -> tuple[Dataset, DataFrame]:
-    """A document that is no JSON or lacks a required field counts as a whole (``parse_error``); an annotation without usable shape is skipped."""
-    doc = _document(bundles, None, True).withColumn("d", F.from_json("content", _COCO))
-    lacks = lambda rows, names: F.exists(rows, lambda x: F.array_contains(F.array(*[x[n].isNull() for n in names]), True))
-    broken = F.coalesce(F.col("d.images").isNull() | F.col("d.annotations").isNull() | F.col("d.categories").isNull() | lacks(F.col("d.images"), ("id", "file_name", "width", "height")) | lacks(F.col("d.annotations"), ("id", "image_id", "category_id", "area", "iscrowd")) | lacks(F.col("d.categories"), ("id", "name", "supercategory")), F.lit(True))
-    doc = settle(doc.withColumn("broken", broken).drop("content"), "coco")
-    good = doc.where(~F.col("broken"))
-    images = good.select(KEY, F.posexplode("d.images").alias("ord", "x")).select(KEY, F.col("x.id").alias("image_id"), "x.file_name", "x.width", "x.height", F.col("ord").cast("long").alias("ord"))
-    categories = good.select(KEY, F.posexplode("d.categories").alias("ord", "x")).select(KEY, F.col("x.id").alias("category_id"), "x.name", F.col("ord").cast("long").alias("ord"))
-    first = F.get(F.from_json("x.segmentation", "array<array<float>>"), F.lit(0))
-    read = good.select(KEY, F.posexplode("d.annotations").alias("ord", "x")).withColumn("r", G.coco_geometry(F.col("x.bbox"), first, F.col("x.point")))
-    annotations = read.where("r.error IS NULL").select(KEY, F.col("x.id").alias("annotation_id"), "x.image_id", "x.category_id", F.col("r.geometry").alias("geometry"), F.col("ord").cast("long").alias("ord"))
+    """A document that is not whole JSON of the right kinds and ranges counts as a whole (one ``parse_error``), as does a bundle without one (``invalid_bundle``).
+
+    An annotation without usable shape is skipped. The format has no attributes. Ids must fit a BIGINT.
+    """
+    good, bad = _judged(bundles, _COCO_KIND, None, True, "COCO")
+    images = _listed(good, "$.images", _COCO_IMAGES).select(KEY, F.col("x.id").alias("image_id"), "x.file_name", "x.width", "x.height", "ord")
+    categories = _listed(good, "$.categories", _COCO_CATEGORIES).select(KEY, F.col("x.id").alias("category_id"), "x.name", "ord")
+    first = F.get(F.try_variant_get("x.segmentation", "$", "array<array<float>>"), F.lit(0))
+    read = _listed(good, "$.annotations", _COCO_ANNOTATIONS).withColumn("r", G.coco_geometry(F.col("x.bbox"), first, F.col("x.point")))
+    annotations = read.where("r.error IS NULL").select(KEY, F.col("x.id").alias("annotation_id"), "x.image_id", "x.category_id", F.col("r.geometry").alias("geometry"), F.parse_json(F.lit("{}")).alias("attributes"), "ord")
     skipped = read.where("r.error IS NOT NULL").select(KEY, F.lit("invalid_record").alias("code"), F.concat(F.lit("Skipped invalid COCO annotation "), F.col("x.id").cast("string"), F.lit(": "), F.col("r.error")).alias("message"))
-    return Dataset(images, categories, annotations), skipped.unionByName(doc.where("broken").select(KEY, F.lit("parse_error").alias("code"), F.lit("COCO document can't be read").alias("message")))
+    year = _info(good).withColumn("year", F.coalesce("year", F.lit(0)))  # this format's year is never absent
+    return Dataset(images, categories, annotations, year), skipped.unionByName(bad)
+
 
+_DATUMARO_ITEMS = """array<struct<id:string,image:struct<path:string,size:array<bigint>>,
+annotations:array<struct<id:bigint,label:bigint,type:string,bbox:array<float>,points:array<float>,attributes:variant>>>>"""
 
-_DATUMARO = """struct<categories:struct<label:array<struct<name:string>>>,items:array<struct<id:string,image:struct<path:string,size:array<bigint>>,
-annotations:array<struct<id:bigint,label:bigint,type:string,bbox:array<float>,points:array<float>>>>>>"""
+
+def _datumaro_kind(bbox_tags: tuple[str, ...]) -> D.Kind:
+    attributes = D.fields()
+    points = D.fields({"points": D.array(D.number)})
+    shape = D.tagged("type", {**dict.fromkeys(bbox_tags, D.fields({"bbox": D.array(D.number, 4)})), "polygon": points, "points": points})
+    annotation = D.fields(default={"group": _ID, "attributes": attributes}, optional={"id": _ID, "label": _ID}, more=shape)
+    image = D.fields({"path": D.string}, optional={"size": D.array(_SIZE, 2)})
+    label = D.fields({"name": D.string}, default={"parent": D.string, "attributes": D.array(D.string)})
+    item = D.fields({"id": D.string}, default={"annotations": D.array(annotation), "attributes": attributes}, optional={"image": image})
+    return D.fields({"categories": D.fields(default={"label": D.array(label)})}, default={"info": D.fields(default={"description": D.string}), "items": D.array(item)})
 
 
 def number_missing(rows: DataFrame, given: Column, order: list[str], name: str) -> DataFrame:
@@ -75,10 +117,11 @@ def number_missing(rows: DataFrame, given: Column, order: list[str], name: str)
 
 
 def read_datumaro(bundles: DataFrame, policy: str = "allow_lossy_warn", bbox_tags: tuple[str, ...] = ("b_box",)) -> tuple[Dataset, DataFrame]:
-    doc = settle(_document(bundles, "annotations/default.json", False).select(KEY, F.from_json("content", _DATUMARO).alias("d")), "datumaro")
-    categories = doc.select(KEY, F.posexplode("d.categories.label").alias("ord", "x")).select(KEY, F.col("ord").cast("long").alias("category_id"), "x.name", F.col("ord").cast("long").alias("ord"))
+    """Attributes of annotations and the description are kept; documents are judged as in ``read_coco``."""
+    doc, bad = _judged(bundles, _datumaro_kind(bbox_tags), "annotations/default.json", False, "Datumaro")
+    categories = _listed(doc, "$.categories.label", "array<struct<name:string>>").select(KEY, F.col("ord").alias("category_id"), "x.name", "ord")
     counts = categories.groupBy(KEY).agg(F.count("*").alias("n_labels"))
-    items = doc.select(KEY, F.posexplode("d.items").alias("ord", "x"))
+    items = _listed(doc, "$.items", _DATUMARO_ITEMS)
     given = F.when(F.col("x.id").rlike(r"^\+?\d+$"), F.col("x.id").try_cast("long"))
     items = settle(number_missing(items, given, ["ord"], "image_id"), "datumaro-items")
     size, at_least = F.col("x.image.size"), lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
@@ -91,11 +134,11 @@ def read_datumaro(bundles: DataFrame, policy: str = "allow_lossy_warn", bbox_tag
     accepted = rows.where("in_range AND r.geometry IS NOT NULL")
     accepted = settle(running(accepted.withColumn("given", F.col("a.id")), KEY, ["ord", "at"], F.lit(1), "nth"), "datumaro-accepted")
     accepted = number_missing(accepted, F.col("given"), ["ord", "at"], "annotation_id")
-    annotations = accepted.select(KEY, "annotation_id", "image_id", F.col("label").alias("category_id"), F.col("r.geometry").alias("geometry"), (F.col("nth") - 1).alias("ord"))
+    annotations = accepted.select(KEY, "annotation_id", "image_id", F.col("label").alias("category_id"), F.col("r.geometry").alias("geometry"), F.coalesce("a.attributes", F.parse_json(F.lit("{}"))).alias("attributes"), (F.col("nth") - 1).alias("ord"))
     outside = rows.where(~F.col("in_range")).select(KEY, F.lit("invalid_record").alias("code"), F.concat(F.lit("Item "), F.col("item"), F.lit(" references invalid label "), F.col("label").cast("string")).alias("message"))
     failed = rows.where("in_range AND r.error IS NOT NULL").select(KEY, F.lit("parse_error").alias("code"), F.col("r.error").alias("message"))
     dropped = rows.where("in_range AND r.skipped").select(KEY, F.lit("skipped").alias("code"), F.concat(F.lit("Item "), F.col("item")).alias("message"))
-    return Dataset(images, categories, annotations), no_size.unionByName(outside).unionByName(failed).unionByName(dropped)
+    return Dataset(images, categories, annotations, _info(doc)), no_size.unionByName(outside).unionByName(failed).unionByName(dropped).unionByName(bad)
 
 
 def resolve_label_files(wanted: DataFrame, bundles: DataFrame, strict_basename: bool = False) -> DataFrame:
@@ -141,7 +184,7 @@ def read_yolo(bundles: DataFrame, *, shape: str = "bbox", strict_basename: bool
     in_range = F.col("p.class") < F.coalesce("n_classes", F.lit(0))
     made = G.denormalize_bbox(F.col("p.values"), F.col("width"), F.col("height")) if shape == "bbox" else G.denormalize_polygon(F.col("p.values"), F.col("width"), F.col("height"))
     nth = F.col("nth")
-    annotations = running(lines.where(valid & in_range), KEY, ["ord", "at"], F.lit(1), "nth").select(KEY, nth.alias("annotation_id"), "image_id", F.col("p.class").alias("category_id"), made.alias("geometry"), (nth - 1).alias("ord"))
+    annotations = running(lines.where(valid & in_range), KEY, ["ord", "at"], F.lit(1), "nth").select(KEY, nth.alias("annotation_id"), "image_id", F.col("p.class").alias("category_id"), made.alias("geometry"), F.parse_json(F.lit("{}")).alias("attributes"), (nth - 1).alias("ord"))
     message = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("message")
     number = (F.col("at") + 1).cast("string")
     bad = F.lit("invalid_record").alias("code")
@@ -157,18 +200,22 @@ def read_yolo(bundles: DataFrame, *, shape: str = "bbox", strict_basename: bool
     return Dataset(images, categories, annotations), out
 
 
+_BUNDLE_KIND = D.fields(default={"files": D.array(D.fields({"path": D.string, "bytes": D.numbers(0, 255)}, optional={"mime_type": D.string}))})
+
+
 def validate_bundles(states: DataFrame, payload: str = "payload") -> DataFrame:
-    """The rows with status: ok, empty, too_large or invalid (no JSON bundle with a file, or a file without path or bytes)."""
+    """The rows with status: ok, empty, too_large or invalid (not exactly one JSON bundle with a file; each file needs a path and bytes, whole numbers from 0 to 255, and may have a type)."""
     size = F.octet_length(payload)
-    files = F.from_json(payload, _BUNDLE)["files"]
-    right = (F.size(files) > 0) & F.forall(files, lambda f: f["path"].isNotNull() & f["bytes"].isNotNull())
+    judged = F.when((size > 0) & (size <= MAX_STATE_BYTES), D.whole_document(F.col(payload)))  # others are not parsed
+    right = judged.isNotNull() & _BUNDLE_KIND(judged).isNull() & (F.size(F.try_variant_get(judged, "$.files", "array<variant>")) > 0)
     return states.withColumn("status", F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > MAX_STATE_BYTES, "too_large").when(F.coalesce(right, F.lit(False)), "ok").otherwise("invalid"))
 
 
 def bundle_files(states: DataFrame, payload: str = "payload", key: str = KEY) -> DataFrame:
-    """dataset_id, ord, path, n_bytes, mime of each file of a JSON bundle."""
-    rows = states.select(key, F.posexplode(F.from_json(payload, _BUNDLE)["files"]).alias("ord", "f"))
-    return rows.select(key, "ord", "f.path", F.size("f.bytes").alias("n_bytes"), F.col("f.mime_type").alias("mime"))
+    """dataset_id, ord, path, n_bytes, mime of each file of the states that ``validate_bundles`` finds sound."""
+    sound = validate_bundles(states.select(key, payload), payload).where("status = 'ok'")
+    files = F.try_variant_get(F.parse_json(payload), "$.files", "array<struct<path:string,bytes:array<int>,mime_type:string>>")
+    return sound.select(key, F.posexplode(files).alias("ord", "f")).select(key, "ord", "f.path", F.size("f.bytes").alias("n_bytes"), F.col("f.mime_type").alias("mime"))
 
 
 def load_project_states(saved: DataFrame, wanted: DataFrame) -> DataFrame:

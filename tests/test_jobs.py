@@ -130,10 +130,10 @@ def test_bad_documents(spark):
     flags = {"area": 12.0, "iscrowd": 0}
     rows = [
         ("lengths", document({**flags, "bbox": [7, 5, 2.5, 6], "segmentation": {"size": [32, 64], "counts": "0kP"}})),
-        ("bad", document({**flags, "segmentation": [[4, 4, 9]]}, {**flags, "bbox": [1, 1, 1]})),
+        ("bad", document({**flags, "segmentation": [[4, 4, 9]]}, {**flags, "segmentation": [[1, 1, 1]]})), ("short", document({**flags, "bbox": [1, 1, 1]})),
         ("lacks", document({"bbox": [7, 5, 2, 6]})), ("cut", document({**flags, "bbox": [1, 2, 3, 4]})[:-3]), ("list", "[1, 2]"),
     ]
     ds, warnings = bundles.read_coco(spark.createDataFrame([(k, 0, "a.json", v) for k, v in rows], "dataset_id string, ord long, path string, content string"))
     found = ds.annotations.collect()
     assert [(r.dataset_id, r.geometry.kind, r.geometry.w) for r in found] == [("lengths", "bounding_box", 2.5)]
-    assert sorted((r.dataset_id, r.code) for r in warnings.collect()) == [("bad", "invalid_record"), ("bad", "invalid_record"), ("cut", "parse_error"), ("lacks", "parse_error"), ("list", "parse_error")]
+    assert sorted((r.dataset_id, r.code) for r in warnings.collect()) == [("bad", "invalid_record"), ("bad", "invalid_record"), ("cut", "parse_error"), ("lacks", "parse_error"), ("list", "parse_error"), ("short", "parse_error")]
