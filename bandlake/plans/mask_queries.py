@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.bands import f32
 from ..operators import masks as M
+from ..operators import tiles
 from ..operators import models as X
 from .fixtures import rows, view
 from .pixel_queries import _resampled
@@ -85,6 +86,9 @@ QUERIES = {
     "m7_scale_prompts": lambda s, d: prompts(s, d).select("prompt_id", F.posexplode(M.scale_prompts(F.col("points"), F.col("box"), F.col("width"), F.col("height"))).alias("i", "p")).select("prompt_id", "i", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"), "p.label"),
     "m8_upsample_logits": lambda s, d: M.upsample_logits(grids(s, d), 2).select("mask_id", F.posexplode("px").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5) + 0.0),
     "m9_threshold_resample": lambda s, d: grids(s, d).select("mask_id", F.array_join(M.threshold_resample(F.col("px"), F.col("width"), F.col("height"), F.lit(5), F.lit(11)), "").alias("cells")),
+    "m8_tiled_upsample": lambda s, d: tiles.whole(tiles.resample(tiles.cut(grids(s, d).select("mask_id", "width", "height", "px"), 5), F.lit(16), F.lit(16), side=5), 5).select("mask_id", F.posexplode("px").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5) + 0.0),
+    "m9_tiled_threshold": lambda s, d: tiles.whole(tiles.resample(tiles.cut(grids(s, d).select("mask_id", "width", "height", "px"), 5), F.lit(5), F.lit(11), side=5, way=tiles.NEAREST), 5).select("mask_id", F.array_join(F.transform("px", lambda v: v.cast("int")), "").alias("cells")),
+    "m10_tiled_components": lambda s, d: tiles.label_components(tiles.cut(cells(s, d).select("mask_id", "width", "height", F.transform("cells", lambda v: v.cast("float")).alias("px")), 3), 3).select("mask_id", "first", "pixels"),
     "m10_label_components": lambda s, d: M.label_components(cells(s, d)).select("mask_id", "first", "pixels"),
     "m11_largest_component": lambda s, d: M.largest_component(M.label_components(cells(s, d))).select("mask_id", "first", "pixels"),
     "m12_mask_to_polygon": lambda s, d: M.mask_to_polygon(cells(s, d)),
@@ -156,3 +160,5 @@ SQL = {
       SELECT server, inference, segmentation, chunked, prog OR inference AS progressive, server = 4 OR server = 0 OR chunked AS thumbnails, CASE WHEN segmentation THEN 'segmentation' WHEN inference OR prog THEN 'full' ELSE 'core' END AS profile FROM f""",
     "x3_find_models": f"WITH m AS ({_MODELS}) SELECT server, arg_min(id, ord) FILTER (type = 'detection') AS first_of_kind, arg_min(id, ord) FILTER ({_MASKS} AND {_IN.format(t='point_list')}) AS first_promptable FROM m GROUP BY server",
 }
+# tiles give what whole masks give
+SQL |= {"m8_tiled_upsample": SQL["m8_upsample_logits"], "m9_tiled_threshold": SQL["m9_threshold_resample"], "m10_tiled_components": SQL["m10_label_components"]}

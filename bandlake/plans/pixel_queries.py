@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands as B
-from ..operators import pixels
+from ..operators import pixels, tiles
 from .fixtures import rows, view
 
 
@@ -67,6 +67,9 @@ QUERIES = {
     "b12_num_levels": lambda s, d: _sizes(s, d, B.num_levels(F.col("width"), F.col("height")).alias("levels")),
     "b13_clamp_level": lambda s, d: _sizes(s, d, B.clamp_level(F.col("image_id") % 12, (F.col("image_id") % 5).cast("int")).cast("int").alias("level"), (F.col("image_id") % 12 <= B.MAX_LEVEL).alias("valid")),
     "b14_build_pyramid": lambda s, d: _hexed(pixels.build_pyramid(_norm(s, d), min_side=1)[0]),
+    "b14_tiled_pyramid": lambda s, d: _hexed(tiles.whole(tiles.pack(tiles.pyramid(tiles.cut(_norm(s, d), 3), min_side=1, side=3), 3), 3, "rgba", 4)),
+    "b15_tiled_level": lambda s, d: _hexed(tiles.whole(tiles.pack(tiles.resample(tiles.cut(_norm(s, d), 3), F.floor(F.col("width") / 2), F.floor(F.col("height") / 2), side=3), 3), 3, "rgba", 4)),
+    "b9_tiled_downsample": lambda s, d: tiles.whole(tiles.resample(tiles.cut(_norm(s, d), 3), F.lit(3), F.lit(2), side=3), 3).select("image_id", "band", "width", "height", F.posexplode("px").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5)),
     "b15_stream_level": lambda s, d: _hexed(pixels.stream_level(_norm(s, d), 1)),
     "b16_progressive_levels": lambda s, d: _sizes(s, d, F.explode(B.progressive_levels((F.col("image_id") % 9).cast("int"), F.lit(5), F.col("image_id") % 2 == 0)).alias("level")),
     "b17_row_chunks": lambda s, d: images(s, d).select("image_id", F.explode(B.row_chunks(F.col("height"))).alias("c")).select("image_id", "c.start", "c.end"),
@@ -155,3 +158,5 @@ SQL = {
       SELECT p.image_id, string_agg({_hex(_byte("x.v"))} || {_hex(_byte("y.v"))} || {_hex(_byte("z.v"))}, '' ORDER BY x.pos) AS rgb FROM p JOIN n x ON x.image_id = p.image_id AND x.band = r JOIN n y ON y.image_id = p.image_id AND y.band = g AND y.pos = x.pos JOIN n z ON z.image_id = p.image_id AND z.band = b AND z.pos = x.pos GROUP BY p.image_id""",
     "b22_image_metadata": f"SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 'ready' ELSE 'pending' END AS status, CASE WHEN image_id % 5 = 0 THEN '0x' || width || 'x' || height ELSE array_to_string(list_transform(range({_LEVELS}), lambda n: n || 'x' || CAST(ceil(width / 2.0 ** n) AS INT) || 'x' || CAST(ceil(height / 2.0 ** n) AS INT)), ',') END AS levels FROM fx_images",
 }
+# tiles give what whole bands give
+SQL |= {"b9_tiled_downsample": SQL["b9_downsample"], "b14_tiled_pyramid": SQL["b14_build_pyramid"], "b15_tiled_level": SQL["b15_stream_level"]}
