@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordinals import running
+from ..session import settle
 
 #: Fixed endpoints of the metrics.
 ENDPOINTS = ("image_bands", "sam_infer", "sam_warm")
@@ -58,16 +58,26 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity) - 1
 
 
-def latency_summary(log: DataFrame, by: str, value: str) -> DataFrame:
+def latency_summary(log: DataFrame, by: str, value: str, *, ranges: int = 200) -> DataFrame:
     """Least, upper median and mean by group: the median is the value at place n div 2 of the sorted ones.
 
-    Equal values are counted first and their counts summed up block by block, so that no group is sorted as a whole.
+    Equal values are counted first. Of each group the quantiles of its distinct values are estimated, which cut them into
+    ``ranges`` of about equal numbers; counts by range tell which one holds the median, and only that one is sorted.
     """
-    counts = log.groupBy(by, value).agg(F.count("*").alias("times")).where(F.col(value).isNotNull())
-    placed = running(counts, by, [value], F.col("times"), "upto")
-    whole = counts.groupBy(by).agg(F.min(value).alias("min"), F.sum("times").alias("n"), (F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean")).withColumnRenamed(by, "__by")
-    met = placed.join(whole, F.col(by).eqNullSafe(F.col("__by"))).where(F.col("upto") > F.expr("n div 2"))
-    return met.groupBy(by).agg(F.first("min").alias("min"), F.min(value).alias("median"), F.first("mean").alias("mean"))
+    counts = settle(log.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).alias("v")).agg(F.count("*").alias("times")), "value-counts")
+    cuts = F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10 * ranges)
+    groups = counts.groupBy("by").agg(F.min("v").alias("min"), F.sum("times").alias("n"), (F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("mean"), cuts.alias("cuts"))
+    groups = settle(groups, "groups")  # a row a group
+    placed = counts.alias("c").join(groups.select(F.col("by").alias("g"), "cuts").alias("q"), F.expr("c.by <=> q.g"))
+    ranged = placed.select("by", "v", "times", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
+    sums = ranged.groupBy("by", "range").agg(F.sum("times").alias("times"))
+    before = F.coalesce(F.sum("times").over(Window.partitionBy("by").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = sums.select("by", "range", before.alias("before"), "times").alias("s").join(groups.alias("g"), F.expr("s.by <=> g.by AND s.before <= g.n div 2 AND s.before + s.times > g.n div 2"))
+    chosen = reached.select(F.col("g.by").alias("key"), "s.range", "s.before", "n", "min", "mean").alias("k")
+    near = ranged.alias("r").join(chosen, F.expr("r.by <=> k.key AND r.range = k.range"))
+    upto = F.col("before") + F.sum("times").over(Window.partitionBy("key").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    met = near.withColumn("upto", upto).where("upto > n div 2").groupBy(F.col("key").alias(by))
+    return met.agg(F.first("min").alias("min"), F.min("v").alias("median"), F.first("mean").alias("mean"))
 
 
 def pyramid_status(text: Column) -> Column:

@@ -71,6 +71,34 @@ def _outcomes(s: SparkSession, d: str) -> DataFrame:
     return M.request_outcome(requests, s.createDataFrame([("box",)], "model string"), view(s, d, "fx_images").select("image_id", paths.loader_for(F.col("path")).alias("loader")))
 
 
+def _failures(s: SparkSession, d: str) -> DataFrame:
+    """Outcomes of requests to a model that fails for some images and prompts."""
+    prompts = view(s, d, "fx_prompts").select("prompt_id", "image_id", "r", "g", "b", "px")
+
+    def encode(image):  # noqa: ANN001, ANN202
+        if image.iloc[0]["image_id"] % 5 == 0:
+            raise MemoryError("no room")
+        return int(image.iloc[0]["width"])
+
+    def decode(encoded, prompt):  # noqa: ANN001, ANN202
+        if prompt["prompt_id"] % 11 == 0:
+            raise ValueError(prompt["prompt_id"])
+        return ["no", "polygon"] if prompt["prompt_id"] % 17 == 0 else ([0.0, 0.0, float(encoded), 1.0], 0.5)
+
+    results = M.batch_segment(M.plan_encodes(prompts, view(s, d, "fx_images")), encode, decode)
+    requests = rows(s, d, "SELECT event_id AS request_id, user_id AS image_id, CASE WHEN event_id % 13 = 0 THEN 'other' ELSE 'box' END AS model, CASE WHEN event_id % 7 = 0 THEN 'bad' END AS error FROM events")
+    images = view(s, d, "fx_images").select("image_id", paths.loader_for(F.col("path")).alias("loader"))
+    return M.request_outcome(requests, s.createDataFrame([("box",)], "model string"), images, results.select(F.col("prompt_id").alias("request_id"), "error"))
+
+
+def _warm(s: SparkSession, d: str) -> DataFrame:
+    def encode(image):  # noqa: ANN001, ANN202
+        if image.iloc[0]["image_id"] % 5 == 0:
+            raise MemoryError("no room")
+
+    return M.warm(M.plan_encodes(view(s, d, "fx_prompts").select("prompt_id", "image_id", "r", "g", "b"), view(s, d, "fx_images")), encode)
+
+
 def _flags(s: SparkSession, d: str) -> DataFrame:
     servers = rows(s, d, "SELECT r_regionkey AS server, CASE WHEN r_regionkey = 1 THEN true END AS inference, CASE WHEN r_regionkey = 2 THEN false END AS segmentation, r_regionkey = 3 AS progressive, CASE WHEN r_regionkey = 4 THEN true END AS thumbnails, CASE WHEN r_regionkey = 0 THEN true END AS downloads, CASE r_regionkey % 2 WHEN 0 THEN 'chunked' ELSE 'single_zip' END AS download_mode FROM (SELECT r_regionkey FROM region UNION ALL SELECT 9)")
     return X.server_flags(servers, _models(s, d))
@@ -99,6 +127,8 @@ QUERIES = {
     "m17_mask_agreement": lambda s, d: prompts(s, d).withColumn("a", M.box_model(F.col("points"), F.col("box"), F.col("width"), F.col("height"))["polygon"]).withColumn("b", M.box_model(F.col("points"), F.lit(None).cast("array<float>"), F.col("width"), F.col("height"))["polygon"]).withColumn("m", M.mask_agreement(F.col("a"), F.col("b"))).select("prompt_id", F.col("m.difference").cast("double").alias("difference"), "m.agrees"),
     "m18_segment_response": lambda s, d: rows(s, d, "SELECT event_id, event_id % 3 AS k FROM events").select("event_id", M.segment_response(F.when(F.col("k") > 0, F.array(F.array(f32(1.0), f32(2.5)))), F.when(F.col("k") > 1, F.array(f32(0.5)))).alias("body")),
     "m19_request_outcome": _outcomes,
+    "m19_model_failures": _failures,
+    "m19_warm_requests": _warm,
     "x1_prompt_capabilities": lambda s, d: X.prompt_capabilities(_models(s, d)),
     "x2_server_flags": _flags,
     "x3_find_models": lambda s, d: X.find_models(_models(s, d), "detection"),
@@ -154,6 +184,10 @@ SQL = {
     "m18_segment_response": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"masks":[]}' WHEN 1 THEN '{"masks":[[1.0,2.5]]}' ELSE '{"masks":[[1.0,2.5]],"scores":[0.5]}' END AS body FROM events""",
     "m19_request_outcome": """WITH o AS (SELECT event_id AS request_id, CASE WHEN event_id % 13 = 0 THEN 'model_not_found' WHEN event_id % 7 = 0 THEN 'invalid_inputs' WHEN i.image_id IS NULL THEN 'image_not_found' WHEN i.image_id % 6 > 3 THEN 'unsupported_format' ELSE 'ok' END AS code FROM events LEFT JOIN fx_images i ON i.image_id = user_id)
       SELECT request_id, code, CASE code WHEN 'ok' THEN 200 WHEN 'image_not_found' THEN 404 ELSE 400 END AS status FROM o""",
+    "m19_model_failures": """WITH o AS (SELECT event_id AS request_id, CASE WHEN event_id % 13 = 0 THEN 'model_not_found' WHEN event_id % 7 = 0 THEN 'invalid_inputs' WHEN i.image_id IS NULL THEN 'image_not_found' WHEN i.image_id % 6 > 3 THEN 'unsupported_format'
+        WHEN i.image_id % 5 = 0 THEN 'model_prepare_failed' WHEN event_id % 11 = 0 THEN 'inference_failed' WHEN event_id % 17 = 0 THEN 'internal_error' ELSE 'ok' END AS code FROM events LEFT JOIN fx_images i ON i.image_id = user_id)
+      SELECT request_id, code, CASE WHEN code = 'ok' THEN 200 WHEN code = 'image_not_found' THEN 404 WHEN code IN ('model_prepare_failed', 'inference_failed', 'internal_error') THEN 500 ELSE 400 END AS status FROM o""",
+    "m19_warm_requests": f"WITH {_P} SELECT DISTINCT {_KEY} AS key, CASE WHEN image_id % 5 = 0 THEN 'model_prepare_failed' END AS error, CASE WHEN image_id % 5 = 0 THEN 'MemoryError: no room' END AS message FROM p",
     "x1_prompt_capabilities": f"WITH m AS ({_MODELS}) SELECT ord, id, type, {_MASKS} AND {_IN.format(t='point_list')} AS point, {_MASKS} AND {_IN.format(t='bbox')} AS bbox, {_MASKS} AND {_IN.format(t='point_list')} AND {_IN.format(t='bbox')} AS point_bbox, {_MASKS} AND {_IN.format(t='text')} AS text, {_MASKS} AND {_IN.format(t='image_region')} AS example FROM m",
     "x2_server_flags": f"""WITH m AS ({_MODELS}), b AS (SELECT server, count(*) AS n, bool_or({_MASKS} AND {_IN.format(t='point_list')}) AS q FROM m GROUP BY server),
       f AS (SELECT r_regionkey AS server, r_regionkey = 1 OR coalesce(n, 0) > 0 AS inference, coalesce(q, false) AS segmentation, r_regionkey % 2 = 0 AS chunked, r_regionkey = 3 AS prog FROM {_SERVERS} r LEFT JOIN b ON b.server = r_regionkey)
