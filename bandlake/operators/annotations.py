@@ -7,13 +7,17 @@ version, year, contributor, date_created). ``ord`` is the input order, ``attribu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import geometry as G
-from ..session import settle
+from ..session import settle, ship
 
 KEY = "dataset_id"
 
@@ -197,21 +201,88 @@ def merge_datasets(base: Dataset, incoming: Dataset, *, categories: str = "match
     return Dataset(images, merged, kept.unionByName(moved_rows), info)
 
 
-def semantic_rows(ds: Dataset, decimals: int = 3, attributes: bool = False) -> DataFrame:
-    """dataset_id, file_name, category, shape (with the ``attributes``, if they count): what two datasets are compared by, whatever their ids."""
+def semantic_rows(ds: Dataset, attributes: bool = False) -> DataFrame:
+    """dataset_id, file_name, category, kind, numbers (array of double), told (the ``attributes``, if they count): what two datasets are compared by, whatever their ids."""
     g = F.col("geometry")
     flat = F.when(g["kind"] == "polygon", G.flatten_points(g["points"])).when(g["kind"] == "point", F.array(g["x"], g["y"])).otherwise(F.array(g["x"], g["y"], g["w"], g["h"]))
-    shape = F.concat_ws(" ", g["kind"], F.array_join(F.transform(flat, lambda v: F.format_string(f"%.{decimals}f", F.round(v.cast("double"), decimals) + 0.0)), " "))
-    if attributes:
-        shape = F.concat_ws(" ", shape, attributes_text(ds.annotations))
     joined = ds.annotations.join(ds.images.select(KEY, "image_id", "file_name"), [KEY, "image_id"]).join(ds.categories.select(KEY, "category_id", F.col("name").alias("category")), [KEY, "category_id"])
-    return joined.select(KEY, "file_name", "category", shape.alias("shape"))
-
-
-def roundtrip_diff(a: Dataset, b: Dataset, decimals: int = 3, attributes: bool = False) -> DataFrame:
-    """Rows of one dataset only, with ``side``."""
-    x, y = (settle(semantic_rows(ds, decimals, attributes), "semantic") for ds in (a, b))  # each is read twice
-    return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
+    told = attributes_text(ds.annotations) if attributes else F.lit("")
+    return joined.select(KEY, "file_name", "category", g["kind"].alias("kind"), flat.cast("array<double>").alias("numbers"), told.alias("told"))
+
+
+def _clusters(rows: np.ndarray, tolerance: float) -> Iterator[np.ndarray]:
+    """Row numbers parted wherever some column has a gap of more than ``tolerance``; every column is looked at until nothing parts any more."""
+    waiting = [(np.arange(len(rows)), 0, 0)]
+    while waiting:
+        own, column, still = waiting.pop()
+        if len(own) < 2 or still == rows.shape[1]:
+            yield own
+            continue
+        order = own[np.argsort(rows[own, column], kind="stable")]
+        ends = np.flatnonzero(np.diff(rows[order, column]) > tolerance) + 1
+        following = (column + 1) % rows.shape[1]
+        waiting += [(part, following, 0 if len(ends) else still + 1) for part in np.split(order, ends)]
+
+
+def _unmatched(left: np.ndarray, right: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of each left and right value find no partner when as many as possible do; ``near`` says who may."""
+    left, right = left.copy(), right.copy()
+    flow = np.zeros(near.shape, np.int64)
+
+    def push(i: int, much: int, seen: set[int]) -> int:
+        for j in np.flatnonzero(near[i]).tolist():
+            if j in seen:
+                continue
+            seen.add(j)
+            if right[j]:
+                moved = min(much, int(right[j]))
+                right[j] -= moved
+                flow[i, j] += moved
+                return moved
+            for k in np.flatnonzero(flow[:, j]).tolist():
+                if k != i and (moved := push(k, min(much, int(flow[k, j])), seen)):
+                    flow[k, j] -= moved
+                    flow[i, j] += moved
+                    return moved
+        return 0
+
+    for i in range(len(left)):
+        while left[i] and (moved := push(i, int(left[i]), set())):
+            left[i] -= moved
+    return left, right
+
+
+def roundtrip_diff(a: Dataset, b: Dataset, tolerance: float = 1e-3, attributes: bool = False) -> DataFrame:
+    """dataset_id, file_name, category, shape, side: rows of one dataset without partner in the other; all numbers of partners differ by ``tolerance`` at most.
+
+    Each row has one partner, and as many as possible have one. Equal rows are counted first. Those of a file, category and kind are
+    parted where the first number has a gap of more than the tolerance; only parts with several different rows are matched in Python.
+    """
+    key = [KEY, "file_name", "category", "kind", "told"]
+    side = lambda ds, l, r: semantic_rows(ds, attributes).select(*key, "numbers", F.lit(l).alias("l"), F.lit(r).alias("r"))
+    counts = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*key, "numbers").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    within = Window.partitionBy(*key, F.size("numbers")).orderBy(F.get("numbers", F.lit(0)))
+    gap = F.coalesce(F.get("numbers", F.lit(0)) - F.lag(F.get("numbers", F.lit(0))).over(within) > tolerance, F.lit(True))
+    parted = counts.withColumn("gap", gap.cast("int")).withColumn("part", F.sum("gap").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parted = settle(parted.withColumn("n", F.size("numbers")).withColumn("others", F.count("*").over(Window.partitionBy(*key, "n", "part"))).drop("gap"), "compared")
+    alone = parted.where("others = 1").select(*key, "numbers", F.greatest(F.col("l") - F.col("r"), F.lit(0)).alias("l"), F.greatest(F.col("r") - F.col("l"), F.lit(0)).alias("r"))
+    ship(parted.sparkSession)
+
+    def match(table: pa.Table) -> pa.Table:
+        rows = np.stack([v.values.to_numpy() for v in table.column("numbers")])
+        left, right = (table.column(c).to_numpy().copy() for c in "lr")
+        for own in _clusters(rows, tolerance):
+            near = (np.abs(rows[own][:, None, :] - rows[own][None, :, :]) <= tolerance).all(axis=2)
+            left[own], right[own] = _unmatched(left[own], right[own], near)
+        kept = table.select([*key, "numbers"])
+        return kept.append_column("l", pa.array(left)).append_column("r", pa.array(right))
+
+    schema = StructType([*[alone.schema[c] for c in (*key, "numbers")], StructField("l", LongType()), StructField("r", LongType())])
+    matched = parted.where("others > 1").groupBy(*key, "n", "part").applyInArrow(match, schema)
+    text = F.array_join(F.transform("numbers", lambda v: F.format_string("%.3f", F.round(v, 3) + 0.0)), " ")
+    shape = F.when(F.col("told") == "", F.concat_ws(" ", "kind", text)).otherwise(F.concat_ws(" ", "kind", text, "told"))
+    rest = alone.unionByName(matched).where("l > 0 OR r > 0").withColumn("side", F.explode(F.concat(F.array_repeat(F.lit("left"), F.col("l").cast("int")), F.array_repeat(F.lit("right"), F.col("r").cast("int")))))
+    return rest.select(KEY, "file_name", "category", shape.alias("shape"), "side")
 
 
 #: Fixed capabilities by format: several images, boxes, polygons, points, attributes.
