@@ -310,6 +310,11 @@ def import_report(ds: Dataset, skipped: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
+def warnings_by_code(warnings: DataFrame) -> DataFrame:
+    """dataset_id, code, warnings, first: how many of each code, and the least message."""
+    return warnings.groupBy(KEY, "code").agg(F.count("*").alias("warnings"), F.min("message").alias("first"))
+
+
 def merged_capabilities(spark: SparkSession, formats: DataFrame, by: str) -> DataFrame:
     """``by`` and the five flags, each set if any of the group's formats (``by``, format) has it; unknown formats count for nothing."""
     caps = F.broadcast(format_capabilities(spark))  # four rows

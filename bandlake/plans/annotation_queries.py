@@ -54,7 +54,9 @@ def _lines(s: SparkSession, d: str, shape: str) -> DataFrame:
 
 
 def _odd_lines(s: SparkSession, d: str) -> DataFrame:
-    return rows(s, d, "SELECT event_id, CASE event_id % 9 WHEN 0 THEN '1 0.5 0.5 0.25 0.25' WHEN 1 THEN ' +2  .5 5. 1e-1 0.1 ' WHEN 2 THEN '1 0.5' WHEN 3 THEN '-1 0 0 1 1' WHEN 4 THEN '1 0.5x 0 1 1' WHEN 5 THEN '1 0 0 1 5f' WHEN 6 THEN '3 0 0 1 0 1 1' WHEN 7 THEN '3 0 0 1 0 1 q' ELSE '3 0 0 1 0 1 1 2' END AS line FROM events")
+    return rows(s, d, """WITH e AS (SELECT event_id, CAST(event_id % 100 AS STRING) AS a, CAST(event_id % 997 AS STRING) || 'e-3' AS b, CAST(event_id % 4 AS INT) AS n FROM events)
+      SELECT event_id, CASE event_id % 9 WHEN 0 THEN a || ' 0.5 0.5 ' || b || ' 0.25' WHEN 1 THEN ' +' || a || '  .5 5. ' || b || ' 1e-1 ' WHEN 2 THEN a || ' ' || b WHEN 3 THEN '-1' || a || ' 0 0 1 1' WHEN 4 THEN a || ' ' || b || 'x 0 1 1'
+        WHEN 5 THEN a || ' 0 0 1 5f' WHEN 6 THEN a || repeat(' ' || b, 6 + 2 * n) WHEN 7 THEN a || repeat(' ' || b, 5 + n) || ' q' || repeat(' 1', n % 2) ELSE a || repeat(' ' || b, 7 + 2 * n) END AS line FROM e""")
 
 
 def _yolo_read(s: SparkSession, d: str) -> DataFrame:
@@ -70,9 +72,23 @@ def _merge(s: SparkSession, d: str) -> DataFrame:
     return merged.annotations.groupBy("dataset_id").agg(F.count("*").alias("annotations")).join(merged.categories.groupBy("dataset_id").agg(F.count("*").alias("categories")), "dataset_id")
 
 
+def _few_classes(s: SparkSession, d: str) -> tuple[A.Dataset, DataFrame]:
+    """Label bundles read back with three classes only, a third of the label files gone."""
+    given = _bundle(s, d).withColumn("content", F.when(F.col("path") == "classes.txt", "a\n\n b \nc").otherwise(F.col("content")))
+    return B.read_yolo(given.where("path NOT LIKE 'labels/%' OR ord % 3 <> 0"), strict_basename=True)
+
+
 def _report(s: SparkSession, d: str) -> DataFrame:
-    ds, warnings = B.read_coco(A.coco_documents(dataset(s, d))[0].withColumn("ord", F.lit(0).cast("long")))
-    return A.import_report(ds, warnings)
+    ds, warnings = _few_classes(s, d)
+    return A.import_report(ds, warnings.where("message LIKE 'Line %'"))
+
+
+def _lookups(s: SparkSession, d: str) -> DataFrame:
+    """The class file by its path and the first label file by its end, in bundles of which every other one has no class file."""
+    given = _bundle(s, d).where("path <> 'classes.txt' OR dataset_id LIKE '%1' OR dataset_id LIKE '%3'")
+    by_path = B.file_by_path(given, "classes.txt").select("dataset_id", F.length("file.content").alias("chars"))
+    first = B.first_by_suffix(given.where("path LIKE 'labels/%'"), "1.txt").select("dataset_id", F.col("file.path").alias("first"))
+    return given.select("dataset_id").distinct().join(by_path, "dataset_id", "left").join(first, "dataset_id", "left")
 
 
 def _roundtrip(s: SparkSession, d: str) -> DataFrame:
@@ -138,6 +154,8 @@ QUERIES = {
     "r13_label_range_check": lambda s, d: B.read_yolo(_bundle(s, d).withColumn("content", F.when(F.col("path") == "classes.txt", "a\n\n b \nc").otherwise(F.col("content"))))[1].groupBy("dataset_id", "code").agg(F.count("*").alias("n")),
     "r14_missing_dimensions": lambda s, d: B.read_yolo(_bundle(s, d).where("path <> 'image_meta.json'"))[1].where("code = 'missing_image_dimensions'").select("dataset_id", "code"),
     "r15_import_report": _report,
+    "r15_warnings_by_code": lambda s, d: A.warnings_by_code(_few_classes(s, d)[1]).select("dataset_id", "code", "warnings"),
+    "s18_bundle_lookups": _lookups,
     "r16_roundtrip_diff": _roundtrip,
     "r17_format_capabilities": lambda s, d: A.unsupported_shapes(dataset(s, d).annotations, s),
     "r18_select_scope": lambda s, d: A.select_scope(dataset(s, d), "selected_image_indices", [0, 2, 5]).annotations.select("annotation_id"),
@@ -150,9 +168,9 @@ QUERIES = {
     "s11_odd_documents": _judged,
     "s12_write_datumaro": lambda s, d: A.datumaro_documents(dataset(s, d)).select("dataset_id", F.explode(F.from_json("content", f"struct<items:{B._DATUMARO_ITEMS}>")["items"]).alias("i")).select("dataset_id", F.col("i.id").alias("item"), F.col("i.image.path").alias("path"), F.get("i.image.size", F.lit(0)).alias("height"), F.get("i.image.size", F.lit(1)).alias("width"), F.array_join(F.transform("i.annotations", lambda a: F.concat_ws(":", a["id"], a["label"], a["type"], F.to_json(a["attributes"]), F.array_join(F.transform(F.coalesce(a["bbox"], a["points"]), lambda v: F.format_string("%.3f", v.cast("double"))), " "))), ",").alias("annotations")),
     "s13_read_yolo_detect": _yolo_read,
-    "s14_write_yolo_detect": lambda s, d: _bundle(s, d).where("path LIKE 'labels/%'").select("path", "content"),
+    "s14_write_yolo_detect": lambda s, d: _bundle(s, d).select("dataset_id", "path", "content"),
     "s15_read_yolo_seg": lambda s, d: B.read_yolo(_bundle(s, d, "polygon"), shape="polygon")[0].annotations.select("image_id", "category_id", F.size("geometry.points").alias("n"), *[F.round(F.col("geometry.points")[k][c].cast("double"), 1).alias(f"{c}{k}") for k in (0, 2) for c in "xy"]),
-    "s16_write_yolo_seg": lambda s, d: _bundle(s, d, "polygon").where("path LIKE 'labels/%'").select("path", "content"),
+    "s16_write_yolo_seg": lambda s, d: _bundle(s, d, "polygon").select("dataset_id", "path", "content"),
     "s17_validate_bundles": lambda s, d: B.validate_bundles(_states(s, d)).select("page_id", "status"),
     "s18_bundle_files": lambda s, d: B.bundle_files(_states(s, d), key="page_id"),
     "s19_project_state": lambda s, d: B.load_project_states(rows(s, d, "SELECT project, image_id AS version, path AS payload FROM fx_images"), rows(s, d, "SELECT DISTINCT project FROM fx_images UNION ALL SELECT DISTINCT project || ' unsaved' FROM fx_images")),
@@ -176,7 +194,9 @@ _DETECT = f"{_CLAMPED}, {_K}, l AS (SELECT c.*, class_index, class_index || ' '
 _CORNERS = "CASE kind WHEN 'polygon' THEN pts WHEN 'bounding_box' THEN [{'x': x, 'y': y}, {'x': x + w, 'y': y}, {'x': x + w, 'y': y + h}, {'x': x, 'y': y + h}] ELSE [{'x': x - 0.5::FLOAT, 'y': y - 0.5::FLOAT}, {'x': x + 0.5::FLOAT, 'y': y - 0.5::FLOAT}, {'x': x + 0.5::FLOAT, 'y': y + 0.5::FLOAT}, {'x': x - 0.5::FLOAT, 'y': y + 0.5::FLOAT}] END"
 _PX, _PY = _CL.format(v="p.x", m="width"), _CL.format(v="p.y", m="height")
 _SEG = f"{_A}, {_K}, q AS (SELECT *, {_CORNERS} AS poly FROM g), l AS (SELECT q.*, class_index, class_index || ' ' || array_to_string(list_transform(poly, lambda p: {_SIX(f'{_PX} / {_W}')} || ' ' || {_SIX(f'{_PY} / {_H}')}), ' ') AS line FROM q JOIN k ON k.category_id = q.category_id)"
-_FILES = "SELECT 'labels/' || image_id || '.txt' AS path, string_agg(line, chr(10) ORDER BY annotation_id) || chr(10) AS content FROM l GROUP BY image_id"
+_FILES = """SELECT dataset_id, 'labels/' || image_id || '.txt' AS path, string_agg(line, chr(10) ORDER BY annotation_id) || chr(10) AS content FROM l GROUP BY dataset_id, image_id
+UNION ALL SELECT DISTINCT project, 'classes.txt', (SELECT string_agg(name, chr(10) ORDER BY category_id) FROM fx_categories) FROM fx_images
+UNION ALL SELECT project, 'image_meta.json', '[' || string_agg('{{"id":' || image_id || ',"file_name":"' || path || '","width":' || width || ',"height":' || height || ',"label_path":"labels/' || image_id || '.txt"}}', ',' ORDER BY image_id) || ']' FROM fx_images GROUP BY project""".replace("{{", "{").replace("}}", "}")
 _DS = "p AS (SELECT DISTINCT project AS dataset_id FROM fx_images)"
 _ATTRIBUTES = """CASE WHEN annotation_id % 3 = 0 THEN '{{"occluded":' || CASE WHEN g.image_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"score":' || regexp_replace(printf('%.2f', (annotation_id % 97 + 1) / 100.0::DOUBLE), '0+$', '') || ',"tags":["' || kind || '",{{"z":null}}]}}' ELSE '{{}}' END""".replace("{{", "{").replace("}}", "}")
 _SHAPE = "annotation_id, image_id, {c} AS category_id, kind, (CASE WHEN kind = 'polygon' THEN pts[1].x ELSE x END)::DOUBLE AS x, (CASE WHEN kind = 'polygon' THEN pts[1].y ELSE y END)::DOUBLE AS y, coalesce(len(pts), 0) AS n"
@@ -192,8 +212,8 @@ SQL = {
     "g9_validate_for_export": f"WITH {_A} SELECT dataset_id, annotation_id, CASE WHEN category_id NOT IN (SELECT category_id FROM fx_categories) THEN 'unknown_category' ELSE 'strict_policy' END AS reason FROM g WHERE category_id NOT IN (SELECT category_id FROM fx_categories) OR kind <> 'polygon'",
     "g10_normalize_bbox": f"WITH {_DETECT} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY annotation_id) - 1 AS INT) AS at, line FROM l".replace(" AS at,", ' AS "at",'),
     "g11_normalize_polygon": f"WITH {_SEG} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY annotation_id) - 1 AS INT) AS \"at\", line FROM l",
-    "g12_parse_detect_line": "SELECT event_id, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 3 THEN 'invalid class index' WHEN 4 THEN 'invalid cx' WHEN 5 THEN 'invalid h' ELSE 'expected 5 values: class cx cy w h' END AS error, CASE event_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS cls, CASE event_id % 9 WHEN 0 THEN 0.25::FLOAT WHEN 1 THEN 0.1::FLOAT END::DOUBLE AS w FROM events",
-    "g13_parse_seg_line": "SELECT event_id, CASE event_id % 9 WHEN 6 THEN NULL WHEN 7 THEN 'invalid y at 7' WHEN 8 THEN 'expected odd number of values' ELSE 'expected class + at least 3 xy pairs' END AS error, CASE WHEN event_id % 9 = 6 THEN 6 END AS n FROM events",
+    "g12_parse_detect_line": "SELECT event_id, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 3 THEN 'invalid class index' WHEN 4 THEN 'invalid cx' WHEN 5 THEN 'invalid h' ELSE 'expected 5 values: class cx cy w h' END AS error, CASE WHEN event_id % 9 < 2 THEN event_id % 100 END AS cls, CASE WHEN event_id % 9 < 2 THEN CAST((event_id % 997) || 'e-3' AS FLOAT) END::DOUBLE AS w FROM events",
+    "g13_parse_seg_line": "SELECT event_id, CASE event_id % 9 WHEN 6 THEN NULL WHEN 7 THEN CASE WHEN event_id % 4 % 2 = 0 THEN 'invalid y at ' ELSE 'invalid x at ' END || (7 + event_id % 4) WHEN 8 THEN 'expected odd number of values' ELSE 'expected class + at least 3 xy pairs' END AS error, CASE WHEN event_id % 9 = 6 THEN CAST(6 + 2 * (event_id % 4) AS INT) END AS n FROM events",
     "r1_dense_class_index": f"WITH {_DS}, {_K} SELECT dataset_id, category_id, name, class_index FROM p, k",
     "r2_lookup_class": f"WITH {_A}, {_K} SELECT annotation_id, class_index FROM g JOIN k ON k.category_id = g.category_id",
     "r3_unknown_categories": f"WITH {_A} SELECT annotation_id, category_id FROM g WHERE category_id NOT IN (SELECT category_id FROM fx_categories)",
@@ -210,7 +230,13 @@ SQL = {
     "r13_label_range_check": f"WITH {_DETECT} SELECT dataset_id, 'invalid_record' AS code, count(*) AS n FROM l WHERE class_index > 2 GROUP BY dataset_id",
     "r12_class_names": f"WITH {_DS}, {_K} SELECT dataset_id, class_index AS category_id, name FROM p, k",
     "r14_missing_dimensions": f"WITH {_DS} SELECT dataset_id, 'missing_image_dimensions' AS code FROM p",
-    "r15_import_report": "SELECT i.project AS dataset_id, count(DISTINCT i.image_id) AS images, (SELECT count(*) FROM fx_categories) AS categories, count(a.annotation_id) AS annotations, 0 AS skipped FROM fx_images i LEFT JOIN fx_annotations a ON a.image_id = i.image_id GROUP BY i.project",
+    "r15_import_report": f"""WITH {_DETECT}, h AS (SELECT image_id, ord FROM (SELECT image_id, image_id + 1 AS ord FROM fx_images)), q AS (SELECT l.* FROM l JOIN h ON h.image_id = l.image_id WHERE ord % 3 <> 0)
+      SELECT i.project AS dataset_id, count(DISTINCT i.image_id) AS images, 3 AS categories, count(q.annotation_id) FILTER (WHERE class_index < 3) AS annotations, count(q.annotation_id) FILTER (WHERE class_index >= 3) AS skipped FROM fx_images i LEFT JOIN q ON q.image_id = i.image_id GROUP BY i.project""",
+    "r15_warnings_by_code": f"""WITH {_DETECT}, f AS (SELECT i.project AS dataset_id, i.image_id, (i.image_id + 1) % 3 = 0 OR NOT EXISTS (SELECT 1 FROM l WHERE l.image_id = i.image_id) AS gone FROM fx_images i),
+      w AS (SELECT dataset_id, image_id FROM f WHERE gone UNION ALL SELECT l.dataset_id, l.image_id FROM l JOIN f ON f.image_id = l.image_id WHERE NOT gone AND class_index >= 3)
+      SELECT dataset_id, 'invalid_record' AS code, count(*) AS warnings FROM w GROUP BY dataset_id""",
+    "s18_bundle_lookups": f"""WITH {_DETECT}, i AS (SELECT dataset_id, min(image_id) AS image_id FROM l WHERE CAST(image_id AS VARCHAR) LIKE '%1' GROUP BY dataset_id)
+      SELECT p.project AS dataset_id, CASE WHEN p.project LIKE '%1' OR p.project LIKE '%3' THEN (SELECT length(string_agg(name, chr(10))) FROM fx_categories) END AS chars, 'labels/' || i.image_id || '.txt' AS first FROM (SELECT DISTINCT project FROM fx_images) p LEFT JOIN i ON i.dataset_id = p.project""",
     "r16_roundtrip_diff": f"""WITH {_A} SELECT dataset_id, path AS file_name, c.name AS category, 'point ' || printf('%.3f', x::DOUBLE + dx) || ' ' || printf('%.3f', y::DOUBLE) AS shape, side
       FROM g JOIN fx_categories c ON c.category_id = g.category_id, (VALUES ('left', 0), ('right', 1)) m(side, dx) WHERE kind = 'point' AND image_id % 50 = 0""",
     "r17_format_capabilities": f"WITH {_A}, n AS (SELECT kind, count(*) AS annotations FROM g GROUP BY kind) SELECT f.format, kind, annotations FROM n, (VALUES ('yolo_detect', 'bounding_box'), ('yolo_segmentation', 'polygon')) f(format, own) WHERE kind <> own",

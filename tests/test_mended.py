@@ -1,3 +1,4 @@
+import math
 import io
 import os
 import random
@@ -163,6 +164,55 @@ def test_numbers_go_on_over_blocks(spark):
         assert r.n == sum(on for k, o, on in rows if k == r.key and o <= r.ord)
 
 
+def test_whole_masks_by_brute_force(spark):
+    """Upsampling, threshold, largest component, outline and scaling of small masks, pixel by pixel."""
+    one, half = np.float32(1), np.float32(0.5)
+
+    def sample(px, w, h, x, y):
+        def axis(at, size):
+            low = np.floor(at)
+            k = int(min(max(low, 0), size - 1))
+            return k, min(k + 1, size - 1), np.float32(min(max(at - low, np.float32(0)), one))
+
+        (x0, x1, fx), (y0, y1, fy) = axis(x, w), axis(y, h)
+        at = lambda r, c: np.float32(px[r * w + c])
+        return (at(y0, x0) * (one - fx) + at(y0, x1) * fx) * (one - fy) + (at(y1, x0) * (one - fx) + at(y1, x1) * fx) * fy
+
+    def near(k, size, to):
+        at = (np.float32(k) + half) * (np.float32(size) / np.float32(to)) - half
+        return int(min(max(math.copysign(math.floor(abs(at) + half), at), 0), size - 1))
+
+    def polygon(px, w, h, to_w, to_h):
+        large = [[sample(px, w, h, (np.float32(i) + half) * np.float32(0.25) - half, (np.float32(j) + half) * np.float32(0.25) - half) for i in range(4 * w)] for j in range(4 * h)]
+        on = [[large[near(j, 4 * h, to_h)][near(i, 4 * w, to_w)] > 0 for i in range(to_w)] for j in range(to_h)]
+        best, seen = [], set()
+        for j, i in [(j, i) for j in range(to_h) for i in range(to_w) if on[j][i]]:
+            if (j, i) in seen:
+                continue
+            part, waiting = [], [(j, i)]
+            seen.add((j, i))
+            while waiting:
+                y, x = waiting.pop()
+                part.append((y, x))
+                for b, a in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if 0 <= b < to_h and 0 <= a < to_w and on[b][a] and (b, a) not in seen:
+                        seen.add((b, a))
+                        waiting.append((b, a))
+            if len(part) >= len(best):  # the later of equal ones
+                best = part
+        grid = np.zeros((to_h, to_w), bool)
+        for y, x in best:
+            grid[y, x] = True
+        return [float(v) for p in traced(grid) for v in p]
+
+    rng = np.random.default_rng(12)
+    rows = [(k, w, h, rng.normal(size=w * h).astype(np.float32).tolist(), tw, th) for k, (w, h, tw, th) in enumerate([(5, 4, 20, 16), (6, 3, 13, 11), (4, 4, 7, 19), (3, 7, 12, 28), (2, 2, 9, 5)] * 3)]
+    rows += [(90, 3, 2, [-1.0] * 6, 9, 9), (91, 2, 3, [1.0] * 6, 8, 12)]
+    frame = spark.createDataFrame(rows, "mask_id long, width int, height int, px array<float>, tw int, th int")
+    got = {r.mask_id: list(r.polygon) for r in masks.postprocess_masks(frame, F.col("tw"), F.col("th")).collect()}
+    assert got == {k: polygon(px, w, h, tw, th) for k, w, h, px, tw, th in rows} and any(len(p) > 20 for p in got.values())
+
+
 def test_simplifying_by_recursion():
     def plain(points, epsilon):
         if len(points) < 3:
