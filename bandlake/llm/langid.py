@@ -51,9 +51,9 @@ def _logs(counts: list[Counter], limit: int, floor: float) -> dict[str, tuple[fl
 
 
 def fit(labelled: DataFrame, *, max_rows: int = 4_000, max_words: int = 20_000, max_grams: int = 20_000, orders: tuple[int, ...] = (4, 3, 2, 1), min_count: int = 3, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from at most ``max_rows`` labelled rows, spread evenly over the languages, at least one of each, the least row hashes first.
+    """A model from about ``max_rows`` labelled rows, spread evenly over the languages, chosen by a hash of the text.
 
-    Rows whose text or language is null are left out; without any the model knows no language. Words need
+    Equal texts are taken or left together, so a language with few different texts may have no row in the sample. Rows whose text or language is null are left out; without any the model knows no language. Words need
     ``min_count`` occurrences in the sample. Counting runs in tasks; only the sample's most frequent entries reach the driver.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))

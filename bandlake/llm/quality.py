@@ -119,7 +119,15 @@ def score(docs: DataFrame, model: RankingModel, *, keep: tuple[str, ...] = ("doc
     return with_features(docs, keep, text_col).select("kept.*", model.score("features").alias("score"))
 
 
+def mark_best(scored: DataFrame, share: float, accuracy: int = 10_000) -> DataFrame:
+    """``scored`` with ``kept``: whether the score reaches the quantile that keeps ``share`` of the rows; ties at the threshold are all kept.
+
+    ``scored`` is read twice. The quantile is that of all rows to one part in ``accuracy`` of their number; one row of it is broadcast.
+    """
+    floor = scored.agg(F.percentile_approx("score", 1.0 - share, accuracy).alias("__floor"))
+    return scored.join(F.broadcast(floor), F.lit(True), "left").withColumn("kept", F.col("score") >= F.col("__floor")).drop("__floor")
+
+
 def keep_best(scored: DataFrame, share: float, accuracy: int = 10_000) -> DataFrame:
-    """Rows whose score reaches the quantile that keeps ``share`` of them; ties at the threshold all stay."""
-    floor = scored.agg(F.percentile_approx("score", 1.0 - share, accuracy).alias("floor"))
-    return scored.join(F.broadcast(floor), F.col("score") >= F.col("floor")).drop("floor")
+    """The rows that ``mark_best`` keeps."""
+    return mark_best(scored, share, accuracy).where("kept").drop("kept")

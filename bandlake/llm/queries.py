@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import settle, table
 from . import alignment, chat, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, privacy, quality, toxicity, whitening
 from .samples import labelled_sample
 
@@ -21,8 +21,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 5, 0)
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", max_rows=10_000, exclude=held)
-    scored = quality.score(docs.withColumn("held_out", held), quality.fit(sample), keep=("doc_id", "held_out"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    scored = settle(quality.score(docs.withColumn("held_out", held), quality.fit(sample), keep=("doc_id", "held_out")), "quality-scores")
+    return quality.mark_best(scored, share=0.8).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

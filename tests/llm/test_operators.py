@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from itertools import combinations
@@ -198,3 +199,16 @@ def test_images(spark):
     assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(1, 12)) and got[100] == got[0] == got[101]
     assert got[900] == 900 and got[901] == 901
     assert media.image_components(broken.where("false")).count() == 0
+
+
+def test_best_rows_by_quantile(spark):
+    scores = [k / 97 for k in range(90)] + [0.5] * 30
+    frame = spark.createDataFrame(list(enumerate(scores)), "doc_id long, score double")
+    for share in (0.1, 0.5, 0.8, 1.0):
+        rows = quality.mark_best(frame, share).collect()
+        kept = sorted(r.score for r in rows if r.kept)
+        left = sorted(r.score for r in rows if not r.kept)
+        floor = sorted(scores)[max(0, math.ceil((1 - share) * len(scores) - 1e-9) - 1)]
+        assert kept == [s for s in sorted(scores) if s >= floor] and (not left or left[-1] < kept[0])
+        assert quality.keep_best(frame, share).count() == len(kept)
+    assert quality.mark_best(frame.where("false"), 0.5).count() == 0
