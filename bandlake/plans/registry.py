@@ -14,7 +14,8 @@ _MODULES = (catalog_queries, pixel_queries, annotation_queries, mask_queries, mo
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["s14_write_yolo_detect"](spark, sf_dir)
+    """Label lines of every image, by file."""
+    return queries()["s14_write_yolo_detect"](spark, sf_dir).where("path LIKE 'labels/%'").select("path", "content")
 
 
 def queries() -> dict[str, Query]:
