@@ -16,7 +16,7 @@ from functools import partial
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -51,18 +51,19 @@ def _logs(counts: list[Counter], limit: int, floor: float) -> dict[str, tuple[fl
 
 
 def fit(labelled: DataFrame, *, max_rows: int = 4_000, max_words: int = 20_000, max_grams: int = 20_000, orders: tuple[int, ...] = (4, 3, 2, 1), min_count: int = 3, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from about ``max_rows`` labelled rows, spread evenly over the languages, chosen by a hash of the text.
+    """A model from at most ``max_rows`` different labelled texts, ``max_rows // languages`` a language, at least one each.
 
-    Equal texts are taken or left together, so a language with few different texts may have no row in the sample. Rows whose text or language is null are left out; without any the model knows no language. Words need
-    ``min_count`` occurrences in the sample. Counting runs in tasks; only the sample's most frequent entries reach the driver.
+    A language's are the ones of least hash; repeated rows count once. Rows whose text or language is null are left out; without any the model knows no language. Words need
+    ``min_count`` occurrences in the sample. Counting runs in tasks; only the languages and the sample's most frequent entries reach the driver.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    per = max(1, max_rows // max(1, len(sizes)))
-    # a hash threshold instead of a sort: about `per` rows of each language, whatever their number
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per / n))]) if sizes else F.lit(None).cast("map<string,double>")
-    unit = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(unit < F.element_at(shares, F.col("lang")))
+    hashed = rows.withColumn("hash", F.xxhash64("text", F.lit(8)))
+    languages = tuple(sorted(r[0] for r in rows.select("lang").distinct().collect()))
+    per = max(1, max_rows // max(1, len(languages)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))  # tasks keep their `per` least before the shuffle
+    chosen = hashed.select("lang", "hash").distinct().withColumn("place", place).where(F.col("place") <= per).drop("place")
+    chosen = settle(chosen, "language-sample")
+    sample = hashed.join(F.broadcast(chosen), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], Counter] = {}
@@ -88,7 +89,6 @@ def fit(labelled: DataFrame, *, max_rows: int = 4_000, max_words: int = 20_000,
     kept = []
     for n in (0, *orders):
         kept += [(n, r.entry, r.langs) for r in by_entry.where(F.col("n") == n).orderBy(F.desc("total"), "entry").limit(max_words if n == 0 else max_grams).collect()]
-    languages = tuple(sorted(sizes))
 
     def table(n: int) -> dict[str, tuple[float, ...]]:
         counts = [Counter({e: langs.get(lang, 0) for m, e, langs in kept if m == n}) for lang in languages]
