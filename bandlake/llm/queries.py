@@ -53,7 +53,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.image_components(media.images_of_vectors(table(spark, sf_dir, "embeddings")))
+    # the copies drawn here are neither turned nor scaled, so that images meet at their own size
+    return media.image_components(media.images_of_vectors(table(spark, sf_dir, "embeddings")), enlarge_to=0)
 
 
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
