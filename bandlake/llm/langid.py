@@ -103,9 +103,10 @@ def word_score(model: LanguageModel, word: str) -> tuple[float, ...] | None:
         return model.words[word]
     padded = f" {word} "
     for n, grams in zip(model.orders, model.grams, strict=True):
-        hits = [grams[g] for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) in grams]
+        hits = [h for k in range(len(padded) - n + 1) if (h := grams.get(padded[k : k + n]))]
         if hits:
-            return tuple(sum(h[j] for h in hits) / len(hits) for j in range(len(model.languages)))
+            count = len(hits)
+            return tuple([sum(of_language) / count for of_language in zip(*hits, strict=True)])
     return None
 
 
