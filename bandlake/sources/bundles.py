@@ -147,17 +147,18 @@ def resolve_label_files(wanted: DataFrame, bundles: DataFrame, strict_basename:
     Files are told apart by their ``ord``. As a plain suffix, ``1.txt`` also ends ``11.txt``; ``strict_basename`` wants the whole name.
     """
     files = bundles.select(KEY, "path", "ord")  # contents are fetched last
+    # joins are by sorting: as many rows on either side as there are files, whatever their columns' sizes make Spark believe
     least = lambda df, *keys: df.groupBy(KEY, *keys).agg(F.min("ord").alias("at"))
     by_path = least(files, "path")
-    a = wanted.join(by_path.select(KEY, F.col("path").alias("label_path"), F.col("at").alias("f1")), [KEY, "label_path"], "left")
-    a = a.withColumn("flat", F.regexp_replace("label_path", r"[/\\]", "__")).join(by_path.select(KEY, F.col("path").alias("flat"), F.col("at").alias("f2")), [KEY, "flat"], "left")
+    a = wanted.join(by_path.select(KEY, F.col("path").alias("label_path"), F.col("at").alias("f1")).hint("merge"), [KEY, "label_path"], "left")
+    a = a.withColumn("flat", F.regexp_replace("label_path", r"[/\\]", "__")).join(by_path.select(KEY, F.col("path").alias("flat"), F.col("at").alias("f2")).hint("merge"), [KEY, "flat"], "left")
     a = a.withColumn("base", F.regexp_extract("label_path", r"([^/\\]*)$", 1))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     # a base name holds no separator, so it can only end a file's name
     ends = F.array(F.regexp_extract("path", r"([^/\\]*)$", 1)) if strict_basename else F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.right(name, n))
     by_end = least(files.select(KEY, "ord", F.explode(ends).alias("base")), "base").select(KEY, "base", F.col("at").alias("f3"))
-    a = a.join(by_end, [KEY, "base"], "left").withColumn("at", F.coalesce("f1", "f2", "f3")).drop("f1", "f2", "f3", "flat", "base")
-    return a.join(bundles.select(KEY, F.col("ord").alias("at"), "content"), [KEY, "at"], "left").drop("at")
+    a = a.join(by_end.hint("merge"), [KEY, "base"], "left").withColumn("at", F.coalesce("f1", "f2", "f3")).drop("f1", "f2", "f3", "flat", "base")
+    return a.join(bundles.select(KEY, F.col("ord").alias("at"), "content").hint("merge"), [KEY, "at"], "left").drop("at")
 
 
 def read_yolo(bundles: DataFrame, *, shape: str = "bbox", strict_basename: bool = False) -> tuple[Dataset, DataFrame]:
