@@ -1,6 +1,8 @@
 """Annotation bundles: reading COCO, Datumaro and YOLO into datasets, and project states.
 
 A bundle is rows dataset_id, ord, path, content (text). Every reader returns (dataset, warnings: dataset_id, code, message).
+A JSON document may come in pieces, rows of one ord and path that are told apart by ``piece``, from 0: each is a document by itself, whose
+lists go on with those of the one before; info and categories are taken from piece 0. One wrong piece makes the document wrong.
 JSON documents are VARIANT, so that attributes of any kind pass through.
 """
 
@@ -37,11 +39,14 @@ def first_by_suffix(bundles: DataFrame, suffix: str) -> DataFrame:
 
 
 def _document(bundles: DataFrame, exact: str | None, any_file: bool) -> DataFrame:
-    """dataset_id, content of the file that holds the annotations, null for none, from one pass over the bundles."""
-    path = F.col("path")
+    """dataset_id, piece, content of the file that holds the annotations; content is null for none."""
+    path, at = F.col("path"), F.struct("ord", "path")
     rules = ([path == exact] if exact else []) + [F.endswith(path, F.lit(".json"))] + ([F.lit(True)] if any_file else [])
-    first = [F.min(F.when(rule, F.struct("ord", "content")))["content"] for rule in rules]
-    return bundles.groupBy(KEY).agg(F.coalesce(*first).alias("content"))
+    held = bundles if "piece" in bundles.columns else bundles.withColumn("piece", F.lit(0).cast("long"))
+    held = settle(held.select(KEY, "ord", "path", "piece", "content"), "bundle")
+    chosen = held.groupBy(KEY).agg(F.coalesce(*[F.min(F.when(rule, at)) for rule in rules]).alias("at"))
+    same = F.col(f"c.{KEY}").eqNullSafe(F.col(f"h.{KEY}")) & (F.col("c.at.ord") == F.col("h.ord")) & (F.col("c.at.path") == F.col("h.path"))
+    return settle(chosen, "chosen").alias("c").join(held.alias("h"), same, "left").select(f"c.{KEY}", F.coalesce("h.piece", F.lit(0)).alias("piece"), "h.content")
 
 
 _ID, _SIZE = D.whole(), D.whole(0, (1 << 32) - 1)
@@ -60,23 +65,26 @@ _COCO_ANNOTATIONS = "array<struct<id:bigint,image_id:bigint,category_id:bigint,b
 
 
 def _judged(bundles: DataFrame, kind: D.Kind, exact: str | None, any_file: bool, label: str) -> tuple[DataFrame, DataFrame]:
-    """(dataset_id, d: the document as VARIANT of each sound bundle; warnings: one row for each bundle without document or with a wrong one)."""
+    """(dataset_id, piece, d: the pieces of the document of each sound bundle as VARIANT; warnings: one row for each bundle without document or with a wrong one)."""
     doc = _document(bundles, exact, any_file).withColumn("d", D.whole_document(F.col("content")))
     found = F.when(F.col("content").isNull(), "no document in the bundle").when(F.col("d").isNull(), "not a JSON document").otherwise(kind(F.col("d")))
     doc = settle(doc.withColumn("wrong", found).withColumn("none", F.col("content").isNull()).drop("content"), label.lower())
-    bad = doc.where("wrong IS NOT NULL").select(KEY, F.when(F.col("none"), "invalid_bundle").otherwise("parse_error").alias("code"), F.concat(F.lit(f"{label} document can't be read: "), F.col("wrong")).alias("message"))
-    return doc.where("wrong IS NULL").select(KEY, "d"), bad
+    wrong = settle(doc.where("wrong IS NOT NULL").groupBy(KEY).agg(F.min_by(F.struct("wrong", "none"), "piece").alias("w")).select(KEY, "w.*"), "wrong-documents")
+    bad = wrong.select(KEY, F.when(F.col("none"), "invalid_bundle").otherwise("parse_error").alias("code"), F.concat(F.lit(f"{label} document can't be read: "), F.col("wrong")).alias("message"))
+    good = doc.where("wrong IS NULL").alias("d").join(wrong.alias("w"), F.col(f"d.{KEY}").eqNullSafe(F.col(f"w.{KEY}")), "left_anti")
+    return good.select(KEY, "piece", "d"), bad
 
 
 def _listed(doc: DataFrame, path: str, schema: str) -> DataFrame:
-    """dataset_id, ord, x: the entries of an array of the documents, in order."""
-    return doc.select(KEY, F.posexplode(F.try_variant_get("d", path, schema)).alias("ord", "x")).withColumn("ord", F.col("ord").cast("long"))
+    """dataset_id, ord, x: the entries of an array of the documents, in order; the piece is the upper half of ord."""
+    listed = doc.select(KEY, "piece", F.posexplode(F.try_variant_get("d", path, schema)).alias("pos", "x"))
+    return listed.select(KEY, (F.shiftleft(F.col("piece").cast("long"), 32) + F.col("pos")).alias("ord"), "x")
 
 
 def _info(doc: DataFrame) -> DataFrame:
     """dataset_id, description, version, year, contributor, date_created; absent ones are empty or null (year)."""
     text = lambda c: F.coalesce(F.try_variant_get("d", f"$.info.{c}", "string"), F.lit("")).alias(c)
-    return doc.select(KEY, text("description"), text("version"), F.try_variant_get("d", "$.info.year", "bigint").alias("year"), text("contributor"), text("date_created"))
+    return doc.where("piece = 0").select(KEY, text("description"), text("version"), F.try_variant_get("d", "$.info.year", "bigint").alias("year"), text("contributor"), text("date_created"))
 
 
 def read_coco(bundles: DataFrame) -> tuple[Dataset, DataFrame]:
@@ -86,7 +94,7 @@ def read_coco(bundles: DataFrame) -> tuple[Dataset, DataFrame]:
     """
     good, bad = _judged(bundles, _COCO_KIND, None, True, "COCO")
     images = _listed(good, "$.images", _COCO_IMAGES).select(KEY, F.col("x.id").alias("image_id"), "x.file_name", "x.width", "x.height", "ord")
-    categories = _listed(good, "$.categories", _COCO_CATEGORIES).select(KEY, F.col("x.id").alias("category_id"), "x.name", "ord")
+    categories = _listed(good.where("piece = 0"), "$.categories", _COCO_CATEGORIES).select(KEY, F.col("x.id").alias("category_id"), "x.name", "ord")
     first = F.get(F.try_variant_get("x.segmentation", "$", "array<array<float>>"), F.lit(0))
     read = _listed(good, "$.annotations", _COCO_ANNOTATIONS).withColumn("r", G.coco_geometry(F.col("x.bbox"), first, F.col("x.point")))
     annotations = read.where("r.error IS NULL").select(KEY, F.col("x.id").alias("annotation_id"), "x.image_id", "x.category_id", F.col("r.geometry").alias("geometry"), F.parse_json(F.lit("{}")).alias("attributes"), "ord")
@@ -119,7 +127,7 @@ def number_missing(rows: DataFrame, given: Column, order: list[str], name: str)
 def read_datumaro(bundles: DataFrame, policy: str = "allow_lossy_warn", bbox_tags: tuple[str, ...] = ("b_box",)) -> tuple[Dataset, DataFrame]:
     """Attributes of annotations and the description are kept; documents are judged as in ``read_coco``."""
     doc, bad = _judged(bundles, _datumaro_kind(bbox_tags), "annotations/default.json", False, "Datumaro")
-    categories = _listed(doc, "$.categories.label", "array<struct<name:string>>").select(KEY, F.col("ord").alias("category_id"), "x.name", "ord")
+    categories = _listed(doc.where("piece = 0"), "$.categories.label", "array<struct<name:string>>").select(KEY, F.col("ord").alias("category_id"), "x.name", "ord")
     counts = categories.groupBy(KEY).agg(F.count("*").alias("n_labels"))
     items = _listed(doc, "$.items", _DATUMARO_ITEMS)
     given = F.when(F.col("x.id").rlike(r"^\+?\d+$"), F.col("x.id").try_cast("long"))
