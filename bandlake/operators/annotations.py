@@ -18,8 +18,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import geometry as G
 from ..session import settle, ship
+from .ordinals import pieces
 
 KEY = "dataset_id"
+#: Annotations and corners of a piece of a document.
+PIECE = 10_000
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,7 @@ def attributes_text(annotations: DataFrame) -> Column:
 def _described(documents: DataFrame, ds: Dataset, info: str) -> DataFrame:
     """``documents`` with the dataset's info, or with ``info`` as the description."""
     text = lambda c, other="": F.coalesce(F.col(f"i.{c}"), F.lit(other)).alias(c)
-    given = ds.info if ds.info is not None else documents.select(KEY, F.lit(info).alias("description"), F.lit("").alias("version"), F.lit(None).cast("long").alias("year"), F.lit("").alias("contributor"), F.lit("").alias("date_created"))
+    given = ds.info if ds.info is not None else ds.images.select(KEY).distinct().select(KEY, F.lit(info).alias("description"), F.lit("").alias("version"), F.lit(None).cast("long").alias("year"), F.lit("").alias("contributor"), F.lit("").alias("date_created"))
     packed = given.select(KEY, F.struct("description", "version", "year", "contributor", "date_created").alias("i"))
     about = F.struct(text("description", info), text("version"), F.coalesce("i.year", F.lit(0)).alias("year"), text("contributor"), text("date_created"))
     return documents.join(packed, KEY, "left").withColumn("info", about).drop("i")
@@ -123,23 +126,41 @@ def yolo_bundle(ds: Dataset, *, shape: str = "bbox", policy: str = "allow_lossy_
     return classes.unionByName(labels).unionByName(metas)
 
 
-def coco_documents(ds: Dataset, info: str = "") -> tuple[DataFrame, DataFrame]:
-    """(dataset_id, path, content: one JSON document each; violations: dataset_id, annotation_id, reason)."""
-    made = ds.annotations.withColumn("c", G.coco_fields(F.col("geometry")))
+def _in_pieces(df: DataFrame, entry: Column, weight: Column, most: int, name: str) -> DataFrame:
+    """dataset_id, piece, ``name``: the entries in input order, dealt into pieces."""
+    dealt = pieces(df.select(KEY, "ord", entry.alias("e"), weight.alias("w")), KEY, "ord", F.col("w"), most)
+    return dealt.groupBy(KEY, "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "e"))), lambda x: x["e"]).alias(name))
+
+
+def coco_documents(ds: Dataset, info: str = "", most: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """(dataset_id, path, piece, content: JSON documents; violations: dataset_id, annotation_id, reason).
+
+    A dataset of more than ``most`` images, or annotations and corners, is a document in several pieces: each is a document by itself, whose lists go on
+    with those of the piece before; info, licenses and categories stand in the first, piece 0. So no row holds a whole dataset.
+    """
+    made = ds.annotations.join(ds.images.select(KEY).distinct(), KEY, "left_semi").withColumn("c", G.coco_fields(F.col("geometry")))
     entry = F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", "c.bbox", "c.segmentation", "c.area", F.lit(0).alias("iscrowd"), F.col("c.point").alias("point"))
-    ordered = lambda df, e, name: df.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", e.alias("e")))), lambda x: x["e"]).alias(name))
-    images = ordered(ds.images, F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"), "images")
-    categories = ordered(ds.categories, F.struct(F.col("category_id").alias("id"), "name", F.lit("none").alias("supercategory")), "categories")
-    annotations = ordered(made.where("c.error IS NULL"), entry, "annotations")
-    joined = _described(images.join(categories, KEY, "left").join(annotations, KEY, "left"), ds, info)
-    empty = lambda c: F.coalesce(c, F.array().cast(joined.schema[c].dataType))
-    doc = F.to_json(F.struct("info", F.array().cast("array<string>").alias("licenses"), "images", empty("annotations").alias("annotations"), empty("categories").alias("categories")))
+    images = _in_pieces(ds.images, F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"), F.lit(1), most, "images")
+    annotations = _in_pieces(made.where("c.error IS NULL"), entry, _weight("geometry"), most, "annotations")
+    category = F.struct(F.col("category_id").alias("id"), "name", F.lit("none").alias("supercategory"))
+    categories = ds.categories.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", category.alias("e")))), lambda x: x["e"]).alias("categories"))
+    joined = _described(images.join(annotations, [KEY, "piece"], "full").join(categories, KEY, "left"), ds, info)
+    head = lambda c: F.when(F.col("piece") == 0, c)
+    empty = lambda c: F.coalesce(c, head(F.array().cast(joined.schema[c].dataType)))
+    doc = F.to_json(F.struct(head(F.col("info")).alias("info"), head(F.array().cast("array<string>")).alias("licenses"), "images", empty("annotations").alias("annotations"), head(empty("categories")).alias("categories")))
     bad = made.where("c.error IS NOT NULL").select(KEY, "annotation_id", F.col("c.error").alias("reason"))
-    return joined.select(KEY, F.lit("annotations.json").alias("path"), doc.alias("content")), bad
+    return joined.select(KEY, F.lit("annotations.json").alias("path"), "piece", doc.alias("content")), bad
 
 
-def datumaro_documents(ds: Dataset, info: str = "") -> DataFrame:
-    """dataset_id, path, content: label list by category id, items in image order, sizes as [height, width], attributes as they are."""
+def _weight(geometry: str) -> Column:
+    return F.lit(1) + F.greatest(F.size(f"{geometry}.points"), F.lit(0))
+
+
+def datumaro_documents(ds: Dataset, info: str = "", most: int = PIECE) -> DataFrame:
+    """dataset_id, path, piece, content: label list by category id, items in image order, sizes as [height, width], attributes as they are.
+
+    A dataset of more than ``most`` items, annotations and numbers is in several pieces, as in ``coco_documents``; an item is never divided.
+    """
     g = F.col("geometry")
     index = dense_class_index(ds.categories)
     kind = F.when(g["kind"] == "bounding_box", "b_box").when(g["kind"] == "polygon", "polygon").otherwise("points")
@@ -149,14 +170,16 @@ def datumaro_documents(ds: Dataset, info: str = "") -> DataFrame:
     entry = F.struct(F.col("annotation_id").alias("id"), F.col("class_index").alias("label"), F.lit(0).alias("group"), kind.alias("type"), bbox.alias("bbox"), flat.alias("points"), attributes_text(known).alias("attributes"))
     items = images_with_annotations(Dataset(ds.images, ds.categories, known), entry)
     item = F.struct(F.col("image_id").cast("string").alias("id"), F.struct(F.col("file_name").alias("path"), F.array("height", "width").alias("size")).alias("image"), F.col("items").alias("annotations"), F.lit("{}").alias("attributes"))
-    listed = items.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("e")))), lambda x: x["e"]).alias("items"))
+    weight = F.aggregate("items", F.lit(1).cast("long"), lambda n, a: n + 1 + F.greatest(F.size(a["points"]), F.lit(0)) + F.floor(F.length(a["attributes"]) / 16))
+    listed = _in_pieces(items, item, weight, most, "items")
     label = F.struct("name", F.lit("").alias("parent"), F.array().cast("array<string>").alias("attributes"))
     labels = ds.categories.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("category_id", "ord", label.alias("e")))), lambda x: x["e"]).alias("label"))
     # VARIANT can't be sorted, so attributes are text until here
     whole = lambda x: x.withField("attributes", F.parse_json(x["attributes"]))
     full = F.transform("items", lambda i: whole(i.withField("annotations", F.transform(i["annotations"], whole))))
-    doc = F.to_json(F.struct(F.struct("info.description").alias("info"), F.struct("label").alias("categories"), full.alias("items")))
-    return _described(listed.join(labels, KEY, "left"), ds, info).select(KEY, F.lit("annotations/default.json").alias("path"), doc.alias("content"))
+    head = lambda c: F.when(F.col("piece") == 0, F.col(c))
+    doc = F.to_json(F.struct(F.when(F.col("piece") == 0, F.struct("info.description")).alias("info"), F.struct(head("label").alias("label")).alias("categories"), full.alias("items")))
+    return _described(listed.join(labels, KEY, "left"), ds, info).select(KEY, F.lit("annotations/default.json").alias("path"), "piece", doc.alias("content"))
 
 
 def select_scope(ds: Dataset, scope: str, indices: list[int] | None = None, current: int = 0) -> Dataset:

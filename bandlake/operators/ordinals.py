@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 #: Ordinals of a block.
 BLOCK = 4096
 
@@ -22,3 +24,19 @@ def running(df: DataFrame, key: str, order: list[str], value: Column, name: str)
     same = F.col(f"h.{key}").eqNullSafe(F.col(f"s.{key}")) & F.col("h.__block").eqNullSafe(F.col("s.__block"))
     joined = held.alias("h").join(starts.alias("s"), same).select("h.*", "s.__start")
     return joined.withColumn(name, F.col("__start") + F.sum("__value").over(inside)).drop("__value", "__block", "__start")
+
+
+def pieces(df: DataFrame, key: str, order: str, weight: Column, most: int, name: str = "piece") -> DataFrame:
+    """Adds ``name``: the rows of ``key`` in the order of ``order`` are dealt into pieces of a weight of ``most``, numbered from 0, which may leave numbers out.
+
+    A piece is what begins within one stretch of ``most``, so it exceeds that by less than its last row. Rows are sorted over ranges, whose
+    weights are summed up first, so a key of any size is spread over tasks.
+    """
+    held = settle(df.withColumn("__weight", weight.cast("long")).repartitionByRange(key, order).withColumn("__range", F.spark_partition_id()), "ranged")
+    sums = held.groupBy(key, "__range").agg(F.sum("__weight").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(key, "__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    same = F.col(f"h.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("h.__range") == F.col("s.__range"))
+    upto = F.sum("__weight").over(Window.partitionBy(key, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = held.withColumn("__upto", F.coalesce(upto, F.lit(0))).alias("h").join(starts.alias("s"), same).select("h.*", "s.__start")
+    return placed.withColumn(name, F.floor((F.col("__start") + F.col("__upto")) / most)).drop("__weight", "__range", "__upto", "__start")

@@ -1,6 +1,11 @@
 """Plans and results that must hold whatever the number of rows."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from bandlake.operators import annotations as A
 from bandlake.sources import bundles
+from tests.test_jobs import dataset as small
 
 
 def _plan(df):
@@ -13,3 +18,28 @@ def test_label_files_are_never_broadcast(spark):
     found = bundles.resolve_label_files(wanted, files)
     assert "Broadcast" not in _plan(found)
     assert {r.label_path: r.content for r in found.collect()} == {"labels/1.txt": "one", "labels/2.txt": "two"}
+
+
+@pytest.mark.parametrize("way", ["datumaro", "coco"])
+def test_documents_in_pieces_read_as_one(spark, way):
+    ds = small(spark)
+    images = spark.range(40).selectExpr("'d' AS dataset_id", "id AS image_id", "concat('f', id) AS file_name", "9L AS width", "7L AS height", "id AS ord")
+    rows = ds.annotations.crossJoin(spark.range(1, 40).withColumnRenamed("id", "k")).withColumn("image_id", F.col("k")).withColumn("annotation_id", F.col("annotation_id") + 10 * F.col("k")).withColumn("ord", F.col("annotation_id")).drop("k")
+    ds = A.Dataset(images, ds.categories, rows)
+    write = (lambda most: A.datumaro_documents(ds, most=most)) if way == "datumaro" else (lambda most: A.coco_documents(ds, most=most)[0])
+    read = bundles.read_datumaro if way == "datumaro" else bundles.read_coco
+    docs = write(20).withColumn("ord", F.lit(0).cast("long")).cache()
+    assert docs.count() > 5
+    assert docs.agg(F.max(F.length("content"))).first()[0] < 4_000
+    assert write(100_000).count() == 1
+    back, warnings = read(docs)
+    assert warnings.count() == 0
+    assert A.roundtrip_diff(ds, back).count() == 0
+    told = back.annotations.orderBy("ord").select("annotation_id").collect()
+    assert [r[0] for r in told] == sorted(r[0] for r in rows.select("annotation_id").collect())
+    assert [r[0] for r in back.images.orderBy("ord").select("file_name").collect()] == [f"f{k}" for k in range(40)]
+    assert back.categories.count() == 2
+    broken = docs.withColumn("content", F.when(F.col("piece") == 2, "{").otherwise(F.col("content")))
+    left, warnings = read(broken)
+    assert left.annotations.count() == 0
+    assert [(r.code, r.message.split(": ")[1]) for r in warnings.collect()] == [("parse_error", "not a JSON document")]
