@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandlake.operators import annotations as A
-from bandlake.sources import bundles
+from bandlake.operators import downloads
+from bandlake.sources import bundles, files, mounted
 from tests.test_jobs import dataset as small
 
 
@@ -43,3 +44,19 @@ def test_documents_in_pieces_read_as_one(spark, way):
     left, warnings = read(broken)
     assert left.annotations.count() == 0
     assert [(r.code, r.message.split(": ")[1]) for r in warnings.collect()] == [("parse_error", "not a JSON document")]
+
+
+def test_a_request_has_one_row_though_its_file_is_listed_twice(spark):
+    requests = spark.createDataFrame([(1, "a/x.png"), (2, "a/y.png")], "request_id long, path string")
+    listed = spark.createDataFrame([("a/x.png", b"1"), ("a/x.png", b"1")], "path string, content binary")
+    assert sorted((r.request_id, r.found) for r in files.raw_bytes(requests, listed).collect()) == [(1, True), (2, False)]
+
+
+def test_files_of_one_path_are_as_many_entries(spark, tmp_path):
+    table = spark.createDataFrame([("p", "x", b"1", 60), ("p", "x", b"2", 60), ("p", "y", b"3", 10)], "project string, path string, content binary, size_bytes long")
+    plan = downloads.plan_parts(table, 100).cache()
+    wanted = [(0, "x", b"1"), (1, "x", b"2"), (1, "y", b"3")]
+    mounted.save_zip_parts(plan, table, str(tmp_path / "out"))
+    saved = files.read_files(spark, str(tmp_path / "out")).select(F.lit("p").alias("project"), (F.regexp_extract("path", r"_part(\d+)\.zip$", 1).cast("int") - 1).alias("part"), F.col("content").alias("archive"))
+    for archives in (files.write_zip_parts(plan, table), saved):
+        assert sorted((r.part, r.path, bytes(r.content)) for r in files.read_zip_parts(archives).collect()) == wanted
