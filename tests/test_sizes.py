@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from bandlake.operators import annotations as A
 from bandlake.operators import downloads
+from bandlake.plans import fixtures
+from bandlake.plans.annotation_queries import dataset
 from bandlake.sources import bundles, files, mounted
 from tests.test_jobs import dataset as small
 
@@ -60,3 +62,12 @@ def test_files_of_one_path_are_as_many_entries(spark, tmp_path):
     saved = files.read_files(spark, str(tmp_path / "out")).select(F.lit("p").alias("project"), (F.regexp_extract("path", r"_part(\d+)\.zip$", 1).cast("int") - 1).alias("part"), F.col("content").alias("archive"))
     for archives in (files.write_zip_parts(plan, table), saved):
         assert sorted((r.part, r.path, bytes(r.content)) for r in files.read_zip_parts(archives).collect()) == wanted
+
+
+def test_annotations_are_worked_out_once_with_the_corners_of_the_view(spark):
+    given = "/root/testdata/sf0.001"
+    made = dataset(spark, given).annotations.select("annotation_id", "geometry.kind", F.to_json("geometry.points").alias("points"))
+    optimized = made._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("l_linenumber#") and optimized.count("Relation [l_orderkey") == 1
+    view_points = fixtures.view(spark, given, "fx_vertices").groupBy("annotation_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", "vx", "vy"))), lambda v: F.struct(v["vx"].alias("x"), v["vy"].alias("y")))).alias("wanted"))
+    assert made.where("kind = 'polygon'").join(view_points, "annotation_id", "left").where("NOT (points <=> wanted)").isEmpty()
