@@ -8,11 +8,12 @@ the tile they are needed in; a tile only sends the rows and columns that are ask
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +24,8 @@ from .masks import component_labels
 from .ordinals import running
 
 SIDE = 1024
+#: Pixels of tiles of one shape that are worked on together.
+AT_ONCE = 1 << 22
 BILINEAR, NEAREST = "bilinear", "nearest"
 _PLACE = ["width", "height", "tx", "ty"]
 
@@ -36,6 +39,64 @@ def _schema(keyed: DataFrame, more: str) -> StructType:
     return StructType([keyed.schema["k"], *StructType.fromDDL(more).fields])
 
 
+def _stack(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` numbers of the lists in ``rows``, a row each."""
+    own = column.take(pa.array(rows))
+    if own.null_count or (np.diff(own.offsets.to_numpy()) != size).any():
+        return np.stack([arrays.values(v)[:size] for v in own])
+    return own.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, size)
+
+
+def _lists(grids: np.ndarray) -> pa.Array:
+    """A list of each of the grids, row-major."""
+    size = int(np.prod(grids.shape[1:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(grids) + 1, dtype=np.int32) * size, pa.int32()), pa.array(np.ascontiguousarray(grids, np.float32).ravel()))
+
+
+def _alike(columns: list[np.ndarray], pixels_: Callable[..., int]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(values, places) of rows that agree in all ``columns``, as many at a time as have ``AT_ONCE`` pixels together."""
+    if not len(columns[0]):
+        return
+    values, inverse = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
+    order = np.argsort(inverse.ravel(), kind="stable")
+    cuts = np.searchsorted(inverse.ravel()[order], np.arange(len(values) + 1))
+    for own, lo, hi in zip(values.tolist(), cuts[:-1], cuts[1:], strict=True):
+        step = max(1, AT_ONCE // max(1, pixels_(*own)))
+        for at in range(lo, hi, step):
+            yield own, order[at : min(at + step, hi)]
+
+
+def _ints(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def _batch(keys: pa.Array, rows: np.ndarray, numbers: dict[str, int], **columns: pa.Array) -> pa.RecordBatch:
+    """Rows with the keys of ``rows``, the same whole numbers in each, and further columns."""
+    whole = [pa.array(np.full(len(rows), v, np.int32)) for v in numbers.values()]
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), *whole, *columns.values()], names=["k", *numbers, *columns])
+
+
+def _gathered(df: DataFrame, by: list[str], order: list[str], function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``function`` of batches that hold the groups of ``by`` as a whole, many at once; rows are sorted, and the first of a group has ``nth`` 1."""
+    sorted_ = df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("nth").to_numpy() == 1)
+            if not len(starts):
+                held.append(batch)
+                continue
+            for part in ([*held, batch.slice(0, starts[0])], [batch.slice(starts[0], starts[-1] - starts[0])]):
+                if sum(len(b) for b in part):
+                    yield from function(pa.concat_batches(part))
+            held = [batch.slice(starts[-1])]
+        if sum(len(b) for b in held):
+            yield from function(pa.concat_batches(held))
+
+    return sorted_.transform(in_tasks, run, schema)
+
+
 def cut(bands: DataFrame, side: int = SIDE) -> DataFrame:
     """Tiles of whole bands (keys, width, height, px); a band without pixels has none."""
     keys = _keys(bands)
@@ -43,20 +104,19 @@ def cut(bands: DataFrame, side: int = SIDE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, (w, h, px) in enumerate(zip(*batch.columns[1:], strict=True)):
-                w, h = w.as_py(), h.as_py()
-                grid = arrays.values(px)[: w * h].reshape(h, w)
+            for (w, h), rows in _alike(_ints(batch, "width", "height"), lambda w, h: w * h):
+                if min(w, h) < 1:
+                    continue
+                grid = _stack(batch.column("px"), rows, w * h).reshape(-1, h, w)
                 for y in range(0, h, side):
-                    tiles = [np.ascontiguousarray(grid[y : y + side, x : x + side]).ravel() for x in range(0, w, side)]
-                    n = len(tiles)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.concat_arrays([batch.column(0).slice(row, 1)] * n), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([y // side] * n, pa.int32()), pa.array(tiles, pa.list_(pa.float32()))],
-                        names=["k", *_PLACE, "px"],
-                    )
+                    for x in range(0, w, side):
+                        place = {"width": w, "height": h, "tx": x // side, "ty": y // side}
+                        yield _batch(batch.column("k"), rows, place, px=_lists(grid[:, y : y + side, x : x + side]))
 
     return given.transform(in_tasks, run, _schema(given, "width int, height int, tx int, ty int, px array<float>")).select("k.*", *_PLACE, "px")
 
 
+@lru_cache(64)
 def _axis(size: int, to: int, way: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first source place, second, share of the second) of each result place."""
     at = (np.arange(to, dtype=np.float32) + np.float32(0.5)) * (np.float32(size) / np.float32(to)) - np.float32(0.5)
@@ -84,54 +144,53 @@ def resample(tiles: DataFrame, to_width: Column, to_height: Column, *, side: int
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (w, h, tx, ty, to_w, to_h) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:7]), strict=True)):
+            for (w, h, tx, ty, to_w, to_h), at in _alike(_ints(batch, *_PLACE, "to_w", "to_h"), lambda *_: side * side):
                 if min(w, h, to_w, to_h) < 1:
                     continue
-                grid = arrays.values(batch.column(7)[at]).reshape(min(side, h - ty * side), min(side, w - tx * side))
+                own_h, own_w = min(side, h - ty * side), min(side, w - tx * side)
+                grid = _stack(batch.column("px"), at, own_h * own_w).reshape(-1, own_h, own_w)
                 across, down = _axis(w, to_w, way), _axis(h, to_h, way)
-                sent = []
                 for oy in range(-(-to_h // side)):
                     rows = _needed(down, oy, side)
-                    r0, r1 = np.searchsorted(rows, [ty * side, ty * side + grid.shape[0]])
+                    r0, r1 = np.searchsorted(rows, [ty * side, ty * side + own_h])
                     if r0 == r1:
                         continue
                     for ox in range(-(-to_w // side)):
                         cols = _needed(across, ox, side)
-                        c0, c1 = np.searchsorted(cols, [tx * side, tx * side + grid.shape[1]])
+                        c0, c1 = np.searchsorted(cols, [tx * side, tx * side + own_w])
                         if c0 < c1:
-                            part = grid[np.ix_(rows[r0:r1] - ty * side, cols[c0:c1] - tx * side)]
-                            sent.append((to_w, to_h, ox, oy, r0, c0, r1 - r0, c1 - c0, part.ravel()))
-                if sent:
-                    columns = list(zip(*sent, strict=True))
-                    whole = [pa.array(np.array(c), pa.int32()) for c in columns[:8]]
-                    key = pa.concat_arrays([batch.column(0).slice(at, 1)] * len(sent))
-                    size = [pa.array([v] * len(sent), pa.int32()) for v in (w, h)]
-                    yield pa.RecordBatch.from_arrays([key, *size, *whole, pa.array(columns[8], pa.list_(pa.float32()))], names=["k", "w", "h", "to_w", "to_h", "out_x", "out_y", "row", "col", "rows", "cols", "patch"])
-
-    def build(table: pa.Table) -> pa.Table:
-        first = {c: table.column(c)[0].as_py() for c in ("w", "h", "to_w", "to_h", "out_x", "out_y")}
-        w, h, to_w, to_h, ox, oy = first.values()
-        across, down = _axis(w, to_w, way), _axis(h, to_h, way)
-        rows, cols = _needed(down, oy, side), _needed(across, ox, side)
-        grid = np.zeros((len(rows), len(cols)), np.float32)
-        for r, c, n, m, px in zip(*(table.column(x).to_pylist() for x in ("row", "col", "rows", "cols")), table.column("patch"), strict=True):
-            grid[r : r + n, c : c + m] = arrays.values(px).reshape(n, m)
-        y, x = slice(oy * side, (oy + 1) * side), slice(ox * side, (ox + 1) * side)
-        y0, y1, fy = np.searchsorted(rows, down[0][y]), np.searchsorted(rows, down[1][y]), down[2][y][:, None]
-        x0, x1, fx = np.searchsorted(cols, across[0][x]), np.searchsorted(cols, across[1][x]), across[2][x]
-        one = np.float32(1)
-        if way == NEAREST:
-            out = (grid[np.ix_(y0, x0)] > 0).astype(np.float32)
-        elif (w, h) == (to_w, to_h):
-            out = grid[np.ix_(y0, x0)]
-        else:
-            above, below = grid[y0], grid[y1]
-            out = (above[:, x0] * (one - fx) + above[:, x1] * fx) * (one - fy) + (below[:, x0] * (one - fx) + below[:, x1] * fx) * fy
-        whole = {"width": to_w, "height": to_h, "tx": ox, "ty": oy}
-        return pa.table({"k": table.column("k").slice(0, 1), **{n: pa.array([v], pa.int32()) for n, v in whole.items()}, "px": pa.array([out.astype(np.float32).ravel()], pa.list_(pa.float32()))})
+                            part = grid[:, (rows[r0:r1] - ty * side)[:, None], cols[c0:c1] - tx * side]
+                            numbers = {"w": w, "h": h, "to_w": to_w, "to_h": to_h, "out_x": ox, "out_y": oy, "row": r0, "col": c0, "rows": r1 - r0, "cols": c1 - c0}
+                            yield _batch(batch.column("k"), at, numbers, patch=_lists(part))
+
+    def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nth, row, col, n_rows, n_cols = _ints(batch, "nth", "row", "col", "rows", "cols")
+        heads = np.flatnonzero(nth == 1)
+        ends = np.append(heads[1:], len(nth))
+        for (w, h, to_w, to_h, ox, oy), own in _alike([c[heads] for c in _ints(batch, "w", "h", "to_w", "to_h", "out_x", "out_y")], lambda *_: side * side):
+            across, down = _axis(w, to_w, way), _axis(h, to_h, way)
+            rows, cols = _needed(down, oy, side), _needed(across, ox, side)
+            grid = np.zeros((len(own), len(rows), len(cols)), np.float32)
+            sizes = ends[own] - heads[own]
+            group = np.repeat(np.arange(len(own)), sizes)
+            at = np.repeat(heads[own] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(len(group))
+            for (r, c, n, m), some in _alike([x[at] for x in (row, col, n_rows, n_cols)], lambda r, c, n, m: n * m):
+                grid[group[some], r : r + n, c : c + m] = _stack(batch.column("patch"), at[some], n * m).reshape(-1, n, m)
+            y, x = slice(oy * side, (oy + 1) * side), slice(ox * side, (ox + 1) * side)
+            y0, y1, fy = np.searchsorted(rows, down[0][y]), np.searchsorted(rows, down[1][y]), down[2][y][:, None]
+            x0, x1, fx = np.searchsorted(cols, across[0][x]), np.searchsorted(cols, across[1][x]), across[2][x]
+            one = np.float32(1)
+            if way == NEAREST:
+                out = (grid[:, y0[:, None], x0] > 0).astype(np.float32)
+            elif (w, h) == (to_w, to_h):
+                out = grid[:, y0[:, None], x0]
+            else:
+                above, below = grid[:, y0], grid[:, y1]
+                out = (above[:, :, x0] * (one - fx) + above[:, :, x1] * fx) * (one - fy) + (below[:, :, x0] * (one - fx) + below[:, :, x1] * fx) * fy
+            yield _batch(batch.column("k"), heads[own], {"width": to_w, "height": to_h, "tx": ox, "ty": oy}, px=_lists(out))
 
     sent = given.transform(in_tasks, send, _schema(given, f"w int, h int, {patch}"))
-    made = sent.groupBy("k", "out_x", "out_y").applyInArrow(build, _schema(sent, "width int, height int, tx int, ty int, px array<float>"))
+    made = _gathered(sent, ["k", "out_x", "out_y"], ["row", "col"], build, _schema(sent, "width int, height int, tx int, ty int, px array<float>"))
     return made.select("k.*", *_PLACE, "px")
 
 
@@ -161,17 +220,27 @@ def whole(tiles: DataFrame, side: int = SIDE, column: str = "px", depth: int = 1
     keys = _keys(tiles, column)
     given = tiles.select(F.struct(*keys).alias("k"), *_PLACE, column)
 
-    def build(table: pa.Table) -> pa.Table:
-        w, h = table.column("width")[0].as_py(), table.column("height")[0].as_py()
-        out = np.zeros((h, w, depth), np.float32 if column == "px" else np.uint8)
-        for tx, ty, px in zip(table.column("tx").to_pylist(), table.column("ty").to_pylist(), table.column(column), strict=True):
-            own = out[ty * side : (ty + 1) * side, tx * side : (tx + 1) * side]
-            own[:] = (arrays.values(px) if column == "px" else np.frombuffer(px.as_buffer(), np.uint8)).reshape(own.shape)
-        made = pa.array([out.ravel()], pa.list_(pa.float32())) if column == "px" else pa.array([out.tobytes()], pa.binary())
-        return pa.table({"k": table.column("k").slice(0, 1), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), column: made})
+    def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nth, tx, ty = _ints(batch, "nth", "tx", "ty")
+        heads = np.flatnonzero(nth == 1)
+        ends = np.append(heads[1:], len(nth))
+        for (w, h), own in _alike([c[heads] for c in _ints(batch, "width", "height")], lambda w, h: w * h * depth):
+            out = np.zeros((len(own), h, w, depth), np.float32 if column == "px" else np.uint8)
+            sizes = ends[own] - heads[own]
+            group = np.repeat(np.arange(len(own)), sizes)
+            at = np.repeat(heads[own] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(len(group))
+            for (x, y), some in _alike([tx[at], ty[at]], lambda *_: side * side * depth):
+                rows, cols = min(side, h - y * side), min(side, w - x * side)
+                if column == "px":
+                    tiles_ = _stack(batch.column(column), at[some], rows * cols)
+                else:
+                    tiles_ = np.frombuffer(b"".join(batch.column(column).take(pa.array(at[some])).to_pylist()), np.uint8)
+                out[group[some], y * side : y * side + rows, x * side : x * side + cols] = tiles_.reshape(-1, rows, cols, depth)
+            made = _lists(out) if column == "px" else pa.array([image.tobytes() for image in out], pa.binary())
+            yield _batch(batch.column("k"), heads[own], {"width": w, "height": h}, **{column: made})
 
     schema = _schema(given, f"width int, height int, {column} {'array<float>' if column == 'px' else 'binary'}")
-    return given.groupBy("k").applyInArrow(build, schema).select("k.*", "width", "height", column)
+    return _gathered(given, ["k"], ["ty", "tx"], build, schema).select("k.*", "width", "height", column)
 
 
 def _linked(edges: DataFrame) -> DataFrame:

@@ -62,3 +62,21 @@ def test_components_over_borders(spark):
     found = [tuple(r) for r in got.select("mask_id", "component", "pixels", "first").collect()]
     assert sorted(found) == sorted(tuple(r) for r in want.select("mask_id", "component", "pixels", "first").collect())
     assert tiles.label_components(tiles.cut(frame.limit(0), 6), 6).count() == 0
+
+
+def test_many_small_images_at_once(spark):
+    """Images of several sizes whose tiles are spread over Arrow batches; no image or tile is a Python call of its own."""
+    rng = np.random.default_rng(5)
+    sizes = [(8, 8), (13, 4), (1, 1), (6, 11)]
+    rows = [(i, 0, w, h, rng.normal(size=w * h).astype(np.float32).tolist()) for i in range(60) for w, h in [sizes[i % 4]]]
+    frame = spark.createDataFrame(rows, "image_id long, band int, width int, height int, px array<float>")
+    made = tiles.whole(tiles.resample(tiles.cut(frame, 5), F.col("width") * 2, F.col("height") + 3, side=5), 5)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            same(made, pixels.downsample(frame, F.col("width") * 2, F.col("height") + 3), "image_id", "band")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
