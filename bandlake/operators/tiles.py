@@ -270,22 +270,32 @@ def label_components(tiles: DataFrame, side: int = SIDE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mask, w, h, tx, ty, px in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
-                rows, cols = min(side, h - ty * side), min(side, w - tx * side)
-                labels = component_labels(arrays.values(px).reshape(rows, cols) > 0)
-                sizes = np.bincount(labels.ravel())
+            for (w, h, tx, ty), own in _alike(_ints(batch, *_PLACE), lambda *_: side * side):
+                n, rows, cols = len(own), min(side, h - ty * side), min(side, w - tx * side)
+                # tiles one below the other, a row of background between them: labels rise from tile to tile
+                grid = np.zeros((n, rows + 1, cols), bool)
+                grid[:, :rows] = _stack(batch.column("px"), own, rows * cols).reshape(n, rows, cols) > 0
+                labels = component_labels(grid.reshape(-1, cols)).reshape(n, rows + 1, cols)[:, :rows]
                 names, at = np.unique(labels, return_index=True)
-                place = np.zeros(len(sizes), np.int64)
-                place[names] = (ty * side + at // cols) * w + tx * side + at % cols + 1
+                tile, inner = np.divmod(at, rows * cols)
+                place = np.zeros(labels.max() + 1, np.int64)
+                place[names] = (ty * side + inner // cols) * w + tx * side + inner % cols + 1
                 place[0] = 0
-                part = [("part", 0, 0, [int(p) for p in place[1:]], [int(n) for n in sizes[1:]])]
-                edge = [("down", ty + dy, tx, place[labels[r]], None) for dy, r in ((0, 0), (1, -1))] + [("right", tx + dx, ty, place[labels[:, c]], None) for dx, c in ((0, 0), (1, -1))]
-                kind, i, j, nodes, pixels_ = zip(*part, *edge, strict=True)
-                n = len(kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([mask] * n, pa.int64()), pa.array(kind), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(pixels_, pa.list_(pa.int64())), pa.array([0, 1, 0, 1, 0][:n], pa.int32())],
-                    names=["mask_id", "kind", "i", "j", "nodes", "pixels", "after"],
-                )
+                offsets = np.append(0, np.cumsum(np.bincount(tile[names > 0], minlength=n)))
+                masks_ = batch.column("mask_id").take(pa.array(own))
+
+                def found_rows(kind: str, i: int, j: int, after: int, nodes: pa.Array, sizes: pa.Array | None = None) -> pa.RecordBatch:
+                    fixed = [pa.array(np.full(n, v)) for v in (i, j)]
+                    return pa.RecordBatch.from_arrays(
+                        [masks_, pa.array([kind] * n), *fixed, nodes, pa.nulls(n, pa.list_(pa.int64())) if sizes is None else sizes, pa.array(np.full(n, after, np.int32))],
+                        names=["mask_id", "kind", "i", "j", "nodes", "pixels", "after"],
+                    )
+
+                lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))
+                yield found_rows("part", 0, 0, 0, lists(offsets, place[1:]), lists(offsets, np.bincount(labels.ravel())[1:]))
+                for kind, i, j, line in (("down", ty, tx, labels[:, 0]), ("down", ty + 1, tx, labels[:, -1]), ("right", tx, ty, labels[:, :, 0]), ("right", tx + 1, ty, labels[:, :, -1])):
+                    after = int(i == (ty if kind == "down" else tx))
+                    yield found_rows(kind, i, j, after, lists(np.arange(n + 1) * line.shape[1], place[line].ravel()))
 
     found = settle(given.transform(in_tasks, run, "mask_id long, kind string, i long, j long, nodes array<long>, pixels array<long>, after int"), "tile-labels")
     parts = found.where("kind = 'part'").select("mask_id", F.explode(F.arrays_zip("nodes", "pixels")).alias("p")).select("mask_id", F.col("p.nodes").alias("node"), "p.pixels")
