@@ -56,8 +56,7 @@ def _segment(s: SparkSession, d: str) -> DataFrame:
     planned = M.plan_encodes(view(s, d, "fx_prompts").select("prompt_id", "image_id", "r", "g", "b", "px", "py"), view(s, d, "fx_images"))
 
     def encode(image):  # noqa: ANN001, ANN202
-        row = image.iloc[0]
-        return row["width"], row["height"]
+        return image["width"].iat[0], image["height"].iat[0]
 
     def decode(encoded, prompt):  # noqa: ANN001, ANN202
         x2, y2 = min(prompt["px"] + 24.0, encoded[0]), min(prompt["py"] + 24.0, encoded[1])
@@ -76,9 +75,9 @@ def _failures(s: SparkSession, d: str) -> DataFrame:
     prompts = view(s, d, "fx_prompts").select("prompt_id", "image_id", "r", "g", "b", "px")
 
     def encode(image):  # noqa: ANN001, ANN202
-        if image.iloc[0]["image_id"] % 5 == 0:
+        if image["image_id"].iat[0] % 5 == 0:
             raise MemoryError("no room")
-        return int(image.iloc[0]["width"])
+        return int(image["width"].iat[0])
 
     def decode(encoded, prompt):  # noqa: ANN001, ANN202
         if prompt["prompt_id"] % 11 == 0:
@@ -93,7 +92,7 @@ def _failures(s: SparkSession, d: str) -> DataFrame:
 
 def _warm(s: SparkSession, d: str) -> DataFrame:
     def encode(image):  # noqa: ANN001, ANN202
-        if image.iloc[0]["image_id"] % 5 == 0:
+        if image["image_id"].iat[0] % 5 == 0:
             raise MemoryError("no room")
 
     return M.warm(M.plan_encodes(view(s, d, "fx_prompts").select("prompt_id", "image_id", "r", "g", "b"), view(s, d, "fx_images")), encode)
