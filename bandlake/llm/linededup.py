@@ -94,16 +94,20 @@ def _places(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, perc
         yield out(rows)
 
 
+def _at(line: int, doc_id: int) -> int:
+    """A class at a document, as a hash."""
+    return line ^ (doc_id << 40)
+
+
 def _wanted(batches: Iterator[pa.RecordBatch], min_tokens: int, depth: int, percent: int, wanted) -> Iterator[pa.RecordBatch]:
-    """The lines of the filter's classes with their token counts and hashes of their literal tokens with leaf and place, each once as far as 200,000 classes remember."""
-    bits, seen = wanted.value, set()
+    """The lines of the filter's classes and documents with their token counts and hashes of their literal tokens with leaf and place, each once a row."""
+    bits = wanted.value
     for batch in batches:
         lines, sizes, spots = [], [], []
-        for text in batch.column(0):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seen = set()
             for words, leaf, line in _lines(text, min_tokens, depth, percent):
-                if line not in seen and bitfilter.has(bits, line):
-                    if len(seen) >= 200_000:
-                        seen.clear()
+                if line not in seen and bitfilter.has(bits, _at(line, key)):
                     seen.add(line)
                     lines.append(line)
                     sizes.append(len(words))
@@ -133,7 +137,10 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, depth: int = 3, perce
     classes = settle(held.groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")), "line-classes")
     several = held.groupBy("doc_id", "leaf").count().where("count > 1").select("doc_id", "leaf")
     several = settle(held.join(several, ["doc_id", "leaf"], "left_semi").select("doc_id", "line"), "line-several")
-    texts = rows.select("text").transform(in_tasks, partial(_wanted, **options, wanted=bitfilter.build(able, "line")), "line long, n int, spots array<long>").dropDuplicates(["line"])
+    # a class's tokens are read in its first document only, and other documents are not taken apart again
+    wanted = bitfilter.build(classes.select(F.col("line").bitwiseXOR(F.shiftleft("first_doc", 40)).alias("at")), "at")
+    firsts = bitfilter.split(rows, "doc_id", classes, "first_doc")[1]
+    texts = firsts.transform(in_tasks, partial(_wanted, **options, wanted=wanted), "line long, n int, spots array<long>").dropDuplicates(["line"])
     known = settle(classes.join(texts, "line"), "line-spots")
     spots = known.select("line", "docs", "first_doc", F.explode("spots").alias("spot"))
 
@@ -236,10 +243,10 @@ def _drop(docs: DataFrame, found: DataFrame, key_of: Callable[[bytes], int | Non
     own = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     rows = docs.select(F.struct(*[c for c in own if c != text_col]).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     quiet, loud = bitfilter.split(rows, "doc_id", lists, "doc_id")
-    none = F.lit(None).cast("array<long>")
-    quiet = quiet.select("kept", "text", none.alias("drop"), none.alias("once"))
-    loud = loud.join(lists, "doc_id", "left").select("kept", "text", "drop", "once")
+    # rows that lose nothing stay in Spark; the others are always joined by sorting, so that small and large inputs take the same way
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    quiet = quiet.select("kept", "text", lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    loud = loud.join(lists.hint("merge"), "doc_id", "left").select("kept", "text", "drop", "once")
     schema = StructType([rows.schema["kept"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    clean = partial(_without, key_of=key_of)
-    out = quiet.transform(in_tasks, clean, schema).unionAll(loud.transform(in_tasks, clean, schema))
+    out = quiet.unionAll(loud.transform(in_tasks, partial(_without, key_of=key_of), schema))
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in own], *(["n_lines", "n_dropped"] if counts else []))
