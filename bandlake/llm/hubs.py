@@ -70,7 +70,8 @@ def link_by_hubs(members: DataFrame, verify: Callable[[DataFrame], DataFrame], *
             met = met & condition
         pairs = held.alias("m").join(hub.alias("h"), met).select(F.least("m.sig", "h.sig").alias("a"), F.greatest("m.sig", "h.sig").alias("b")).distinct()
         pairs = settle(pairs.join(done, ["a", "b"], "left_anti"), f"{label}-pairs")
-        labels = merge_labels(labels, verify(pairs))
+        if not pairs.isEmpty():
+            labels = merge_labels(labels, verify(pairs))
         left = held.join(hub.select("key", "sig"), ["key", "sig"], "left_anti").drop("component")
         done = done.union(pairs)
         hubs *= growth
