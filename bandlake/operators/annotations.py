@@ -38,13 +38,18 @@ def attributes_text(annotations: DataFrame) -> Column:
     return F.coalesce(F.to_json("attributes"), F.lit("{}")) if "attributes" in annotations.columns else F.lit("{}")
 
 
+def _first(heads: DataFrame) -> DataFrame:
+    """Rows by dataset for piece 0 alone: joined by dataset and piece, pieces stay where they are instead of all of a dataset meeting in one task."""
+    return heads.withColumn("piece", F.explode(F.array(F.lit(0).cast("long"))))  # a literal would be taken out of the join's keys
+
+
 def _described(documents: DataFrame, ds: Dataset, info: str) -> DataFrame:
-    """``documents`` with the dataset's info, or with ``info`` as the description."""
+    """``documents`` with the dataset's info at piece 0, or with ``info`` as the description."""
     text = lambda c, other="": F.coalesce(F.col(f"i.{c}"), F.lit(other)).alias(c)
     given = ds.info if ds.info is not None else ds.images.select(KEY).distinct().select(KEY, F.lit(info).alias("description"), F.lit("").alias("version"), F.lit(None).cast("long").alias("year"), F.lit("").alias("contributor"), F.lit("").alias("date_created"))
     packed = given.select(KEY, F.struct("description", "version", "year", "contributor", "date_created").alias("i"))
     about = F.struct(text("description", info), text("version"), F.coalesce("i.year", F.lit(0)).alias("year"), text("contributor"), text("date_created"))
-    return documents.join(packed, KEY, "left").withColumn("info", about).drop("i")
+    return documents.join(_first(packed), [KEY, "piece"], "left").withColumn("info", about).drop("i")
 
 
 def dense_class_index(categories: DataFrame) -> DataFrame:
@@ -144,7 +149,7 @@ def coco_documents(ds: Dataset, info: str = "", most: int = PIECE) -> tuple[Data
     annotations = _in_pieces(made.where("c.error IS NULL"), entry, _weight("geometry"), most, "annotations")
     category = F.struct(F.col("category_id").alias("id"), "name", F.lit("none").alias("supercategory"))
     categories = ds.categories.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", category.alias("e")))), lambda x: x["e"]).alias("categories"))
-    joined = _described(images.join(annotations, [KEY, "piece"], "full").join(categories, KEY, "left"), ds, info)
+    joined = _described(images.join(annotations, [KEY, "piece"], "full").join(_first(categories), [KEY, "piece"], "left"), ds, info)
     head = lambda c: F.when(F.col("piece") == 0, c)
     empty = lambda c: F.coalesce(c, head(F.array().cast(joined.schema[c].dataType)))
     doc = F.to_json(F.struct(head(F.col("info")).alias("info"), head(F.array().cast("array<string>")).alias("licenses"), "images", empty("annotations").alias("annotations"), head(empty("categories")).alias("categories")))
@@ -179,7 +184,7 @@ def datumaro_documents(ds: Dataset, info: str = "", most: int = PIECE) -> DataFr
     full = F.transform("items", lambda i: whole(i.withField("annotations", F.transform(i["annotations"], whole))))
     head = lambda c: F.when(F.col("piece") == 0, F.col(c))
     doc = F.to_json(F.struct(F.when(F.col("piece") == 0, F.struct("info.description")).alias("info"), F.struct(head("label").alias("label")).alias("categories"), full.alias("items")))
-    return _described(listed.join(labels, KEY, "left"), ds, info).select(KEY, F.lit("annotations/default.json").alias("path"), "piece", doc.alias("content"))
+    return _described(listed.join(_first(labels), [KEY, "piece"], "left"), ds, info).select(KEY, F.lit("annotations/default.json").alias("path"), "piece", doc.alias("content"))
 
 
 def select_scope(ds: Dataset, scope: str, indices: list[int] | None = None, current: int = 0) -> Dataset:
