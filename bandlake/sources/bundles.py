@@ -43,10 +43,13 @@ def _document(bundles: DataFrame, exact: str | None, any_file: bool) -> DataFram
     path, at = F.col("path"), F.struct("ord", "path")
     rules = ([path == exact] if exact else []) + [F.endswith(path, F.lit(".json"))] + ([F.lit(True)] if any_file else [])
     held = bundles if "piece" in bundles.columns else bundles.withColumn("piece", F.lit(0).cast("long"))
-    held = settle(held.select(KEY, "ord", "path", "piece", "content"), "bundle")
-    chosen = held.groupBy(KEY).agg(F.coalesce(*[F.min(F.when(rule, at)) for rule in rules]).alias("at"))
+    held = settle(held.select(KEY, "ord", "path", "piece", "content"), "bundle", large_rows=True)
+    chosen = settle(held.groupBy(KEY).agg(F.coalesce(*[F.min(F.when(rule, at)) for rule in rules]).alias("at")), "chosen")
+    # an inner join, as that can look few datasets up without gathering all pieces of one in a task
     same = F.col(f"c.{KEY}").eqNullSafe(F.col(f"h.{KEY}")) & (F.col("c.at.ord") == F.col("h.ord")) & (F.col("c.at.path") == F.col("h.path"))
-    return settle(chosen, "chosen").alias("c").join(held.alias("h"), same, "left").select(f"c.{KEY}", F.coalesce("h.piece", F.lit(0)).alias("piece"), "h.content")
+    found = held.alias("h").join(chosen.alias("c"), same).select(f"c.{KEY}", F.coalesce("h.piece", F.lit(0)).alias("piece"), "h.content")
+    none = chosen.where("at.ord IS NULL OR at.path IS NULL")
+    return found.unionByName(none.select(KEY, F.lit(0).cast("long").alias("piece"), F.lit(None).cast("string").alias("content")))
 
 
 _ID, _SIZE = D.whole(), D.whole(0, (1 << 32) - 1)
@@ -68,7 +71,7 @@ def _judged(bundles: DataFrame, kind: D.Kind, exact: str | None, any_file: bool,
     """(dataset_id, piece, d: the pieces of the document of each sound bundle as VARIANT; warnings: one row for each bundle without document or with a wrong one)."""
     doc = _document(bundles, exact, any_file).withColumn("d", D.whole_document(F.col("content")))
     found = F.when(F.col("content").isNull(), "no document in the bundle").when(F.col("d").isNull(), "not a JSON document").otherwise(kind(F.col("d")))
-    doc = settle(doc.withColumn("wrong", found).withColumn("none", F.col("content").isNull()).drop("content"), label.lower())
+    doc = settle(doc.withColumn("wrong", found).withColumn("none", F.col("content").isNull()).drop("content"), label.lower(), large_rows=True)
     wrong = settle(doc.where("wrong IS NOT NULL").groupBy(KEY).agg(F.min_by(F.struct("wrong", "none"), "piece").alias("w")).select(KEY, "w.*"), "wrong-documents")
     bad = wrong.select(KEY, F.when(F.col("none"), "invalid_bundle").otherwise("parse_error").alias("code"), F.concat(F.lit(f"{label} document can't be read: "), F.col("wrong")).alias("message"))
     good = doc.where("wrong IS NULL").alias("d").join(wrong.alias("w"), F.col(f"d.{KEY}").eqNullSafe(F.col(f"w.{KEY}")), "left_anti")
@@ -77,7 +80,9 @@ def _judged(bundles: DataFrame, kind: D.Kind, exact: str | None, any_file: bool,
 
 def _listed(doc: DataFrame, path: str, schema: str) -> DataFrame:
     """dataset_id, ord, x: the entries of an array of the documents, in order; the piece is the upper half of ord."""
-    listed = doc.select(KEY, "piece", F.posexplode(F.try_variant_get("d", path, schema)).alias("pos", "x"))
+    # asked for through a condition, the array isn't taken apart by the scan, which would hold those of all rows of a batch at once
+    one = F.when(F.col("piece").isNotNull(), F.col("d"))
+    listed = doc.select(KEY, "piece", F.posexplode(F.try_variant_get(one, path, schema)).alias("pos", "x"))
     return listed.select(KEY, (F.shiftleft(F.col("piece").cast("long"), 32) + F.col("pos")).alias("ord"), "x")
 
 
