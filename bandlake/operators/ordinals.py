@@ -35,8 +35,8 @@ def pieces(df: DataFrame, key: str, order: str, weight: Column, most: int, name:
     held = settle(df.withColumn("__weight", weight.cast("long")).repartitionByRange(key, order).withColumn("__range", F.spark_partition_id()), "ranged")
     sums = held.groupBy(key, "__range").agg(F.sum("__weight").alias("__sum"))
     before = F.sum("__sum").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(key, "__range", F.coalesce(before, F.lit(0)).alias("__start"))
-    same = F.col(f"h.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("h.__range") == F.col("s.__range"))
-    upto = F.sum("__weight").over(Window.partitionBy(key, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = held.withColumn("__upto", F.coalesce(upto, F.lit(0))).alias("h").join(starts.alias("s"), same).select("h.*", "s.__start")
-    return placed.withColumn(name, F.floor((F.col("__start") + F.col("__upto")) / most)).drop("__weight", "__range", "__upto", "__start")
+    # what lies before a range goes ahead of its rows as one more row, so that rows are shuffled for one window only and not joined
+    starts = sums.select(key, "__range", F.coalesce(before, F.lit(0)).alias("__weight"), F.lit(0).alias("__own"))
+    upto = F.sum("__weight").over(Window.partitionBy(key, "__range").orderBy("__own", order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = held.withColumn("__own", F.lit(1)).unionByName(starts, allowMissingColumns=True).withColumn("__upto", upto).where("__own = 1")
+    return placed.withColumn(name, F.floor(F.col("__upto") / most)).drop("__weight", "__range", "__upto", "__own")
